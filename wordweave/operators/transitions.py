@@ -130,20 +130,21 @@ def bucketed(intervals: DataFrame) -> DataFrame:
     )
 
 
-def word_totals(intervals: DataFrame) -> DataFrame:
+def word_totals(counts: DataFrame, weight: str = "cnt") -> DataFrame:
     """(cur, tot, width): what a path needs to draw at a word."""
-    return intervals.groupBy(F.col("w1").alias("cur")).agg(
-        F.max("tot").alias("tot"), part_width(F.max("tot"), F.max("n")).alias("width")
+    total = F.sum(weight)
+    return counts.groupBy(F.col("w1").alias("cur")).agg(
+        total.alias("tot"), part_width(total, F.count("*")).alias("width")
     )
 
 
-def step_table(intervals: DataFrame) -> DataFrame:
+def step_table(intervals: DataFrame, totals: DataFrame) -> DataFrame:
     """The table paths step on: (w1, bucket, lo, hi, nxt, nxt_tot, nxt_width).
 
     Each row already carries the totals of the word it leads to, so a step
     needs one join only.
     """
-    ahead = word_totals(intervals).select(
+    ahead = totals.select(
         F.col("cur").alias("w2"), F.col("tot").alias("nxt_tot"), F.col("width").alias("nxt_width")
     )
     return (

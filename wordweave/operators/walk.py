@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wordweave.functions import seeded
 from wordweave.functions import text as tx
 from wordweave.operators import transitions as tr
-from wordweave.operators.sampling import keep_about, sample_to_size, weighted_picks
+from wordweave.operators.sampling import keep_about, weighted_picks
 from wordweave.session import colocated, cut
 
 # Steps planned as one job before the paths are written out.
@@ -24,12 +24,13 @@ STEPS_PER_JOB = 4
 
 
 class Chain:
-    """Transition intervals, stored so that steps join them in place."""
+    """Weighted transitions (w1, w2, weight), stored so that steps join them
+    in place."""
 
-    def __init__(self, intervals: DataFrame):
-        stored = cut(intervals)
-        self.totals = tr.word_totals(stored)
-        self.table = colocated(tr.step_table(stored), "w1", "bucket")
+    def __init__(self, counts: DataFrame, weight: str = "cnt"):
+        self.totals = tr.word_totals(counts, weight)
+        intervals = tr.with_intervals(counts, weight=weight)
+        self.table = colocated(tr.step_table(intervals, self.totals), "w1", "bucket")
 
     def enter(self, paths: DataFrame) -> DataFrame:
         """Adds tot and width of the current word."""
@@ -116,13 +117,12 @@ def sequential(
     """
     counts = cut(tr.pair_counts(tr.sentence_pairs(lines)))
     picked = weighted_picks(tr.sequential_starts(counts), ["w1", "w2"], entries, seed)
-    paths = cut(
-        picked.select("path_id", F.array("w1").alias("words"), F.col("w2").alias("cur"),
-                      F.col("w1").alias("start_word"))
+    paths = picked.select(
+        "path_id", F.array("w1").alias("words"), F.col("w2").alias("cur"), F.col("w1").alias("start_word")
     )
     early = min(min_length, max_length)
     if early:
-        going_on = Chain(tr.with_intervals(counts.where(F.col("w2") != tx.END)))
+        going_on = Chain(counts.where(F.col("w2") != tx.END))
         paths = going_on.enter(paths).select(
             "*",
             F.col("cur").alias("start_cur"),
@@ -131,7 +131,7 @@ def sequential(
         )
         paths = _advance(paths, going_on, range(early), seed, _restart)
     if early < max_length:
-        chain = Chain(tr.with_intervals(counts))
+        chain = Chain(counts)
         paths = chain.enter(paths.select("path_id", "words", "cur"))
         paths = _advance(paths, chain, range(early, max_length), seed, _emit_current)
     return paths.select(
@@ -139,15 +139,15 @@ def sequential(
     )
 
 
-def _population(pairs: DataFrame, target: int, seed) -> DataFrame:
+def _population(lines: DataFrame, keys: list[str], counts: DataFrame, target: int, seed) -> DataFrame:
     """Start paths: each occurrence of a start pair is kept with probability
-    target / number of occurrences. Needs occurrence columns."""
-    keys = [c for c in pairs.columns if c not in ("w1", "w2")]
-    starts = tr.population_starts(pairs).withColumn(
-        "path_id", F.concat_ws("-", *[F.col(k).cast("string") for k in keys])
+    target / number of occurrences."""
+    places = tr.sentence_pairs_with_place(lines, keys)
+    starts = tr.population_starts(places).withColumn("path_id", F.concat_ws("-", *keys, "pos"))
+    size = tr.population_starts(counts).agg(F.sum("cnt")).scalar()
+    return starts.where(keep_about(size, target, seed, F.col("path_id"))).select(
+        "path_id", F.array("w1", "w2").alias("words"), F.col("w2").alias("cur")
     )
-    kept = sample_to_size(starts, target, seed, "path_id")
-    return kept.select("path_id", F.array("w1", "w2").alias("words"), F.col("w2").alias("cur"))
 
 
 def _without_end(words: Column) -> Column:
@@ -170,9 +170,9 @@ def population(
     they are lost). The walk stops when fewer paths live than entries are
     still wanted; the paths of the last step are returned too.
     """
-    pairs = tr.sentence_pairs_with_place(lines, keys)
-    chain = Chain(tr.with_intervals(tr.pair_counts(pairs)))
-    live = cut(chain.enter(_population(pairs, start_entries, seed)))
+    counts = cut(tr.pair_counts(tr.sentence_pairs(lines)))
+    chain = Chain(counts)
+    live = chain.enter(_population(lines, keys, counts, start_entries, seed))
     wanted, emitted, last = min_entries, [], live
     finished = F.col("cur") == tx.END
     for step in range(max_length):
@@ -209,9 +209,9 @@ def collapsing(
     end; shorter ones are gone. The survivor is chosen before it moves: a
     uniform path at the word, then a successor by count.
     """
-    pairs = tr.sentence_pairs_with_place(lines, keys)
-    chain = Chain(tr.with_intervals(tr.pair_counts(pairs)))
-    paths = cut(chain.enter(_population(pairs, entries, seed)))
+    counts = cut(tr.pair_counts(tr.sentence_pairs(lines)))
+    chain = Chain(counts)
+    paths = chain.enter(_population(lines, keys, counts, entries, seed))
     for step in range(max_length):
         rank = F.struct(seeded.digest(seed, F.col("path_id"), step, "keep"), F.col("path_id"))
         survivors = (
@@ -244,9 +244,9 @@ def flat(
     then up to ``length`` more follow; a chain ends early only at a unit
     without successor.
     """
-    chain = Chain(tr.with_intervals(pair_counts, weight=weight))
-    starts = weighted_picks(unit_counts, ["word"], entries, seed)
+    chain = Chain(cut(pair_counts), weight)
+    starts = weighted_picks(cut(unit_counts), ["word"], entries, seed)
     paths = chain.enter(
-        cut(starts.select("path_id", F.array("word").alias("words"), F.col("word").alias("cur")))
+        starts.select("path_id", F.array("word").alias("words"), F.col("word").alias("cur"))
     )
     return _advance(paths, chain, range(length), seed, _append_next).select("path_id", "words")

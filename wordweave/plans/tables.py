@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wordweave.operators.sentiment import lines_of
+from wordweave.sources.corpus import spread
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", *columns, "text")
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    return spread(docs.select("doc_id", *columns, "text"), "doc_id")
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -16,7 +18,8 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/conversations.parquet").select("conv_id", "turn", "text")
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    return spread(turns.select("conv_id", "turn", "text"), "conv_id")
 
 
 def benchmark(spark: SparkSession, folder: str) -> DataFrame:

@@ -23,6 +23,15 @@ LEXICON = T.StructType(
 PAIR = r"""^\(\s*(?:'(.*)'|"(.*)")\s*,\s*(?:np\.float64\()?([^()\s]+)\)?\)\s*$"""
 
 
+def spread(frame: DataFrame, key: str) -> DataFrame:
+    """Shuffle a scan that has fewer splits than the cluster has cores, such
+    as one small file; any larger input is left where it is."""
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    if frame.rdd.getNumPartitions() >= cores:
+        return frame
+    return frame.repartition(4 * cores, key)
+
+
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
     """(text), one row per line."""
     lines = spark.read.text(path).withColumnRenamed("value", "text")
