@@ -51,9 +51,10 @@ def coverage(train: DataFrame, test: DataFrame) -> DataFrame:
     )
 
 
-def seen_pairs(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Test pairs that occur in the training pairs, with all occurrences."""
-    return test.join(train.select("w1", "w2").distinct(), ["w1", "w2"], "left_semi")
+def seen_pairs(train: DataFrame, test_counts: DataFrame) -> DataFrame:
+    """Counted test pairs that occur in the training pairs. Both sides hold a
+    pair once, so no pair is hot in the join."""
+    return test_counts.join(train.select("w1", "w2").distinct(), ["w1", "w2"], "left_semi")
 
 
 def perplexity(train: DataFrame, test: DataFrame, k: float = 1.0) -> DataFrame:

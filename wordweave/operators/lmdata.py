@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from wordweave.operators import sequence as sq
 from wordweave.session import cut
 
+# Number of most frequent words whose ids are broadcast.
+FREQUENT = 10_000
+
 
 def word_counts(sequence: DataFrame) -> DataFrame:
     return (
@@ -44,6 +47,23 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     )
 
 
+def with_ids(frame: DataFrame, vocab: DataFrame, word: str, name: str) -> DataFrame:
+    """Replace a word column by its token ids.
+
+    Ids are frequency ranks, so the first ``FREQUENT`` ids are a table of
+    known size that may be broadcast, and they cover every word that could be
+    hot: a word of a later rank holds at most 1/``FREQUENT`` of all rows and
+    is safe to join by shuffle.
+    """
+    ids = vocab.select(F.col("word").alias(word), F.col("token_id").alias(name))
+    frequent = F.broadcast(ids.where(F.col(name) < FREQUENT))
+    probed = frame.join(frequent, word, "left")
+    known = probed.where(F.col(name).isNotNull())
+    rare = ids.where(F.col(name) >= FREQUENT)
+    others = probed.where(F.col(name).isNull()).drop(name).join(rare, word)
+    return known.unionByName(others).drop(word)
+
+
 def batchify(sequence: DataFrame, keys: Sequence[str], vocab: DataFrame, columns: int) -> DataFrame:
     """(batch_col, row, token_id): the sequence cut into equal contiguous
     columns; the rest is dropped."""
@@ -57,8 +77,7 @@ def batchify(sequence: DataFrame, keys: Sequence[str], vocab: DataFrame, columns
         .withColumn("batch_col", F.expr("pos div _height"))
         .withColumn("row", F.col("pos") % F.col("_height"))
     )
-    ids = vocab.select("word", "token_id")
-    return placed.join(ids, "word").select("batch_col", "row", "token_id")
+    return with_ids(placed.select("batch_col", "row", "word"), vocab, "word", "token_id")
 
 
 def windows(
@@ -83,14 +102,10 @@ def windows(
         .withColumn("window", F.expr("_row div _length"))
         .withColumn("pos", F.col("_row") % F.col("_length"))
     )
-    ids = vocab.select(F.col("word").alias("w1"), "token_id")
-    targets = vocab.select(F.col("word").alias("w2"), F.col("token_id").alias("target_id"))
-    return (
-        placed.select("batch_col", "window", "pos", "w1", "w2")
-        .join(ids, "w1")
-        .join(targets, "w2")
-        .select("batch_col", "window", "pos", "token_id", "target_id")
+    inputs = with_ids(
+        placed.select("batch_col", "window", "pos", "w1", "w2"), vocab, "w1", "token_id"
     )
+    return with_ids(inputs, vocab, "w2", "target_id")
 
 
 def in_rows_of(paths: DataFrame, per_line: int = 20) -> DataFrame:

@@ -25,12 +25,19 @@ STEPS_PER_JOB = 4
 
 class Chain:
     """Weighted transitions (w1, w2, weight), stored so that steps join them
-    in place."""
+    in place. Used as a context: the table is forgotten when the walk, which
+    ends in a written result, is over."""
 
     def __init__(self, counts: DataFrame, weight: str = "cnt"):
         self.totals = tr.word_totals(counts, weight)
         intervals = tr.with_intervals(counts, weight=weight)
-        self.table = colocated(tr.step_table(intervals, self.totals), "w1", "bucket")
+        self.name, self.table = colocated(tr.step_table(intervals, self.totals), "w1", "bucket")
+
+    def __enter__(self) -> Chain:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        self.table.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
 
     def enter(self, paths: DataFrame) -> DataFrame:
         """Adds tot and width of the current word."""
@@ -122,18 +129,18 @@ def sequential(
     )
     early = min(min_length, max_length)
     if early:
-        going_on = Chain(counts.where(F.col("w2") != tx.END))
-        paths = going_on.enter(paths).select(
-            "*",
-            F.col("cur").alias("start_cur"),
-            F.col("tot").alias("start_tot"),
-            F.col("width").alias("start_width"),
-        )
-        paths = _advance(paths, going_on, range(early), seed, _restart)
+        with Chain(counts.where(F.col("w2") != tx.END)) as chain:
+            paths = chain.enter(paths).select(
+                "*",
+                F.col("cur").alias("start_cur"),
+                F.col("tot").alias("start_tot"),
+                F.col("width").alias("start_width"),
+            )
+            paths = _advance(paths, chain, range(early), seed, _restart)
     if early < max_length:
-        chain = Chain(counts)
-        paths = chain.enter(paths.select("path_id", "words", "cur"))
-        paths = _advance(paths, chain, range(early, max_length), seed, _emit_current)
+        with Chain(counts) as chain:
+            paths = chain.enter(paths.select("path_id", "words", "cur"))
+            paths = _advance(paths, chain, range(early, max_length), seed, _emit_current)
     return paths.select(
         "path_id", tx.to_sentence(F.col("words"), F.col("cur") == tx.END).alias("sentence")
     )
@@ -171,25 +178,25 @@ def population(
     still wanted; the paths of the last step are returned too.
     """
     counts = cut(tr.pair_counts(tr.sentence_pairs(lines)))
-    chain = Chain(counts)
-    live = chain.enter(_population(lines, keys, counts, start_entries, seed))
-    wanted, emitted, last = min_entries, [], live
     finished = F.col("cur") == tx.END
-    for step in range(max_length):
-        last = cut(_append_next(chain.step(live, seed, step).where(F.col("nxt").isNotNull())))
-        size = last.count()
-        if size > start_entries:
-            last = last.where(
-                keep_about(F.lit(size), start_entries, seed, F.col("path_id"), step, "cap")
-            )
-        if step >= min_length:
-            out = last.where(finished)
-            emitted.append(out)
-            wanted -= out.count()
-            last = last.where(~finished)
-        if size < wanted:
-            break
-        live = last.where(~finished)
+    wanted, emitted = min_entries, []
+    with Chain(counts) as chain:
+        last = live = cut(chain.enter(_population(lines, keys, counts, start_entries, seed)))
+        for step in range(max_length):
+            moved = chain.step(live, seed, step).where(F.col("nxt").isNotNull())
+            last = cut(_append_next(moved))
+            size = last.count()
+            if size > start_entries:
+                kept = keep_about(F.lit(size), start_entries, seed, F.col("path_id"), step, "cap")
+                last = last.where(kept)
+            if step >= min_length:
+                out = last.where(finished)
+                emitted.append(out)
+                wanted -= out.count()
+                last = last.where(~finished)
+            if size < wanted:
+                break
+            live = last.where(~finished)
     everything = reduce(DataFrame.unionByName, [*emitted, last])
     words = _without_end(F.col("words"))
     return everything.select(
@@ -210,21 +217,21 @@ def collapsing(
     uniform path at the word, then a successor by count.
     """
     counts = cut(tr.pair_counts(tr.sentence_pairs(lines)))
-    chain = Chain(counts)
-    paths = chain.enter(_population(lines, keys, counts, entries, seed))
-    for step in range(max_length):
-        rank = F.struct(seeded.digest(seed, F.col("path_id"), step, "keep"), F.col("path_id"))
-        survivors = (
-            paths.where(F.col("tot").isNotNull())
-            .groupBy("cur")
-            .agg(F.min_by(F.struct(*paths.columns), rank).alias("_p"))
-            .select("_p.*")
-        )
-        moved = chain.step(survivors, seed, step).where(F.col("nxt").isNotNull())
-        paths = _append_next(moved)
-        if (step + 1) % STEPS_PER_JOB == 0:
-            paths = cut(paths)
-    return cut(paths).select(
+    with Chain(counts) as chain:
+        paths = chain.enter(_population(lines, keys, counts, entries, seed))
+        for step in range(max_length):
+            rank = F.struct(seeded.digest(seed, F.col("path_id"), step, "keep"), F.col("path_id"))
+            survivors = (
+                paths.where(F.col("tot").isNotNull())
+                .groupBy("cur")
+                .agg(F.min_by(F.struct(*paths.columns), rank).alias("_p"))
+                .select("_p.*")
+            )
+            paths = _append_next(chain.step(survivors, seed, step).where(F.col("nxt").isNotNull()))
+            if (step + 1) % STEPS_PER_JOB == 0:
+                paths = cut(paths)
+        paths = cut(paths)
+    return paths.select(
         "path_id",
         tx.to_sentence(_without_end(F.col("words")), F.col("cur") == tx.END).alias("sentence"),
     )
@@ -244,9 +251,9 @@ def flat(
     then up to ``length`` more follow; a chain ends early only at a unit
     without successor.
     """
-    chain = Chain(cut(pair_counts), weight)
     starts = weighted_picks(cut(unit_counts), ["word"], entries, seed)
-    paths = chain.enter(
-        starts.select("path_id", F.array("word").alias("words"), F.col("word").alias("cur"))
-    )
-    return _advance(paths, chain, range(length), seed, _append_next).select("path_id", "words")
+    with Chain(cut(pair_counts), weight) as chain:
+        paths = chain.enter(
+            starts.select("path_id", F.array("word").alias("words"), F.col("word").alias("cur"))
+        )
+        return _advance(paths, chain, range(length), seed, _append_next).select("path_id", "words")

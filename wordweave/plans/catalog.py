@@ -400,7 +400,8 @@ def holdout_documents(spark, d):
 
 @query
 def holdout_seen_pairs(spark, d):
-    return tr.pair_counts(ev.seen_pairs(*_document_parts(spark, d)))
+    train, test = _document_parts(spark, d)
+    return ev.seen_pairs(train, tr.pair_counts(test))
 
 
 @query

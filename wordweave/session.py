@@ -46,8 +46,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def colocated(df: DataFrame, *keys: str) -> DataFrame:
-    """Write ``df`` as a table bucketed by ``keys`` and return the table.
+def colocated(df: DataFrame, *keys: str) -> tuple[str, DataFrame]:
+    """Write ``df`` as a table bucketed by ``keys``; returns its name and it.
 
     Every later join on the keys reads the buckets in place: the stored side
     is neither shuffled nor recomputed, however many steps join it, and it
@@ -63,4 +63,4 @@ def colocated(df: DataFrame, *keys: str) -> DataFrame:
         .option("path", f"{shared_folder(spark)}/{name}")
         .saveAsTable(name)
     )
-    return spark.table(name)
+    return name, spark.table(name)
