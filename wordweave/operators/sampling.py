@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordweave.functions import seeded
-from wordweave.operators.transitions import bucketed, part_width, with_intervals
+from wordweave.operators.transitions import bucketed, part_width, running_weights
 
 
 def keep_about(size: Column, target: int, *parts) -> Column:
@@ -41,10 +41,17 @@ def weighted_picks(
     """(path_id, items...): ``picks`` independent draws with replacement,
     each candidate with probability weight / total."""
     items = list(items)
-    whole = candidates.select(F.lit(0).alias("_all"), *items, F.col(weight).alias("_w"))
-    spread = bucketed(with_intervals(whole, ["_all"], items, "_w", digits=3))
+    size = candidates.agg(F.count("*")).scalar()
     total = candidates.agg(F.sum(weight)).scalar()
     width = candidates.agg(part_width(F.sum(weight), F.count("*"))).scalar()
+    one_key = candidates.select(
+        *items,
+        F.col(weight).alias("_w"),
+        F.lit(0).alias("_all"),
+        seeded.shard(*[F.col(c) for c in items]).alias("_shard"),
+    )
+    tiled = running_weights(one_key, ["_all"], items, "_w")
+    spread = bucketed(tiled.withColumn("tot", total).withColumn("n", size))
     drawn = (
         candidates.sparkSession.range(picks)
         .withColumnRenamed("id", "path_id")

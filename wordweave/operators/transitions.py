@@ -13,6 +13,9 @@ from wordweave.functions import text as tx
 # Average number of candidates a walking path compares per step.
 BUCKET_ROWS = 64
 
+# Number of successors from which on a word is summed up in shards.
+SHARD_ABOVE = 4096
+
 
 def sentences(lines: DataFrame) -> DataFrame:
     """Adds ``sentence``: words with the first capitalised and the end mark."""
@@ -51,49 +54,44 @@ def population_starts(pairs: DataFrame) -> DataFrame:
     return pairs.where(tx.starts_upper(F.col("w1")))
 
 
-def with_intervals(
-    counts: DataFrame,
-    keys: Sequence[str] = ("w1",),
-    items: Sequence[str] = ("w2",),
-    weight: str = "cnt",
-    digits: int = 2,
-) -> DataFrame:
-    """Adds ``lo``, ``hi`` and ``tot`` (and ``n``, the number of rows of the
-    key): the rows of a key tile [0, tot) in the digest order of their items.
+def running_weights(sharded: DataFrame, keys: list[str], items: list[str], weight: str) -> DataFrame:
+    """Adds ``lo`` and ``hi``, the running weight of a key in (_shard, items)
+    order, in two levels: inside each (key, shard) and over the shard totals.
 
-    A key may own a large part of all rows, so its running sum is taken in two
-    levels: inside the digest shards of the key, then over the at most
-    16**digits shard totals.
+    Rows of a key with the single shard '' need the first level only.
     """
-    keys, items = list(keys), list(items)
-    hashed = counts.withColumn("_h", seeded.digest(*[F.col(c) for c in items])).withColumn(
-        "_shard", F.substring("_h", 1, digits)
-    )
     upto = (Window.unboundedPreceding, Window.currentRow)
-    inside = Window.partitionBy(*keys, "_shard").orderBy("_h", *items).rowsBetween(*upto)
-    shards = hashed.groupBy(*keys, "_shard").agg(
-        F.sum(weight).alias("_sum"), F.count("*").alias("_rows")
+    inside = Window.partitionBy(*keys, "_shard").orderBy(*items).rowsBetween(*upto)
+    shards = sharded.where(F.col("_shard") != "").groupBy(*keys, "_shard").agg(
+        F.sum(weight).alias("_sum")
     )
-    over_key = Window.partitionBy(*keys)
+    over_key = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(*upto)
     before = shards.select(
-        *keys,
-        "_shard",
-        (F.sum("_sum").over(over_key.orderBy("_shard").rowsBetween(*upto)) - F.col("_sum")).alias(
-            "_before"
-        ),
-        F.sum("_sum").over(over_key).alias("tot"),
-        F.sum("_rows").over(over_key).alias("n"),
+        *keys, "_shard", (F.sum("_sum").over(over_key) - F.col("_sum")).alias("_before")
     )
+    end = F.coalesce("_before", F.lit(0)) + F.col("_upto")
     return (
-        hashed.withColumn("_upto", F.sum(weight).over(inside))
-        .join(before, [*keys, "_shard"])
-        .select(
-            *counts.columns,
-            (F.col("_before") + F.col("_upto") - F.col(weight)).alias("lo"),
-            (F.col("_before") + F.col("_upto")).alias("hi"),
-            "tot",
-            "n",
-        )
+        sharded.withColumn("_upto", F.sum(weight).over(inside))
+        .join(before, [*keys, "_shard"], "left")
+        .withColumns({"lo": end - F.col(weight), "hi": end})
+        .drop("_upto", "_before", "_shard")
+    )
+
+
+def with_intervals(counts: DataFrame, weight: str = "cnt") -> DataFrame:
+    """Adds ``lo``, ``hi``, ``tot`` and ``n``: the successors of a word tile
+    [0, tot), ``n`` is their number.
+
+    A word may own a large part of all rows: beyond ``SHARD_ABOVE`` successors
+    its rows are ordered by digest shard first, and the shards are summed
+    apart. The explicit repartition keeps the two shuffles independent, so
+    neither holds a hot word in one task.
+    """
+    totals = counts.groupBy("w1").agg(F.sum(weight).alias("tot"), F.count("*").alias("n"))
+    shard = F.when(F.col("n") > SHARD_ABOVE, seeded.shard(F.col("w2"), digits=2)).otherwise("")
+    sharded = counts.join(totals, "w1").withColumn("_shard", shard).repartition("w1", "_shard")
+    return running_weights(sharded, ["w1"], ["w2"], weight).select(
+        *counts.columns, "lo", "hi", "tot", "n"
     )
 
 

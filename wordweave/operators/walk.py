@@ -19,9 +19,6 @@ from wordweave.operators import transitions as tr
 from wordweave.operators.sampling import keep_about, weighted_picks
 from wordweave.session import colocated, cut
 
-# Steps planned as one job before the paths are written out.
-STEPS_PER_JOB = 4
-
 
 class Chain:
     """Weighted transitions (w1, w2, weight), stored so that steps join them
@@ -64,11 +61,11 @@ class Chain:
 
 
 def _advance(paths: DataFrame, chain: Chain, steps: range, seed, move) -> DataFrame:
-    for done, step in enumerate(steps, 1):
-        paths = move(chain.step(paths, seed, step))
-        if done % STEPS_PER_JOB == 0 and step != steps[-1]:
-            paths = cut(paths)
-    return cut(paths)
+    """Walk, writing the paths out after each step: the plan of a step stays
+    small and a lost executor repeats one step at most."""
+    for step in steps:
+        paths = cut(move(chain.step(paths, seed, step)))
+    return paths
 
 
 def _moved(paths: DataFrame, words: Column, rest: dict[str, Column] | None = None) -> DataFrame:
@@ -227,10 +224,8 @@ def collapsing(
                 .agg(F.min_by(F.struct(*paths.columns), rank).alias("_p"))
                 .select("_p.*")
             )
-            paths = _append_next(chain.step(survivors, seed, step).where(F.col("nxt").isNotNull()))
-            if (step + 1) % STEPS_PER_JOB == 0:
-                paths = cut(paths)
-        paths = cut(paths)
+            moved = chain.step(survivors, seed, step).where(F.col("nxt").isNotNull())
+            paths = cut(_append_next(moved))
     return paths.select(
         "path_id",
         tx.to_sentence(_without_end(F.col("words")), F.col("cur") == tx.END).alias("sentence"),

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from wordweave.functions.lexicon import DEFAULT_LEXICON
 from wordweave.functions.text import WHITESPACE
+from wordweave.operators.transitions import SHARD_ABOVE
 from wordweave.plans.catalog import HALF, NEGATIVE, SEED
 
 ORACLE: dict[str, str] = {}
@@ -119,10 +120,11 @@ def intervals(name: str, source: str, weight: str = "cnt") -> str:
   SELECT w1, w2, cnt, CAST(hi - {weight} AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi,
     CAST(tot AS BIGINT) AS tot
   FROM (
-    SELECT *, sum({weight}) OVER (PARTITION BY w1 ORDER BY md5(w2), w2
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
-      sum({weight}) OVER (PARTITION BY w1) AS tot
-    FROM {source})
+    SELECT *, sum({weight}) OVER (PARTITION BY w1
+        ORDER BY CASE WHEN n > {SHARD_ABOVE} THEN substr(md5(w2), 1, 2) ELSE '' END, w2
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
+    FROM (SELECT *, count(*) OVER (PARTITION BY w1) AS n, sum({weight}) OVER (PARTITION BY w1) AS tot
+      FROM {source}))
 )"""
 
 
@@ -159,7 +161,7 @@ def picks(name: str, source: str, items: str, n: int, weight: str = "cnt") -> st
     return f"""
 {name}_iv AS MATERIALIZED (
   SELECT {items}, hi - {weight} AS lo, hi, tot FROM (
-    SELECT *, sum({weight}) OVER (ORDER BY md5(concat_ws('|', {items})), {items}
+    SELECT *, sum({weight}) OVER (ORDER BY substr(md5(concat_ws('|', {items})), 1, 3), {items}
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, sum({weight}) OVER () AS tot
     FROM {source})
 ),
