@@ -41,18 +41,21 @@ def read_lines(spark: SparkSession, path: str, partitions: int | None = None) ->
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, text), one row per file, empty files included.
 
-    The listing comes from the file source; contents are joined to it because
-    a text reader yields no row for an empty file.
+    The file source skips empty files when it reads, but they are in its
+    listing; the listed names are joined back so that every file counts.
     """
-    options = {"recursiveFileLookup": "true"}
-    listed = (
-        spark.read.format("binaryFile").options(**options).load(path).select(F.col("path").alias("doc_id"))
-    )
-    texts = spark.read.options(**options).text(path, wholetext=True).select(
-        F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text")
-    )
-    return listed.join(texts, "doc_id", "left").select(
-        "doc_id", F.coalesce("text", F.lit("")).alias("text")
+    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
+    listed = spark.createDataFrame([(f,) for f in texts.inputFiles()], "doc_id string")
+
+    def plain(name: str):
+        """One spelling for file:/x and file:///x."""
+        return F.regexp_replace(name, ":/+", ":/").alias("_file")
+
+    found = texts.select(plain("_metadata.file_path"), F.col("value").alias("text"))
+    return (
+        listed.withColumn("_file", plain("doc_id"))
+        .join(found, "_file", "left")
+        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     )
 
 
