@@ -18,13 +18,13 @@ def parts(spark):
 
 
 def test_coverage(parts):
-    got = ev.coverage(*parts).first()
+    got = ev.coverage(ev.tagged(*parts)).first()
     assert (got.matched, got.test_bigrams, got.test_words) == (3, 6, 4)
     assert (got.score_reference, got.score_bigram) == (0.75, 0.5)
 
 
 def test_coverage_of_nothing(parts):
-    got = ev.coverage(parts[0], parts[1].where("false")).first()
+    got = ev.coverage(ev.tagged(parts[0], parts[1].where("false"))).first()
     assert (got.matched, got.test_bigrams, got.test_words) == (0, 0, 0)
     assert got.score_reference is None and got.score_bigram is None
 

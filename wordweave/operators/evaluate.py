@@ -20,18 +20,25 @@ def rescore(texts: DataFrame, threshold: float = 0.5, lexicon: Lexicon = DEFAULT
     )
 
 
-def coverage(train: DataFrame, test: DataFrame) -> DataFrame:
-    """How much of the test pairs the training pairs cover.
+def tagged(train: DataFrame, test: DataFrame) -> DataFrame:
+    """(w1, w2, in_train, in_test) of two pair frames, the tags being 0 or 1."""
+    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
+    return train.select("w1", "w2", one.alias("in_train"), zero.alias("in_test")).unionByName(
+        test.select("w1", "w2", zero.alias("in_train"), one.alias("in_test"))
+    )
+
+
+def coverage(pairs: DataFrame) -> DataFrame:
+    """How much of the test pairs the training pairs cover, from tagged pairs.
 
     Both sides meet in one aggregate by pair. ``score_reference`` divides the
     matched occurrences by the distinct first words and may exceed 1;
     ``score_bigram`` divides them by all test occurrences.
     """
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    both = train.select("w1", "w2", one.alias("a"), zero.alias("b")).unionByName(
-        test.select("w1", "w2", zero.alias("a"), one.alias("b"))
+    zero = F.lit(0).cast("long")
+    by_pair = pairs.groupBy("w1", "w2").agg(
+        F.sum("in_train").alias("a"), F.sum("in_test").alias("b")
     )
-    by_pair = both.groupBy("w1", "w2").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     by_word = (
         by_pair.where(F.col("b") > 0)
         .groupBy("w1")
@@ -63,11 +70,12 @@ def perplexity(train: DataFrame, test: DataFrame, k: float = 1.0) -> DataFrame:
     p(w2|w1) = (c(w1,w2) + k) / (c(w1) + k V), V being the number of distinct
     words of the training pairs.
     """
-    one, zero = F.lit(1).cast("long"), F.lit(0).cast("long")
-    both = train.select("w1", "w2", one.alias("a"), zero.alias("b")).unionByName(
-        test.select("w1", "w2", zero.alias("a"), one.alias("b"))
+    zero = F.lit(0).cast("long")
+    by_pair = (
+        tagged(train, test)
+        .groupBy("w1", "w2")
+        .agg(F.sum("in_train").alias("a"), F.sum("in_test").alias("b"))
     )
-    by_pair = both.groupBy("w1", "w2").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     # Pairs whose first word and training count agree have the same
     # probability, so they are merged before the join with c(w1).
     merged = by_pair.where(F.col("b") > 0).groupBy("w1", "a").agg(F.sum("b").alias("b"))

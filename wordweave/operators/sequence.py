@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordweave.functions import seeded
@@ -28,63 +28,55 @@ def units(frame: DataFrame, keys: Sequence[str], unit: str = "word", text: str =
     )
 
 
-def with_running(frame: DataFrame, order: Sequence[str], size, name: str) -> DataFrame:
-    """Adds to each row the sum of ``size`` over all rows before it, in
-    (shard, order...) order."""
+def placed(
+    frame: DataFrame, order: Sequence[str], size: Column, head: Column | None = None
+) -> DataFrame:
+    """Adds ``start``, the sum of ``size`` over all rows before a row in
+    (shard, order...) order, and with ``head`` also ``following``, the head of
+    the next row (NULL for the last).
+
+    Both come from one sort inside the shards; what lies beyond a shard is
+    joined from a table of one row per shard.
+    """
     sized = frame.withColumn("_size", size.cast("long"))
-    inside = Window.partitionBy("shard").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
-    )
-    # One row per shard, so this window over everything stays tiny.
-    shards = sized.groupBy("shard").agg(F.sum("_size").alias("_total"))
-    before = shards.select(
-        "shard",
-        (F.sum("_total").over(Window.orderBy("shard").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)) - F.col("_total")).alias("_before"),
-    )
-    return (
-        sized.withColumn("_inside", F.sum("_size").over(inside) - F.col("_size"))
-        .join(before, "shard")
-        .withColumn(name, F.col("_inside") + F.col("_before"))
-        .drop("_size", "_inside", "_before")
+    if head is not None:
+        sized = sized.withColumn("_head", head)
+    inside = Window.partitionBy("shard").orderBy(*order)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    local = {"_inside": F.sum("_size").over(inside.rowsBetween(*upto)) - F.col("_size")}
+    totals = [F.sum("_size").alias("_total")]
+    # At most 16**3 rows, so these two windows over everything stay tiny.
+    shards_in_order = Window.orderBy("shard")
+    outer = [
+        (F.sum("_total").over(shards_in_order.rowsBetween(*upto)) - F.col("_total")).alias("_before")
+    ]
+    if head is not None:
+        local["_following"] = F.lead("_head").over(inside)
+        totals.append(F.min_by("_head", F.struct(*order)).alias("_first"))
+        outer.append(F.lead("_first").over(shards_in_order).alias("_next_shard"))
+    shards = sized.groupBy("shard").agg(*totals).select("shard", *outer)
+    result = sized.withColumns(local).join(shards, "shard")
+    columns = [*frame.columns, (F.col("_inside") + F.col("_before")).alias("start")]
+    if head is not None:
+        columns.append(F.coalesce("_following", "_next_shard").alias("following"))
+    return result.select(*columns)
+
+
+def _opened(units_with_start: DataFrame) -> DataFrame:
+    return units_with_start.select("start", F.posexplode("items").alias("_i", "word")).select(
+        (F.col("start") + F.col("_i")).alias("pos"), "word"
     )
 
 
 def word_index(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(pos, word) for the whole sequence, positions counted from 0."""
-    placed = with_running(sequence, keys, F.size("items"), "start")
-    return placed.select("start", F.posexplode("items").alias("_i", "word")).select(
-        (F.col("start") + F.col("_i")).alias("pos"), "word"
-    )
+    return _opened(placed(sequence, keys, F.size("items")))
 
 
 def first_words(sequence: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` words; units that start later are not opened."""
-    placed = with_running(sequence, keys, F.size("items"), "start").where(F.col("start") < n)
-    return (
-        placed.select("start", F.posexplode("items").alias("_i", "word"))
-        .select((F.col("start") + F.col("_i")).alias("pos"), "word")
-        .where(F.col("pos") < n)
-    )
-
-
-def _borders(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """First word of the next non-empty unit for every non-empty unit."""
-    ends = sequence.where(F.size("items") > 0).select(
-        *keys,
-        "shard",
-        F.get("items", F.lit(0)).alias("first"),
-        F.element_at("items", -1).alias("last"),
-    )
-    order = Window.partitionBy("shard").orderBy(*keys)
-    heads = ends.groupBy("shard").agg(F.min_by("first", F.struct(*keys)).alias("head"))
-    # One row per shard again.
-    following = heads.select("shard", F.lead("head").over(Window.orderBy("shard")).alias("_head"))
-    return (
-        ends.withColumn("_next", F.lead("first").over(order))
-        .join(following, "shard")
-        .select(*keys, "last", F.coalesce("_next", "_head").alias("following"))
-    )
+    starts = placed(sequence, keys, F.size("items")).where(F.col("start") < n)
+    return _opened(starts).where(F.col("pos") < n)
 
 
 def flat_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -94,39 +86,27 @@ def flat_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
     of each unit are shuffled to stitch the borders.
     """
     inside = sequence.select(F.inline(tx.adjacent(F.col("items"))))
-    across = (
-        _borders(sequence, keys)
-        .where(F.col("following").isNotNull())
-        .select(F.col("last").alias("w1"), F.col("following").alias("w2"))
+    ends = sequence.where(F.size("items") > 0).select(
+        *keys,
+        "shard",
+        F.get("items", F.lit(0)).alias("first"),
+        F.element_at("items", -1).alias("last"),
+    )
+    across = placed(ends, keys, F.lit(1), F.col("first")).where(F.col("following").isNotNull())
+    return inside.unionByName(
+        across.select(F.col("last").alias("w1"), F.col("following").alias("w2"))
     )
-    return inside.unionByName(across)
 
 
 def indexed_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(pos, w1, w2): every word with its position and the word after it;
     ``w2`` is NULL for the last word of the sequence."""
     filled = sequence.where(F.size("items") > 0)
-    placed = with_running(filled, keys, F.size("items"), "start")
-    order = Window.partitionBy("shard").orderBy(*keys)
-    heads = filled.groupBy("shard").agg(
-        F.min_by(F.get("items", F.lit(0)), F.struct(*keys)).alias("head")
-    )
-    following = heads.select("shard", F.lead("head").over(Window.orderBy("shard")).alias("_head"))
-    nexts = (
-        placed.withColumn("_next", F.lead(F.get("items", F.lit(0))).over(order))
-        .join(following, "shard")
-        .withColumn("_next", F.coalesce("_next", "_head"))
-    )
-    return nexts.select(
+    stitched = placed(filled, keys, F.size("items"), F.get("items", F.lit(0)))
+    ahead = F.concat(F.slice("items", F.lit(2), F.size("items")), F.array("following"))
+    return stitched.select(
         "start",
-        F.posexplode(
-            F.arrays_zip(
-                F.col("items").alias("w1"),
-                F.concat(
-                    F.slice("items", F.lit(2), F.size("items")), F.array("_next")
-                ).alias("w2"),
-            )
-        ).alias("_i", "_pair"),
+        F.posexplode(F.arrays_zip(F.col("items").alias("w1"), ahead.alias("w2"))).alias("_i", "_pair"),
     ).select((F.col("start") + F.col("_i")).alias("pos"), "_pair.w1", "_pair.w2")
 
 
@@ -141,11 +121,6 @@ def shuffled_words(sequence: DataFrame, keys: Sequence[str], seed: int) -> DataF
     hashed = exploded.select(
         seeded.digest(seed, *[F.col(k) for k in keys], F.col("i")).alias("h"), "word"
     ).withColumn("shard", F.substring("h", 1, 3))
-    placed = with_running(hashed, ["h"], F.lit(1), "pos")
-    heads = hashed.groupBy("shard").agg(F.min_by("word", "h").alias("head"))
-    following = heads.select("shard", F.lead("head").over(Window.orderBy("shard")).alias("_head"))
-    return (
-        placed.withColumn("_next", F.lead("word").over(Window.partitionBy("shard").orderBy("h")))
-        .join(following, "shard")
-        .select("pos", "word", F.coalesce("_next", "_head").alias("w2"))
+    return placed(hashed, ["h"], F.lit(1), F.col("word")).select(
+        F.col("start").alias("pos"), "word", F.col("following").alias("w2")
     )

@@ -358,29 +358,33 @@ def generated_sentiment(spark, d):
 # Evaluation
 
 
-def _rounded_coverage(train: DataFrame, test: DataFrame) -> DataFrame:
-    return _round(ev.coverage(train, test), "score_reference", "score_bigram")
+def _rounded_coverage(pairs: DataFrame) -> DataFrame:
+    return _round(ev.coverage(pairs), "score_reference", "score_bigram")
 
 
-def _shuffled_parts(frame: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Pairs of the first 80 % and of the last 20 % of the shuffled words."""
+def _shuffled_parts(frame: DataFrame, keys: list[str]) -> DataFrame:
+    """Neighbours within the first 80 % and within the last 20 % of the
+    shuffled words, tagged by their part."""
     items = sq.units(frame, keys)
     n = items.agg(F.sum(F.size("items")).cast("long")).scalar()
-    cut_at = F.floor(n * F.lit(0.8)).cast("long")
-    pairs = sq.shuffled_words(items, keys, SEED).select("pos", F.col("word").alias("w1"), "w2")
-    train = pairs.where(F.col("pos") < cut_at - 1)
-    test = pairs.where((F.col("pos") >= cut_at) & F.col("w2").isNotNull())
-    return train, test
+    border = F.floor(n * F.lit(0.8)).cast("long")
+    pairs = sq.shuffled_words(items, keys, SEED).where(F.col("w2").isNotNull())
+    return pairs.select(
+        F.col("word").alias("w1"),
+        "w2",
+        (F.col("pos") < border - 1).cast("long").alias("in_train"),
+        (F.col("pos") >= border).cast("long").alias("in_test"),
+    )
 
 
 @query
 def holdout_shuffled(spark, d):
-    return _rounded_coverage(*_shuffled_parts(tables.documents(spark, d), ["doc_id"]))
+    return _rounded_coverage(_shuffled_parts(tables.documents(spark, d), ["doc_id"]))
 
 
 @query
 def holdout_shuffled_negative(spark, d):
-    return _rounded_coverage(*_shuffled_parts(_negative(spark, d), LINE))
+    return _rounded_coverage(_shuffled_parts(_negative(spark, d), LINE))
 
 
 def _document_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -395,7 +399,7 @@ def _document_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 @query
 def holdout_documents(spark, d):
-    return _rounded_coverage(*_document_parts(spark, d))
+    return _rounded_coverage(ev.tagged(*_document_parts(spark, d)))
 
 
 @query
