@@ -28,6 +28,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(text, f"[{WHITESPACE}]+"), lambda w: w != "")
 
 
+def has_word(text: Column) -> Column:
+    return text.rlike(f"[^{WHITESPACE}]")
+
+
 def terms(text: Column) -> Column:
     """Whitespace tokens, lower-cased, non-letters removed, empties dropped.
 

@@ -16,7 +16,7 @@ FREQUENT = 10_000
 
 def word_counts(sequence: DataFrame) -> DataFrame:
     return (
-        sequence.select(F.explode("items").alias("word"))
+        sq.exploded(sequence)
         .groupBy("word")
         .agg(F.count("*").alias("cnt"))
     )

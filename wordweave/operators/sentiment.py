@@ -20,23 +20,24 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def valence(lines: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
-    """Adds neg, neu, pos and compound; a map-only plan."""
-    terms = tx.terms(F.col("text"))
-    staged = lines.select(
-        "*", F.size(terms).cast("double").alias("_n"), scoring.valence_sums(terms, lexicon).alias("_s")
+    """Adds neg, neu, pos and compound; a map-only plan.
+
+    The scores leave through a generator: a later filter on them stays above
+    it, where a plain projection would be repeated inside the filter.
+    """
+    split = lines.withColumn("_terms", tx.terms(F.col("text")))
+    summed = split.withColumns(
+        {"_n": F.size("_terms").cast("double"), "_s": scoring.valence_sums(F.col("_terms"), lexicon)}
     )
     s = F.col("_s")
-    return staged.select(
-        *lines.columns,
-        *scoring.shares(s["total"], s["positive"], s["negative"], F.col("_n") - s["hits"]),
-    )
+    scores = scoring.shares(s["total"], s["positive"], s["negative"], F.col("_n") - s["hits"])
+    return summed.select(*lines.columns, F.inline(F.array(F.struct(*scores))))
 
 
 def polarity(lines: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
     """Adds the mean polarity of the rated terms of the line."""
-    return lines.select(
-        "*", scoring.mean_polarity(tx.terms(F.col("text")), lexicon).alias("polarity")
-    )
+    mean = scoring.mean_polarity(tx.terms(F.col("text")), lexicon)
+    return lines.select("*", F.inline(F.array(F.struct(mean.alias("polarity")))))
 
 
 def valence_with_table(lines: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:

@@ -19,15 +19,30 @@ from wordweave.functions import text as tx
 
 
 def units(frame: DataFrame, keys: Sequence[str], unit: str = "word", text: str = "text") -> DataFrame:
-    """Key columns, ``shard`` (from the first key) and ``items``."""
+    """Key columns, ``shard`` (from the first key) and ``items``; texts
+    without any item are left out.
+
+    They are told by the text itself. A filter on ``items`` would be moved
+    below the split and split every text a second time.
+    """
     if unit not in ("word", "char"):
         raise ValueError(f"unknown unit {unit!r}")
+    content = F.col(text)
     split = tx.words if unit == "word" else tx.characters
-    return frame.select(
-        *keys, seeded.shard(F.col(keys[0])).alias("shard"), split(F.col(text)).alias("items")
+    filled = tx.has_word(content) if unit == "word" else content != ""
+    return frame.where(filled).select(
+        *keys, seeded.shard(F.col(keys[0])).alias("shard"), split(content).alias("items")
     )
 
 
+def exploded(sequence: DataFrame, *keys: str) -> DataFrame:
+    """(keys..., i, word), one row per item."""
+    # The zipped array keeps the optimizer from adding a filter on ``items``.
+    return sequence.select(
+        *keys, F.posexplode(F.arrays_zip(F.col("items").alias("word"))).alias("i", "_item")
+    ).select(*keys, "i", "_item.word")
+
+
 def placed(
     frame: DataFrame, order: Sequence[str], size: Column, head: Column | None = None
 ) -> DataFrame:
@@ -86,7 +101,7 @@ def flat_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
     of each unit are shuffled to stitch the borders.
     """
     inside = sequence.select(F.inline(tx.adjacent(F.col("items"))))
-    ends = sequence.where(F.size("items") > 0).select(
+    ends = sequence.select(
         *keys,
         "shard",
         F.get("items", F.lit(0)).alias("first"),
@@ -101,8 +116,7 @@ def flat_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
 def indexed_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
     """(pos, w1, w2): every word with its position and the word after it;
     ``w2`` is NULL for the last word of the sequence."""
-    filled = sequence.where(F.size("items") > 0)
-    stitched = placed(filled, keys, F.size("items"), F.get("items", F.lit(0)))
+    stitched = placed(sequence, keys, F.size("items"), F.get("items", F.lit(0)))
     ahead = F.concat(F.slice("items", F.lit(2), F.size("items")), F.array("following"))
     return stitched.select(
         "start",
@@ -117,8 +131,7 @@ def shuffled_words(sequence: DataFrame, keys: Sequence[str], seed: int) -> DataF
     The order is that of a digest of the word's own address; its leading
     digits are the shard, so the shuffle is even and needs no sampling.
     """
-    exploded = sequence.select(*keys, F.posexplode("items").alias("i", "word"))
-    hashed = exploded.select(
+    hashed = exploded(sequence, *keys).select(
         seeded.digest(seed, *[F.col(k) for k in keys], F.col("i")).alias("h"), "word"
     ).withColumn("shard", F.substring("h", 1, 3))
     return placed(hashed, ["h"], F.lit(1), F.col("word")).select(

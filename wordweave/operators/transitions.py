@@ -18,8 +18,12 @@ SHARD_ABOVE = 4096
 
 
 def sentences(lines: DataFrame) -> DataFrame:
-    """Adds ``sentence``: words with the first capitalised and the end mark."""
-    return lines.withColumn("sentence", tx.sentence(tx.words(F.col("text"))))
+    """Adds ``sentence``: words with the first capitalised and the end mark.
+
+    The words are a column of their own first, so each line is split once.
+    """
+    split = lines.withColumn("_words", tx.words(F.col("text")))
+    return split.withColumn("sentence", tx.sentence(F.col("_words"))).drop("_words")
 
 
 def sentence_pairs(lines: DataFrame) -> DataFrame:
