@@ -21,8 +21,8 @@ from wordweave.plans import tables
 from wordweave.sources import corpus, sinks
 
 SEED = 17
-# The share above which a line counts as negative. The reference figure is
-# 0.5; the tables are mostly invented words, so few lines come close to it.
+# The share above which a line counts as negative. The usual figure is 0.5;
+# the tables are mostly invented words, so few lines come close to it.
 NEGATIVE = 0.1
 HALF = 0.5
 LINE = ["doc_id", "line_no"]
