@@ -48,15 +48,17 @@ def test_indexed_pairs(items):
     assert got == list(zip(range(len(words)), words, [*words[1:], None]))
 
 
-def test_borders_within_one_shard(spark, table):
-    """All units of one document fall into one shard."""
+def test_lines_of_one_document_spread_over_shards(spark, table):
+    texts = {(1, i): f"a{i} b{i}" if i % 3 else "" for i in range(200)}
     frame = spark.createDataFrame(
-        [(1, i, t) for i, t in enumerate(["a b", "", "c", "d e"])],
-        "doc_id long, line_no int, text string",
+        [(*k, t) for k, t in texts.items()], "doc_id long, line_no int, text string"
     )
     keys = ["doc_id", "line_no"]
-    pairs = sq.flat_pairs(sq.units(frame, keys), keys)
-    assert table(pairs) == [("a", "b"), ("b", "c"), ("c", "d"), ("d", "e")]
+    lines = sq.units(frame, keys)
+    assert lines.select("shard").distinct().count() > 100
+    in_order = sorted(texts, key=lambda k: (shard(f"{k[0]}|{k[1]}"), k))
+    words = [w for k in in_order for w in texts[k].split()]
+    assert table(sq.flat_pairs(lines, keys)) == sorted(zip(words, words[1:]))
 
 
 def test_shuffle_is_a_permutation_and_stable(items, table):

@@ -2,9 +2,10 @@
 
 A *unit* is a row with key columns and an array column ``items`` (the words
 or characters of a document or a line). The sequence lists units by the hash
-shard of their document and then by key: hash shards are even whatever the
-keys look like, so positions come from a window inside each shard plus a
-running sum over at most 16**3 shard totals, never from one global window.
+shard of their whole key and then by key: hash shards are even whatever the
+keys look like, also when one document owns most lines, so positions come from
+a window inside each shard plus a running sum over at most 16**3 shard totals,
+never from one global window.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from wordweave.functions import text as tx
 
 
 def units(frame: DataFrame, keys: Sequence[str], unit: str = "word", text: str = "text") -> DataFrame:
-    """Key columns, ``shard`` (from the first key) and ``items``; texts
+    """Key columns, ``shard`` (from the keys) and ``items``; texts
     without any item are left out.
 
     They are told by the text itself. A filter on ``items`` would be moved
@@ -31,7 +32,7 @@ def units(frame: DataFrame, keys: Sequence[str], unit: str = "word", text: str =
     split = tx.words if unit == "word" else tx.characters
     filled = tx.has_word(content) if unit == "word" else content != ""
     return frame.where(filled).select(
-        *keys, seeded.shard(F.col(keys[0])).alias("shard"), split(content).alias("items")
+        *keys, seeded.shard(*[F.col(k) for k in keys]).alias("shard"), split(content).alias("items")
     )
 
 

@@ -130,10 +130,9 @@ def intervals(name: str, source: str, weight: str = "cnt") -> str:
 
 def flat_units(name: str, source: str, keys: str, items: str, where: str = "true") -> str:
     """CTE: (pos, word) of the flat sequence of a source."""
-    first = keys.split(",")[0]
     return f"""
 {name}_units AS (
-  SELECT {keys}, {items} AS items, substr(md5(concat_ws('|', {first})), 1, 3) AS shard
+  SELECT {keys}, {items} AS items, substr(md5(concat_ws('|', {keys})), 1, 3) AS shard
   FROM {source} WHERE {where}
 ),
 {name}_starts AS (
