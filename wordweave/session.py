@@ -54,7 +54,11 @@ def colocated(df: DataFrame, *keys: str) -> tuple[str, DataFrame]:
     survives the loss of the executors that made it.
     """
     spark = df.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # One bucket per shuffle partition, but not more than the cores can use.
+    buckets = min(
+        int(spark.conf.get("spark.sql.shuffle.partitions")),
+        4 * spark.sparkContext.defaultParallelism,
+    )
     name = f"wordweave_{uuid.uuid4().hex}"
     (
         df.repartition(buckets, *keys)
