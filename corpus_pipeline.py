@@ -12,11 +12,16 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from wordweave.llm import exact, pieces, simhash
+from wordweave.llm import contamination, exact, pieces, quality, simhash
+from wordweave.llm.common import table
 from wordweave.llm.queries import PIECE_MODEL
 from wordweave.session import shared_folder
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.accepted(docs, table(spark, sf_dir, "labels"))
+
+
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact.deduplicated(docs)
 
@@ -25,6 +30,10 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.deduplicated(docs)
 
 
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return contamination.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, lang, source, n_chars, n_tokens, token_ids, decoded)."""
     kept = ["doc_id", "lang", "source", "n_chars"]
@@ -32,8 +41,10 @@ def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES = [
+    ("quality classifier", quality_stage),
     ("exact dedup", exact_stage),
     ("near dedup", near_stage),
+    ("benchmark decontamination", benchmark_stage),
     ("sentencepiece", pieces_stage),
 ]
 

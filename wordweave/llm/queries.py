@@ -8,16 +8,43 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wordweave.llm import exact, pieces, simhash
+from wordweave.llm import (
+    contamination,
+    exact,
+    langid,
+    pieces,
+    quality,
+    simhash,
+    tokencount,
+    toxicity,
+    urls,
+)
 from wordweave.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
+# The rules of the URL filter: verdict, host, path.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
 
 def op2_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     coded = pieces.encoded(docs, public_tokenizers.path(PIECE_MODEL))
@@ -29,12 +56,41 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
+    return urls.filtered(table(spark, folder, "pages"), URL_RULES).drop("score")
+
+
 def op7_exact(spark: SparkSession, folder: str) -> DataFrame:
     return exact.duplicate_groups(table(spark, folder, "documents"))
 
 
+def op8_language(spark: SparkSession, folder: str) -> DataFrame:
+    return langid.language(table(spark, folder, "documents"))
+
+
+def op9_contamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return contamination.contaminated(docs, items)
+
+
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return tokencount.token_counts(docs, public_tokenizers.path(PIECE_MODEL))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_simhash, op4_pieces, op7_exact)
+    f.__name__: f
+    for f in (
+        op1_quality,
+        op2_simhash,
+        op3_toxicity,
+        op4_pieces,
+        op6_urls,
+        op7_exact,
+        op8_language,
+        op9_contamination,
+        op10_token_counts,
+    )
 }
 
 ORACLE: dict[str, str] = {

@@ -314,7 +314,7 @@ def components(edges: DataFrame) -> DataFrame:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = rounds[0]
     for points in rounds[1:]:
-        later = points.withColumnsRenamed({"node": "root", "root": "_later"})
+        later = points.select(F.col("node").alias("root"), F.col("root").alias("_later"))
         roots = cut(
             roots.join(later, "root", "left").select("node", F.coalesce("_later", "root").alias("root"))
         )
