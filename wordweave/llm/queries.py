@@ -12,6 +12,7 @@ from wordweave.llm import (
     contamination,
     exact,
     langid,
+    licences,
     pieces,
     quality,
     simhash,
@@ -56,6 +57,11 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
+    found = licences.licences(table(spark, folder, "documents"))
+    return found.where("confirmed")
+
+
 def op6_urls(spark: SparkSession, folder: str) -> DataFrame:
     return urls.filtered(table(spark, folder, "pages"), URL_RULES).drop("score")
 
@@ -85,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_simhash,
         op3_toxicity,
         op4_pieces,
+        op5_licences,
         op6_urls,
         op7_exact,
         op8_language,
