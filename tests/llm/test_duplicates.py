@@ -1,0 +1,159 @@
+"""Exact and near duplicates against brute force."""
+
+import hashlib
+import random
+import re
+from collections import defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+from wordweave.llm import exact, simhash
+
+
+def groups_by_hand(rows):
+    by_text = defaultdict(list)
+    for doc_id, text in rows:
+        by_text[re.sub(r"[\x20\x09-\x0D]+", " ", text or "")].append(doc_id)
+    out = []
+    for text, ids in by_text.items():
+        named = [i for i in ids if i is not None]
+        keep = min(named) if named else None
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        out += [(i, keep, len(ids), i == keep, sha) for i in ids]
+    return sorted(out, key=str)
+
+
+def pairs_of(frame):
+    return [(r.doc_id, r.text) for r in frame.select("doc_id", "text").collect()]
+
+
+def test_exact_groups(odd):
+    ours = sorted(map(tuple, exact.duplicate_groups(odd).collect()), key=str)
+    assert ours == groups_by_hand(pairs_of(odd))
+
+
+def test_exact_many_runs(spark):
+    """More partitions than meet in one round, and one text for a third."""
+    draw = random.Random(1)
+    rows = [(i, "same text" if i % 3 == 0 else f"text {draw.randint(0, 400)}") for i in range(3000)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(40)
+    assert sorted(map(tuple, exact.duplicate_groups(frame).collect()), key=str) == groups_by_hand(rows)
+
+
+def test_exact_stage_keeps_other_text_of_a_repeated_id(odd):
+    left = exact.deduplicated(odd)
+    assert left.columns == odd.columns
+    by_hand = [(r[0], r[4]) for r in groups_by_hand(pairs_of(odd)) if r[3] or r[0] is None]
+    ours = [
+        (i, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest())
+        for i, t in pairs_of(left)
+    ]
+    assert sorted(ours, key=str) == sorted(by_hand, key=str)
+    assert (8, "another text under the same id") in pairs_of(left)
+
+
+def fingerprint_by_hand(text):
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    if not words:
+        return 0
+    shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))]
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def components_by_hand(fps, ids):
+    """Smallest id reachable over links of at most four bits."""
+    fps = np.array(fps, dtype=np.uint64)
+    near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 4
+    label = np.array(ids)
+    while True:
+        new = np.array([label[n].min() for n in near])
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+@pytest.mark.parametrize("text", ["", "a", "A b  C", "a b c d", "É a É b É c\x0bd e", "w " * 70_000 + "end"])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == fingerprint_by_hand(text)
+
+
+def test_near_duplicates_odd_rows(odd):
+    rows = simhash.near_duplicates(odd).collect()
+    texts = pairs_of(odd)
+    assert len(rows) == len(texts)
+    assert sorted((r.doc_id, r.fingerprint) for r in rows if r.doc_id) == sorted(
+        (i, f"{fingerprint_by_hand(t):016x}") for i, t in texts if i
+    )
+    assert {r.component_id for r in rows if r.doc_id in (3, 4, 5)} == {3}
+
+
+def test_near_duplicates_whole_table(small):
+    rows = simhash.near_duplicates(small["documents"]).toPandas()
+    fps = [int(x, 16) for x in rows.fingerprint]
+    assert components_by_hand(fps, rows.doc_id.tolist()) == rows.component_id.tolist()
+    kept = {r.doc_id for r in simhash.deduplicated(small["documents"]).select("doc_id").collect()}
+    assert kept == set(rows.component_id)
+
+
+def link_components(spark, fps):
+    nodes = spark.createDataFrame([(int(np.uint64(f).view(np.int64)),) for f in fps], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(nodes)).collect()}
+    signed = [int(np.uint64(f).view(np.int64)) for f in fps]
+    return [roots.get(s, s) for s in signed]
+
+
+@pytest.mark.parametrize("block", [2048, 50])
+def test_dense_cluster_and_chains(spark, monkeypatch, block):
+    """Thousands of close fingerprints under few segment values, and chains
+    whose ends are far apart."""
+    monkeypatch.setattr(simhash, "BLOCK", block)
+    draw = random.Random(3)
+    centre, fps = draw.getrandbits(64), set()
+    while len(fps) < 900:
+        f = centre
+        for b in draw.sample(range(64), draw.randint(0, 5)):
+            f ^= 1 << b
+        fps.add(f)
+    for _ in range(20):
+        f = draw.getrandbits(64)
+        for _ in range(15):
+            fps.add(f)
+            for b in draw.sample(range(64), draw.randint(3, 6)):
+                f ^= 1 << b
+    fps = sorted(fps)
+    ours = link_components(spark, fps)
+    theirs = components_by_hand(fps, list(range(len(fps))))
+    assert len(set(zip(ours, theirs))) == len(set(ours)) == len(set(theirs))
+
+
+def test_links_across_batches(spark):
+    """A large group that arrives in small pieces."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        fps = [0b1111 << 40 | i for i in range(64)] + [1 << 63 | i << 3 for i in range(9)]
+        ours = link_components(spark, fps)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    theirs = components_by_hand(fps, list(range(len(fps))))
+    assert len(set(zip(ours, theirs))) == len(set(ours)) == len(set(theirs))
+
+
+def test_components_of_a_path_and_a_star(spark):
+    edges = [(i, i + 1) for i in range(60)] + [(1000, i) for i in range(1001, 1200)] + [(5000, 5000)]
+    frame = spark.createDataFrame(edges, "a long, b long")
+    roots = {r.node: r.root for r in simhash.components(frame).collect()}
+    assert len({roots[i] for i in range(61)}) == 1
+    assert len({roots[i] for i in range(1000, 1200)}) == 1
+    assert len(set(roots.values())) == 2
+
+
+def test_empty_tables(no_rows):
+    assert exact.duplicate_groups(no_rows).count() == 0
+    assert exact.deduplicated(no_rows).count() == 0
+    assert simhash.near_duplicates(no_rows).count() == 0
+    assert simhash.deduplicated(no_rows).columns == no_rows.columns
+    assert no_rows.select(F.lit(1)).count() == 0

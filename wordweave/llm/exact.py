@@ -15,6 +15,8 @@ every level; entries that do not agree in all three are not merged.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,10 +105,12 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """The rows of ``docs`` that stay, all columns. A row is dropped by its id
     and digest together, so an id that repeats with another text is safe; a
     row without an id cannot be named and stays."""
+    own = {c.lower() for c in docs.columns}
+    key, sha = (next(n for n in (f"_{k}{i}" for i in count()) if n not in own) for k in ("id", "sha"))
     dropped = (
         duplicate_groups(docs, doc_id, text)
         .where(~F.col("kept"))
-        .select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha256"))
+        .select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
     )
-    same = (F.col(doc_id) == F.col("_id")) & (F.sha2(normalised(F.col(text)), 256) == F.col("_sha256"))
+    same = (F.col(doc_id) == F.col(key)) & (F.sha2(normalised(F.col(text)), 256) == F.col(sha))
     return docs.join(dropped, same, "left_anti")

@@ -7,13 +7,17 @@ best score of the prefix that ends there, and how many pieces it takes) is
 computed once for all words that share the prefix, from the nodes above it; a
 word's count is that of its last node.
 
-The scores are those in the model file. Characters outside the vocabulary cost
-the smallest score less ten and count one token per byte, as with byte
-fallback. Of equal sums the one with the longest last piece wins.
+A model file of the merge kind has ranks instead of probabilities. Its pieces
+are taken to follow Zipf's law: the piece of rank r among n has probability
+1 / (r * (1 + 1/2 + ... + 1/n)), and its score is the logarithm. Characters
+outside the vocabulary cost the smallest score less ten and count one token per
+byte, as with byte fallback. Of equal sums the one with the longest last piece
+wins.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from functools import cache
 from pathlib import Path
@@ -35,6 +39,13 @@ NODES, WORDS_KEPT = 1_500_000, 250_000
 WORD_LENGTH = 64
 
 
+def zipf_scores(proto: sentencepiece_model_pb2.ModelProto) -> dict[str, float]:
+    """Log-probability of each normal piece by its rank in the file."""
+    pieces = [p.piece for p in proto.pieces if p.type == NORMAL]
+    total = sum(1 / r for r in range(1, len(pieces) + 1))
+    return {p: -math.log(r * total) for r, p in enumerate(pieces, 1)}
+
+
 class Trie:
     """Forward scores of all prefixes met so far.
 
@@ -44,7 +55,7 @@ class Trie:
     def __init__(self, payload: bytes):
         proto = sentencepiece_model_pb2.ModelProto()
         proto.ParseFromString(payload)
-        self.score = {p.piece: p.score for p in proto.pieces if p.type == NORMAL}
+        self.score = zipf_scores(proto)
         if any(SPACE in p.lstrip(SPACE) for p in self.score):
             raise ValueError("the model has pieces that go on after a space")
         self.longest = max(map(len, self.score), default=1)
