@@ -199,16 +199,17 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     group = key = None  # a large group in progress
 
     def feed(own, fp):
-        """Rows of the large group in progress -> links."""
+        """Rows of the large group in progress -> links. Owners come first, so
+        a group that begins with a visitor has none and no links."""
         if own.any():
             group.owners.append(fp[own])
-        if not own.all():
+        if len(group.owners) and not own.all():
             if group.parts is None:
                 yield frame(*group.close())
             yield frame(*group.visit(fp[~own]))
 
     def finish():
-        if group is not None and group.parts is None:
+        if group is not None and group.parts is None and group.owners:
             yield frame(*group.close())
 
     for batch in batches:
