@@ -95,10 +95,11 @@ class Model:
         return np.column_stack([np.searchsorted(e, x[:, f], "right") for f, e in enumerate(self.edges)])
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        bins = self.bins(x)
         total = np.full(len(x), self.prior)
-        if self.tables is not None:
-            total += self.tables[np.arange(len(self.edges)), bins].sum(axis=1)
+        if self.tables is None:
+            return sigmoid(total)
+        bins = self.bins(x)
+        total += self.tables[np.arange(len(self.edges)), bins].sum(axis=1)
         for p, (f, g) in enumerate(self.pairs):
             total += self.pair_tables[p][coarse(bins[:, f]), coarse(bins[:, g])]
         return sigmoid(total)
@@ -246,7 +247,7 @@ def quality(
         x, labels.withColumnRenamed(doc_id, "doc_id"), "quality", "doc_id", FOLDS, TRAINING_ROWS
     )
     rows = sample.select("x", "_y").toArrow()
-    matrix = np.array(rows.column("x").to_pylist(), dtype=float).reshape(rows.num_rows, -1)
+    matrix = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
     model = fit(matrix, np.array(rows.column("_y").to_pylist(), dtype=int))
     kind = dict(x.dtypes)["doc_id"]
     scored = x.mapInArrow(_Scores(model), f"doc_id {kind}, score double")
