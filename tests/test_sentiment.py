@@ -1,6 +1,7 @@
 import pytest
 
-from wordweave.functions.lexicon import DEFAULT_LEXICON, MAX_INLINE_TERMS, Lexicon
+from wordweave.functions.lexicon import Lexicon
+from wordweave.operators import evaluate as ev
 from wordweave.operators import sentiment as st
 
 LEX = Lexicon.from_rows(
@@ -25,15 +26,39 @@ def test_valence_scores(texts):
     assert got["Idiot! 123"] == (-0.4588, 0.0, 1.0, 0.0)
 
 
-def test_table_lexicon_gives_the_same_scores(spark, texts, table):
+KEYS = ["doc_id", "line_no"]
+
+
+def test_every_scorer_takes_a_table(spark, texts, table):
     lexicon = spark.createDataFrame(list(LEX.entries), "term string, valence double, polarity double")
-    keys = ["doc_id", "line_no"]
-    assert table(st.valence_with_table(texts, lexicon, keys)) == table(
-        st.valence(texts, LEX).drop("text")
-    )
+    for by_list, by_table in (
+        (st.valence(texts, LEX), st.valence(texts, lexicon)),
+        (st.valence(texts, LEX), st.valence(texts, lexicon, KEYS)),
+        (st.polarity(texts, LEX), st.polarity(texts, lexicon)),
+        (st.sentiment(texts, st.POLARITY, LEX), st.sentiment(texts, st.POLARITY, lexicon, KEYS)),
+        (st.score_between(texts, -1, -0.2, lexicon=LEX), st.score_between(texts, -1, -0.2, lexicon=lexicon)),
+        (st.negative_lines(texts, 0.4, LEX), st.negative_lines(texts, 0.4, lexicon)),
+        (ev.rescore(texts, 0.4, LEX), ev.rescore(texts, 0.4, lexicon)),
+    ):
+        assert by_table.columns == by_list.columns
+        assert table(by_table) == table(by_list)
     assert Lexicon.from_table(lexicon).ratings("valence") == LEX.ratings("valence")
 
 
+def test_a_lexicon_of_any_size(spark, texts, table):
+    entries = [*LEX.entries, *[(f"term{'abcdefghij'[i % 10]}{'x' * (i % 7)}{i}", 1.0, 0.5) for i in range(10_001)]]
+    large = spark.createDataFrame(entries, "term string, valence double, polarity double")
+    assert table(st.valence(texts, large)) == table(st.valence(texts, LEX))
+    assert table(st.polarity(texts, Lexicon.from_rows(entries))) == table(st.polarity(texts, LEX))
+
+
+def test_a_term_rated_twice_counts_with_its_mean(spark, texts):
+    entries = [("best", 2.0, 0.0), ("best", 4.0, 1.0)]
+    lexicon = spark.createDataFrame(entries, "term string, valence double, polarity double")
+    got = {r.text: r.compound for r in st.valence(texts, lexicon).collect()}
+    assert got["best day"] == 0.6124
+
+
 def test_polarity_is_the_mean_over_hits(texts):
     got = {r.text: r.polarity for r in st.polarity(texts, LEX).collect()}
     assert got["worthless idiot"] == pytest.approx(-0.75)
@@ -65,9 +90,6 @@ def test_scoring_does_not_shuffle(texts):
     assert "Exchange" not in plan
 
 
-def test_lexicon_bounds():
-    assert len(DEFAULT_LEXICON.entries) < 200
-    with pytest.raises(ValueError):
-        Lexicon.from_rows([(f"t{i}", 1, 1) for i in range(MAX_INLINE_TERMS + 1)])
+def test_lexicon_terms_are_rated_once():
     with pytest.raises(ValueError):
         Lexicon.from_rows([("a", 1, 1), ("a", 2, 1)])

@@ -4,6 +4,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from wordweave.functions import seeded
 from wordweave.operators import lmdata as lm
 from wordweave.operators import sequence as sq
 
@@ -13,12 +14,12 @@ TEXTS = {
 }
 
 
-def shard(key):
-    return hashlib.md5(str(key).encode()).hexdigest()[:3]
+def digest(key):
+    return hashlib.md5(str(key).encode()).hexdigest()
 
 
 def flat():
-    return [w for k in sorted(TEXTS, key=lambda k: (shard(k), k)) for w in TEXTS[k].split()]
+    return [w for k in sorted(TEXTS, key=lambda k: (digest(k), k)) for w in TEXTS[k].split()]
 
 
 @pytest.fixture
@@ -55,8 +56,8 @@ def test_lines_of_one_document_spread_over_shards(spark, table):
     )
     keys = ["doc_id", "line_no"]
     lines = sq.units(frame, keys)
-    assert lines.select("shard").distinct().count() > 100
-    in_order = sorted(texts, key=lambda k: (shard(f"{k[0]}|{k[1]}"), k))
+    assert lines.select("digest").distinct().count() == sum(map(bool, texts.values()))
+    in_order = sorted(texts, key=lambda k: (digest(f"{k[0]}|{k[1]}"), k))
     words = [w for k in in_order for w in texts[k].split()]
     assert table(sq.flat_pairs(lines, keys)) == sorted(zip(words, words[1:]))
 
@@ -110,3 +111,30 @@ def test_generated_words_in_rows(spark):
     got = [(r.path_id, r.line_no, len(r.text.split())) for r in lm.in_rows_of(paths).orderBy("path_id", "line_no").collect()]
     assert got == [(1, 0, 20), (1, 1, 20), (1, 2, 5), (2, 0, 1)]
     assert lm.in_rows_of(paths, 50).where("path_id = 1").select(F.size(F.split("text", " "))).first()[0] == 45
+
+
+def test_the_number_of_shards_changes_nothing(items, table, monkeypatch):
+    want = table(sq.word_index(items, ["doc_id"])), table(sq.shuffled_words(items, ["doc_id"], 5))
+    for digits in (1, 2, 5):
+        monkeypatch.setattr(seeded, "digits_for", lambda rows, digits=digits: digits)
+        assert (table(sq.word_index(items, ["doc_id"])), table(sq.shuffled_words(items, ["doc_id"], 5))) == want
+
+
+def test_shards_follow_the_rows():
+    assert [seeded.digits_for(n) for n in (0, 320_000, 320_001, 10**10)] == [1, 1, 2, 5]
+
+
+def test_texts_are_read_twice_at_most(spark, tmp_path):
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(path)
+    items = sq.units(spark.read.parquet(path), ["doc_id"])
+    vocab = lm.vocabulary(lm.word_counts(items))
+    for frame in (
+        sq.flat_pairs(items, ["doc_id"]),
+        sq.word_index(items, ["doc_id"]),
+        sq.shuffled_words(items, ["doc_id"], 1),
+        lm.batchify(items, ["doc_id"], vocab, 2),
+        lm.windows(items, ["doc_id"], vocab, 2, 3),
+    ):
+        # The outline was read before; the plan holds what is still to read.
+        assert frame._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= 1

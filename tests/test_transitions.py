@@ -1,3 +1,4 @@
+import hashlib
 from collections import Counter, defaultdict
 from itertools import product
 
@@ -44,9 +45,21 @@ def skewed(spark):
     return spark.createDataFrame(rows, "w1 string, w2 string, cnt long")
 
 
-@pytest.mark.parametrize("above", [4096, 100, 0])
-def test_intervals_tile_without_gap(skewed, monkeypatch, above):
-    monkeypatch.setattr(tr, "SHARD_ABOVE", above)
+def test_one_order_for_every_word(spark):
+    """A word of 5 and one of 5,000 successors follow the same rule, and the
+    end comes last."""
+    rows = [("few", f"w{i}", 1) for i in range(4)] + [("many", f"w{i}", 2) for i in range(4999)]
+    rows += [("few", "", 3), ("many", "", 3)]
+    counts = spark.createDataFrame(rows, "w1 string, w2 string, cnt long")
+    by_word = defaultdict(list)
+    for r in tr.with_intervals(counts).collect():
+        by_word[r.w1].append((r.lo, r.w2))
+    for word in by_word:
+        got = [w for _, w in sorted(by_word[word])]
+        assert got == sorted(got, key=lambda w: (w == "", hashlib.md5(w.encode()).hexdigest(), w))
+
+
+def test_intervals_tile_without_gap(skewed):
     by_word = defaultdict(list)
     for r in tr.with_intervals(skewed).collect():
         by_word[r.w1].append((r.lo, r.hi, r.cnt, r.tot, r.n))
@@ -60,8 +73,9 @@ def test_intervals_tile_without_gap(skewed, monkeypatch, above):
 @pytest.mark.parametrize("bucket_rows", [1, 7, 64])
 def test_buckets_hold_every_draw_once(skewed, monkeypatch, bucket_rows):
     monkeypatch.setattr(tr, "BUCKET_ROWS", bucket_rows)
-    totals = {r.cur: (r.tot, r.width) for r in tr.word_totals(skewed).collect()}
-    listed = tr.bucketed(tr.with_intervals(skewed)).collect()
+    everything = F.lit(skewed.agg(F.sum("cnt")).first()[0])
+    totals = {r.cur: (r.tot, r.width) for r in tr.word_totals(skewed, everything).collect()}
+    listed = tr.bucketed(tr.with_intervals(skewed), everything).collect()
     seen = defaultdict(list)
     for r in listed:
         assert (r.tot, r.width) == totals[r.w1]
@@ -72,7 +86,28 @@ def test_buckets_hold_every_draw_once(skewed, monkeypatch, bucket_rows):
         parts.sort()
         assert [p[0] for p in parts] == [0] + [p[1] for p in parts[:-1]]
         assert parts[-1][1] == totals[word][0]
-    assert len(listed) <= 2 * skewed.count() + len(totals)
+    assert len(listed) <= 2 * skewed.count() + len(totals) + tr.SPREAD
+
+
+def test_draws_of_a_hot_word_spread(spark):
+    """Two successors and nearly all of the weight: many parts."""
+    rows = [("hot", "a", 500_000), ("hot", "b", 400_000)] + [(f"w{i}", "x", 1) for i in range(100)]
+    counts = spark.createDataFrame(rows, "w1 string, w2 string, cnt long")
+    everything = F.lit(900_100)
+    parts = tr.bucketed(tr.with_intervals(counts), everything).where("w1 = 'hot'")
+    assert parts.select("bucket").distinct().count() > 900
+    assert tr.bucketed(tr.with_intervals(counts), everything).where("w1 = 'w1'").count() == 1
+
+
+def test_the_end_is_spread_in_the_step_table(spark):
+    """No row of the end takes part in the join with the totals of words."""
+    rows = [(f"w{i}", "", 1) for i in range(300)] + [("w1", "w2", 5)]
+    counts = spark.createDataFrame(rows, "w1 string, w2 string, cnt long")
+    everything = F.lit(305)
+    table = tr.step_table(tr.with_intervals(counts), tr.word_totals(counts, everything), everything)
+    got = {(r.w1, r.nxt): (r.nxt_tot, r.nxt_open) for r in table.collect()}
+    assert got["w1", "w2"] == (1, 0) and got["w5", ""] == (None, None)
+    assert len(got) == 301
 
 
 def brute_paths(pairs, steps):
@@ -101,11 +136,19 @@ def test_path_counts_equal_brute_force(counts):
 
 
 def test_temperature_weights(spark):
-    counts = spark.createDataFrame([("a", "x", 3), ("a", "y", 1)], "w1 string, w2 string, cnt long")
-    warm = {r.w2: r.weight for r in tr.with_temperature(counts, 0.5).collect()}
-    assert warm == {"x": 562500000, "y": 62500000}
-    cold = {r.w2: r.weight for r in tr.with_temperature(counts, 0.01).collect()}
-    assert cold["y"] == 1
+    rows = [("a", "x", 6), ("a", "y", 4), ("b", "x", 1), ("b", "z", 1)]
+    counts = spark.createDataFrame(rows, "w1 string, w2 string, cnt long")
+
+    def weights(temperature):
+        return {(r.w1, r.w2): r.weight for r in tr.with_temperature(counts, temperature).collect()}
+
+    full = 10**9
+    assert weights(1.0) == {("a", "x"): full, ("a", "y"): round(full * 4 / 6), ("b", "x"): full, ("b", "z"): full}
+    assert weights(0.5)["a", "y"] == round(full * (4 / 6) ** 2)
+    assert weights(0.05)["a", "y"] == round(full * (4 / 6) ** 20)
+    # (4/6)**100 and less is below the scale: the best successor is left alone.
+    for cold in (0.01, 0.001):
+        assert weights(cold) == {("a", "x"): full, ("b", "x"): full, ("b", "z"): full}
     with pytest.raises(ValueError):
         tr.with_temperature(counts, 0.0)
 

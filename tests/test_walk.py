@@ -2,6 +2,7 @@
 
 import hashlib
 from collections import Counter, defaultdict
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from wordweave.operators import sequence as sq
 from wordweave.operators import transitions as tr
 from wordweave.operators import walk as wk
+from wordweave.session import Scratch, shared_folder
 
 TEXT = """the cat sat on the mat
 the dog sat on the cat
@@ -24,8 +26,8 @@ def draw(*parts):
     return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:15], 16)
 
 
-def shard(*parts, digits=3):
-    return hashlib.md5("|".join(parts).encode()).hexdigest()[:digits]
+def digest(*parts):
+    return hashlib.md5("|".join(parts).encode()).hexdigest()
 
 
 def sentence_pairs():
@@ -42,7 +44,7 @@ PAIRS = Counter(pair for _, pair in sentence_pairs())
 class Model:
     def __init__(self, pairs):
         self.next = defaultdict(list)
-        for (a, b), c in sorted(pairs.items()):
+        for (a, b), c in sorted(pairs.items(), key=lambda e: (e[0][1] == "", digest(e[0][1]))):
             self.next[a].append((b, c))
 
     def step(self, path_id, step, cur, seed):
@@ -58,7 +60,7 @@ class Model:
 
 def pick(candidates, path_id, seed):
     at = draw(seed, path_id, "start") % sum(candidates.values())
-    for item, c in sorted(candidates.items(), key=lambda e: (shard(*e[0]), e[0])):
+    for item, c in sorted(candidates.items(), key=lambda e: (digest(*e[0]), e[0])):
         if at < c:
             return item
         at -= c
@@ -162,7 +164,7 @@ def flat_frames(lines):
 
 
 def test_flat(lines, table):
-    numbered = sorted(enumerate(TEXT.split("\n")), key=lambda e: (shard("1", str(e[0])), e[0]))
+    numbered = sorted(enumerate(TEXT.split("\n")), key=lambda e: (digest("1", str(e[0])), e[0]))
     words = [w for _, line in numbered for w in line.split()]
     model = Model(Counter(zip(words, words[1:])))
     freq = {(w,): c for w, c in Counter(words).items()}
@@ -190,13 +192,54 @@ def test_same_seed_same_paths_in_any_layout(spark, lines, table, monkeypatch):
     assert table(wk.sequential(lines, 20, 5, seed=2)) != want
 
 
-def test_step_shuffles_the_paths_only(lines):
-    with wk.Chain(tr.pair_counts(tr.sentence_pairs(lines))) as chain:
-        paths = chain.enter(
-            lines.sparkSession.range(3).selectExpr("id AS path_id", "array('The') AS words", "'The' AS cur")
-        )
-        plan = chain.step(wk.cut(paths), 1, 0)._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange") == 1 and "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+@pytest.mark.parametrize("size, join", [(3, "BroadcastHashJoin"), (10**9, "SortMergeJoin")])
+def test_step_never_shuffles_the_table(spark, lines, size, join):
+    """Few paths are sent to the table; many are shuffled to its buckets, in a
+    join that can spill."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        with Scratch(spark) as scratch:
+            counts = scratch.keep(tr.pair_counts(tr.sentence_pairs(lines)))
+            chain = wk.Chain(counts, scratch)
+            start = spark.range(3).selectExpr("id AS path_id", "array('The') AS words", "'The' AS cur")
+            moved = chain.step(scratch.keep(chain.enter(start)), size, 1, 0)
+            plan = moved._jdf.queryExecution().executedPlan().toString()
+            assert moved.where("nxt IS NOT NULL").count() == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert join in plan and "ShuffledHashJoin" not in plan
+    assert plan.count("Exchange hashpartitioning") == (join == "SortMergeJoin")
+
+
+def shared(spark):
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    return {p.name for p in folder.iterdir()}
+
+
+def test_a_walk_leaves_its_result_only(spark, lines):
+    before = shared(spark)
+    wk.sequential(lines, 5, 4, 2, seed=1)
+    left = shared(spark) - before
+    assert len(left) == 1 and left.pop().startswith("rdd-")
+    assert "wordweave" not in str(spark.sql("SHOW TABLES").collect())
+
+
+def test_a_failed_walk_leaves_nothing(spark, lines):
+    before = shared(spark)
+    with pytest.raises(Exception):
+        wk.sequential(lines.withColumn("text", F.raise_error(F.lit("no"))), 5, 4)
+    with pytest.raises(RuntimeError), Scratch(spark) as scratch:
+        scratch.keep(lines)
+        raise RuntimeError
+    assert shared(spark) == before
+
+
+def test_a_cold_walk_takes_the_most_frequent_successor(spark, table):
+    pairs = spark.createDataFrame([("a", "b", 5), ("a", "c", 4), ("b", "a", 2), ("b", "c", 1), ("c", "a", 1)], "w1 string, w2 string, cnt long")
+    counts = tr.with_temperature(pairs, 0.001)
+    starts = spark.createDataFrame([("a", 1)], "word string, cnt long")
+    made = table(wk.flat(counts, starts, 10, 4, seed=5, weight="weight"))
+    assert {tuple(words) for _, words in made} == {("a", "b", "a", "b", "a")}
 
 
 def test_no_start_gives_no_path(spark):

@@ -1,8 +1,9 @@
 """Sentiment lexicons.
 
 A lexicon rates terms twice: ``valence`` in [-4, 4] and ``polarity`` in
-[-1, 1]. Small lexicons travel inside the plan as literals; larger ones stay
-tables (see ``operators.sentiment``).
+[-1, 1]. A ``Lexicon`` travels inside the plan as literals and suits lists that
+people write; one of any size stays a table (see ``operators.sentiment``, where
+every scorer takes either).
 """
 
 from __future__ import annotations
@@ -14,20 +15,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Literals beyond this would bloat the plan that is shipped with every task.
-MAX_INLINE_TERMS = 10_000
-
 
 @dataclass(frozen=True)
 class Lexicon:
     entries: tuple[tuple[str, float, float], ...]
 
     def __post_init__(self):
-        if len(self.entries) > MAX_INLINE_TERMS:
-            raise ValueError(
-                f"{len(self.entries)} terms are too many to inline; "
-                "pass the lexicon as a DataFrame"
-            )
         if len({term for term, _, _ in self.entries}) != len(self.entries):
             raise ValueError("a term is rated twice")
 
@@ -37,9 +30,8 @@ class Lexicon:
 
     @classmethod
     def from_table(cls, table: DataFrame) -> Lexicon:
-        """Inline a lexicon table after checking that it is small enough."""
-        rows = table.select("term", "valence", "polarity").limit(MAX_INLINE_TERMS + 1)
-        return cls.from_rows(tuple(r) for r in rows.collect())
+        """Inline a lexicon table; every term of it becomes part of the plan."""
+        return cls.from_rows(tuple(r) for r in table.select("term", "valence", "polarity").collect())
 
     def ratings(self, which: str) -> dict[str, float]:
         at = {"valence": 1, "polarity": 2}[which]

@@ -23,6 +23,10 @@ def draw(*parts) -> Column:
     return F.conv(F.substring(digest(*parts), 1, 15), 16, 10).cast("long")
 
 
-def shard(*parts, digits: int = 3) -> Column:
-    """One of 16**digits evenly filled groups, as a short hexadecimal string."""
-    return F.substring(digest(*parts), 1, digits)
+def digits_for(rows: int, per_shard: int = 20_000) -> int:
+    """Leading digits of a digest that part ``rows`` rows into shards of about
+    ``per_shard``. An order by digest does not depend on it."""
+    digits = 1
+    while 16**digits * per_shard < rows:
+        digits += 1
+    return digits

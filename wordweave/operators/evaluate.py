@@ -7,12 +7,18 @@ from pyspark.sql import functions as F
 
 from wordweave.functions.lexicon import DEFAULT_LEXICON, Lexicon
 from wordweave.operators import sentiment as st
+from wordweave.session import cut
 
 
-def rescore(texts: DataFrame, threshold: float = 0.5, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+def rescore(
+    texts: DataFrame,
+    threshold: float = 0.5,
+    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON,
+    keys: list[str] | None = None,
+) -> DataFrame:
     """(n, mean_neg, error_rate) of generated texts; the error rate is the
     share of texts whose negative score is not above the threshold."""
-    scored = st.valence(texts, lexicon)
+    scored = st.valence(texts, lexicon, keys)
     return scored.agg(
         F.count("*").alias("n"),
         F.avg("neg").alias("mean_neg"),
@@ -71,7 +77,8 @@ def perplexity(train: DataFrame, test: DataFrame, k: float = 1.0) -> DataFrame:
     words of the training pairs.
     """
     zero = F.lit(0).cast("long")
-    by_pair = (
+    # Everything comes from one aggregate over both parts, stored once.
+    by_pair = cut(
         tagged(train, test)
         .groupBy("w1", "w2")
         .agg(F.sum("in_train").alias("a"), F.sum("in_test").alias("b"))
@@ -79,9 +86,9 @@ def perplexity(train: DataFrame, test: DataFrame, k: float = 1.0) -> DataFrame:
     # Pairs whose first word and training count agree have the same
     # probability, so they are merged before the join with c(w1).
     merged = by_pair.where(F.col("b") > 0).groupBy("w1", "a").agg(F.sum("b").alias("b"))
-    first = train.groupBy("w1").agg(F.count("*").alias("c1"))
-    words = train.select(F.explode(F.array("w1", "w2")).alias("word"))
-    size = words.groupBy("word").agg(F.lit(1).alias("_one")).agg(F.count("*")).scalar()
+    first = by_pair.groupBy("w1").agg(F.sum("a").alias("c1"))
+    learned = by_pair.where(F.col("a") > 0)
+    size = F.lit(learned.select(F.explode(F.array("w1", "w2"))).distinct().count())
     p = (F.col("a") + F.lit(float(k))) / (
         F.coalesce("c1", zero) + F.lit(float(k)) * size
     )

@@ -55,22 +55,26 @@ def with_ids(frame: DataFrame, vocab: DataFrame, word: str, name: str) -> DataFr
     hot: a word of a later rank holds at most 1/``FREQUENT`` of all rows and
     is safe to join by shuffle.
     """
-    ids = vocab.select(F.col("word").alias(word), F.col("token_id").alias(name))
-    frequent = F.broadcast(ids.where(F.col(name) < FREQUENT))
+    ids = vocab.select(F.col("word").alias(word), F.col("token_id").alias("_id"))
+    frequent = F.broadcast(ids.where(F.col("_id") < FREQUENT).withColumnRenamed("_id", "_known"))
     probed = frame.join(frequent, word, "left")
-    known = probed.where(F.col(name).isNotNull())
-    rare = ids.where(F.col(name) >= FREQUENT)
-    others = probed.where(F.col(name).isNull()).drop(name).join(rare, word)
-    return known.unionByName(others).drop(word)
+    # Known rows take no part in the second join: their salt matches nothing
+    # and spreads them, so the frame is read once and no word is hot.
+    place = F.pmod(F.xxhash64(*frame.columns), F.lit(1 << 20)) + 1
+    salted = probed.withColumn("_salt", F.when(F.col("_known").isNull(), F.lit(0)).otherwise(place).cast("long"))
+    rare = ids.where(F.col("_id") >= FREQUENT).withColumn("_salt", F.lit(0).cast("long"))
+    found = salted.join(rare, [word, "_salt"], "left").withColumn(name, F.coalesce("_known", "_id"))
+    return found.where(F.col(name).isNotNull()).drop(word, "_known", "_id", "_salt")
 
 
 def batchify(sequence: DataFrame, keys: Sequence[str], vocab: DataFrame, columns: int) -> DataFrame:
     """(batch_col, row, token_id): the sequence cut into equal contiguous
     columns; the rest is dropped."""
-    index = sq.word_index(sequence, keys)
+    outline = sq.outlines(sequence, keys)
+    index = sq.word_index(sequence, keys, outline)
     height = F.expr("_n div _columns")
     placed = (
-        index.withColumn("_n", sequence.agg(F.sum(F.size("items")).cast("long")).scalar())
+        index.withColumn("_n", F.lit(sq.length(outline)).cast("long"))
         .withColumn("_columns", F.lit(columns).cast("long"))
         .withColumn("_height", height)
         .where(F.col("pos") < F.col("_height") * F.col("_columns"))
@@ -89,9 +93,10 @@ def windows(
     The target is the next word of the sequence, known inside the unit's own
     row, so no column of the batch is ever gathered and sorted.
     """
-    pairs = sq.indexed_pairs(sequence, keys).withColumnRenamed("pos", "_pos")
+    outline = sq.outlines(sequence, keys)
+    pairs = sq.indexed_pairs(sequence, keys, outline).withColumnRenamed("pos", "_pos")
     placed = (
-        pairs.withColumn("_n", sequence.agg(F.sum(F.size("items")).cast("long")).scalar())
+        pairs.withColumn("_n", F.lit(sq.length(outline)).cast("long"))
         .withColumn("_columns", F.lit(columns).cast("long"))
         .withColumn("_height", F.expr("_n div _columns"))
         .where(F.col("_pos") < F.col("_height") * F.col("_columns"))

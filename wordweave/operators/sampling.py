@@ -39,25 +39,20 @@ def weighted_picks(
     candidates: DataFrame, items: Sequence[str], picks: int, seed, weight: str = "cnt"
 ) -> DataFrame:
     """(path_id, items...): ``picks`` independent draws with replacement,
-    each candidate with probability weight / total."""
+    each candidate with probability weight / total. ``candidates`` is read
+    several times and should be stored."""
     items = list(items)
-    size = candidates.agg(F.count("*")).scalar()
-    total = candidates.agg(F.sum(weight)).scalar()
-    width = candidates.agg(part_width(F.sum(weight), F.count("*"))).scalar()
-    one_key = candidates.select(
-        *items,
-        F.col(weight).alias("_w"),
-        F.lit(0).alias("_all"),
-        seeded.shard(*[F.col(c) for c in items]).alias("_shard"),
-    )
-    tiled = running_weights(one_key, ["_all"], items, "_w")
-    spread = bucketed(tiled.withColumn("tot", total).withColumn("n", size))
+    size, total = candidates.agg(F.count("*"), F.sum(weight)).first()
+    one_key = candidates.select(*items, F.col(weight).alias("_w"), F.lit(0).alias("_all"))
+    tiled = running_weights(one_key, ["_all"], items, "_w", seeded.digits_for(size))
+    everything = F.lit(total or 1)
+    width = part_width(everything, F.lit(size), everything)
     drawn = (
-        candidates.sparkSession.range(picks)
+        candidates.sparkSession.range(picks if size else 0)
         .withColumnRenamed("id", "path_id")
-        .withColumn("_d", seeded.draw(seed, F.col("path_id"), "start") % total)
+        .withColumn("_d", seeded.draw(seed, F.col("path_id"), "start") % everything)
         .withColumn("_width", width)
         .withColumn("bucket", F.expr("_d div _width"))
     )
     inside = (F.col("_d") >= F.col("lo")) & (F.col("_d") < F.col("hi"))
-    return drawn.join(spread, "bucket").where(inside).select("path_id", *items)
+    return drawn.join(bucketed(tiled, everything), "bucket").where(inside).select("path_id", *items)

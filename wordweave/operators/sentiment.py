@@ -1,4 +1,10 @@
-"""Lexicon sentiment of lines, and filters on the scores."""
+"""Lexicon sentiment of lines, and filters on the scores.
+
+Every scorer takes a ``Lexicon``, which makes a map-only plan, or a lexicon
+table (term, valence, polarity) of any size, which is joined. With a table the
+lines are named by ``keys``, by default all columns but the text, and a term
+that the table rates more than once counts with its mean.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +15,9 @@ from wordweave.functions import scoring
 from wordweave.functions import text as tx
 from wordweave.functions.lexicon import DEFAULT_LEXICON, Lexicon
 
+# A term is spread over so many groups when lines meet a lexicon table.
+SALTS = 16
+
 VALENCE = "valence"
 POLARITY = "polarity"
 
@@ -19,60 +28,80 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*others, F.posexplode(tx.lines(F.col(text))).alias("line_no", "text"))
 
 
-def valence(lines: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
-    """Adds neg, neu, pos and compound; a map-only plan.
+def _keys(lines: DataFrame, keys: list[str] | None) -> list[str]:
+    return list(keys) if keys is not None else [c for c in lines.columns if c != "text"]
+
+
+def _hits(lines: DataFrame, lexicon: DataFrame, keys: list[str], rating: str) -> DataFrame:
+    """(keys..., rating), one row per rated term of a line.
+
+    A frequent term may own a large part of all rows, so terms meet the lexicon
+    in ``SALTS`` groups, chosen by the line. Spark broadcasts the table if it
+    is small by its own size check.
+    """
+    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
+    tokens = lines.select(*keys, salt.alias("_salt"), F.explode(tx.terms(F.col("text"))).alias("_term"))
+    rated = (
+        lexicon.groupBy(F.col("term").alias("_term"))
+        .agg(F.avg(rating).alias("_rating"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    )
+    return tokens.join(rated, ["_term", "_salt"]).select(*keys, "_rating")
+
+
+def valence(
+    lines: DataFrame, lexicon: Lexicon | DataFrame = DEFAULT_LEXICON, keys: list[str] | None = None
+) -> DataFrame:
+    """Adds neg, neu, pos and compound.
 
     The scores leave through a generator: a later filter on them stays above
     it, where a plain projection would be repeated inside the filter.
     """
     split = lines.withColumn("_terms", tx.terms(F.col("text")))
-    summed = split.withColumns(
-        {"_n": F.size("_terms").cast("double"), "_s": scoring.valence_sums(F.col("_terms"), lexicon)}
-    )
-    s = F.col("_s")
-    scores = scoring.shares(s["total"], s["positive"], s["negative"], F.col("_n") - s["hits"])
+    if isinstance(lexicon, DataFrame):
+        keys = _keys(lines, keys)
+        v = F.col("_rating")
+        sums = _hits(lines, lexicon, keys, "valence").groupBy(*keys).agg(
+            F.sum(v).alias("total"),
+            F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("positive"),
+            F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("negative"),
+            F.count_if(v != 0).cast("double").alias("hits"),
+        )
+        names = ("total", "positive", "negative", "hits")
+        summed = split.join(sums, keys, "left").withColumn(
+            "_s", F.struct(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
+        )
+    else:
+        summed = split.withColumn("_s", scoring.valence_sums(F.col("_terms"), lexicon))
+    s, n = F.col("_s"), F.size("_terms").cast("double")
+    scores = scoring.shares(s["total"], s["positive"], s["negative"], n - s["hits"])
     return summed.select(*lines.columns, F.inline(F.array(F.struct(*scores))))
 
 
-def polarity(lines: DataFrame, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+def polarity(
+    lines: DataFrame, lexicon: Lexicon | DataFrame = DEFAULT_LEXICON, keys: list[str] | None = None
+) -> DataFrame:
     """Adds the mean polarity of the rated terms of the line."""
+    if isinstance(lexicon, DataFrame):
+        keys = _keys(lines, keys)
+        means = _hits(lines, lexicon, keys, "polarity").groupBy(*keys).agg(F.avg("_rating").alias("_mean"))
+        joined = lines.join(means, keys, "left")
+        return joined.select(*lines.columns, F.coalesce("_mean", F.lit(0.0)).alias("polarity"))
     mean = scoring.mean_polarity(tx.terms(F.col("text")), lexicon)
     return lines.select("*", F.inline(F.array(F.struct(mean.alias("polarity")))))
 
 
-def valence_with_table(lines: DataFrame, lexicon: DataFrame, keys: list[str]) -> DataFrame:
-    """The same four scores with a lexicon table of any size.
-
-    Terms meet the lexicon in a join (Spark broadcasts the table if it is
-    small by its own size check) and are summed by line before the shuffle.
-    Returns the keys and the scores.
-    """
-    v = F.col("valence")
-    tokens = lines.select(*keys, F.explode_outer(tx.terms(F.col("text"))).alias("term"))
-    rated = tokens.join(lexicon.select("term", "valence"), "term", "left")
-
-    def total(column):
-        return F.coalesce(F.sum(column), F.lit(0.0))
-
-    sums = rated.groupBy(*keys).agg(
-        total(v).alias("total"),
-        total(F.when(v > 0, v + 1)).alias("positive"),
-        total(F.when(v < 0, 1 - v)).alias("negative"),
-        F.count_if(F.col("term").isNotNull() & (F.coalesce(v, F.lit(0.0)) == 0))
-        .cast("double")
-        .alias("neutral"),
-    )
-    return sums.select(
-        *keys, *scoring.shares(*(F.col(c) for c in ("total", "positive", "negative", "neutral")))
-    )
-
-
-def sentiment(lines: DataFrame, method: str = VALENCE, lexicon: Lexicon = DEFAULT_LEXICON) -> DataFrame:
+def sentiment(
+    lines: DataFrame,
+    method: str = VALENCE,
+    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON,
+    keys: list[str] | None = None,
+) -> DataFrame:
     """Adds ``score`` in [-1, 1] by the chosen method."""
     if method == VALENCE:
-        scored, score = valence(lines, lexicon), "compound"
+        scored, score = valence(lines, lexicon, keys), "compound"
     elif method == POLARITY:
-        scored, score = polarity(lines, lexicon), "polarity"
+        scored, score = polarity(lines, lexicon, keys), "polarity"
     else:
         raise NotImplementedError(f"unknown sentiment method {method!r}")
     return scored.select(*lines.columns, F.col(score).alias("score"))
@@ -83,17 +112,21 @@ def score_between(
     lower: float = -1.0,
     upper: float = 1.0,
     method: str = VALENCE,
-    lexicon: Lexicon = DEFAULT_LEXICON,
+    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON,
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """Lines whose score lies in the closed interval; the score is dropped."""
     if lower > upper:
         raise ValueError("the lower bound is greater than the upper bound")
-    scored = sentiment(lines, method, lexicon)
+    scored = sentiment(lines, method, lexicon, keys)
     return scored.where(F.col("score").between(lower, upper)).select(*lines.columns)
 
 
 def negative_lines(
-    lines: DataFrame, threshold: float = 0.5, lexicon: Lexicon = DEFAULT_LEXICON
+    lines: DataFrame,
+    threshold: float = 0.5,
+    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON,
+    keys: list[str] | None = None,
 ) -> DataFrame:
     """Lines whose negative share is strictly above the threshold."""
-    return valence(lines, lexicon).where(F.col("neg") > threshold).select(*lines.columns, "neg")
+    return valence(lines, lexicon, keys).where(F.col("neg") > threshold).select(*lines.columns, "neg")

@@ -1,26 +1,28 @@
 """The corpus as one flat word sequence.
 
-A *unit* is a row with key columns and an array column ``items`` (the words
-or characters of a document or a line). The sequence lists units by the hash
-shard of their whole key and then by key: hash shards are even whatever the
-keys look like, also when one document owns most lines, so positions come from
-a window inside each shard plus a running sum over at most 16**3 shard totals,
-never from one global window.
+A *unit* is a row with key columns, which name it, and an array column
+``items`` (the words or characters of a document or a line). The sequence lists
+units by the digest of their whole key and then by key. Shards, told by the
+leading digits of the digest, are even whatever the keys look like, also when
+one document owns most lines; positions come from a window inside each shard
+plus a running sum over the shards. The number of shards follows the number of
+rows, and the order does not depend on it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordweave.functions import seeded
 from wordweave.functions import text as tx
+from wordweave.session import cut
 
 
 def units(frame: DataFrame, keys: Sequence[str], unit: str = "word", text: str = "text") -> DataFrame:
-    """Key columns, ``shard`` (from the keys) and ``items``; texts
+    """Key columns, ``digest`` (of the keys) and ``items``; texts
     without any item are left out.
 
     They are told by the text itself. A filter on ``items`` would be moved
@@ -32,7 +34,7 @@ def units(frame: DataFrame, keys: Sequence[str], unit: str = "word", text: str =
     split = tx.words if unit == "word" else tx.characters
     filled = tx.has_word(content) if unit == "word" else content != ""
     return frame.where(filled).select(
-        *keys, seeded.shard(*[F.col(k) for k in keys]).alias("shard"), split(content).alias("items")
+        *keys, seeded.digest(*[F.col(k) for k in keys]).alias("digest"), split(content).alias("items")
     )
 
 
@@ -44,38 +46,72 @@ def exploded(sequence: DataFrame, *keys: str) -> DataFrame:
     ).select(*keys, "i", "_item.word")
 
 
-def placed(
-    frame: DataFrame, order: Sequence[str], size: Column, head: Column | None = None
-) -> DataFrame:
+def placed(stored: DataFrame, order: Sequence[str], size: str, head: str) -> DataFrame:
     """Adds ``start``, the sum of ``size`` over all rows before a row in
-    (shard, order...) order, and with ``head`` also ``following``, the head of
-    the next row (NULL for the last).
+    (digest, order...) order, and ``following``, the head of the next row (NULL
+    for the last).
 
     Both come from one sort inside the shards; what lies beyond a shard is
-    joined from a table of one row per shard.
+    joined from a table of one row per shard. ``stored`` is read more than
+    once.
     """
-    sized = frame.withColumn("_size", size.cast("long"))
-    if head is not None:
-        sized = sized.withColumn("_head", head)
-    inside = Window.partitionBy("shard").orderBy(*order)
+    digits = seeded.digits_for(stored.count())
+    sized = stored.withColumn("_shard", F.substring("digest", 1, digits))
+    inside = Window.partitionBy("_shard").orderBy("digest", *order)
     upto = (Window.unboundedPreceding, Window.currentRow)
-    local = {"_inside": F.sum("_size").over(inside.rowsBetween(*upto)) - F.col("_size")}
-    totals = [F.sum("_size").alias("_total")]
-    # At most 16**3 rows, so these two windows over everything stay tiny.
-    shards_in_order = Window.orderBy("shard")
-    outer = [
-        (F.sum("_total").over(shards_in_order.rowsBetween(*upto)) - F.col("_total")).alias("_before")
-    ]
-    if head is not None:
-        local["_following"] = F.lead("_head").over(inside)
-        totals.append(F.min_by("_head", F.struct(*order)).alias("_first"))
-        outer.append(F.lead("_first").over(shards_in_order).alias("_next_shard"))
-    shards = sized.groupBy("shard").agg(*totals).select("shard", *outer)
-    result = sized.withColumns(local).join(shards, "shard")
-    columns = [*frame.columns, (F.col("_inside") + F.col("_before")).alias("start")]
-    if head is not None:
-        columns.append(F.coalesce("_following", "_next_shard").alias("following"))
-    return result.select(*columns)
+    # One row per shard, that is one per 20,000 rows or so.
+    in_order = Window.orderBy("_shard")
+    shards = (
+        sized.groupBy("_shard")
+        .agg(
+            F.sum(size).cast("long").alias("_total"),
+            F.min_by(head, F.struct("digest", *order)).alias("_first"),
+        )
+        .select(
+            "_shard",
+            (F.sum("_total").over(in_order.rowsBetween(*upto)) - F.col("_total")).alias("_before"),
+            F.lead("_first").over(in_order).alias("_next_shard"),
+        )
+    )
+    return (
+        sized.withColumns(
+            {
+                "_inside": F.sum(size).over(inside.rowsBetween(*upto)) - F.col(size),
+                "_following": F.lead(head).over(inside),
+            }
+        )
+        .join(shards, "_shard")
+        .select(
+            *stored.columns,
+            (F.col("_inside") + F.col("_before")).alias("start"),
+            F.coalesce("_following", "_next_shard").alias("following"),
+        )
+    )
+
+
+def outlines(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys..., digest, n, first, last) of every unit, made in one pass over
+    the texts and stored: all that positions and borders need."""
+    return cut(
+        sequence.select(
+            *keys,
+            "digest",
+            F.size("items").cast("long").alias("n"),
+            F.get("items", F.lit(0)).alias("first"),
+            F.element_at("items", -1).alias("last"),
+        )
+    )
+
+
+def length(outline: DataFrame) -> int:
+    """Number of words of the sequence."""
+    return outline.agg(F.sum("n")).first()[0] or 0
+
+
+def _located(sequence: DataFrame, keys: Sequence[str], outline: DataFrame) -> DataFrame:
+    """Units with their start and the first word of the next unit."""
+    starts = placed(outline, keys, "n", "first").select(*keys, "start", "following")
+    return sequence.drop("digest").join(starts, list(keys))
 
 
 def _opened(units_with_start: DataFrame) -> DataFrame:
@@ -84,15 +120,16 @@ def _opened(units_with_start: DataFrame) -> DataFrame:
     )
 
 
-def word_index(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
+def word_index(sequence: DataFrame, keys: Sequence[str], outline: DataFrame | None = None) -> DataFrame:
     """(pos, word) for the whole sequence, positions counted from 0."""
-    return _opened(placed(sequence, keys, F.size("items")))
+    return _opened(_located(sequence, keys, outline or outlines(sequence, keys)))
 
 
 def first_words(sequence: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
     """The first ``n`` words; units that start later are not opened."""
-    starts = placed(sequence, keys, F.size("items")).where(F.col("start") < n)
-    return _opened(starts).where(F.col("pos") < n)
+    starts = placed(outlines(sequence, keys), keys, "n", "first").where(F.col("start") < n)
+    begun = sequence.drop("digest").join(starts.select(*keys, "start"), list(keys))
+    return _opened(begun).where(F.col("pos") < n)
 
 
 def flat_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -102,22 +139,16 @@ def flat_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
     of each unit are shuffled to stitch the borders.
     """
     inside = sequence.select(F.inline(tx.adjacent(F.col("items"))))
-    ends = sequence.select(
-        *keys,
-        "shard",
-        F.get("items", F.lit(0)).alias("first"),
-        F.element_at("items", -1).alias("last"),
-    )
-    across = placed(ends, keys, F.lit(1), F.col("first")).where(F.col("following").isNotNull())
+    across = placed(outlines(sequence, keys), keys, "n", "first").where(F.col("following").isNotNull())
     return inside.unionByName(
         across.select(F.col("last").alias("w1"), F.col("following").alias("w2"))
     )
 
 
-def indexed_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
+def indexed_pairs(sequence: DataFrame, keys: Sequence[str], outline: DataFrame | None = None) -> DataFrame:
     """(pos, w1, w2): every word with its position and the word after it;
     ``w2`` is NULL for the last word of the sequence."""
-    stitched = placed(sequence, keys, F.size("items"), F.get("items", F.lit(0)))
+    stitched = _located(sequence, keys, outline or outlines(sequence, keys))
     ahead = F.concat(F.slice("items", F.lit(2), F.size("items")), F.array("following"))
     return stitched.select(
         "start",
@@ -129,12 +160,16 @@ def shuffled_words(sequence: DataFrame, keys: Sequence[str], seed: int) -> DataF
     """(pos, word, w2): the words in a seeded random order, with the word
     that follows in that order.
 
-    The order is that of a digest of the word's own address; its leading
-    digits are the shard, so the shuffle is even and needs no sampling.
+    The order is that of a digest of the word's own address, so the shuffle is
+    even and needs no sampling. The words are stored once with their digests.
     """
-    hashed = exploded(sequence, *keys).select(
-        seeded.digest(seed, *[F.col(k) for k in keys], F.col("i")).alias("h"), "word"
-    ).withColumn("shard", F.substring("h", 1, 3))
-    return placed(hashed, ["h"], F.lit(1), F.col("word")).select(
+    hashed = cut(
+        exploded(sequence, *keys).select(
+            seeded.digest(seed, *[F.col(k) for k in keys], F.col("i")).alias("digest"),
+            F.lit(1).cast("long").alias("n"),
+            "word",
+        )
+    )
+    return placed(hashed, [], "n", "word").select(
         F.col("start").alias("pos"), "word", F.col("following").alias("w2")
     )

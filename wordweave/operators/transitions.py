@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from wordweave.functions import seeded
 from wordweave.functions import text as tx
+from wordweave.session import cut
 
 # Average number of candidates a walking path compares per step.
 BUCKET_ROWS = 64
 
-# Number of successors from which on a word is summed up in shards.
-SHARD_ABOVE = 4096
+# No (word, part) gets more than about one in so many of all draws.
+SPREAD = 1024
 
 
 def sentences(lines: DataFrame) -> DataFrame:
@@ -58,71 +59,89 @@ def population_starts(pairs: DataFrame) -> DataFrame:
     return pairs.where(tx.starts_upper(F.col("w1")))
 
 
-def running_weights(sharded: DataFrame, keys: list[str], items: list[str], weight: str) -> DataFrame:
-    """Adds ``lo`` and ``hi``, the running weight of a key in (_shard, items)
-    order, in two levels: inside each (key, shard) and over the shard totals.
+def running_weights(
+    frame: DataFrame, keys: list[str], items: list[str], weight: str, digits: int, last: Column | None = None
+) -> DataFrame:
+    """Adds ``lo``, ``hi``, ``tot`` and ``n``: the rows of a key tile [0, tot)
+    in the order of a digest of their items, ``n`` is their number. Rows with
+    ``last`` come after all others of their key.
 
-    Rows of a key with the single shard '' need the first level only.
+    A key may own any part of all rows. Its rows are summed up inside shards,
+    which are told by the first ``digits`` digits of the digest, and then over
+    its shards, so no task holds all rows of a key. The order does not depend
+    on the number of digits.
     """
+    digest = seeded.digest(*[F.col(i) for i in items])
+    order = digest if last is None else F.when(last, "~").otherwise(digest)
+    # The explicit repartition keeps the shuffle of the rows apart from that of
+    # the sums, which follows the keys alone.
+    sharded = (
+        frame.withColumn("_order", order)
+        .withColumn("_shard", F.substring("_order", 1, digits))
+        .repartition(*keys, "_shard")
+    )
     upto = (Window.unboundedPreceding, Window.currentRow)
-    inside = Window.partitionBy(*keys, "_shard").orderBy(*items).rowsBetween(*upto)
-    shards = sharded.where(F.col("_shard") != "").groupBy(*keys, "_shard").agg(
-        F.sum(weight).alias("_sum")
+    inside = Window.partitionBy(*keys, "_shard").orderBy("_order", *items).rowsBetween(*upto)
+    shards = sharded.groupBy(*keys, "_shard").agg(
+        F.sum(weight).alias("_sum"), F.count("*").alias("_rows")
     )
-    over_key = Window.partitionBy(*keys).orderBy("_shard").rowsBetween(*upto)
+    over_key = Window.partitionBy(*keys)
     before = shards.select(
-        *keys, "_shard", (F.sum("_sum").over(over_key) - F.col("_sum")).alias("_before")
+        *keys,
+        "_shard",
+        (F.sum("_sum").over(over_key.orderBy("_shard").rowsBetween(*upto)) - F.col("_sum")).alias("_before"),
+        F.sum("_sum").over(over_key).alias("tot"),
+        F.sum("_rows").over(over_key).alias("n"),
     )
-    end = F.coalesce("_before", F.lit(0)) + F.col("_upto")
+    end = F.col("_before") + F.col("_upto")
     return (
         sharded.withColumn("_upto", F.sum(weight).over(inside))
-        .join(before, [*keys, "_shard"], "left")
+        .join(before, [*keys, "_shard"])
         .withColumns({"lo": end - F.col(weight), "hi": end})
-        .drop("_upto", "_before", "_shard")
+        .select(*frame.columns, "lo", "hi", "tot", "n")
     )
 
 
 def with_intervals(counts: DataFrame, weight: str = "cnt") -> DataFrame:
     """Adds ``lo``, ``hi``, ``tot`` and ``n``: the successors of a word tile
-    [0, tot), ``n`` is their number.
+    [0, tot), the end of the sentence last, the others by digest.
 
-    A word may own a large part of all rows: beyond ``SHARD_ABOVE`` successors
-    its rows are ordered by digest shard first, and the shards are summed
-    apart. The explicit repartition keeps the two shuffles independent, so
-    neither holds a hot word in one task.
+    With the end last, the first part of the same intervals serves draws that
+    must not meet the end. ``counts`` is read twice and should be stored.
     """
-    totals = counts.groupBy("w1").agg(F.sum(weight).alias("tot"), F.count("*").alias("n"))
-    shard = F.when(F.col("n") > SHARD_ABOVE, seeded.shard(F.col("w2"), digits=2)).otherwise("")
-    sharded = counts.join(totals, "w1").withColumn("_shard", shard).repartition("w1", "_shard")
-    return running_weights(sharded, ["w1"], ["w2"], weight).select(
-        *counts.columns, "lo", "hi", "tot", "n"
-    )
+    return running_weights(counts, ["w1"], ["w2"], weight, 2, F.col("w2") == tx.END)
 
 
 def transitions(lines: DataFrame) -> DataFrame:
     """(w1, w2, cnt, lo, hi, tot) of the sentences of ``lines``."""
-    return with_intervals(pair_counts(sentence_pairs(lines))).drop("n")
+    return with_intervals(cut(pair_counts(sentence_pairs(lines)))).drop("n")
 
 
-def part_width(total: Column, rows: Column) -> Column:
-    """Width of the equal parts [0, total) is cut into, one per
-    ``BUCKET_ROWS`` rows."""
-    parts = F.ceil(rows / F.lit(float(BUCKET_ROWS)))
-    return F.ceil(total / parts).cast("long")
+def part_width(total: Column, rows: Column, everything: Column) -> Column:
+    """Width of the equal parts [0, total) is cut into: one part per
+    ``BUCKET_ROWS`` rows, and at least one per 1/``SPREAD`` of the weight of
+    all keys.
 
+    Draws meet a part as often as its share of the weight says, so no part
+    gets more than about 1/``SPREAD`` of them, even if its key has two rows.
+    """
+    parts = F.greatest(F.ceil(rows / F.lit(float(BUCKET_ROWS))), F.ceil(total * float(SPREAD) / everything))
+    return F.greatest(F.ceil(total / parts), F.lit(1)).cast("long")
 
-def bucketed(intervals: DataFrame) -> DataFrame:
-    """Adds ``bucket`` and ``width``: the interval [0, tot) of a key is cut
-    into equal parts, about one per ``BUCKET_ROWS`` rows, and each row is
-    listed in every part it reaches into.
 
-    A draw then meets its row by an equi-join on (key, bucket). All parts are
-    equally likely and the rows lie in digest order, so a draw compares about
-    ``BUCKET_ROWS`` rows however large its key is, and the draws of a hot key
-    spread over its parts. Listing adds at most one row per part.
+def bucketed(intervals: DataFrame, everything: Column) -> DataFrame:
+    """Adds ``bucket`` and ``width``: the interval [0, tot) of a key is cut
+    into equal parts, see ``part_width``, and each row is listed in every part
+    it reaches into.
+
+    A draw then meets its row by an equi-join on (key, bucket). All parts of a
+    key are equally likely and its rows lie in digest order, so a draw compares
+    about ``BUCKET_ROWS`` rows however large its key is. Listing adds at most
+    one row per part, and there are at most ``SPREAD`` parts more than keys and
+    full parts.
     """
     return (
-        intervals.withColumn("width", part_width(F.col("tot"), F.col("n")))
+        intervals.withColumn("width", part_width(F.col("tot"), F.col("n"), everything))
         .withColumn(
             "bucket",
             F.explode(
@@ -132,42 +151,58 @@ def bucketed(intervals: DataFrame) -> DataFrame:
     )
 
 
-def word_totals(counts: DataFrame, weight: str = "cnt") -> DataFrame:
-    """(cur, tot, width): what a path needs to draw at a word."""
+def word_totals(counts: DataFrame, everything: Column, weight: str = "cnt") -> DataFrame:
+    """(cur, tot, open, width): what a path needs to draw at a word; ``open``
+    is the total without the end."""
     total = F.sum(weight)
+    ends = F.sum(F.when(F.col("w2") == tx.END, F.col(weight)).otherwise(0))
     return counts.groupBy(F.col("w1").alias("cur")).agg(
-        total.alias("tot"), part_width(total, F.count("*")).alias("width")
+        total.alias("tot"),
+        (total - ends).alias("open"),
+        part_width(total, F.count("*"), everything).alias("width"),
     )
 
 
-def step_table(intervals: DataFrame, totals: DataFrame) -> DataFrame:
-    """The table paths step on: (w1, bucket, lo, hi, nxt, nxt_tot, nxt_width).
+def step_table(intervals: DataFrame, totals: DataFrame, everything: Column) -> DataFrame:
+    """The table paths step on: (w1, bucket, lo, hi, nxt, nxt_tot, nxt_open,
+    nxt_width).
 
     Each row already carries the totals of the word it leads to, so a step
-    needs one join only.
+    needs one join only. The end leads nowhere: its rows, one for most words,
+    are spread by their first word instead of meeting in one task.
     """
+    salt = F.when(F.col("w2") == tx.END, F.xxhash64("w1")).otherwise(F.lit(0).cast("long"))
     ahead = totals.select(
-        F.col("cur").alias("w2"), F.col("tot").alias("nxt_tot"), F.col("width").alias("nxt_width")
+        F.col("cur").alias("w2"),
+        F.lit(0).cast("long").alias("_salt"),
+        F.col("tot").alias("nxt_tot"),
+        F.col("open").alias("nxt_open"),
+        F.col("width").alias("nxt_width"),
     )
     return (
-        bucketed(intervals)
-        .select("w1", "bucket", "lo", "hi", "w2")
-        .join(ahead, "w2", "left")
-        .select("w1", "bucket", "lo", "hi", F.col("w2").alias("nxt"), "nxt_tot", "nxt_width")
+        bucketed(intervals, everything)
+        .select("w1", "bucket", "lo", "hi", "w2", salt.alias("_salt"))
+        .join(ahead, ["w2", "_salt"], "left")
+        .select("w1", "bucket", "lo", "hi", F.col("w2").alias("nxt"), "nxt_tot", "nxt_open", "nxt_width")
     )
 
 
 def with_temperature(counts: DataFrame, temperature: float) -> DataFrame:
-    """Adds ``weight``: the pair's probability to the power 1/T on an integer
-    scale, at least 1. T below 1 sharpens, above 1 flattens."""
+    """Adds ``weight``: the count relative to the word's most frequent
+    successor, to the power 1/T, on an integer scale. T below 1 sharpens,
+    above 1 flattens.
+
+    The best successor always has the full weight of one billion, so a cold
+    walk follows it; one whose weight is below half a billionth is never drawn
+    and leaves. ``counts`` is read twice and should be stored.
+    """
     if temperature < 1e-3:
         raise ValueError("the temperature has to be at least 1e-3")
-    totals = counts.groupBy("w1").agg(F.sum("cnt").alias("_tot"))
-    p = F.col("cnt") / F.col("_tot")
-    scaled = F.round(F.pow(p, F.lit(1.0 / temperature)) * F.lit(1e9)).cast("long")
-    return counts.join(totals, "w1").select(
-        *counts.columns, F.greatest(scaled, F.lit(1).cast("long")).alias("weight")
-    )
+    best = cut(counts.groupBy("w1").agg(F.max("cnt").alias("_best")))
+    relative = F.col("cnt") / F.col("_best")
+    scaled = F.round(F.pow(relative, F.lit(1.0 / temperature)) * F.lit(1e9)).cast("long")
+    weighted = counts.join(best, "w1").select(*counts.columns, scaled.alias("weight"))
+    return weighted.where(F.col("weight") > 0)
 
 
 def enumerate_paths(counts: DataFrame, ends: DataFrame, steps: int) -> DataFrame:
@@ -197,14 +232,16 @@ def path_counts(counts: DataFrame, steps: int) -> DataFrame:
     with multiplicity.
 
     Counts flow back along the transitions, so no path is ever listed. Exact
-    as DECIMAL(38,0).
+    as DECIMAL(38,0); more paths than it can hold raise an error.
     """
     exact = "decimal(38,0)"
+    # A path that has ended does not go on, so the end has no totals to join.
+    going = counts.where(F.col("w2") != tx.END)
     totals = counts.groupBy("w1").agg(F.sum("cnt").cast(exact).alias("paths"))
     for _ in range(steps - 1):
         ahead = totals.select(F.col("w1").alias("w2"), F.col("paths").alias("_ahead"))
         totals = (
-            counts.join(ahead, "w2")
+            going.join(ahead, "w2")
             .groupBy("w1")
             .agg(F.sum((F.col("cnt") * F.col("_ahead")).cast(exact)).cast(exact).alias("paths"))
         )

@@ -1,9 +1,11 @@
 """Generators: all paths advance together, one join per step.
 
 A path is a row (path_id, words, cur, tot, width, ...). ``cur`` is the word
-the next transition leaves from, ``tot`` and ``width`` belong to it. A path
-that cannot go on has a NULL ``tot`` and keeps flowing through the joins
-without a match.
+the next transition leaves from, ``tot``, ``open`` and ``width`` belong to it.
+A path that cannot go on has a NULL ``tot`` and takes no part in the joins.
+
+What a walk writes lies in a scratch folder that is deleted at its end; only
+its result stays, as a checkpoint.
 """
 
 from __future__ import annotations
@@ -17,54 +19,66 @@ from wordweave.functions import seeded
 from wordweave.functions import text as tx
 from wordweave.operators import transitions as tr
 from wordweave.operators.sampling import keep_about, weighted_picks
-from wordweave.session import colocated, cut
+from wordweave.session import Scratch, cut
+
+
+# Up to so many paths are sent to the stored table; more are shuffled to it.
+SENT = 50_000
 
 
 class Chain:
     """Weighted transitions (w1, w2, weight), stored so that steps join them
-    in place. Used as a context: the table is forgotten when the walk, which
-    ends in a written result, is over."""
+    in place, for as long as ``scratch`` lives. ``counts`` should be stored."""
 
-    def __init__(self, counts: DataFrame, weight: str = "cnt"):
-        self.totals = tr.word_totals(counts, weight)
+    def __init__(self, counts: DataFrame, scratch: Scratch, weight: str = "cnt"):
+        rows, total = counts.agg(F.count("*"), F.sum(weight)).first()
+        everything = F.lit(total or 1)
+        self.totals = scratch.keep(tr.word_totals(counts, everything, weight))
         intervals = tr.with_intervals(counts, weight=weight)
-        self.name, self.table = colocated(tr.step_table(intervals, self.totals), "w1", "bucket")
-
-    def __enter__(self) -> Chain:
-        return self
-
-    def __exit__(self, *failure) -> None:
-        self.table.sparkSession.sql(f"DROP TABLE IF EXISTS {self.name}")
+        self.table = scratch.colocated(
+            tr.step_table(intervals, self.totals, everything), rows, "w1", "bucket"
+        )
 
     def enter(self, paths: DataFrame) -> DataFrame:
-        """Adds tot and width of the current word."""
+        """Adds tot, open and width of the current word."""
         return paths.join(self.totals, "cur", "left")
 
-    def step(self, paths: DataFrame, seed, step: Column | int) -> DataFrame:
-        """Adds nxt, nxt_tot and nxt_width: one successor per path, drawn in
-        proportion to its count; NULL where the path cannot go on."""
-        drawn = paths.withColumn("_d", seeded.draw(seed, F.col("path_id"), step) % F.col("tot"))
-        # A path without a draw gets a part of its own hash, so resting paths
-        # spread over all tasks.
-        at = F.coalesce(F.expr("_d div width"), -1 - F.pmod(F.xxhash64("path_id"), F.lit(4096)))
-        drawn = drawn.withColumn("_at", at)
+    def step(self, paths: DataFrame, size: int, seed, step: Column | int, early: bool = False) -> DataFrame:
+        """Adds nxt, nxt_tot, nxt_open and nxt_width: one successor per path,
+        drawn in proportion to its count; NULL where the path cannot go on.
+        ``early`` draws do not meet the end. ``size`` is a bound on the number
+        of paths, which should be stored."""
+        total = F.col("open" if early else "tot")
+        goes = F.coalesce(total, F.lit(0)) > 0
+        drawn = (
+            paths.where(goes)
+            .withColumn("_d", seeded.draw(seed, F.col("path_id"), step) % total)
+            .withColumn("_at", F.expr("_d div width"))
+        )
         meets = (
             (F.col("cur") == F.col("w1"))
             & (F.col("_at") == F.col("bucket"))
             & (F.col("_d") >= F.col("lo"))
             & (F.col("_d") < F.col("hi"))
         )
-        # The paths are the hashed side: the stored side streams unsorted.
-        return drawn.hint("shuffle_hash").join(self.table, meets, "left").drop(
-            "_d", "_at", "w1", "bucket", "lo", "hi"
-        )
+        drawn = F.broadcast(drawn) if size <= SENT else drawn
+        moved = self.table.join(drawn, meets).select(*paths.columns, *_AHEAD)
+        types = dict(moved.dtypes)
+        nothing = [F.lit(None).cast(types[c]).alias(c) for c in _AHEAD]
+        return moved.unionByName(paths.where(~goes).select("*", *nothing))
+
 
+_AHEAD = ("nxt", "nxt_tot", "nxt_open", "nxt_width")
 
-def _advance(paths: DataFrame, chain: Chain, steps: range, seed, move) -> DataFrame:
+
+def _advance(
+    paths: DataFrame, size: int, chain: Chain, scratch: Scratch, steps: range, seed, move, early: bool = False
+) -> DataFrame:
     """Walk, writing the paths out after each step: the plan of a step stays
     small and a lost executor repeats one step at most."""
+    paths = scratch.keep(paths)
     for step in steps:
-        paths = cut(move(chain.step(paths, seed, step)))
+        paths = scratch.keep(move(chain.step(paths, size, seed, step, early)), instead_of=paths)
     return paths
 
 
@@ -72,11 +86,12 @@ def _moved(paths: DataFrame, words: Column, rest: dict[str, Column] | None = Non
     """Follow the drawn successor. A path without one takes its columns from
     ``rest``, by default its own."""
     goes = F.col("nxt").isNotNull()
-    rest = rest or {c: F.col(c) for c in ("words", "cur", "tot", "width")}
+    rest = rest or {c: F.col(c) for c in ("words", "cur", "tot", "open", "width")}
     ahead = {
         "words": words,
         "cur": F.col("nxt"),
         "tot": F.col("nxt_tot"),
+        "open": F.col("nxt_open"),
         "width": F.col("nxt_width"),
     }
     kept = [c for c in paths.columns if c not in ahead and not c.startswith("nxt")]
@@ -102,6 +117,7 @@ def _restart(paths: DataFrame) -> DataFrame:
         "words": F.array("start_word"),
         "cur": F.col("start_cur"),
         "tot": F.col("start_tot"),
+        "open": F.col("start_open"),
         "width": F.col("start_width"),
     }
     return _moved(paths, F.array_append("words", F.col("cur")), start)
@@ -119,28 +135,21 @@ def sequential(
     ``min_length`` steps the end is not drawn, and a word with no other
     successor sends the path back to its start.
     """
-    counts = cut(tr.pair_counts(tr.sentence_pairs(lines)))
-    picked = weighted_picks(tr.sequential_starts(counts), ["w1", "w2"], entries, seed)
-    paths = picked.select(
-        "path_id", F.array("w1").alias("words"), F.col("w2").alias("cur"), F.col("w1").alias("start_word")
-    )
-    early = min(min_length, max_length)
-    if early:
-        with Chain(counts.where(F.col("w2") != tx.END)) as chain:
-            paths = chain.enter(paths).select(
-                "*",
-                F.col("cur").alias("start_cur"),
-                F.col("tot").alias("start_tot"),
-                F.col("width").alias("start_width"),
+    with Scratch(lines.sparkSession) as scratch:
+        counts = scratch.keep(tr.pair_counts(tr.sentence_pairs(lines)))
+        picked = weighted_picks(tr.sequential_starts(counts), ["w1", "w2"], entries, seed)
+        chain = Chain(counts, scratch)
+        paths = chain.enter(
+            picked.select("path_id", F.array("w1").alias("words"), F.col("w2").alias("cur"), F.col("w1").alias("start_word"))
+        ).select("*", *[F.col(c).alias(f"start_{c}") for c in ("cur", "tot", "open", "width")])
+        early = min(min_length, max_length)
+        paths = _advance(paths, entries, chain, scratch, range(early), seed, _restart, early=True)
+        paths = _advance(paths, entries, chain, scratch, range(early, max_length), seed, _emit_current)
+        return cut(
+            paths.select(
+                "path_id", tx.to_sentence(F.col("words"), F.col("cur") == tx.END).alias("sentence")
             )
-            paths = _advance(paths, chain, range(early), seed, _restart)
-    if early < max_length:
-        with Chain(counts) as chain:
-            paths = chain.enter(paths.select("path_id", "words", "cur"))
-            paths = _advance(paths, chain, range(early, max_length), seed, _emit_current)
-    return paths.select(
-        "path_id", tx.to_sentence(F.col("words"), F.col("cur") == tx.END).alias("sentence")
-    )
+        )
 
 
 def _population(lines: DataFrame, keys: list[str], counts: DataFrame, target: int, seed) -> DataFrame:
@@ -174,14 +183,16 @@ def population(
     they are lost). The walk stops when fewer paths live than entries are
     still wanted; the paths of the last step are returned too.
     """
-    counts = cut(tr.pair_counts(tr.sentence_pairs(lines)))
     finished = F.col("cur") == tx.END
-    wanted, emitted = min_entries, []
-    with Chain(counts) as chain:
-        last = live = cut(chain.enter(_population(lines, keys, counts, start_entries, seed)))
+    with Scratch(lines.sparkSession) as scratch:
+        counts = scratch.keep(tr.pair_counts(tr.sentence_pairs(lines)))
+        chain = Chain(counts, scratch)
+        wanted, emitted = min_entries, []
+        last = live = scratch.keep(chain.enter(_population(lines, keys, counts, start_entries, seed)))
+        size = live.count()
         for step in range(max_length):
-            moved = chain.step(live, seed, step).where(F.col("nxt").isNotNull())
-            last = cut(_append_next(moved))
+            moved = chain.step(live, size, seed, step).where(F.col("nxt").isNotNull())
+            last = scratch.keep(_append_next(moved))
             size = last.count()
             if size > start_entries:
                 kept = keep_about(F.lit(size), start_entries, seed, F.col("path_id"), step, "cap")
@@ -194,14 +205,16 @@ def population(
             if size < wanted:
                 break
             live = last.where(~finished)
-    everything = reduce(DataFrame.unionByName, [*emitted, last])
-    words = _without_end(F.col("words"))
-    return everything.select(
-        "path_id",
-        F.size(words).cast("long").alias("n_words"),
-        tx.to_sentence(words, finished).alias("sentence"),
-        finished.alias("done"),
-    )
+        everything = reduce(DataFrame.unionByName, [*emitted, last])
+        words = _without_end(F.col("words"))
+        return cut(
+            everything.select(
+                "path_id",
+                F.size(words).cast("long").alias("n_words"),
+                tx.to_sentence(words, finished).alias("sentence"),
+                finished.alias("done"),
+            )
+        )
 
 
 def collapsing(
@@ -213,23 +226,27 @@ def collapsing(
     end; shorter ones are gone. The survivor is chosen before it moves: a
     uniform path at the word, then a successor by count.
     """
-    counts = cut(tr.pair_counts(tr.sentence_pairs(lines)))
-    with Chain(counts) as chain:
-        paths = chain.enter(_population(lines, keys, counts, entries, seed))
+    with Scratch(lines.sparkSession) as scratch:
+        counts = scratch.keep(tr.pair_counts(tr.sentence_pairs(lines)))
+        chain = Chain(counts, scratch)
+        paths = scratch.keep(chain.enter(_population(lines, keys, counts, entries, seed)))
+        size = paths.count()
         for step in range(max_length):
             rank = F.struct(seeded.digest(seed, F.col("path_id"), step, "keep"), F.col("path_id"))
-            survivors = (
+            survivors = scratch.keep(
                 paths.where(F.col("tot").isNotNull())
                 .groupBy("cur")
                 .agg(F.min_by(F.struct(*paths.columns), rank).alias("_p"))
                 .select("_p.*")
             )
-            moved = chain.step(survivors, seed, step).where(F.col("nxt").isNotNull())
-            paths = cut(_append_next(moved))
-    return paths.select(
-        "path_id",
-        tx.to_sentence(_without_end(F.col("words")), F.col("cur") == tx.END).alias("sentence"),
-    )
+            moved = chain.step(survivors, size, seed, step).where(F.col("nxt").isNotNull())
+            paths = scratch.keep(_append_next(moved), instead_of=paths)
+        return cut(
+            paths.select(
+                "path_id",
+                tx.to_sentence(_without_end(F.col("words")), F.col("cur") == tx.END).alias("sentence"),
+            )
+        )
 
 
 def flat(
@@ -246,9 +263,11 @@ def flat(
     then up to ``length`` more follow; a chain ends early only at a unit
     without successor.
     """
-    starts = weighted_picks(cut(unit_counts), ["word"], entries, seed)
-    with Chain(cut(pair_counts), weight) as chain:
+    with Scratch(pair_counts.sparkSession) as scratch:
+        starts = weighted_picks(scratch.keep(unit_counts), ["word"], entries, seed)
+        chain = Chain(scratch.keep(pair_counts), scratch, weight)
         paths = chain.enter(
             starts.select("path_id", F.array("word").alias("words"), F.col("word").alias("cur"))
         )
-        return _advance(paths, chain, range(length), seed, _append_next).select("path_id", "words")
+        walked = _advance(paths, entries, chain, scratch, range(length), seed, _append_next)
+        return cut(walked.select("path_id", "words"))

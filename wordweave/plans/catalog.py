@@ -18,6 +18,7 @@ from wordweave.operators import termstats as ts
 from wordweave.operators import transitions as tr
 from wordweave.operators import walk as wk
 from wordweave.plans import tables
+from wordweave.session import cut
 from wordweave.sources import corpus, sinks
 
 SEED = 17
@@ -25,6 +26,7 @@ SEED = 17
 # the tables are mostly invented words, so few lines come close to it.
 NEGATIVE = 0.1
 HALF = 0.5
+CHOSEN = ("idiot", "worthless")
 LINE = ["doc_id", "line_no"]
 SPLIT = (("train", 80), ("valid", 10), ("test", 10))
 
@@ -162,11 +164,26 @@ def line_sentiment(spark, d):
     return st.valence(tables.document_lines(spark, d)).drop("text")
 
 
+def _lexicon_table(spark: SparkSession) -> DataFrame:
+    entries = ", ".join(f"('{t}', {v}D, {p}D)" for t, v, p in DEFAULT_LEXICON.entries)
+    return spark.sql(f"SELECT * FROM VALUES {entries} AS t(term, valence, polarity)")
+
+
 @query
 def line_sentiment_by_table(spark, d):
-    entries = ", ".join(f"('{t}', {v}D, {p}D)" for t, v, p in DEFAULT_LEXICON.entries)
-    lexicon = spark.sql(f"SELECT * FROM VALUES {entries} AS t(term, valence, polarity)")
-    return st.valence_with_table(tables.document_lines(spark, d), lexicon, LINE)
+    return st.valence(tables.document_lines(spark, d), _lexicon_table(spark), LINE).drop("text")
+
+
+@query
+def line_polarity_by_table(spark, d):
+    scored = st.polarity(tables.document_lines(spark, d), _lexicon_table(spark), LINE)
+    return _round(scored.drop("text"), "polarity")
+
+
+@query
+def sentiment_interval_by_table(spark, d):
+    lines = tables.document_lines(spark, d)
+    return st.score_between(lines, -1.0, -0.2, lexicon=_lexicon_table(spark), keys=LINE)
 
 
 @query
@@ -209,7 +226,7 @@ def sentence_bigrams(spark, d):
 
 @query
 def reversed_bigrams(spark, d):
-    return tr.swapped(sentence_bigrams(spark, d))
+    return tr.swapped(sentence_bigrams(spark, d)).toDF("first", "second", "cnt")
 
 
 @query
@@ -257,15 +274,23 @@ def shuffled_words(spark, d):
 @query
 def path_enumeration(spark, d):
     """Three-token endings of sentences, enumerated backwards from the end."""
-    counts = sentence_bigrams(spark, d)
+    counts = cut(sentence_bigrams(spark, d))
     paths = tr.enumerate_paths(counts, counts.where(F.col("w2") == tx.END), 1)
     return paths.select(F.array_join("words", " ").alias("words"), "multiplicity")
 
 
+@query
+def path_enumeration_words(spark, d):
+    """Four-token paths that end in one of the words idiot and worthless."""
+    counts = cut(sentence_bigrams(spark, d))
+    paths = tr.enumerate_paths(counts, counts.where(F.col("w2").isin(*CHOSEN)), 2)
+    return paths.select(F.array_join("words", " ").alias("words"), "multiplicity")
+
+
 @query
 def path_counts(spark, d):
     """Number of five-step paths from each word."""
-    counted = tr.path_counts(sentence_bigrams(spark, d), 5)
+    counted = tr.path_counts(cut(sentence_bigrams(spark, d)), 5)
     return counted.select("w1", F.col("paths").cast("string").alias("paths"))
 
 
@@ -366,9 +391,9 @@ def _shuffled_parts(frame: DataFrame, keys: list[str]) -> DataFrame:
     """Neighbours within the first 80 % and within the last 20 % of the
     shuffled words, tagged by their part."""
     items = sq.units(frame, keys)
-    n = items.agg(F.sum(F.size("items")).cast("long")).scalar()
-    border = F.floor(n * F.lit(0.8)).cast("long")
-    pairs = sq.shuffled_words(items, keys, SEED).where(F.col("w2").isNotNull())
+    words = cut(sq.shuffled_words(items, keys, SEED))
+    border = F.lit(int(words.count() * 0.8)).cast("long")
+    pairs = words.where(F.col("w2").isNotNull())
     return pairs.select(
         F.col("word").alias("w1"),
         "w2",
@@ -438,11 +463,22 @@ def bptt_windows(spark, d):
     return lm.windows(items, ["doc_id"], vocab, 20, 35)
 
 
-@query
-def temperature_walk(spark, d):
-    """Chains from uniformly drawn vocabulary words, sharpened to T = 0.5."""
+def _temperature_walk(spark: SparkSession, d: str, temperature: float) -> DataFrame:
     items, vocab = _vocabulary(spark, d)
-    counts = tr.with_temperature(tr.pair_counts(sq.flat_pairs(items, ["doc_id"])), 0.5)
+    pairs = cut(tr.pair_counts(sq.flat_pairs(items, ["doc_id"])))
+    counts = tr.with_temperature(pairs, temperature)
     starts = vocab.select("word", F.lit(1).cast("long").alias("cnt"))
     chains = wk.flat(counts, starts, entries=20, length=23, seed=SEED, weight="weight")
     return lm.in_rows_of(chains, 20)
+
+
+@query
+def temperature_walk(spark, d):
+    """Chains from uniformly drawn vocabulary words, sharpened to T = 0.5."""
+    return _temperature_walk(spark, d, 0.5)
+
+
+@query
+def temperature_walk_cold(spark, d):
+    """The same at T = 0.05: nearly always the most frequent successor."""
+    return _temperature_walk(spark, d, 0.05)

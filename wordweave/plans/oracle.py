@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from wordweave.functions.lexicon import DEFAULT_LEXICON
 from wordweave.functions.text import WHITESPACE
-from wordweave.operators.transitions import SHARD_ABOVE
-from wordweave.plans.catalog import HALF, NEGATIVE, SEED
+from wordweave.plans.catalog import CHOSEN, HALF, NEGATIVE, SEED
 
 ORACLE: dict[str, str] = {}
 
@@ -120,11 +119,10 @@ def intervals(name: str, source: str, weight: str = "cnt") -> str:
   SELECT w1, w2, cnt, CAST(hi - {weight} AS BIGINT) AS lo, CAST(hi AS BIGINT) AS hi,
     CAST(tot AS BIGINT) AS tot
   FROM (
-    SELECT *, sum({weight}) OVER (PARTITION BY w1
-        ORDER BY CASE WHEN n > {SHARD_ABOVE} THEN substr(md5(w2), 1, 2) ELSE '' END, w2
-        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi
-    FROM (SELECT *, count(*) OVER (PARTITION BY w1) AS n, sum({weight}) OVER (PARTITION BY w1) AS tot
-      FROM {source}))
+    SELECT *, sum({weight}) OVER (PARTITION BY w1 ORDER BY w2 = '', md5(w2), w2
+        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+      sum({weight}) OVER (PARTITION BY w1) AS tot
+    FROM {source})
 )"""
 
 
@@ -132,11 +130,11 @@ def flat_units(name: str, source: str, keys: str, items: str, where: str = "true
     """CTE: (pos, word) of the flat sequence of a source."""
     return f"""
 {name}_units AS (
-  SELECT {keys}, {items} AS items, substr(md5(concat_ws('|', {keys})), 1, 3) AS shard
+  SELECT {keys}, {items} AS items, md5(concat_ws('|', {keys})) AS digest
   FROM {source} WHERE {where}
 ),
 {name}_starts AS (
-  SELECT {keys}, items, coalesce(sum(len(items)) OVER (ORDER BY shard, {keys}
+  SELECT {keys}, items, coalesce(sum(len(items)) OVER (ORDER BY digest, {keys}
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {name}_units
 ),
 {name}_units_words AS (
@@ -160,7 +158,7 @@ def picks(name: str, source: str, items: str, n: int, weight: str = "cnt") -> st
     return f"""
 {name}_iv AS MATERIALIZED (
   SELECT {items}, hi - {weight} AS lo, hi, tot FROM (
-    SELECT *, sum({weight}) OVER (ORDER BY substr(md5(concat_ws('|', {items})), 1, 3), {items}
+    SELECT *, sum({weight}) OVER (ORDER BY md5(concat_ws('|', {items})), {items}
         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi, sum({weight}) OVER () AS tot
     FROM {source})
 ),
@@ -244,11 +242,14 @@ ORACLE["polarity_interval"] = f"""
 ORACLE["negative_lines"] = f"{_SCORED} SELECT doc_id, line_no, neg FROM scored WHERE neg > {NEGATIVE}"
 ORACLE["negative_lines_half"] = f"{_SCORED} SELECT doc_id, line_no, neg FROM scored WHERE neg > {HALF}"
 
+ORACLE["line_polarity_by_table"] = ORACLE["line_polarity"]
+ORACLE["sentiment_interval_by_table"] = ORACLE["sentiment_interval"]
+
 # Pairs and transitions
 
 _PAIRS = f"WITH {LINES}, {pair_occurrences()}"
 ORACLE["sentence_bigrams"] = f"{_PAIRS} SELECT w1, w2, cnt FROM pairs"
-ORACLE["reversed_bigrams"] = ORACLE["sentence_bigrams"]
+ORACLE["reversed_bigrams"] = f"{_PAIRS} SELECT w2 AS first, w1 AS second, cnt FROM pairs"
 ORACLE["transitions"] = f"""
 {_PAIRS}, {intervals('trans', 'pairs')} SELECT w1, w2, cnt, lo, hi, tot FROM trans"""
 _UPPER = r"regexp_matches(w1, '^\p{Lu}')"
@@ -273,10 +274,21 @@ shuf AS MATERIALIZED (
 
 
 ORACLE["shuffled_words"] = f"WITH {_SEQ}, {shuffled('doc_id')} SELECT pos, word FROM shuf"
+# The ends first, then the pairs that lead to their first words: no join order
+# can list all two-step paths.
 ORACLE["path_enumeration"] = f"""
-{_PAIRS}
+{_PAIRS},
+ends AS MATERIALIZED (SELECT w1, cnt FROM pairs WHERE w2 = ''),
+leads AS MATERIALIZED (SELECT w1, w2, cnt FROM pairs WHERE w2 IN (SELECT w1 FROM ends))
 SELECT a.w1 || ' ' || a.w2 || ' ' AS words, a.cnt * b.cnt AS multiplicity
-FROM pairs a JOIN pairs b ON a.w2 = b.w1 WHERE b.w2 = ''"""
+FROM leads a JOIN ends b ON a.w2 = b.w1"""
+_CHOSEN = ", ".join(f"'{w}'" for w in CHOSEN)
+ORACLE["path_enumeration_words"] = f"""
+{_PAIRS},
+k1 AS MATERIALIZED (SELECT w1, w1 || ' ' || w2 AS words, cnt FROM pairs WHERE w2 IN ({_CHOSEN})),
+k2 AS MATERIALIZED (
+  SELECT p.w1, p.w1 || ' ' || k1.words AS words, p.cnt * k1.cnt AS cnt FROM k1 JOIN pairs p ON p.w2 = k1.w1)
+SELECT p.w1 || ' ' || k2.words AS words, p.cnt * k2.cnt AS multiplicity FROM k2 JOIN pairs p ON p.w2 = k2.w1"""
 _COUNTS = "p1 AS MATERIALIZED (SELECT w1, CAST(sum(cnt) AS DECIMAL(38, 0)) AS paths FROM pairs GROUP BY w1)"
 for _k in range(2, 6):
     _COUNTS += f""",
@@ -512,11 +524,14 @@ ahead AS (
 )
 SELECT batch_col, row // 35 AS window, row % 35 AS pos, token_id, target_id
 FROM ahead WHERE target_id IS NOT NULL"""
-ORACLE["temperature_walk"] = f"""
+for _name, _power in (("temperature_walk", 2.0), ("temperature_walk_cold", 20.0)):
+    ORACLE[_name] = f"""
 WITH RECURSIVE {_FLAT}, {_FLAT_PAIRS},
 warm AS (
-  SELECT w1, w2, cnt, greatest(CAST(round(pow(cnt / sum(cnt) OVER (PARTITION BY w1), 2.0::DOUBLE)
-    * 1e9) AS BIGINT), 1) AS weight FROM flat_pairs
+  SELECT * FROM (
+    SELECT w1, w2, cnt, CAST(round(pow(cnt::DOUBLE / max(cnt) OVER (PARTITION BY w1), {_power}::DOUBLE)
+      * 1e9) AS BIGINT) AS weight FROM flat_pairs)
+  WHERE weight > 0
 ),
 {intervals('trans', 'warm', 'weight')},
 freq AS (SELECT word, 1 AS cnt FROM flat_seq GROUP BY word),

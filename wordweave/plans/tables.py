@@ -10,7 +10,7 @@ from wordweave.sources.corpus import spread
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    return spread(docs.select("doc_id", *columns, "text"), "doc_id")
+    return spread(docs.select("doc_id", *columns, "text"))
 
 
 def document_lines(spark: SparkSession, folder: str) -> DataFrame:
@@ -19,7 +19,7 @@ def document_lines(spark: SparkSession, folder: str) -> DataFrame:
 
 def conversations(spark: SparkSession, folder: str) -> DataFrame:
     turns = spark.read.parquet(f"{folder}/conversations.parquet")
-    return spread(turns.select("conv_id", "turn", "text"), "conv_id")
+    return spread(turns.select("conv_id", "turn", "text"))
 
 
 def benchmark(spark: SparkSession, folder: str) -> DataFrame:

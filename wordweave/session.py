@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +27,11 @@ def local_session(cores: str = "*", name: str = "wordweave") -> SparkSession:
     return spark
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether everything runs in one process; false for local-cluster."""
+    return spark.sparkContext.master.split("[")[0] == "local"
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster. Only a
     local session without one gets a folder of its own."""
@@ -33,7 +39,7 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         configured = spark.conf.get("spark.checkpoint.dir", None)
         if configured is None:
-            if not context.master.startswith("local"):
+            if not is_local(spark):
                 raise RuntimeError("set spark.checkpoint.dir to a folder shared by the executors")
             configured = tempfile.mkdtemp(prefix="wordweave-")
         context.setCheckpointDir(configured)
@@ -46,25 +52,65 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def colocated(df: DataFrame, *keys: str) -> tuple[str, DataFrame]:
-    """Write ``df`` as a table bucketed by ``keys``; returns its name and it.
+# Rows a bucket of a stored table holds, about.
+BUCKET_ROWS = 500_000
 
-    Every later join on the keys reads the buckets in place: the stored side
-    is neither shuffled nor recomputed, however many steps join it, and it
-    survives the loss of the executors that made it.
-    """
-    spark = df.sparkSession
-    # One bucket per shuffle partition, but not more than the cores can use.
-    buckets = min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")),
-        4 * spark.sparkContext.defaultParallelism,
-    )
-    name = f"wordweave_{uuid.uuid4().hex}"
-    (
-        df.repartition(buckets, *keys)
-        .write.format("parquet")
-        .bucketBy(buckets, *keys)
-        .option("path", f"{shared_folder(spark)}/{name}")
-        .saveAsTable(name)
-    )
-    return name, spark.table(name)
+
+def delete(spark: SparkSession, folder: str) -> None:
+    """Remove a folder wherever it is stored."""
+    context = spark.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
+
+
+class Scratch:
+    """Intermediate results in a folder of their own under the shared folder.
+    Used as a context: whatever it holds is deleted at its end, also after an
+    error, so a result that is to stay has to be ``cut`` inside."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folder = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.paths: dict[int, str] = {}
+        self.tables: list[str] = []
+        self.written = 0
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *failure) -> None:
+        for name in self.tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+        delete(self.spark, self.folder)
+
+    def keep(self, df: DataFrame, instead_of: DataFrame | None = None) -> DataFrame:
+        """Write ``df`` and go on from there; then forget ``instead_of``."""
+        self.written += 1
+        path = f"{self.folder}/{self.written}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = path
+        if instead_of is not None and (old := self.paths.pop(id(instead_of), None)):
+            delete(self.spark, old)
+        return kept
+
+    def colocated(self, df: DataFrame, rows: int, *keys: str) -> DataFrame:
+        """Write ``df``, of about ``rows`` rows, as a table bucketed by
+        ``keys``.
+
+        A later join on the keys reads the buckets in place: the stored side
+        is neither shuffled nor recomputed, however many steps join it, and it
+        survives the loss of the executors that made it.
+        """
+        least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        buckets = max(least, ceil(rows / BUCKET_ROWS))
+        name = f"wordweave_{uuid.uuid4().hex}"
+        self.tables.append(name)
+        (
+            df.repartition(buckets, *keys)
+            .write.format("parquet")
+            .bucketBy(buckets, *keys)
+            .option("path", f"{self.folder}/{name}")
+            .saveAsTable(name)
+        )
+        return self.spark.table(name)

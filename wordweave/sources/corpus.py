@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from wordweave.functions import text as tx
+from wordweave.session import is_local
 
 VECTOR = T.StructType(
     [T.StructField("term", T.StringType()), T.StructField("value", T.DoubleType())]
@@ -23,13 +24,13 @@ LEXICON = T.StructType(
 PAIR = r"""^\(\s*(?:'(.*)'|"(.*)")\s*,\s*(?:np\.float64\()?([^()\s]+)\)?\)\s*$"""
 
 
-def spread(frame: DataFrame, key: str) -> DataFrame:
-    """Shuffle a scan that has fewer splits than the cluster has cores, such
-    as one small file; any larger input is left where it is."""
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    if frame.rdd.getNumPartitions() >= cores:
+def spread(frame: DataFrame) -> DataFrame:
+    """On a local master, deal rows out evenly: the test tables are one file
+    with one row group, which is one task. On a cluster the scan stays as it
+    is."""
+    if not is_local(frame.sparkSession):
         return frame
-    return frame.repartition(4 * cores, key)
+    return frame.repartition(4 * frame.sparkSession.sparkContext.defaultParallelism)
 
 
 def read_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
@@ -38,25 +39,35 @@ def read_lines(spark: SparkSession, path: str, partitions: int | None = None) ->
     return lines if partitions is None else lines.repartition(partitions)
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, text), one row per file, empty files included.
+def read_documents(spark: SparkSession, path: str, empty: DataFrame | None = None) -> DataFrame:
+    """(doc_id, text), one row per file.
 
-    The file source skips empty files when it reads, but they are in its
-    listing; the listed names are joined back so that every file counts.
+    Spark's file sources leave out empty files. ``empty`` (doc_id) names them
+    where they have to count: a manifest, or ``empty_files``.
     """
-    texts = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True)
-    listed = spark.createDataFrame([(f,) for f in texts.inputFiles()], "doc_id string")
-
-    def plain(name: str):
-        """One spelling for file:/x and file:///x."""
-        return F.regexp_replace(name, ":/+", ":/").alias("_file")
-
-    found = texts.select(plain("_metadata.file_path"), F.col("value").alias("text"))
-    return (
-        listed.withColumn("_file", plain("doc_id"))
-        .join(found, "_file", "left")
-        .select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = (
+        spark.read.option("recursiveFileLookup", "true")
+        .text(path, wholetext=True)
+        .select(F.col("_metadata.file_path").alias("doc_id"), F.col("value").alias("text"))
     )
+    if empty is None:
+        return texts
+    return texts.unionByName(empty.select("doc_id", F.lit("").alias("text")))
+
+
+def empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id) of the empty files below a folder or file. The driver walks
+    the listing and keeps the names of the empty ones only; with very many
+    files give ``read_documents`` a manifest instead."""
+    context = spark.sparkContext
+    root = context._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(context._jsc.hadoopConfiguration()).listFiles(root, True)
+    names = []
+    while files.hasNext():
+        file = files.next()
+        if file.getLen() == 0 and file.getPath().getName()[0] not in "._":
+            names.append((file.getPath().toUri().toString().replace("file:/", "file:///"),))
+    return spark.createDataFrame(names, "doc_id string")
 
 
 def read_headlines(spark: SparkSession, path: str, column: str | None = None) -> DataFrame:
@@ -66,9 +77,9 @@ def read_headlines(spark: SparkSession, path: str, column: str | None = None) ->
     return spark.read.csv(path, header=True).select(F.col(column).alias("text"))
 
 
-def read_genres(spark: SparkSession, path: str) -> DataFrame:
+def read_genres(spark: SparkSession, path: str, empty: DataFrame | None = None) -> DataFrame:
     """(mode, genre, file, text) of a corpus laid out as mode/genre/file."""
-    docs = read_documents(spark, path)
+    docs = read_documents(spark, path, empty)
     place = r"([^/]+)/([^/]+)/([^/]+)$"
     return docs.select(
         F.regexp_extract("doc_id", place, 1).alias("mode"),
