@@ -16,6 +16,7 @@ from wordweave.llm import (
     pieces,
     quality,
     simhash,
+    sql,
     tokencount,
     toxicity,
     urls,
@@ -101,15 +102,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE: dict[str, str] = {
-    "op7_exact": r"""
-        WITH plain AS (
-            SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t
-            FROM documents
-        ), classes AS (
-            SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM plain GROUP BY t
-        )
-        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept,
-               sha256(t) AS text_sha256
-        FROM plain JOIN classes USING (t)
-    """,
+    "op6_urls": sql.url_filter(URL_RULES),
+    "op7_exact": sql.exact_duplicates(),
 }
