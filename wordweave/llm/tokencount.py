@@ -32,8 +32,9 @@ SPACE = "▁"
 NORMAL = 1
 UNKNOWN_PENALTY = 10.0
 
-# Nodes of a task's trie and words in its table, at most; then they start anew.
-NODES, WORDS_KEPT = 1_500_000, 250_000
+# Nodes of a task's trie, after which it starts anew, and words in its table,
+# after which a new one starts and the old one is still asked.
+NODES, WORDS_KEPT = 2_000_000, 250_000
 
 # Longer words are not kept after they are counted.
 WORD_LENGTH = 64
@@ -49,7 +50,10 @@ def zipf_scores(proto: sentencepiece_model_pb2.ModelProto) -> dict[str, float]:
 class Trie:
     """Forward scores of all prefixes met so far.
 
-    A node is a list [children, score, tokens, parent, character].
+    Nodes are numbers: ``edges`` leads from a node and a character to the next
+    node, ``best`` and ``tokens`` hold its forward score and token count.
+    Pieces are looked up backwards from a node's last character, in a second
+    trie of their reversed characters, which ends as soon as no piece can.
     """
 
     def __init__(self, payload: bytes):
@@ -60,70 +64,81 @@ class Trie:
             raise ValueError("the model has pieces that go on after a space")
         self.longest = max(map(len, self.score), default=1)
         self.unknown = min(self.score.values(), default=0.0) - UNKNOWN_PENALTY
-        # Which pieces can end with a character, by their lengths.
-        self.lengths: dict[str, tuple[int, ...]] = {}
-        ends: dict[str, set[int]] = {}
-        for piece in self.score:
-            ends.setdefault(piece[-1], set()).add(len(piece))
-        self.lengths = {c: tuple(sorted(n, reverse=True)) for c, n in ends.items()}
+        self.reversed: dict = {}
+        for piece, score in self.score.items():
+            at = self.reversed
+            for char in reversed(piece):
+                at = at.setdefault(char, {})
+            at[""] = score
         self.words = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.counts: dict[str, int] = {}
+        self.before: dict[str, int] = {}
         self.clear()
 
     def clear(self) -> None:
-        self.root = [{}, 0.0, 0]
-        self.nodes = 0
-        self.counts: dict[str, int] = {}
+        self.edges: dict[int, int] = {}
+        self.best, self.tokens = [0.0], [0]
 
-    def _node(self, path: list[list], prefix: str) -> list:
-        """The node of ``prefix`` from the nodes of its own prefixes."""
-        size = len(prefix)
+    def _forward(self, word: str, at: int, scores: list[float], counts: list[int]) -> tuple[float, int]:
+        """Forward score and tokens of the prefix up to ``at`` from those of
+        the prefixes before it."""
         best, tokens = None, 0
-        for length in self.lengths.get(prefix[-1], ()):
-            if length <= size:
-                score = self.score.get(prefix[size - length :])
-                if score is not None:
-                    before = path[size - length]
-                    total = before[1] + score
-                    if best is None or total > best:
-                        best, tokens = total, before[2] + 1
-        if prefix[-1] not in self.score:
-            before = path[size - 1]
-            total = before[1] + self.unknown
+        pieces, begin = self.reversed, at
+        while begin >= 0:
+            pieces = pieces.get(word[begin])
+            if pieces is None:
+                break
+            score = pieces.get("")
+            if score is not None:
+                total = scores[begin] + score
+                if best is None or total >= best:  # longer ones come later
+                    best, tokens = total, counts[begin] + 1
+            begin -= 1
+        char = word[at]
+        if char not in self.score:
+            total = scores[at] + self.unknown
             if best is None or total > best:
-                best, tokens = total, before[2] + len(prefix[-1].encode())
-        return [{}, best, tokens]
+                best, tokens = total, counts[at] + len(char.encode())
+        return best, tokens
 
     def insert(self, word: str) -> int:
         """The number of tokens of a word; prefixes already there are shared."""
-        node, path = self.root, [self.root]
+        node, scores, counts = 0, [0.0], [0]
         for at, char in enumerate(word):
-            below = node[0].get(char)
+            key = node << 21 | ord(char)
+            below = self.edges.get(key) if at < WORD_LENGTH else None
             if below is None:
-                # A piece reaches back ``longest`` characters at most.
-                begun = max(0, at + 1 - self.longest)
-                below = self._node(path[begun:], word[begun : at + 1])
+                best, tokens = self._forward(word, at, scores, counts)
                 if at < WORD_LENGTH:
-                    node[0][char] = below
-                    self.nodes += 1
-            node = below
-            path.append(node)
-        return node[2]
+                    node = self.edges[key] = len(self.best)
+                    self.best.append(best)
+                    self.tokens.append(tokens)
+            else:
+                node, best, tokens = below, self.best[below], self.tokens[below]
+            scores.append(best)
+            counts.append(tokens)
+        return counts[-1]
+
+    def _count_word(self, word: str) -> int:
+        found = self.before.get(word)
+        if found is None:
+            found = self.insert(word)
+        if len(word) <= WORD_LENGTH:
+            self.counts[word] = found
+        return found
 
     def count(self, text: str) -> int:
         """Tokens of a text, without begin and end."""
         if not text:
             return 0
-        counts, total = self.counts, 0
-        if self.nodes > NODES or len(counts) > WORDS_KEPT:
+        if len(self.best) > NODES:
             self.clear()
-            counts = self.counts
+        if len(self.counts) > WORDS_KEPT:
+            self.before, self.counts = self.counts, {}
+        known, total = self.counts.get, 0
         for word in self.words.findall(SPACE + text.replace(" ", SPACE)):
-            found = counts.get(word)
-            if found is None:
-                found = self.insert(word)
-                if len(word) <= WORD_LENGTH:
-                    counts[word] = found
-            total += found
+            found = known(word)
+            total += self._count_word(word) if found is None else found
         return total
 
 
