@@ -138,3 +138,16 @@ def test_texts_are_read_twice_at_most(spark, tmp_path):
     ):
         # The outline was read before; the plan holds what is still to read.
         assert frame._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= 1
+
+
+def test_parts_are_sequences_of_their_own(spark):
+    rows = [(k, k % 3, t) for k, t in TEXTS.items()]
+    frame = spark.createDataFrame(rows, "doc_id long, part int, text string")
+    items = sq.units(frame, ["doc_id", "part"]).withColumn("digest", seeded.digest(F.col("doc_id")))
+    got = Counter(tuple(r) for r in sq.parted_pairs(items, ["doc_id"], "part").collect())
+    want = Counter()
+    for part in range(3):
+        own = [k for k in TEXTS if k % 3 == part]
+        words = [w for k in sorted(own, key=lambda k: (digest(k), k)) for w in TEXTS[k].split()]
+        want.update((part, *pair) for pair in zip(words, words[1:]))
+    assert got == want

@@ -71,7 +71,12 @@ def seen_pairs(train: DataFrame, test_counts: DataFrame) -> DataFrame:
 
 
 def perplexity(train: DataFrame, test: DataFrame, k: float = 1.0) -> DataFrame:
-    """(n, loss, perplexity) of an add-k bigram model on test pairs.
+    return tagged_perplexity(tagged(train, test), k)
+
+
+def tagged_perplexity(pairs: DataFrame, k: float = 1.0) -> DataFrame:
+    """(n, loss, perplexity) of an add-k bigram model on test pairs, from
+    tagged pairs.
 
     p(w2|w1) = (c(w1,w2) + k) / (c(w1) + k V), V being the number of distinct
     words of the training pairs.
@@ -79,8 +84,7 @@ def perplexity(train: DataFrame, test: DataFrame, k: float = 1.0) -> DataFrame:
     zero = F.lit(0).cast("long")
     # Everything comes from one aggregate over both parts, stored once.
     by_pair = cut(
-        tagged(train, test)
-        .groupBy("w1", "w2")
+        pairs.groupBy("w1", "w2")
         .agg(F.sum("in_train").alias("a"), F.sum("in_test").alias("b"))
     )
     # Pairs whose first word and training count agree have the same

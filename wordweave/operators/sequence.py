@@ -89,12 +89,13 @@ def placed(stored: DataFrame, order: Sequence[str], size: str, head: str) -> Dat
     )
 
 
-def outlines(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys..., digest, n, first, last) of every unit, made in one pass over
-    the texts and stored: all that positions and borders need."""
+def outlines(sequence: DataFrame, keys: Sequence[str], *others: str) -> DataFrame:
+    """(keys..., others..., digest, n, first, last) of every unit, made in one
+    pass over the texts and stored: all that positions and borders need."""
     return cut(
         sequence.select(
             *keys,
+            *others,
             "digest",
             F.size("items").cast("long").alias("n"),
             F.get("items", F.lit(0)).alias("first"),
@@ -145,6 +146,24 @@ def flat_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def parted_pairs(sequence: DataFrame, keys: Sequence[str], part: str) -> DataFrame:
+    """(part, w1, w2): ``flat_pairs`` of several parts of a corpus at once.
+
+    ``part`` is a column of numbers below 16. Each part is a sequence of its
+    own; all are read in the same two passes.
+    """
+    inside = sequence.select(part, F.inline(tx.adjacent(F.col("items"))))
+    outline = outlines(sequence, keys, part)
+    # The part leads the digest, so the units of a part lie together.
+    in_parts = outline.withColumn("digest", F.concat(F.lower(F.hex(part)), "digest")).withColumn(
+        "_head", F.struct("first", part)
+    )
+    across = placed(in_parts, keys, "n", "_head").where(F.col(f"following.{part}") == F.col(part))
+    return inside.unionByName(
+        across.select(part, F.col("last").alias("w1"), F.col("following.first").alias("w2"))
+    )
+
+
 def indexed_pairs(sequence: DataFrame, keys: Sequence[str], outline: DataFrame | None = None) -> DataFrame:
     """(pos, w1, w2): every word with its position and the word after it;
     ``w2`` is NULL for the last word of the sequence."""

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordweave.functions import seeded
 from wordweave.functions import text as tx
 from wordweave.functions.lexicon import DEFAULT_LEXICON
 from wordweave.operators import evaluate as ev
@@ -412,30 +413,37 @@ def holdout_shuffled_negative(spark, d):
     return _rounded_coverage(_shuffled_parts(_negative(spark, d), LINE))
 
 
-def _document_parts(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Flat pairs of the training and of the test documents."""
-    docs = tables.documents(spark, d)
-    part = sa.hash_split(F.col("doc_id"), SEED, SPLIT)
-    return tuple(
-        sq.flat_pairs(sq.units(docs.where(part == name), ["doc_id"]), ["doc_id"])
-        for name in ("train", "test")
+def _document_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Flat pairs of the training (0) and of the test documents (1)."""
+    docs = tables.documents(spark, d).withColumn("name", sa.hash_split(F.col("doc_id"), SEED, SPLIT))
+    held = docs.where(F.col("name").isin("train", "test"))
+    parted = held.withColumn("part", (F.col("name") == "test").cast("int"))
+    items = sq.units(parted, ["doc_id", "part"]).withColumn("digest", seeded.digest(F.col("doc_id")))
+    return sq.parted_pairs(items, ["doc_id"], "part")
+
+
+def _tagged_parts(spark: SparkSession, d: str) -> DataFrame:
+    in_test = F.col("part").cast("long")
+    return _document_parts(spark, d).select(
+        "w1", "w2", (1 - in_test).alias("in_train"), in_test.alias("in_test")
     )
 
 
 @query
 def holdout_documents(spark, d):
-    return _rounded_coverage(ev.tagged(*_document_parts(spark, d)))
+    return _rounded_coverage(_tagged_parts(spark, d))
 
 
 @query
 def holdout_seen_pairs(spark, d):
-    train, test = _document_parts(spark, d)
-    return ev.seen_pairs(train, tr.pair_counts(test))
+    pairs = cut(_document_parts(spark, d).groupBy("part", "w1", "w2").agg(F.count("*").alias("cnt")))
+    test = pairs.where(F.col("part") == 1).drop("part")
+    return ev.seen_pairs(pairs.where(F.col("part") == 0), test)
 
 
 @query
 def bigram_perplexity(spark, d):
-    return _round(ev.perplexity(*_document_parts(spark, d)), "loss", "perplexity")
+    return _round(ev.tagged_perplexity(_tagged_parts(spark, d)), "loss", "perplexity")
 
 
 # Language-model data
