@@ -1,6 +1,7 @@
 import pytest
 
 from wordweave.functions.lexicon import Lexicon
+from wordweave.functions.scoring import Modifiers
 from wordweave.operators import evaluate as ev
 from wordweave.operators import sentiment as st
 
@@ -93,3 +94,35 @@ def test_scoring_does_not_shuffle(texts):
 def test_lexicon_terms_are_rated_once():
     with pytest.raises(ValueError):
         Lexicon.from_rows([("a", 1, 1), ("a", 2, 1)])
+
+
+def total_of(compound):
+    """The total behind a compound score."""
+    return compound * (15 / (1 - compound**2)) ** 0.5
+
+
+@pytest.mark.parametrize(
+    "text, rules, total",
+    [
+        ("a best day", {}, 3.0),
+        ("not the best day", {"negation": True}, 3.0 * -0.74),
+        ("not that it was best", {"negation": True}, 3.0),
+        ("very nice", {"boosters": True}, 2.293),
+        ("very much nice", {"boosters": True}, 2 + 0.293 * 0.95),
+        ("slightly worthless", {"boosters": True}, -2 + 0.293),
+        ("a BEST day", {"capitals": True}, 3.733),
+        ("A BEST DAY", {"capitals": True}, 3.0),
+        ("nice!!", {"exclamation": True}, 2 + 2 * 0.292),
+        ("idiot!!!!!!", {"exclamation": True}, -2 - 4 * 0.292),
+        ("nice but worthless", {"but": True}, 2 * 0.5 - 2 * 1.5),
+        ("nice idiot", {"but": True}, 0.0),
+        ("not very nice!", {"negation": True, "boosters": True, "exclamation": True}, 2.293 * -0.74 - 0.292),
+        ("", {"negation": True, "but": True, "exclamation": True}, 0.0),
+    ],
+)
+def test_modifiers(spark, text, rules, total):
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    scored = st.valence(frame, LEX, modifiers=Modifiers(**rules)).first()
+    assert total_of(scored.compound) == pytest.approx(total, abs=2e-3)
+    if not rules:
+        assert scored == st.valence(frame, LEX).first()

@@ -2,15 +2,106 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from wordweave.functions import text as tx
 from wordweave.functions.lexicon import Lexicon
 
 # Fixed value: the published normalisation constant of the valence score.
 ALPHA = 15.0
 
 
+# The published constants of the score modifiers.
+NEGATED, BOOSTED, CAPITALS, EXCLAIMED, MOST_EXCLAIMED = -0.74, 0.293, 0.733, 0.292, 4
+FADING = (1.0, 0.95, 0.9)
+BEFORE_BUT, AFTER_BUT = 0.5, 1.5
+
+# Words that modify, in the normal form of terms.
+NEGATIONS = frozenset(
+    "aint arent cannot cant couldnt didnt doesnt dont hadnt hasnt havent isnt neither never no nobody "
+    "none nor not nothing nowhere rarely seldom shouldnt wasnt werent without wont wouldnt".split()
+)
+BOOSTERS = frozenset(
+    "absolutely completely deeply especially exceptionally extremely greatly highly incredibly "
+    "intensely particularly purely quite really remarkably so thoroughly totally truly very".split()
+)
+DAMPENERS = frozenset("almost barely hardly kinda less little marginally partly scarcely slightly somewhat sortof".split())
+
+
+@dataclass(frozen=True)
+class Modifiers:
+    """Which rules change the rating of a term; all off by default.
+
+    negation: one of the three terms before is a negation. boosters: one of
+    them strengthens or weakens, less with distance. capitals: the word is in
+    capitals and the text is not. exclamation: up to four exclamation marks
+    add to the total. but: ratings before the last "but" count half, those
+    after it one and a half times.
+    """
+
+    negation: bool = False
+    boosters: bool = False
+    capitals: bool = False
+    exclamation: bool = False
+    but: bool = False
+
+    def __bool__(self) -> bool:
+        return any((self.negation, self.boosters, self.capitals, self.exclamation, self.but))
+
+
+ALL_MODIFIERS = Modifiers(True, True, True, True, True)
+
+
+def _in(term: Column, group: frozenset[str]) -> Column:
+    return F.coalesce(term.isin(sorted(group)), F.lit(False))
+
+
+def modified_hits(text: Column, lexicon: Lexicon, modifiers: Modifiers) -> Column:
+    """Valences of the rated terms of a text after the chosen rules."""
+    raw = F.filter(tx.words(text), lambda w: F.regexp_replace(w, r"[^\p{L}]", "") != "")
+    terms = F.transform(raw, lambda w: F.lower(F.regexp_replace(w, r"[^\p{L}]", "")))
+    shouted = F.transform(raw, lambda w: (F.upper(w) == w) & (F.lower(w) != w))
+    mixed = F.exists(shouted, lambda s: s) & ~F.forall(shouted, lambda s: s)
+    last_but = F.size(terms) - F.array_position(F.reverse(terms), "but")  # its place if there is one
+
+    def rated(pair: Column, at: Column) -> Column:
+        term = pair["term"]
+        value = F.coalesce(F.get(lexicon.hits(F.array(term), "valence"), F.lit(0)), F.lit(0.0))
+        sign = F.signum(value)
+        if modifiers.capitals:
+            value = F.when(mixed & pair["loud"], value + sign * CAPITALS).otherwise(value)
+        for back, fading in enumerate(FADING, 1):
+            before = F.when(at >= back, F.get(terms, at - back))
+            if modifiers.boosters:
+                step = sign * (BOOSTED * fading)
+                value = F.when(_in(before, BOOSTERS), value + step).when(
+                    _in(before, DAMPENERS), value - step
+                ).otherwise(value)
+        if modifiers.negation:
+            near = F.lit(False)
+            for back in range(1, len(FADING) + 1):
+                near = near | _in(F.when(at >= back, F.get(terms, at - back)), NEGATIONS)
+            value = F.when(near, value * NEGATED).otherwise(value)
+        if modifiers.but:
+            value = F.when(
+                F.array_contains(terms, "but"),
+                value * F.when(at < last_but, BEFORE_BUT).when(at > last_but, AFTER_BUT).otherwise(1.0),
+            ).otherwise(value)
+        return F.when(sign != 0, value).otherwise(0.0)
+
+    pairs = F.zip_with(terms, shouted, lambda t, s: F.struct(t.alias("term"), s.alias("loud")))
+    return F.filter(F.transform(pairs, rated), lambda v: v != 0)
+
+
+def exclaimed(text: Column, total: Column) -> Column:
+    """The total after exclamation marks, which strengthen it."""
+    marks = F.least(F.length(text) - F.length(F.replace(text, F.lit("!"), F.lit(""))), F.lit(MOST_EXCLAIMED))
+    return total + F.signum(total) * marks * EXCLAIMED
+
+
 def compound(total: Column) -> Column:
     return F.round(total / F.sqrt(total * total + F.lit(ALPHA)), 4)
 
@@ -30,7 +121,7 @@ def shares(total: Column, positive: Column, negative: Column, neutral: Column) -
     ]
 
 
-def valence_sums(terms: Column, lexicon: Lexicon) -> Column:
+def valence_sums(hits: Column) -> Column:
     """Struct of the sums behind the valence score, one pass over the hits."""
     zero = F.lit(0.0)
     start = F.struct(
@@ -45,7 +136,7 @@ def valence_sums(terms: Column, lexicon: Lexicon) -> Column:
             (acc["hits"] + F.when(v != 0, 1.0).otherwise(0.0)).alias("hits"),
         )
 
-    return F.aggregate(lexicon.hits(terms, "valence"), start, add)
+    return F.aggregate(hits, start, add)
 
 
 def mean_polarity(terms: Column, lexicon: Lexicon) -> Column:

@@ -14,10 +14,12 @@ from pyspark.sql import functions as F
 from wordweave.functions import scoring
 from wordweave.functions import text as tx
 from wordweave.functions.lexicon import DEFAULT_LEXICON, Lexicon
+from wordweave.functions.scoring import Modifiers
 
 # A term is spread over so many groups when lines meet a lexicon table.
 SALTS = 16
 
+NO_MODIFIERS = Modifiers()
 VALENCE = "valence"
 POLARITY = "polarity"
 
@@ -50,15 +52,20 @@ def _hits(lines: DataFrame, lexicon: DataFrame, keys: list[str], rating: str) ->
 
 
 def valence(
-    lines: DataFrame, lexicon: Lexicon | DataFrame = DEFAULT_LEXICON, keys: list[str] | None = None
+    lines: DataFrame,
+    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON,
+    keys: list[str] | None = None,
+    modifiers: Modifiers = NO_MODIFIERS,
 ) -> DataFrame:
-    """Adds neg, neu, pos and compound.
+    """Adds neg, neu, pos and compound. ``modifiers`` need a ``Lexicon``.
 
     The scores leave through a generator: a later filter on them stays above
     it, where a plain projection would be repeated inside the filter.
     """
     split = lines.withColumn("_terms", tx.terms(F.col("text")))
     if isinstance(lexicon, DataFrame):
+        if modifiers:
+            raise ValueError("modifiers are for inline lexicons")
         keys = _keys(lines, keys)
         v = F.col("_rating")
         sums = _hits(lines, lexicon, keys, "valence").groupBy(*keys).agg(
@@ -72,9 +79,15 @@ def valence(
             "_s", F.struct(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
         )
     else:
-        summed = split.withColumn("_s", scoring.valence_sums(F.col("_terms"), lexicon))
+        hits = (
+            scoring.modified_hits(F.col("text"), lexicon, modifiers)
+            if modifiers
+            else lexicon.hits(F.col("_terms"), "valence")
+        )
+        summed = split.withColumn("_s", scoring.valence_sums(hits))
     s, n = F.col("_s"), F.size("_terms").cast("double")
-    scores = scoring.shares(s["total"], s["positive"], s["negative"], n - s["hits"])
+    total = scoring.exclaimed(F.col("text"), s["total"]) if modifiers.exclamation else s["total"]
+    scores = scoring.shares(total, s["positive"], s["negative"], n - s["hits"])
     return summed.select(*lines.columns, F.inline(F.array(F.struct(*scores))))
 
 
