@@ -1,22 +1,27 @@
 """Exact duplicates: a tree merge of sorted digest runs.
 
-Every partition of the scan makes one run: its digests, each once, with the
-smallest id and the number of rows. Runs then exchange in binomial rounds. In a
-round, ``FAN_OUT`` neighbouring runs meet; each hands over one part of the
-digest range per partner, so that the number of runs and the share of the
-digest range a run covers both shrink by ``FAN_OUT``. After the last round a
-run holds one part of the range from all partitions: the rows of one task stay
-the same at every level, and no task sees everything. A digest copied a million
-times is one row per run from the start.
-
-Merging compares SHA-256, length and a second, independent hash of the text at
-every level; entries that do not agree in all three are not merged.
+Every partition of the scan sorts its digests and folds equal ones into one
+entry: a run with each digest once, its smallest id and the number of rows.
+Runs then exchange in binomial rounds. In a round, ``FAN_OUT`` neighbouring
+runs meet; each hands over one part of its digest range per partner, so that
+the number of runs and the share of the digest range a run covers both shrink
+by ``FAN_OUT``. What meets is merged in digest order and folded again. After the
+last round a run holds one part of the range from all partitions: the entries
+of one task stay the same at every level, and no task sees everything. A digest
+copied a million times is one entry per run from the start.
+
+Folding compares SHA-256, length and a second, independent hash of the text at
+every level; entries that do not agree in all three stay apart.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import count
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,33 +49,66 @@ def digests(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     )
 
 
-def _part(sha: Column, level: int) -> Column:
-    """The part of the digest range after ``level`` rounds: its first digits."""
-    return F.substring(sha, 1, level * FAN_BITS // 4)
-
-
-def merged_runs(runs: DataFrame) -> DataFrame:
-    """(sha, length, check, keep_id, group_size) from (doc_id, sha, length,
-    check, run)."""
-    partitions = 1 + (runs.agg(F.max("run")).first()[0] or 0)
-    same = ["sha", "length", "check"]
-    level = runs.select(*same, "run", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
-    merge = (F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+SAME = ["sha", "length", "check"]
+ENTRY = ["part", "run", *SAME, "keep_id", "group_size"]
+
+
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Entries in order -> one per run and digest: the first id, which is the
+    smallest, and the sum of the sizes. The last entry of a batch waits for the
+    next one."""
+    held = []
+    for batch in batches:
+        table = pa.Table.from_batches([*held, batch]).combine_chunks()
+        if not table.num_rows:
+            continue
+        new = np.ones(table.num_rows, bool)
+        for name in ENTRY[:-2]:
+            values = table.column(name)
+            differs = pc.not_equal(values[1:], values[:-1]).to_numpy()
+            new[1:] = differs if name == ENTRY[0] else new[1:] | differs
+        starts = np.flatnonzero(new)
+        sizes = np.add.reduceat(table.column("group_size").to_numpy(), starts)
+        folded = table.drop_columns("group_size").take(pa.array(starts))
+        folded = folded.append_column("group_size", pa.array(sizes)).combine_chunks()
+        *_, last = done = folded.to_batches()
+        yield from done[:-1]
+        yield last[:-1]
+        held = [last[-1:]]
+    yield from held
+
+
+def _runs(entries: DataFrame) -> DataFrame:
+    """Sort the entries of every run in its partition and fold them."""
+    in_order = entries.select(*ENTRY).sortWithinPartitions(
+        "part", "run", *SAME, F.col("keep_id").asc_nulls_last()
+    )
+    kind = dict(entries.dtypes)
+    return in_order.mapInArrow(_folded, ", ".join(f"{c} {kind[c]}" for c in ENTRY))
+
+
+def merged_runs(rows: DataFrame) -> DataFrame:
+    """(sha, length, check, keep_id, group_size) from stored rows (doc_id, sha,
+    length, check, run), where a run lies in one partition."""
+    partitions = 1 + (rows.agg(F.max("run")).first()[0] or 0)
+    level = _runs(
+        rows.select(
+            F.lit("").alias("part"),
+            "run",
+            *SAME,
+            F.col("doc_id").alias("keep_id"),
+            F.lit(1).cast("long").alias("group_size"),
+        )
+    )
     rounds = 1
     while FAN_OUT**rounds < partitions:
         rounds += 1
     # After the last round every ``run`` is 0: one entry per digest.
     for k in range(1, rounds + 1):
-        level = (
-            level.withColumns(
-                {"part": _part(F.col("sha"), k), "run": F.shiftright("run", FAN_BITS)}
-            )
-            # Spark merges inside each task before it sends anything, so the
-            # first round turns partitions into runs.
-            .groupBy("part", "run", *same)
-            .agg(*merge)
-        )
-    return level.select(*same, "keep_id", "group_size")
+        part = F.substring("sha", 1, k * FAN_BITS // 4)
+        moved = level.withColumns({"part": part, "run": F.shiftright("run", FAN_BITS)})
+        level = _runs(moved.repartition("part", "run"))
+    return level.select(*SAME, "keep_id", "group_size")
 
 
 def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
