@@ -45,18 +45,25 @@ def skewed(spark):
     return spark.createDataFrame(rows, "w1 string, w2 string, cnt long")
 
 
-def test_one_order_for_every_word(spark):
-    """A word of 5 and one of 5,000 successors follow the same rule, and the
-    end comes last."""
+@pytest.mark.parametrize("together, few", [(20_000, 1000), (100, 1000), (100, 0), (0, 1000)])
+def test_one_order_for_every_word(spark, monkeypatch, together, few):
+    """A word of 5 and one of 5,000 successors follow the same rule however
+    the work is laid out, and the end comes last."""
+    monkeypatch.setattr(tr, "TOGETHER", together)
+    monkeypatch.setattr(tr, "FEW", few)
     rows = [("few", f"w{i}", 1) for i in range(4)] + [("many", f"w{i}", 2) for i in range(4999)]
     rows += [("few", "", 3), ("many", "", 3)]
     counts = spark.createDataFrame(rows, "w1 string, w2 string, cnt long")
-    by_word = defaultdict(list)
+    by_word, spans, totals = defaultdict(list), defaultdict(list), {}
     for r in tr.with_intervals(counts).collect():
         by_word[r.w1].append((r.lo, r.w2))
+        spans[r.w1].append((r.lo, r.hi))
+        totals[r.w1] = r.tot
+        assert r.n == {"few": 5, "many": 5000}[r.w1]
     for word in by_word:
         got = [w for _, w in sorted(by_word[word])]
         assert got == sorted(got, key=lambda w: (w == "", hashlib.md5(w.encode()).hexdigest(), w))
+        assert sum(r[1] - r[0] for r in spans[word]) == totals[word]
 
 
 def test_intervals_tile_without_gap(skewed):

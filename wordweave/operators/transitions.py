@@ -14,6 +14,10 @@ from wordweave.session import cut
 # Average number of candidates a walking path compares per step.
 BUCKET_ROWS = 64
 
+# Successors of a word up to which one task lays them out, and how many words
+# with more a broadcast may name (256 rows each). Neither changes a result.
+TOGETHER, FEW = 20_000, 1_000
+
 # No (word, part) gets more than about one in so many of all draws.
 SPREAD = 1024
 
@@ -60,19 +64,17 @@ def population_starts(pairs: DataFrame) -> DataFrame:
 
 
 def running_weights(
-    frame: DataFrame, keys: list[str], items: list[str], weight: str, digits: int, last: Column | None = None
+    frame: DataFrame, keys: list[str], items: list[str], weight: str, digits: int
 ) -> DataFrame:
     """Adds ``lo``, ``hi``, ``tot`` and ``n``: the rows of a key tile [0, tot)
-    in the order of a digest of their items, ``n`` is their number. Rows with
-    ``last`` come after all others of their key.
+    in the order of a digest of their items, ``n`` is their number.
 
     A key may own any part of all rows. Its rows are summed up inside shards,
     which are told by the first ``digits`` digits of the digest, and then over
     its shards, so no task holds all rows of a key. The order does not depend
     on the number of digits.
     """
-    digest = seeded.digest(*[F.col(i) for i in items])
-    order = digest if last is None else F.when(last, "~").otherwise(digest)
+    order = seeded.digest(*[F.col(i) for i in items])
     # The explicit repartition keeps the shuffle of the rows apart from that of
     # the sums, which follows the keys alone.
     sharded = (
@@ -102,14 +104,61 @@ def running_weights(
     )
 
 
-def with_intervals(counts: DataFrame, weight: str = "cnt") -> DataFrame:
+def with_intervals(counts: DataFrame, weight: str = "cnt", sizes: DataFrame | None = None) -> DataFrame:
     """Adds ``lo``, ``hi``, ``tot`` and ``n``: the successors of a word tile
     [0, tot), the end of the sentence last, the others by digest.
 
     With the end last, the first part of the same intervals serves draws that
-    must not meet the end. ``counts`` is read twice and should be stored.
+    must not meet the end. ``counts`` is read more than once and should be
+    stored; stored ``sizes`` (w1, n) are given if they are known.
+
+    The order is the same for every word. Only the work is laid out by size: a
+    word with very many successors is summed up in digest shards in several
+    tasks and then over its shards.
     """
-    return running_weights(counts, ["w1"], ["w2"], weight, 2, F.col("w2") == tx.END)
+    if sizes is None:
+        sizes = cut(counts.groupBy("w1").agg(F.count("*").alias("n")))
+    large = sizes.where(F.col("n") > TOGETHER).select("w1", F.lit(True).alias("_large"))
+    few = large.count() <= FEW
+
+    def small(side: DataFrame) -> DataFrame:
+        """A side with at most 256 rows per large word."""
+        return F.broadcast(side) if few else side
+
+    order = F.when(F.col("w2") == tx.END, "~").otherwise(seeded.digest(F.col("w2")))
+    marked = counts.join(small(large), "w1", "left").withColumn("_order", order)
+    shard = F.substring("_order", 1, 2)
+    sharded = marked.withColumn("_shard", F.when(F.col("_large"), shard).otherwise("")).repartition("w1", "_shard")
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy("w1", "_shard")
+    local = sharded.withColumns(
+        {
+            "_upto": F.sum(weight).over(group.orderBy("_order", "w2").rowsBetween(*upto)),
+            "_sum": F.sum(weight).over(group),
+            "_rows": F.count("*").over(group),
+        }
+    )
+    shards = (
+        marked.where(F.col("_large"))
+        .groupBy("w1", shard.alias("_shard"))
+        .agg(F.sum(weight).alias("_part"), F.count("*").alias("_count"))
+    )
+    word = Window.partitionBy("w1")
+    before = shards.select(
+        "w1",
+        "_shard",
+        (F.sum("_part").over(word.orderBy("_shard").rowsBetween(*upto)) - F.col("_part")).alias("_before"),
+        F.sum("_part").over(word).alias("_tot"),
+        F.sum("_count").over(word).alias("_n"),
+    )
+    end = F.coalesce("_before", F.lit(0)) + F.col("_upto")
+    return local.join(small(before), ["w1", "_shard"], "left").select(
+        *counts.columns,
+        (end - F.col(weight)).alias("lo"),
+        end.alias("hi"),
+        F.coalesce("_tot", "_sum").alias("tot"),
+        F.coalesce("_n", "_rows").alias("n"),
+    )
 
 
 def transitions(lines: DataFrame) -> DataFrame:
@@ -152,11 +201,12 @@ def bucketed(intervals: DataFrame, everything: Column) -> DataFrame:
 
 
 def word_totals(counts: DataFrame, everything: Column, weight: str = "cnt") -> DataFrame:
-    """(cur, tot, open, width): what a path needs to draw at a word; ``open``
+    """(cur, n, tot, open, width): the number of successors and what a path needs to draw at a word; ``open``
     is the total without the end."""
     total = F.sum(weight)
     ends = F.sum(F.when(F.col("w2") == tx.END, F.col(weight)).otherwise(0))
     return counts.groupBy(F.col("w1").alias("cur")).agg(
+        F.count("*").alias("n"),
         total.alias("tot"),
         (total - ends).alias("open"),
         part_width(total, F.count("*"), everything).alias("width"),

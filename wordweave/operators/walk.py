@@ -33,8 +33,9 @@ class Chain:
     def __init__(self, counts: DataFrame, scratch: Scratch, weight: str = "cnt"):
         rows, total = counts.agg(F.count("*"), F.sum(weight)).first()
         everything = F.lit(total or 1)
-        self.totals = scratch.keep(tr.word_totals(counts, everything, weight))
-        intervals = tr.with_intervals(counts, weight=weight)
+        totals = scratch.keep(tr.word_totals(counts, everything, weight))
+        self.totals = totals.drop("n")
+        intervals = tr.with_intervals(counts, weight, totals.select(F.col("cur").alias("w1"), "n"))
         self.table = scratch.colocated(
             tr.step_table(intervals, self.totals, everything), rows, "w1", "bucket"
         )
