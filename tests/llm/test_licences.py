@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from wordweave.llm import licences
+from wordweave.llm import licences, queries
 
 NOTICES = {
     "Licensed under the Apache License, Version 2.0": "apache",
@@ -78,3 +78,22 @@ def test_odd_rows(odd, no_rows, spark):
     assert sorted((r.doc_id or 0, r.paragraph, r.family) for r in found.collect()) == [
         (0, 0, "apache"), (1, 1, "mit"), (1, 1, "mit")
     ]
+
+
+def test_reserved_lines_of_the_whole_table(spark, small):
+    """The query also finds every line that only reserves all rights."""
+    theirs = set()
+    for r in small["documents"].select("doc_id", "text").collect():
+        theirs |= {(r.doc_id, n) for n, line in enumerate(r.text.split("\n")) if line == "All rights reserved."}
+    rows = queries.op5_licences(spark, "/root/testdata/sf0.01").collect()
+    assert {(r.doc_id, r.paragraph) for r in rows if r.family == "proprietary"} == theirs
+    assert len(theirs) > 3
+
+
+@pytest.mark.parametrize("text", [t for t in OTHERS if "reserved" not in t])
+def test_other_paragraphs_beside_reservations(text):
+    model = licences.Classifier(["Some plain line of text.", "Und noch eine Zeile mit Text."], reserved=True)
+    found = model.judge(licences.words_of(text))
+    assert found is None or found[2] < licences.CONFIRMED
+    found = model.judge(licences.words_of("All rights reserved."))
+    assert found and found[0] == "proprietary" and found[2] == 1.0

@@ -97,6 +97,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
 UNKNOWN = "unknown"
 FAMILIES = sorted(TEMPLATES)
 
+# The bare reservation, by family: a notice only where the caller says so.
+RESERVED = {"proprietary": ("All rights reserved.",)}
+
 # Words that tell nothing about licences.
 PLAIN = frozenset(
     "a all and any are as at be by can form found found from if in is it kind may means no not of on "
@@ -135,15 +138,18 @@ def tells(gram: str) -> bool:
 
 class Classifier:
     """The trained model: ``weights`` has a row per n-gram, one for the share
-    of words outside all of them, and one for the bias."""
+    of words outside all of them, and one for the bias. ``reserved`` adds the
+    bare reservation to the templates."""
 
-    def __init__(self, background: list[str]):
-        grams = sorted({g for ts in TEMPLATES.values() for t in ts for g in ngrams(words_of(t)) if tells(g)})
+    def __init__(self, background: list[str], reserved: bool = False):
+        self.reserved = reserved
+        self.texts = {f: TEMPLATES[f] + (RESERVED.get(f, ()) if reserved else ()) for f in FAMILIES}
+        grams = sorted({g for ts in self.texts.values() for t in ts for g in ngrams(words_of(t)) if tells(g)})
         self.index = {g: i for i, g in enumerate(grams)}
         self.telling = {g for g in grams if " " not in g}
         self.classes = [*FAMILIES, UNKNOWN]
         self.templates = [
-            [{g for g in ngrams(words_of(t), 2) if " " in g} for t in TEMPLATES[f]] for f in FAMILIES
+            [{g for g in ngrams(words_of(t), 2) if " " in g} for t in self.texts[f]] for f in FAMILIES
         ]
         self.weights = np.zeros((len(grams) + 2, len(self.classes)))
         self.temperature = 1.0
@@ -165,7 +171,7 @@ class Classifier:
         usual = [w for t in background for w in words_of(t)] or ["text"]
         rows, labels = [], []
         for number, family in enumerate(FAMILIES):
-            for text in TEMPLATES[family]:
+            for text in self.texts[family]:
                 words = words_of(text)
                 for _ in range(VARIANTS):
                     kept = [w for w in words if draw.random() > 0.04] or words
@@ -186,6 +192,7 @@ class Classifier:
                 "the license plate of the car", "free software for everyone", "all rights reserved",
                 "permission to land was granted", "public domain", "version 3 was released",
             )
+            if not (self.reserved and t == "all rights reserved")
             for _ in range(VARIANTS // 2)
         ]
         rows += [self.row(w) for w in other]
@@ -263,7 +270,7 @@ class _Scan:
         return {"found": pa.array(rows, kind)}
 
 
-def background(docs: DataFrame, doc_id: str, text: str) -> list[str]:
+def background(docs: DataFrame, doc_id: str, text: str, reserved: bool = False) -> list[str]:
     """Paragraphs of a bounded sample that look like no template."""
     chosen = (
         docs.select(F.col(doc_id).alias("_chosen"))
@@ -279,7 +286,8 @@ def background(docs: DataFrame, doc_id: str, text: str) -> list[str]:
         .limit(2 * BACKGROUND_ROWS)
         .collect()
     )
-    known = [{g for g in ngrams(words_of(t), 2) if " " in g and tells(g)} for ts in TEMPLATES.values() for t in ts]
+    texts = [t for ts in (*TEMPLATES.values(), *(RESERVED.values() if reserved else ())) for t in ts]
+    known = [{g for g in ngrams(words_of(t), 2) if " " in g and tells(g)} for t in texts]
 
     def like_a_template(line: str) -> bool:
         pairs = ngrams(words_of(line), 2)
@@ -288,7 +296,9 @@ def background(docs: DataFrame, doc_id: str, text: str) -> list[str]:
     return sorted({line for r in rows for line in r.lines or [] if line and not like_a_template(line)})
 
 
-def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def licences(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reserved: bool = False
+) -> DataFrame:
     """(doc_id, paragraph, family, probability, likeness, confirmed): one row
     per paragraph that is a licence notice.
 
@@ -298,9 +308,10 @@ def licences(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
     confirmed. NULL and empty texts have no rows. Repeated rows give their rows
     each. An empty table gives no rows; other columns are not read. Of equal
     probabilities the family later in order of name counts for a long line.
+    With ``reserved`` a bare "All rights reserved." is a proprietary notice.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    model = Classifier(background(plain, "doc_id", "text"))
+    model = Classifier(background(plain, "doc_id", "text", reserved), reserved)
     found = text_map(
         plain,
         ["doc_id"],

@@ -59,7 +59,7 @@ def op4_pieces(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_licences(spark: SparkSession, folder: str) -> DataFrame:
-    found = licences.licences(table(spark, folder, "documents"))
+    found = licences.licences(table(spark, folder, "documents"), reserved=True)
     return found.where("confirmed")
 
 
