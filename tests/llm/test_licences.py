@@ -1,6 +1,7 @@
 """Licence notices: held-out variants, odd rows, agreement with a plain scan."""
 
 import re
+import textwrap
 
 import pytest
 
@@ -97,3 +98,24 @@ def test_other_paragraphs_beside_reservations(text):
     assert found is None or found[2] < licences.CONFIRMED
     found = model.judge(licences.words_of("All rights reserved."))
     assert found and found[0] == "proprietary" and found[2] == 1.0
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "REM "])
+@pytest.mark.parametrize("width", [80, 60, 40])
+def test_wrapped_notices(width, mark):
+    """Every template, wrapped, is one notice at its first line, however often."""
+    model = licences.Classifier(["Some plain line of text.", "Und noch eine Zeile mit Text."], reserved=True)
+    for family, texts in model.texts.items():
+        for text in texts:
+            lines = [mark + x for x in textwrap.wrap(text, width, break_on_hyphens=False)]
+            for begin in ([], ["A heading", mark]):
+                for times in (1, 2):
+                    found = [f for f in model.scan("\n".join([*begin, *lines * times])) if f[3] >= licences.CONFIRMED]
+                    starts = [len(begin) + i * len(lines) for i in range(times)]
+                    assert [(f[0], f[1]) for f in found] == [(n, family) for n in starts], (text, found)
+
+
+def test_lines_of_no_notice(model):
+    text = "Permission is hereby\n\ngranted, free of charge, to any person\n\nobtaining a copy of this software"
+    assert not [f for f in model.scan(text) if f[3] >= licences.CONFIRMED]
+    assert not [f for f in model.scan("\n".join(OTHERS)) if f[3] >= licences.CONFIRMED]

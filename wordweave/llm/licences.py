@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -111,6 +113,9 @@ PLAIN = frozenset(
 # Longest n-gram; words of a window when a line is longer, and its step.
 GRAMS, SPAN, STEP = 3, 96, 48
 
+# Comment marks that are words, where lines next to each other begin with one.
+MARKS = frozenset(("rem", "dnl"))
+
 # Background paragraphs: at most so many rows of the corpus, chosen by a hash
 # of the id, and so many lines of each.
 BACKGROUND_ROWS, LINES_OF_EACH = 400, 4
@@ -151,6 +156,13 @@ class Classifier:
         self.templates = [
             [{g for g in ngrams(words_of(t), 2) if " " in g} for t in self.texts[f]] for f in FAMILIES
         ]
+        self.own, self.pairs = {}, {}
+        for number, family in enumerate(self.templates):
+            for place, template in enumerate(family):
+                for pair in template:
+                    self.own.setdefault(pair, set()).add(number)
+                    self.pairs.setdefault(pair, []).append((number, place))
+        self.own = {pair for pair, families in self.own.items() if len(families) == 1}
         self.weights = np.zeros((len(grams) + 2, len(self.classes)))
         self.temperature = 1.0
         self._train(background)
@@ -240,13 +252,91 @@ class Classifier:
         alike = max(len(t & pairs) / len(t) for t in self.templates[best])
         return self.classes[best], float(p[best]), alike
 
-    def scan(self, text: str) -> Iterator[tuple[int, str, float, float]]:
-        """(line, family, probability, likeness) of every notice; of a long
-        line the most probable window counts."""
-        if self.telling.isdisjoint(words_of(text)):
+    def spans(self, words: list[str]) -> Iterator[tuple[int, int, int, int, float]]:
+        """(pairs of words, family's number, begin, end, likeness) of the places
+        that hold enough of a template, each as short as can be; one template's
+        do not overlap. A pair that only this family has must be there."""
+        hits: dict[tuple[int, int], list[tuple[int, str]]] = {}
+        for at, pair in enumerate(map(" ".join, zip(words, words[1:]))):
+            for key in self.pairs.get(pair, ()):
+                hits.setdefault(key, []).append((at, pair))
+        for (family, place), found in sorted(hits.items()):
+            pairs = len(self.templates[family][place])
+            need, reach = CONFIRMED * pairs, pairs + pairs // 2 + 8
+            if len({p for _, p in found}) < need:
+                continue
+            best, first, last = None, 0, 0
+            held: Counter[str] = Counter()
+            while last < len(found) or best:
+                if best and (last == len(found) or found[last][0] >= best[1] + reach):
+                    yield best[0], family, *best[1:], best[0] / pairs
+                    # On with what follows it.
+                    first = last = bisect_left(found, (best[2] - 1,))
+                    best = None
+                    held.clear()
+                    continue
+                at, pair = found[last]
+                last += 1
+                held[pair] += 1
+                while at - found[first][0] >= reach or held[found[first][1]] > 1:
+                    held[found[first][1]] -= 1
+                    if not held[found[first][1]]:
+                        del held[found[first][1]]
+                    first += 1
+                if len(held) >= need and len(held) > (best or [0])[0] and not self.own.isdisjoint(held):
+                    best = len(held), found[first][0], at + 2
+
+    def wrapped(self, lines: list[list[str]]) -> Iterator[tuple[int, int, str, float, float]]:
+        """(first line, last line, family, probability, likeness) of confirmed
+        notices in a block of lines."""
+        words = [w for line in lines for w in line]
+        if self.telling.isdisjoint(words):
             return
-        for number, line in enumerate(re.split(r"\r\n|\r|\n", text)):
-            words = words_of(line)
+        of = [n for n, line in enumerate(lines) for _ in line]
+        taken: dict[int, list[tuple[int, int]]] = {}
+        for _, family, begin, end, alike in sorted(self.spans(words), reverse=True):
+            if of[begin] == of[end - 1] or any(begin < e and b < end for b, e in taken.get(family, ())):
+                continue
+            # As many words around it as the template has more.
+            more = round(len(words[begin:end]) * (1 / alike - 1)) + 1 if alike < 1 else 0
+            p = self.probabilities(words[max(0, begin - more) : end + more])
+            if p.argmax() == family and p[family] >= PROBABLE:
+                taken.setdefault(family, []).append((begin, end))
+                yield of[begin], of[end - 1], self.classes[family], float(p[family]), alike
+
+    def scan(self, text: str) -> list[tuple[int, str, float, float]]:
+        """(line, family, probability, likeness) of every notice, one per line
+        and family, by line: single lines, and blocks of lines up to one
+        without words, which count at the notice's first line."""
+        words = words_of(text)
+        if self.telling.isdisjoint(words):
+            return []
+        lines = [words_of(line) for line in re.split(r"\r\n|\r|\n", text)]
+        found = {(f[0], f[1]): f for f in self.lines(lines)}
+        marks = [None, *(w[0] if w and w[0] in MARKS else None for w in lines), None]
+        lines = [
+            w[1:] if marks[n] and marks[n] in (marks[n - 1], marks[n + 1]) else w for n, w in enumerate(lines, 1)
+        ]
+        begin = 0
+        for number in range(len(lines) + 1):
+            if number < len(lines) and lines[number]:
+                continue
+            if number > begin:
+                for first, last, family, probability, alike in self.wrapped(lines[begin:number]):
+                    first, last = first + begin, last + begin
+                    inside = [found[n, family] for n in range(first, last + 1) if (n, family) in found]
+                    if any(f[3] >= CONFIRMED for f in inside):
+                        continue  # the notice of that line
+                    for f in inside:
+                        del found[f[:2]]
+                    found[first, family] = first, family, probability, alike
+            begin = number + 1
+        return sorted(found.values())
+
+    def lines(self, lines: list[list[str]]) -> Iterator[tuple[int, str, float, float]]:
+        """The notices of single lines; of a long line the most probable
+        window counts."""
+        for number, words in enumerate(lines):
             if self.telling.isdisjoint(words):
                 continue
             spans = range(0, max(1, len(words) - SPAN + STEP), STEP) if len(words) > SPAN else [0]
@@ -302,7 +392,10 @@ def licences(
     """(doc_id, paragraph, family, probability, likeness, confirmed): one row
     per paragraph that is a licence notice.
 
-    A paragraph is a line, numbered from 0; lines end with \\n, \\r or both.
+    A paragraph is a line, numbered from 0; lines end with \\n, \\r or both. A
+    confirmed notice that runs over several lines, up to one without words,
+    counts at its first line; a line in it that is confirmed as the same family
+    by itself counts instead.
     ``likeness`` is the share of a template's word pairs that the paragraph
     holds, for the family's best template; from 0.6 on the prediction is
     confirmed. NULL and empty texts have no rows. Repeated rows give their rows
