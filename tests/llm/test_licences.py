@@ -119,3 +119,20 @@ def test_lines_of_no_notice(model):
     text = "Permission is hereby\n\ngranted, free of charge, to any person\n\nobtaining a copy of this software"
     assert not [f for f in model.scan(text) if f[3] >= licences.CONFIRMED]
     assert not [f for f in model.scan("\n".join(OTHERS)) if f[3] >= licences.CONFIRMED]
+
+
+SEVERAL = {
+    "Licensed under the MIT License or the Apache License, Version 2.0.": {"mit", "apache"},
+    "Licensed under the Apache License, Version 2.0, or released under the MIT License, at your option.": {"mit", "apache"},
+    "Licensed under the GNU General Public License, version 3, or the GNU Lesser General Public License, version 3.": {"gpl", "lgpl"},
+    licences.TEMPLATES["mit"][0] + " word" * 3000 + " " + licences.TEMPLATES["apache"][0]: {"mit", "apache"},
+    " ".join(t[0] for t in licences.TEMPLATES.values()): set(licences.TEMPLATES),
+    licences.TEMPLATES["agpl"][0]: {"agpl"},
+    "Licensed under CC BY-SA 4.0.": {"cc-by-sa"},
+}
+
+
+@pytest.mark.parametrize("text", SEVERAL)
+def test_several_families_in_one_line(model, text):
+    found = [f for f in model.scan(text) if f[3] >= licences.CONFIRMED]
+    assert sorted((f[0], f[1]) for f in found) == sorted((0, f) for f in SEVERAL[text])

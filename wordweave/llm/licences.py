@@ -286,23 +286,40 @@ class Classifier:
                 if len(held) >= need and len(held) > (best or [0])[0] and not self.own.isdisjoint(held):
                     best = len(held), found[first][0], at + 2
 
-    def wrapped(self, lines: list[list[str]]) -> Iterator[tuple[int, int, str, float, float]]:
-        """(first line, last line, family, probability, likeness) of confirmed
-        notices in a block of lines."""
+    def block(self, lines: list[list[str]]) -> Iterator[tuple[int, int, str, float, float]]:
+        """(first line, last line, family, probability, likeness) of all
+        confirmed notices in a block of lines.
+
+        A place is judged with the words around it; if it tells of another
+        family, once more without the notices that were found in it."""
         words = [w for line in lines for w in line]
         if self.telling.isdisjoint(words):
             return
         of = [n for n, line in enumerate(lines) for _ in line]
-        taken: dict[int, list[tuple[int, int]]] = {}
-        for _, family, begin, end, alike in sorted(self.spans(words), reverse=True):
-            if of[begin] == of[end - 1] or any(begin < e and b < end for b, e in taken.get(family, ())):
-                continue
-            # As many words around it as the template has more.
-            more = round(len(words[begin:end]) * (1 / alike - 1)) + 1 if alike < 1 else 0
-            p = self.probabilities(words[max(0, begin - more) : end + more])
-            if p.argmax() == family and p[family] >= PROBABLE:
-                taken.setdefault(family, []).append((begin, end))
-                yield of[begin], of[end - 1], self.classes[family], float(p[family]), alike
+        taken: dict[int, int] = {}  # bits of the families found at a word
+        open_places = sorted(self.spans(words), reverse=True)
+        for again in (False, True):
+            others, left = dict(taken), []
+            for place in open_places:
+                _, family, begin, end, alike = place
+                if any(taken.get(i, 0) >> family & 1 for i in range(begin, end)):
+                    continue
+                # As many words around it as the template has more.
+                more = round((end - begin) * (1 / alike - 1)) + 1 if alike < 1 else 0
+                judged = range(max(0, begin - more), min(len(words), end + more))
+                if again:
+                    judged = [i for i in judged if i not in others]
+                    rest = [f"{words[i]} {words[j]}" for i, j in zip(judged, judged[1:]) if j == i + 1]
+                    if not any(p in self.own and self.pairs[p][0][0] == family for p in rest):
+                        continue
+                p = self.probabilities([words[i] for i in judged])
+                if p.argmax() == family and p[family] >= PROBABLE:
+                    for i in range(begin, end):
+                        taken[i] = taken.get(i, 0) | 1 << family
+                    yield of[begin], of[end - 1], self.classes[family], float(p[family]), alike
+                else:
+                    left.append(place)
+            open_places = left
 
     def scan(self, text: str) -> list[tuple[int, str, float, float]]:
         """(line, family, probability, likeness) of every notice, one per line
@@ -322,7 +339,7 @@ class Classifier:
             if number < len(lines) and lines[number]:
                 continue
             if number > begin:
-                for first, last, family, probability, alike in self.wrapped(lines[begin:number]):
+                for first, last, family, probability, alike in self.block(lines[begin:number]):
                     first, last = first + begin, last + begin
                     inside = [found[n, family] for n in range(first, last + 1) if (n, family) in found]
                     if any(f[3] >= CONFIRMED for f in inside):
@@ -334,15 +351,15 @@ class Classifier:
         return sorted(found.values())
 
     def lines(self, lines: list[list[str]]) -> Iterator[tuple[int, str, float, float]]:
-        """The notices of single lines; of a long line the most probable
-        window counts."""
+        """The notices of single lines, confirmed or not, one per family and
+        line: of its windows the most probable one."""
         for number, words in enumerate(lines):
             if self.telling.isdisjoint(words):
                 continue
             spans = range(0, max(1, len(words) - SPAN + STEP), STEP) if len(words) > SPAN else [0]
             found = [f for at in spans if (f := self.judge(words[at : at + SPAN]))]
-            if found:
-                yield number, *max(found, key=lambda f: (f[2] >= CONFIRMED, f[1], f[0]))
+            for family in sorted({f[0] for f in found}):
+                yield number, *max((f for f in found if f[0] == family), key=lambda f: (f[2] >= CONFIRMED, f[1]))
 
 
 class _Scan:
@@ -390,7 +407,7 @@ def licences(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", reserved: bool = False
 ) -> DataFrame:
     """(doc_id, paragraph, family, probability, likeness, confirmed): one row
-    per paragraph that is a licence notice.
+    per paragraph and family of a licence notice in it.
 
     A paragraph is a line, numbered from 0; lines end with \\n, \\r or both. A
     confirmed notice that runs over several lines, up to one without words,
@@ -399,8 +416,7 @@ def licences(
     ``likeness`` is the share of a template's word pairs that the paragraph
     holds, for the family's best template; from 0.6 on the prediction is
     confirmed. NULL and empty texts have no rows. Repeated rows give their rows
-    each. An empty table gives no rows; other columns are not read. Of equal
-    probabilities the family later in order of name counts for a long line.
+    each. An empty table gives no rows; other columns are not read.
     With ``reserved`` a bare "All rights reserved." is a proprietary notice.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
