@@ -105,3 +105,30 @@ def test_odd_rows(odd, no_rows, spark):
 def test_an_item_many_times_in_one_text(spark, copies):
     rows = found(spark, [(1, "\n".join([ITEM, "other words in between"] * copies))])
     assert rows[1, 1][0] == rows[1, 1][1]
+
+
+PEARS = "A farmer packs 3 apples and 4 pears into every box that goes to the market, how many fruits are in it"
+TWINS = "A farmer packs 2 apples and later on during the same long day 2 pears into every box that goes to the market"
+ROAD = "walked along the road and did not say a word about it to anyone who came by"
+LONG = f"On that day Peter {ROAD} and then the others {ROAD} before somebody told Peter of it"
+
+
+@pytest.mark.parametrize(
+    ("item", "text"),
+    [
+        (PEARS, PEARS.replace("3", "5").replace("4", "5")),
+        (PEARS.replace("4", "3"), PEARS.replace("4", "8")),
+        (TWINS, TWINS.replace("2 apples", "3 apples").replace("2 pears", "5 pears")),
+        (LONG, LONG.replace("told Peter", "told Oscar")),
+        (LONG, LONG.replace("day Peter", "day Oscar")),
+    ],
+)
+def test_values_that_meet_or_part(spark, item, text):
+    windows, of, exact = found(spark, [(1, text)], [(1, item)])[1, 1]
+    assert contamination.ALIGNED <= windows <= of and not exact
+
+
+def test_names_that_part_need_equal_windows(spark):
+    item = "so Anna gave it to Peter and then Peter took it to Anna"
+    assert not found(spark, [(1, "so Anna gave it to Oscar and then Clara took it to Anna")], [(1, item)])
+    assert found(spark, [(1, "so Anna gave it to Oscar and then Oscar took it to Anna")], [(1, item)])

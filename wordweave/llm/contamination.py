@@ -6,10 +6,12 @@ number <unit>, and a capitalised word inside a sentence <name>. Windows of
 ``WINDOW`` template words are hashed; a document's windows that a fixed-size
 bitmap of the benchmark's windows may hold are joined with the benchmark's on
 the hash and on the template itself. Windows that lie on one diagonal of a
-document and an item form an alignment; the slots of an alignment have to be
-filled consistently: one value of the item for one value of the document, and
-the other way round. So a question with exchanged parameters is found, and a
-text that merely has the same shape is not.
+document and an item form an alignment. A name of the item has to stand for one
+name of the document in all of it, a number or unit for one value in every
+window that counts; two values of the item may become one. So a question with
+exchanged parameters is found, and a text that merely has the same shape is not.
+Where names do not agree, the windows count whose slots all have the item's own
+values or that have none.
 """
 
 from __future__ import annotations
@@ -37,6 +39,9 @@ MAP_BITS = 24
 
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
+# No other value begins with it.
+AT = "@"
+
 # Units of measure and money, singular and plural.
 UNITS = frozenset(
     "mm cm m km inch inches foot feet yard yards mile miles meter meters metre metres "
@@ -55,7 +60,7 @@ Word = tuple[int, str, str | None, bool]
 
 class _Forms(dict):
     """Raw word -> (code, template, slot value, is a slot) by its look alone,
-    for a word inside a sentence; bounded."""
+    for a word inside a sentence; bounded. Values of names begin with @."""
 
     KEPT = 300_000
 
@@ -69,7 +74,7 @@ class _Forms(dict):
             start = _form(low, None)
             # At the start of a sentence a capital says nothing.
             named = word[:1].isupper() and word[1:].islower()
-            inside = _form(NAME, low) if named else start
+            inside = _form(NAME, AT + low) if named else start
         made = (inside, start, raw.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":"))
         if len(self) > self.KEPT:
             self.clear()
@@ -213,9 +218,9 @@ def contaminated(
 ) -> DataFrame:
     """(doc_id, item_id, windows, of, exact): which documents hold which items.
 
-    ``windows`` of the item's ``of`` windows lie on the best alignment, whose
-    slots are consistent; ``exact`` says that all slot values are the item's
-    own. NULL and empty texts hold nothing; items without enough literal words
+    ``windows`` of the item's ``of`` windows lie on the best alignment and are
+    filled consistently; ``exact`` says that all slot values of the alignment
+    are the item's own. NULL and empty texts hold nothing; items without enough literal words
     are in nothing. Repeated rows give one row; rows without an id give none
     of their own but one with a NULL id. Of equally good alignments an exact
     one counts. Empty tables give no rows; other columns are not read.
@@ -236,19 +241,30 @@ def contaminated(
             lambda s: s["theirs"].isNotNull(),
         ).alias("slots"),
     )
-    # The windows of an alignment are at most those of its item.
-    aligned = pairs.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.count_distinct("_pos").alias("windows"),
-        F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"),
+    theirs, ours = (lambda s: s["theirs"]), (lambda s: s["ours"])
+    # Slots of one window: an item's value stands for one value.
+    one = F.size(F.array_distinct(F.transform("slots", theirs))) == F.size(F.array_distinct("slots"))
+    windows = pairs.select(
+        "doc_id",
+        "item_id",
+        "diagonal",
+        F.when(one, F.col("_pos")).alias("_one"),
+        F.when(F.forall("slots", lambda s: theirs(s) == ours(s)), F.col("_pos")).alias("_same"),
+        F.forall("slots", lambda s: theirs(s) == ours(s)).alias("_exact"),
+        F.array_distinct(F.filter("slots", lambda s: theirs(s).startswith(AT))).alias("_names"),
     )
-    filled = F.size("slots")
-    consistent = (F.size(F.array_distinct(F.col("slots.theirs"))) == filled) & (
-        F.size(F.array_distinct(F.col("slots.ours"))) == filled
+    # The windows of an alignment are at most those of its item.
+    aligned = windows.groupBy("doc_id", "item_id", "diagonal").agg(
+        F.size(F.collect_set("_one")).alias("_one"),
+        F.size(F.collect_set("_same")).alias("_same"),
+        F.bool_and("_exact").alias("exact"),
+        F.array_distinct(F.flatten(F.collect_set("_names"))).alias("_names"),
     )
+    named = F.size(F.array_distinct(F.transform("_names", theirs))) == F.size("_names")
     lengths = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("of"))
     found = (
-        aligned.where(consistent)
-        .withColumn("exact", F.forall("slots", lambda s: s["theirs"] == s["ours"]))
+        aligned.withColumn("windows", F.when(named, F.col("_one")).otherwise(F.col("_same")))
+        .where(F.col("windows") > 0)
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("windows", "exact")).alias("_best"))
         .select("doc_id", "item_id", "_best.windows", "_best.exact")
