@@ -132,3 +132,25 @@ def test_names_that_part_need_equal_windows(spark):
     item = "so Anna gave it to Peter and then Peter took it to Anna"
     assert not found(spark, [(1, "so Anna gave it to Oscar and then Clara took it to Anna")], [(1, item)])
     assert found(spark, [(1, "so Anna gave it to Oscar and then Oscar took it to Anna")], [(1, item)])
+
+
+@pytest.mark.parametrize(
+    "item",
+    ["What is 17 times 23?", "Compute 12 + 15 - 3", "Peter Anna Oscar Clara", "12 34 56", "3 km 4 km 5 km 6 km 7 km 8 km 9 km"],
+)
+def test_items_of_few_literal_words(spark, item):
+    other = re.sub("Anna", "Paul", re.sub(r"\d+", "77", item))
+    rows = found(spark, [(1, item), (2, f"and so {item.lower()} is here"), (3, other), (4, "17 12 3 km")], [(1, item)])
+    assert set(rows) == {(1, 1), (2, 1)}
+    assert all(windows == of and exact for windows, of, exact in rows.values())
+
+
+def test_dense_stretch_of_a_longer_item(spark):
+    dense = "1 2 3 4 5 6 7 8 9 10 11 12 13"
+    item = "The first numbers that a child learns to count with are " + dense
+    assert found(spark, [(1, dense), (2, dense.replace("7", "70"))], [(1, item)]).keys() == {(1, 1)}
+
+
+def test_plain_windows_ask_no_more_of_others(spark):
+    item = "tell me now please whether 5 7 9 11 8 13"
+    assert found(spark, [(1, item.replace("9", "6").replace("13", "14"))], [(1, item)])

@@ -11,7 +11,8 @@ name of the document in all of it, a number or unit for one value in every
 window that counts; two values of the item may become one. So a question with
 exchanged parameters is found, and a text that merely has the same shape is not.
 Where names do not agree, the windows count whose slots all have the item's own
-values or that have none.
+values or that have none. Windows of an item with too few literal words are
+looked for as plain words.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from wordweave.session import cut
 
 WINDOW = 8
 
-# Literal words a window needs, and windows an alignment needs (a short item:
+# Literal words a window needs to match with other values, and windows an alignment needs (a short item:
 # all it has). Items under ``WINDOW`` words are one window of their own length.
 LITERALS, ALIGNED = 4, 3
 
@@ -39,8 +40,8 @@ MAP_BITS = 24
 
 NUMBER, NAME, UNIT = "<number>", "<name>", "<unit>"
 
-# No other value begins with it.
-AT = "@"
+# No other value begins with it; no other window with PLAIN, one of plain words.
+AT, PLAIN = "@", "="
 
 # Units of measure and money, singular and plural.
 UNITS = frozenset(
@@ -55,11 +56,11 @@ UNITS = frozenset(
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”‘’«»…–—¿¡"
 DIGIT = re.compile(r"\d")
 
-Word = tuple[int, str, str | None, bool]
+Word = tuple[int, str, str | None, int]
 
 
 class _Forms(dict):
-    """Raw word -> (code, template, slot value, is a slot) by its look alone,
+    """Raw word -> (code, template, slot value, plain code) by its look alone,
     for a word inside a sentence; bounded. Values of names begin with @."""
 
     KEPT = 300_000
@@ -69,12 +70,12 @@ class _Forms(dict):
         word = raw.strip(EDGES)
         low = word.lower()
         if DIGIT.search(word):
-            inside = start = _form(NUMBER, low)
+            inside = start = _form(NUMBER, low, low)
         else:
-            start = _form(low, None)
+            start = _form(low, None, low)
             # At the start of a sentence a capital says nothing.
             named = word[:1].isupper() and word[1:].islower()
-            inside = _form(NAME, AT + low) if named else start
+            inside = _form(NAME, AT + low, low) if named else start
         made = (inside, start, raw.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":"))
         if len(self) > self.KEPT:
             self.clear()
@@ -82,23 +83,24 @@ class _Forms(dict):
         return made
 
 
-def _form(template: str, value: str | None) -> Word:
+def _form(template: str, value: str | None, word: str) -> Word:
     code = xxhash.xxh64_intdigest(template.encode())
-    return code, template, value, value is not None
+    return code, template, value, xxhash.xxh64_intdigest(word.encode())
 
 
-UNIT_CODE = _form(UNIT, "")[0]
+UNIT_CODE = _form(UNIT, "", "")[0]
 
 
-def template(text: str, forms: _Forms) -> tuple[list[int], list[str], list[str | None]]:
-    """Codes, template words and slot values (None for a literal)."""
-    codes, words, values = [], [], []
+def template(text: str, forms: _Forms) -> tuple[list[int], list[str], list[str | None], list[int]]:
+    """Codes, template words, slot values (None for a literal) and codes of the
+    plain words."""
+    codes, words, values, plain = [], [], [], []
     begins = after_number = False
     for line in text.splitlines():
         begins = True
         for raw in line.split():
             inside, start, ends = forms[raw]
-            code, word, value, _ = start if begins else inside
+            code, word, value, own = start if begins else inside
             begins = ends
             if not word:
                 continue  # punctuation alone
@@ -108,7 +110,12 @@ def template(text: str, forms: _Forms) -> tuple[list[int], list[str], list[str |
             codes.append(code)
             words.append(word)
             values.append(value)
-    return codes, words, values
+            plain.append(own)
+    return codes, words, values, plain
+
+
+def plain_words(words: list[str], values: list[str | None]) -> str:
+    return PLAIN + " ".join(w if v is None else v.removeprefix(AT) for w, v in zip(words, values))
 
 
 # Odd multipliers of the window hash, one per place.
@@ -138,11 +145,15 @@ class _Windows:
     """Rows (id, text) -> windows (id, pos, hash, words, values, of).
 
     Documents: windows whose slot in the bitmap is set, of every size the
-    benchmark has. Items: all windows of the item's size, ``of`` of them.
+    benchmark has, and of ``plain`` sizes all windows as plain words too.
+    Items: all windows of the item's size, as plain words if they have too few
+    literal ones.
     """
 
-    def __init__(self, bitmap: np.ndarray | None = None, sizes: list[int] | None = None):
-        self.bitmap, self.sizes = bitmap, sizes
+    def __init__(
+        self, bitmap: np.ndarray | None = None, sizes: list[int] | None = None, plain: list[int] | None = None
+    ):
+        self.bitmap, self.sizes, self.plain = bitmap, sizes, plain
 
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = _Forms()
@@ -158,19 +169,35 @@ class _Windows:
             yield self.frame(batch, at, rows)
 
     def windows(self, text: str, forms: _Forms):
-        codes, words, values = template(text, forms)
-        hashed = np.array(codes, dtype=np.uint64)
-        sizes = self.sizes if self.sizes is not None else [min(WINDOW, len(codes))]
-        for size in sizes:
-            hashes = window_hashes(hashed, size) if size else np.empty(0, np.int64)
-            places = range(len(hashes))
-            if self.bitmap is not None:
-                slot = _slot(hashes)
-                places = np.flatnonzero(self.bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
-            for place in places:
+        codes, words, values, own = template(text, forms)
+        hashed, plain = np.array(codes, dtype=np.uint64), np.array(own, dtype=np.uint64)
+        if self.bitmap is None:
+            size = min(WINDOW, len(codes))
+            free = window_hashes(hashed, size) if size else ()
+            bound = ~window_hashes(plain, size) if size else ()
+            for place in range(len(free)):
+                slots, these = values[place : place + size], words[place : place + size]
+                if slots.count(None) >= min(LITERALS, size):
+                    yield place, int(free[place]), " ".join(these), slots, size
+                else:
+                    yield place, int(bound[place]), plain_words(these, slots), slots, size
+            return
+        for size in self.sizes:
+            hashes = window_hashes(hashed, size)
+            for place in self.known(hashes):
                 slots = values[place : place + size]
                 if slots.count(None) >= min(LITERALS, size):
                     yield int(place), int(hashes[place]), " ".join(words[place : place + size]), slots, size
+        for size in self.plain:
+            hashes = ~window_hashes(plain, size)
+            for place in self.known(hashes):
+                these = plain_words(words[place : place + size], values[place : place + size])
+                yield int(place), int(hashes[place]), these, [None] * size, size
+
+    def known(self, hashes: np.ndarray) -> np.ndarray:
+        """Places of the hashes that the bitmap may hold."""
+        slot = _slot(hashes)
+        return np.flatnonzero(self.bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
 
     @staticmethod
     def frame(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
@@ -220,26 +247,29 @@ def contaminated(
 
     ``windows`` of the item's ``of`` windows lie on the best alignment and are
     filled consistently; ``exact`` says that all slot values of the alignment
-    are the item's own. NULL and empty texts hold nothing; items without enough literal words
-    are in nothing. Repeated rows give one row; rows without an id give none
+    are the item's own. NULL and empty texts hold nothing, items without
+    a word are in nothing. Windows with too few literal words match as they are. Repeated rows give one row; rows without an id give none
     of their own but one with a NULL id. Of equally good alignments an exact
     one counts. Empty tables give no rows; other columns are not read.
     """
     items = cut(_windows(benchmark, item_id, text, _Windows()))
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # WINDOW at most
+    plain = F.col("words").startswith(PLAIN)
+    kinds = sorted(tuple(r) for r in items.select("size", plain).distinct().collect())  # 2 * WINDOW at most
+    sizes, plain_sizes = ([size for size, is_plain in kinds if is_plain == wanted] for wanted in (False, True))
     mine = items.select(
         F.col("id").alias("item_id"), F.col("pos").alias("_pos"), "hash", "words", F.col("values").alias("theirs")
     ).distinct()
-    seen = _windows(docs, doc_id, text, _Windows(_bitmap(items), sizes))
+    seen = _windows(docs, doc_id, text, _Windows(_bitmap(items), sizes, plain_sizes))
     pairs = seen.withColumnRenamed("values", "ours").join(mine, ["hash", "words"]).select(
         F.col("id").alias("doc_id"),
         "item_id",
         (F.col("pos") - F.col("_pos")).alias("diagonal"),
         "_pos",
         F.filter(
-            F.arrays_zip("theirs", "ours"),
+            F.arrays_zip("theirs", F.when(plain, F.col("theirs")).otherwise(F.col("ours")).alias("ours")),
             lambda s: s["theirs"].isNotNull(),
         ).alias("slots"),
+        plain.alias("_plain"),
     )
     theirs, ours = (lambda s: s["theirs"]), (lambda s: s["ours"])
     # Slots of one window: an item's value stands for one value.
@@ -251,27 +281,40 @@ def contaminated(
         F.when(one, F.col("_pos")).alias("_one"),
         F.when(F.forall("slots", lambda s: theirs(s) == ours(s)), F.col("_pos")).alias("_same"),
         F.forall("slots", lambda s: theirs(s) == ours(s)).alias("_exact"),
+        F.when(~F.col("_plain"), F.col("_pos")).alias("_free"),
         F.array_distinct(F.filter("slots", lambda s: theirs(s).startswith(AT))).alias("_names"),
     )
     # The windows of an alignment are at most those of its item.
     aligned = windows.groupBy("doc_id", "item_id", "diagonal").agg(
-        F.size(F.collect_set("_one")).alias("_one"),
-        F.size(F.collect_set("_same")).alias("_same"),
+        F.collect_set("_one").alias("_one"),
+        F.collect_set("_same").alias("_same"),
+        F.collect_set("_free").alias("_free"),
         F.bool_and("_exact").alias("exact"),
         F.array_distinct(F.flatten(F.collect_set("_names"))).alias("_names"),
     )
     named = F.size(F.array_distinct(F.transform("_names", theirs))) == F.size("_names")
-    lengths = items.groupBy(F.col("id").alias("item_id")).agg(F.count_distinct("pos").alias("of"))
-    found = (
-        aligned.withColumn("windows", F.when(named, F.col("_one")).otherwise(F.col("_same")))
-        .where(F.col("windows") > 0)
+    counted = aligned.withColumn("_counted", F.when(named, F.col("_one")).otherwise(F.col("_same"))).select(
+        "doc_id",
+        "item_id",
+        "exact",
+        F.size("_counted").alias("windows"),
+        F.size(F.array_intersect("_counted", "_free")).alias("_free"),
+    )
+    lengths = items.groupBy(F.col("id").alias("item_id")).agg(
+        F.count_distinct("pos").alias("of"), F.count_distinct(F.when(~plain, F.col("pos"))).alias("_of_free")
+    )
+    # Enough of all windows, or of those that match with other values.
+    enough = (F.col("windows") >= F.least(F.col("of"), F.lit(ALIGNED))) | (
+        (F.col("_of_free") > 0) & (F.col("_free") >= F.least(F.col("_of_free"), F.lit(ALIGNED)))
+    )
+    return (
+        counted.where(F.col("windows") > 0)
+        .join(lengths, "item_id")
+        .where(enough)
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("windows", "exact")).alias("_best"))
-        .select("doc_id", "item_id", "_best.windows", "_best.exact")
+        .agg(F.max(F.struct("windows", "exact")).alias("_best"), F.max("of").alias("of"))
+        .select("doc_id", "item_id", "_best.windows", "of", "_best.exact")
     )
-    return found.join(lengths, "item_id").where(
-        F.col("windows") >= F.least(F.col("of"), F.lit(ALIGNED))
-    ).select("doc_id", "item_id", "windows", "of", "exact")
 
 
 def decontaminated(
