@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wordweave.llm import (
+    alignment,
+    collocation,
     contamination,
     exact,
     langid,
+    lattice,
     licences,
     pieces,
     quality,
@@ -24,6 +27,7 @@ from wordweave.llm import (
 from wordweave.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 
 # The rules of the URL filter: verdict, host, path.
 URL_RULES = (
@@ -85,6 +89,21 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokencount.token_counts(docs, public_tokenizers.path(PIECE_MODEL))
 
 
+def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    both = public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL)
+    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    return alignment.aligned(docs, *both, results={"groups_sha256": groups})
+
+
+def op12_embeddings(spark: SparkSession, folder: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, folder, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return collocation.phrases(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -98,10 +117,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_language,
         op9_contamination,
         op10_token_counts,
+        op11_alignment,
+        op12_embeddings,
+        op13_phrases,
     )
 }
 
 ORACLE: dict[str, str] = {
     "op6_urls": sql.url_filter(URL_RULES),
     "op7_exact": sql.exact_duplicates(),
+    "op12_embeddings": sql.near_vectors(),
+    "op13_phrases": sql.phrases(),
 }

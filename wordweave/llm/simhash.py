@@ -17,7 +17,7 @@ Components come from randomised contraction of the links, in Spark.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -279,15 +279,16 @@ def links(nodes: DataFrame) -> DataFrame:
     return rows.mapInArrow(_links, "a bigint, b bigint")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for every node of the edges (a, b).
+def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(node, root) for every node of the edges (a, b). ``keep`` stores what
+    the rounds leave.
 
     Randomised contraction: each node points to the first of itself and its
     neighbours in an order that changes every two rounds, edges are moved to
     the nodes pointed to, and what is left is contracted again. A star is gone
     after two rounds, and any graph shrinks by a constant factor on average.
     """
-    edges = cut(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
+    edges = keep(edges.select("a", "b").where(F.col("a") != F.col("b")).distinct())
     rounds = []
     while not edges.isEmpty():
         turn = len(rounds) // 2 * 13 % 64
@@ -304,19 +305,19 @@ def components(edges: DataFrame) -> DataFrame:
 
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min(F.least(place(F.col("a")), place(F.col("b")))).alias("_p"))
-        points = cut(least.select(F.col("a").alias("node"), back(F.col("_p")).alias("root")))
+        points = keep(least.select(F.col("a").alias("node"), back(F.col("_p")).alias("root")))
         rounds.append(points)
         moved = edges.join(points.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(
             points.withColumnsRenamed({"node": "b", "root": "rb"}), "b"
         )
         moved = moved.where(F.col("ra") != F.col("rb"))
-        edges = cut(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
+        edges = keep(moved.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct())
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     roots = rounds[0]
     for points in rounds[1:]:
         later = points.select(F.col("node").alias("root"), F.col("root").alias("_later"))
-        roots = cut(
+        roots = keep(
             roots.join(later, "root", "left").select("node", F.coalesce("_later", "root").alias("root"))
         )
     return roots

@@ -106,3 +106,81 @@ least_score AS (
 SELECT page_id, host, path, rule,
   coalesce(decided, CASE WHEN score >= (SELECT t FROM least_score) THEN 'allow' ELSE 'block' END) AS verdict
 FROM ruled JOIN scores USING (address)"""
+
+
+def phrases(least: int = 10, share: int = 50, top: int = 2000) -> str:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+    unnest(string_split_regex(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+),
+split AS MATERIALIZED (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+),
+f1 AS MATERIALIZED (SELECT lang, p, count(*) AS f FROM (SELECT lang, unnest(w) AS p FROM split) GROUP BY ALL),
+f2 AS MATERIALIZED (
+  SELECT lang, p1, p2, count(*) AS f
+  FROM (SELECT lang, w[i] AS p1, w[i + 1] AS p2 FROM (SELECT lang, w, unnest(range(1, len(w))) AS i FROM split))
+  GROUP BY ALL HAVING count(*) >= {least}
+),
+f3 AS MATERIALIZED (
+  SELECT lang, p1, p2, p3, count(*) AS f
+  FROM (
+    SELECT lang, w[i] AS p1, w[i + 1] AS p2, w[i + 2] AS p3
+    FROM (SELECT lang, w, unnest(range(1, len(w) - 1)) AS i FROM split)
+  )
+  GROUP BY ALL HAVING count(*) >= {least}
+),
+taken AS (
+  SELECT lang, p1, p2, max(f) AS most
+  FROM (SELECT lang, p1, p2, f FROM f3 UNION ALL SELECT lang, p2, p3, f FROM f3) GROUP BY ALL
+),
+cuts AS (
+  SELECT x.lang, x.p1 || ' ' || x.p2 AS phrase, 1 AS k, x.f AS a, l.f AS l, r.f AS r
+  FROM f2 x JOIN f1 l ON l.lang = x.lang AND l.p = x.p1 JOIN f1 r ON r.lang = x.lang AND r.p = x.p2
+    LEFT JOIN taken t ON t.lang = x.lang AND t.p1 = x.p1 AND t.p2 = x.p2
+  WHERE t.most IS NULL OR 100 * t.most < {share} * x.f
+  UNION ALL
+  SELECT x.lang, x.p1 || ' ' || x.p2 || ' ' || x.p3, 1, x.f, l.f, r.f
+  FROM f3 x JOIN f1 l ON l.lang = x.lang AND l.p = x.p1
+    JOIN f2 r ON r.lang = x.lang AND r.p1 = x.p2 AND r.p2 = x.p3
+  UNION ALL
+  SELECT x.lang, x.p1 || ' ' || x.p2 || ' ' || x.p3, 2, x.f, l.f, r.f
+  FROM f3 x JOIN f2 l ON l.lang = x.lang AND l.p1 = x.p1 AND l.p2 = x.p2
+    JOIN f1 r ON r.lang = x.lang AND r.p = x.p3
+),
+scored AS (
+  SELECT *, ((1000000::HUGEINT * a * a) // (l::HUGEINT * r))::BIGINT AS score FROM cuts
+),
+lowest AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM lowest
+)
+SELECT lang, rank, phrase, a, l, r, n, score
+FROM ranked JOIN (SELECT lang, sum(f)::BIGINT AS n FROM f1 GROUP BY lang) USING (lang) WHERE rank <= {top}"""
+
+
+def near_vectors(linked: float = 0.98) -> str:
+    return f"""
+WITH RECURSIVE vectors AS MATERIALIZED (
+  SELECT row_number() OVER () AS i, vec_id, label, embedding::DOUBLE[] AS v,
+    label IS NOT NULL AND coalesce(len(embedding), 0) > 0
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+      AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS able
+  FROM embeddings
+),
+links AS MATERIALIZED (
+  SELECT a.i AS a, b.i AS b FROM vectors a JOIN vectors b ON a.label = b.label AND a.i <> b.i
+  WHERE a.able AND b.able AND CASE WHEN len(a.v) = len(b.v) THEN list_cosine_similarity(a.v, b.v) >= {linked} ELSE FALSE END
+),
+reached(a, b) AS (
+  SELECT i, i FROM vectors UNION SELECT r.a, l.b FROM reached r JOIN links l ON l.a = r.b
+),
+lowest AS (SELECT r.a, min(x.vec_id) AS component_id FROM reached r JOIN vectors x ON x.i = r.b GROUP BY r.a)
+SELECT vec_id, (SELECT count(*) FROM links WHERE links.a = vectors.i) AS n_links, component_id,
+  vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM vectors JOIN lowest ON lowest.a = vectors.i"""
