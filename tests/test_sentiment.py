@@ -126,3 +126,102 @@ def test_modifiers(spark, text, rules, total):
     assert total_of(scored.compound) == pytest.approx(total, abs=2e-3)
     if not rules:
         assert scored == st.valence(frame, LEX).first()
+
+
+def as_table(spark, lexicon):
+    return spark.createDataFrame(list(lexicon.entries), "term string, valence double, polarity double")
+
+
+def test_lines_of_a_table_need_no_key(spark, table):
+    """Repeated, NULL and no keys, repeated and NULL texts."""
+    rows = [(1, t) for t in [*TEXTS, None, "best day"]] + [(None, "worthless idiot"), (None, None), (2, "best day")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    lexicon = as_table(spark, LEX)
+    for lines in (frame, frame.select("text")):
+        for by_list, by_table in (
+            (st.valence(lines, LEX), st.valence(lines, lexicon)),
+            (st.polarity(lines, LEX), st.polarity(lines, lexicon)),
+            (st.polarity(lines, LEX, chunks=True), st.polarity(lines, lexicon, chunks=True)),
+            (ev.rescore(lines, 0.4, LEX), ev.rescore(lines, 0.4, lexicon)),
+        ):
+            got, want = (sorted(map(repr, f.collect())) for f in (by_table, by_list))
+            assert got == want and by_table.columns == by_list.columns
+    worst = st.valence(frame.select("text"), lexicon).where("text = 'worthless idiot'").collect()
+    assert [(r.neg, r.neu, r.pos, r.compound) for r in worst] == [(1.0, 0.0, 0.0, -0.7184)] * 2
+
+
+RULED = Lexicon.from_rows(
+    [
+        ("best", 3, 1.0), ("nice", 2, 0.6), ("idiot", -2, -1.0), ("bomb", -2, -0.5), ("bad", -2, -0.7),
+        ("the bomb", 3, 0.8), ("not the bomb", -1, -0.2), (":)", 2, 0.5), (":D", 2.5, 0.6), ("<3", 2, 0.5),
+    ]
+)
+
+
+@pytest.mark.parametrize(
+    "text, rules, total, words",
+    [
+        ("it is the bomb", {"idioms": True}, 3.0, [4.0, 2.0]),
+        ("it is the bomb", {}, -2.0, [-3.0, 3.0]),
+        ("not the bomb bomb", {"idioms": True}, -3.0, None),
+        ("the the bomb", {"idioms": True}, 3.0, None),
+        ("very the bomb", {"idioms": True, "boosters": True}, 3.293, None),
+        ("nice :)", {"emoticons": True}, 4.0, None),
+        ("nice :)", {}, 2.0, None),
+        (":D <3 -", {"emoticons": True}, 4.5, None),
+        ("not :)", {"emoticons": True, "negation": True}, 2 * -0.74, None),
+        ("BAD day the BOMB! but nice", {"idioms": True, "capitals": True, "but": True, "exclamation": True}, None, None),
+    ],
+)
+def test_idioms_and_emoticons(spark, text, rules, total, words):
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    rules = Modifiers(**rules)
+    inline = st.valence(frame, RULED, modifiers=rules).collect()
+    assert st.valence(frame, as_table(spark, RULED), modifiers=rules).collect() == inline
+    if total is not None:
+        assert total_of(inline[0].compound) == pytest.approx(total, abs=2e-3)
+    if words:
+        hit, neutral = words
+        whole = abs(hit) + neutral
+        share = inline[0].pos if hit > 0 else inline[0].neg
+        assert share == pytest.approx(abs(hit) / whole, abs=1e-3)
+
+
+def test_modifiers_are_the_same_by_table(spark):
+    texts = ["not the best day", "very nice", "slightly bad", "a BEST day", "nice!!", "nice but bad", "", "BAD bad"]
+    texts += ["never really very nice but hardly the best idiot!!!", "- not - nice -", "the bomb but not the bomb :)"]
+    frame = spark.createDataFrame([(t,) for t in texts * 2], "text string").repartition(2)
+    every = Modifiers(*[True] * 7)
+    inline, by_table = (st.valence(frame, x, modifiers=every) for x in (RULED, as_table(spark, RULED)))
+    assert sorted(map(tuple, by_table.collect())) == sorted(map(tuple, inline.collect()))
+
+
+@pytest.mark.parametrize(
+    "text, polarity",
+    [
+        ("nice", 0.6),
+        ("very nice", 0.6 * 1.3),
+        ("slightly nice", 0.6 * 0.7),
+        ("very very very best", 1.0),
+        ("not nice", -0.3),
+        ("not very nice", -0.5 / 1.3 * 0.6),
+        ("very not nice", -0.3),
+        ("not a nice", -0.3),
+        ("not one nice", 0.6),
+        ("not nice nice", 0.15),
+        ("very bad but nice", (-0.7 * 1.3 + 0.6) / 2),
+        ("not", 0.0),
+        ("", 0.0),
+    ],
+)
+def test_polarity_of_chunks(spark, text, polarity):
+    frame = spark.createDataFrame([(text,)], "text string")
+    for lexicon in (RULED, as_table(spark, RULED)):
+        assert st.polarity(frame, lexicon, chunks=True).first().polarity == pytest.approx(polarity)
+
+
+def test_a_table_is_joined_in_bounded_groups(spark, texts):
+    """Terms meet the table by term and salt; the lines are joined by the
+    digest of their text, which AQE may split."""
+    plan = st.valence(texts, as_table(spark, LEX))._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and "_text" in plan

@@ -151,3 +151,43 @@ def test_parts_are_sequences_of_their_own(spark):
         words = [w for k in sorted(own, key=lambda k: (digest(k), k)) for w in TEXTS[k].split()]
         want.update((part, *pair) for pair in zip(words, words[1:]))
     assert got == want
+
+
+def test_in_order_of_the_corpus(spark, items, monkeypatch, table):
+    words = [w for k in sorted(TEXTS) for w in TEXTS[k].split()]
+    for rows in (20_000, 2, 1):
+        monkeypatch.setattr(sq, "SHARD_ROWS", rows)
+        index = sq.word_index(items, ["doc_id"], in_order=True)
+        assert {r.pos: r.word for r in index.collect()} == dict(enumerate(words))
+        first = sq.first_words(items, ["doc_id"], 7, in_order=True)
+        assert {r.pos: r.word for r in first.collect()} == dict(enumerate(words[:7]))
+        assert Counter(table(sq.flat_pairs(items, ["doc_id"], in_order=True))) == Counter(zip(words, words[1:]))
+        pairs = sq.indexed_pairs(items, ["doc_id"], in_order=True)
+        assert sorted((r.pos, r.w1, r.w2) for r in pairs.collect()) == list(
+            zip(range(len(words)), words, [*words[1:], None])
+        )
+
+
+def test_lines_stay_together_in_order(spark, monkeypatch):
+    monkeypatch.setattr(sq, "SHARD_ROWS", 7)
+    keys = ["doc_id", "line_no"]
+    texts = {(d, i): f"{d}a{i} {d}b{i}" if (d + i) % 3 else "" for d in (3, 1, 20) for i in range(60)}
+    frame = spark.createDataFrame([(*k, t) for k, t in texts.items()], "doc_id long, line_no int, text string")
+    words = [w for k in sorted(texts) for w in texts[k].split()]
+    got = sq.word_index(sq.units(frame.repartition(5), keys), keys, in_order=True).orderBy("pos").collect()
+    assert [r.word for r in got] == words
+
+
+@pytest.mark.parametrize("rows", [20_000, 5, 1])
+def test_sums_over_shards_have_two_levels(spark, items, monkeypatch, rows):
+    """No window without a partition over more than the groups of shards."""
+    monkeypatch.setattr(sq, "SHARD_ROWS", rows)
+    assert {r.pos: r.word for r in sq.word_index(items, ["doc_id"]).collect()} == dict(enumerate(flat()))
+    once = sq.shuffled_words(items, ["doc_id"], 5).orderBy("pos").collect()
+    words = [r.word for r in once]
+    assert [r.pos for r in once] == list(range(len(words))) and [r.w2 for r in once] == [*words[1:], None]
+
+
+def test_no_rows_in_order(items):
+    assert sq.word_index(items.limit(0), ["doc_id"], in_order=True).collect() == []
+    assert sq.first_words(items.limit(0), ["doc_id"], 5).collect() == []

@@ -37,6 +37,11 @@ class Lexicon:
         at = {"valence": 1, "polarity": 2}[which]
         return {e[0]: e[at] for e in self.entries}
 
+    @property
+    def longest(self) -> int:
+        """Words of the longest entry."""
+        return max((len(t.split(" ")) for t, _, _ in self.entries), default=1)
+
     def hits(self, terms: Column, which: str) -> Column:
         """Ratings of the rated terms of an array, in array order.
 
@@ -46,18 +51,18 @@ class Lexicon:
         rated = self.ratings(which)
         if not rated:
             return F.array().cast("array<double>")
+        return F.transform(F.filter(terms, lambda t: t.isin(list(rated))), lambda t: self.rating(t, which))
+
+    def rating(self, term: Column, which: str) -> Column:
+        """The rating of a term, NULL without one."""
         groups = defaultdict(list)
-        for term, value in rated.items():
-            groups[value].append(term)
+        for entry, value in self.ratings(which).items():
+            groups[value].append(entry)
         ordered = sorted(groups.items(), key=lambda g: (-len(g[1]), g[0]))
-
-        def rating(term: Column) -> Column:
-            found = F.lit(None).cast("double")
-            for value, group in reversed(ordered):
-                found = F.when(term.isin(group), F.lit(value)).otherwise(found)
-            return found
-
-        return F.transform(F.filter(terms, lambda t: t.isin(list(rated))), rating)
+        found = F.lit(None).cast("double")
+        for value, group in reversed(ordered):
+            found = F.when(term.isin(group), F.lit(value)).otherwise(found)
+        return found
 
 
 # A small general-purpose lexicon rated by us.

@@ -1,14 +1,16 @@
 """Lexicon sentiment of lines, and filters on the scores.
 
 Every scorer takes a ``Lexicon``, which makes a map-only plan, or a lexicon
-table (term, valence, polarity) of any size, which is joined. With a table the
-lines are named by ``keys``, by default all columns but the text, and a term
-that the table rates more than once counts with its mean.
+table (term, valence, polarity) of any size, which is joined. A score depends on
+nothing but the text, so with a table rated terms are gathered by the digest of
+the text, with their places; lines need no key, and repeated ones cost little. A
+term that the table rates more than once counts with its mean. ``keys`` are not
+needed any more and change nothing.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordweave.functions import scoring
@@ -30,25 +32,47 @@ def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*others, F.posexplode(tx.lines(F.col(text))).alias("line_no", "text"))
 
 
-def _keys(lines: DataFrame, keys: list[str] | None) -> list[str]:
-    return list(keys) if keys is not None else [c for c in lines.columns if c != "text"]
-
-
-def _hits(lines: DataFrame, lexicon: DataFrame, keys: list[str], rating: str) -> DataFrame:
-    """(keys..., rating), one row per rated term of a line.
+def _places(lines: DataFrame, lexicon: DataFrame, terms: Column, which: str, longest: int) -> DataFrame:
+    """Adds ``_ratings``, the rated runs of ``terms`` (at, size, rating) in
+    order of place.
 
     A frequent term may own a large part of all rows, so terms meet the lexicon
-    in ``SALTS`` groups, chosen by the line. Spark broadcasts the table if it
-    is small by its own size check.
+    in ``SALTS`` groups, chosen by the text. Spark broadcasts the table if it
+    is small by its own size check. A text that very many lines share is
+    gathered once: its ratings are a set.
     """
-    salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
-    tokens = lines.select(*keys, salt.alias("_salt"), F.explode(tx.terms(F.col("text"))).alias("_term"))
+    named = lines.withColumn("_text", F.unhex(F.md5("text")))
+    salt = F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")
+    tokens = named.select("_text", salt.alias("_salt"), F.inline(scoring.grams(terms, longest)))
     rated = (
-        lexicon.groupBy(F.col("term").alias("_term"))
-        .agg(F.avg(rating).alias("_rating"))
+        lexicon.groupBy(F.col("term"))
+        .agg(F.avg(which).alias("rating"))
+        .where(F.col("rating").isNotNull())
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    return tokens.join(rated, ["_term", "_salt"]).select(*keys, "_rating")
+    gathered = (
+        tokens.join(rated, ["term", "_salt"])
+        .groupBy("_text")
+        .agg(F.collect_set(F.struct("at", "size", "rating")).alias("_found"))
+    )
+    none = F.array().cast("array<struct<at: int, size: int, rating: double>>")
+    found = F.coalesce("_found", none)
+    # Without a text there is nothing to find, and NULL joins with nothing.
+    return named.join(gathered, "_text", "left").select(
+        *lines.columns, scoring.apart(found, longest).alias("_ratings")
+    )
+
+
+def _longest(lexicon: Lexicon | DataFrame) -> int:
+    if isinstance(lexicon, Lexicon):
+        return lexicon.longest
+    return lexicon.agg(F.max(F.size(F.split("term", " ")))).first()[0] or 1
+
+
+def _computed(frame: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that leave through a generator: what uses them later uses
+    the value, where a plain projection would be computed again each time."""
+    return frame.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
 
 
 def valence(
@@ -57,51 +81,66 @@ def valence(
     keys: list[str] | None = None,
     modifiers: Modifiers = NO_MODIFIERS,
 ) -> DataFrame:
-    """Adds neg, neu, pos and compound. ``modifiers`` need a ``Lexicon``.
-
-    The scores leave through a generator: a later filter on them stays above
-    it, where a plain projection would be repeated inside the filter.
-    """
-    split = lines.withColumn("_terms", tx.terms(F.col("text")))
+    """Adds neg, neu, pos and compound. A NULL text scores like an empty one."""
+    text = F.coalesce("text", F.lit(""))
+    if modifiers:
+        summed = _by_rules(lines, text, lexicon, modifiers)
+    else:
+        terms = F.col("_forms")
+        split = lines.withColumn("_forms", tx.terms(text))
+        if isinstance(lexicon, DataFrame):
+            split = _places(split, lexicon, terms, "valence", 1)
+            values = F.transform("_ratings", lambda r: r["rating"])
+        else:
+            values = lexicon.hits(terms, "valence")
+        summed = split.withColumn("_s", scoring.valence_sums(scoring.unmodified(values)))
+    s, n = F.col("_s"), F.size("_forms").cast("double")
+    total = scoring.exclaimed(text, s["total"]) if modifiers.exclamation else s["total"]
+    scores = F.struct(*scoring.shares(total, s["positive"], s["negative"], n - s["hits"]))
+    # A later filter on the scores stays above the generator.
+    return summed.select(*lines.columns, F.inline(F.array(scores)))
+
+
+def _by_rules(lines: DataFrame, text: Column, lexicon: Lexicon | DataFrame, modifiers: Modifiers) -> DataFrame:
+    """Adds ``_forms`` and the sums ``_s`` after the chosen rules."""
+    longest = _longest(lexicon) if modifiers.idioms else 1
+    split = _computed(lines, _forms=scoring.forms(text, modifiers.emoticons))
+    split = _computed(
+        split,
+        _terms=F.transform("_forms", lambda f: f["term"]),
+        _around=scoring.surroundings(F.col("_forms")),
+    )
+    terms = F.col("_terms")
     if isinstance(lexicon, DataFrame):
-        if modifiers:
-            raise ValueError("modifiers are for inline lexicons")
-        keys = _keys(lines, keys)
-        v = F.col("_rating")
-        sums = _hits(lines, lexicon, keys, "valence").groupBy(*keys).agg(
-            F.sum(v).alias("total"),
-            F.sum(F.when(v > 0, v + 1).otherwise(0.0)).alias("positive"),
-            F.sum(F.when(v < 0, 1 - v).otherwise(0.0)).alias("negative"),
-            F.count_if(v != 0).cast("double").alias("hits"),
-        )
-        names = ("total", "positive", "negative", "hits")
-        summed = split.join(sums, keys, "left").withColumn(
-            "_s", F.struct(*[F.coalesce(n, F.lit(0.0)).alias(n) for n in names])
-        )
+        split = _places(split, lexicon, terms, "valence", longest)
     else:
-        hits = (
-            scoring.modified_hits(F.col("text"), lexicon, modifiers)
-            if modifiers
-            else lexicon.hits(F.col("_terms"), "valence")
-        )
-        summed = split.withColumn("_s", scoring.valence_sums(hits))
-    s, n = F.col("_s"), F.size("_terms").cast("double")
-    total = scoring.exclaimed(F.col("text"), s["total"]) if modifiers.exclamation else s["total"]
-    scores = scoring.shares(total, s["positive"], s["negative"], n - s["hits"])
-    return summed.select(*lines.columns, F.inline(F.array(F.struct(*scores))))
+        found = scoring.inline_ratings(terms, lexicon, "valence", longest)
+        split = _computed(split, _ratings=scoring.apart(found, longest))
+    hits = scoring.modified(F.col("_forms"), F.col("_around"), F.col("_ratings"), modifiers)
+    return _computed(split, _s=scoring.valence_sums(hits))
 
 
 def polarity(
-    lines: DataFrame, lexicon: Lexicon | DataFrame = DEFAULT_LEXICON, keys: list[str] | None = None
+    lines: DataFrame,
+    lexicon: Lexicon | DataFrame = DEFAULT_LEXICON,
+    keys: list[str] | None = None,
+    chunks: bool = False,
 ) -> DataFrame:
-    """Adds the mean polarity of the rated terms of the line."""
+    """Adds the mean polarity of the rated terms of the line; with ``chunks``
+    after the negations and intensifiers directly before them."""
+    split = lines.withColumn("_terms", tx.terms(F.coalesce("text", F.lit(""))))
+    terms = F.col("_terms")
     if isinstance(lexicon, DataFrame):
-        keys = _keys(lines, keys)
-        means = _hits(lines, lexicon, keys, "polarity").groupBy(*keys).agg(F.avg("_rating").alias("_mean"))
-        joined = lines.join(means, keys, "left")
-        return joined.select(*lines.columns, F.coalesce("_mean", F.lit(0.0)).alias("polarity"))
-    mean = scoring.mean_polarity(tx.terms(F.col("text")), lexicon)
-    return lines.select("*", F.inline(F.array(F.struct(mean.alias("polarity")))))
+        split = _places(split, lexicon, terms, "polarity", 1)
+        values = F.transform("_ratings", lambda r: r["rating"])
+    elif chunks:
+        split = _computed(lines, _terms=tx.terms(F.coalesce("text", F.lit(""))))
+        split = _computed(split, _ratings=scoring.inline_ratings(terms, lexicon, "polarity", 1))
+    else:
+        values = lexicon.hits(terms, "polarity")
+    if chunks:
+        values = scoring.chunk_polarities(terms, F.col("_ratings"))
+    return _computed(split, polarity=scoring.mean_polarity(values)).select(*lines.columns, "polarity")
 
 
 def sentiment(

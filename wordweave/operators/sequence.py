@@ -5,15 +5,19 @@ A *unit* is a row with key columns, which name it, and an array column
 units by the digest of their whole key and then by key. Shards, told by the
 leading digits of the digest, are even whatever the keys look like, also when
 one document owns most lines; positions come from a window inside each shard
-plus a running sum over the shards. The number of shards follows the number of
+plus running sums over the shards. The number of shards follows the number of
 rows, and the order does not depend on it.
+
+With ``in_order`` the sequence lists units in the order of their keys instead, as
+the corpus has them; shards are then ranges of the keys.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, sqrt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordweave.functions import seeded
@@ -46,33 +50,80 @@ def exploded(sequence: DataFrame, *keys: str) -> DataFrame:
     ).select(*keys, "i", "_item.word")
 
 
-def placed(stored: DataFrame, order: Sequence[str], size: str, head: str) -> DataFrame:
-    """Adds ``start``, the sum of ``size`` over all rows before a row in
-    (digest, order...) order, and ``following``, the head of the next row (NULL
-    for the last).
+# Rows of a shard, about.
+SHARD_ROWS = 20_000
+
+
+def _across(shards: DataFrame, upper: Column) -> DataFrame:
+    """(_shard, _before, _next) from (_shard, _total, _first): the sum before a
+    shard and the first row of the next.
 
-    Both come from one sort inside the shards; what lies beyond a shard is
-    joined from a table of one row per shard. ``stored`` is read more than
-    once.
+    ``upper`` names groups of neighbouring shards, about as many as a group has
+    members. Sums are made inside the groups and then over the groups, so that
+    no task holds more rows than about the square root of their number.
     """
-    digits = seeded.digits_for(stored.count())
-    sized = stored.withColumn("_shard", F.substring("digest", 1, digits))
-    inside = Window.partitionBy("_shard").orderBy("digest", *order)
     upto = (Window.unboundedPreceding, Window.currentRow)
-    # One row per shard, that is one per 20,000 rows or so.
-    in_order = Window.orderBy("_shard")
-    shards = (
-        sized.groupBy("_shard")
-        .agg(
-            F.sum(size).cast("long").alias("_total"),
-            F.min_by(head, F.struct("digest", *order)).alias("_first"),
-        )
+    group = Window.partitionBy("_upper").orderBy("_shard")
+    grouped = shards.withColumn("_upper", upper)
+    tops = Window.orderBy("_upper")
+    before = (
+        grouped.groupBy("_upper")
+        .agg(F.sum("_total").alias("_sum"), F.min_by("_first", "_shard").alias("_head"))
         .select(
-            "_shard",
-            (F.sum("_total").over(in_order.rowsBetween(*upto)) - F.col("_total")).alias("_before"),
-            F.lead("_first").over(in_order).alias("_next_shard"),
+            "_upper",
+            (F.sum("_sum").over(tops.rowsBetween(*upto)) - F.col("_sum")).alias("_base"),
+            F.lead("_head").over(tops).alias("_next_group"),
         )
     )
+    inside = grouped.select(
+        "_shard",
+        "_upper",
+        (F.sum("_total").over(group.rowsBetween(*upto)) - F.col("_total")).alias("_offset"),
+        F.lead("_first").over(group).alias("_next_shard"),
+    )
+    return inside.join(before, "_upper").select(
+        "_shard",
+        (F.col("_base") + F.col("_offset")).alias("_before"),
+        F.coalesce("_next_shard", "_next_group").alias("_next"),
+    )
+
+
+def ranged(stored: DataFrame, order: Sequence[str]) -> DataFrame:
+    """Rows in ranges of ``order``, stored with the number of their range as
+    ``_shard``. Ranges follow samples of the rows; the order within and over them
+    does not depend on where they are cut."""
+    parts = max(1, -(-stored.count() // SHARD_ROWS))
+    laid = stored.repartitionByRange(parts, *order).withColumn("_shard", F.spark_partition_id())
+    return cut(laid)
+
+
+def placed(
+    stored: DataFrame, order: Sequence[str], size: str, head: str, in_order: bool = False
+) -> DataFrame:
+    """Adds ``start``, the sum of ``size`` over all rows before a row in
+    (digest, order...) order, and ``following``, the head of the next row (NULL
+    for the last). With ``in_order`` the digest plays no part.
+
+    Both come from one sort inside the shards: digests with the same first
+    digits, or ranges of the order. What lies beyond a shard is joined from a table
+    of one row per shard. ``stored`` is read more than once.
+    """
+    if in_order:
+        sized = ranged(stored, order)
+        shards = sized.agg(F.max("_shard")).first()[0] or 0
+        upper, by = F.floor(F.col("_shard") / ceil(sqrt(shards + 1))), list(order)
+    else:
+        digits = seeded.digits_for(stored.count(), SHARD_ROWS)
+        sized = stored.withColumn("_shard", F.substring("digest", 1, digits))
+        upper, by = F.substring("_shard", 1, digits // 2), ["digest", *order]
+    inside = Window.partitionBy("_shard").orderBy(*by)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    shards = _across(
+        sized.groupBy("_shard").agg(
+            F.sum(size).cast("long").alias("_total"), F.min_by(head, F.struct(*by)).alias("_first")
+        ),
+        upper,
+    )
     return (
         sized.withColumns(
             {
@@ -84,7 +135,7 @@ def placed(stored: DataFrame, order: Sequence[str], size: str, head: str) -> Dat
         .select(
             *stored.columns,
             (F.col("_inside") + F.col("_before")).alias("start"),
-            F.coalesce("_following", "_next_shard").alias("following"),
+            F.coalesce("_following", "_next").alias("following"),
         )
     )
 
@@ -109,9 +160,12 @@ def length(outline: DataFrame) -> int:
     return outline.agg(F.sum("n")).first()[0] or 0
 
 
-def _located(sequence: DataFrame, keys: Sequence[str], outline: DataFrame) -> DataFrame:
+def _located(
+    sequence: DataFrame, keys: Sequence[str], outline: DataFrame | None, in_order: bool
+) -> DataFrame:
     """Units with their start and the first word of the next unit."""
-    starts = placed(outline, keys, "n", "first").select(*keys, "start", "following")
+    outline = outlines(sequence, keys) if outline is None else outline
+    starts = placed(outline, keys, "n", "first", in_order).select(*keys, "start", "following")
     return sequence.drop("digest").join(starts, list(keys))
 
 
@@ -121,26 +175,30 @@ def _opened(units_with_start: DataFrame) -> DataFrame:
     )
 
 
-def word_index(sequence: DataFrame, keys: Sequence[str], outline: DataFrame | None = None) -> DataFrame:
+def word_index(
+    sequence: DataFrame, keys: Sequence[str], outline: DataFrame | None = None, in_order: bool = False
+) -> DataFrame:
     """(pos, word) for the whole sequence, positions counted from 0."""
-    return _opened(_located(sequence, keys, outline or outlines(sequence, keys)))
+    return _opened(_located(sequence, keys, outline, in_order))
 
 
-def first_words(sequence: DataFrame, keys: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` words; units that start later are not opened."""
-    starts = placed(outlines(sequence, keys), keys, "n", "first").where(F.col("start") < n)
+def first_words(sequence: DataFrame, keys: Sequence[str], n: int, in_order: bool = False) -> DataFrame:
+    """(pos, word) of the first ``n`` words; units that start later are not
+    opened."""
+    starts = placed(outlines(sequence, keys), keys, "n", "first", in_order).where(F.col("start") < n)
     begun = sequence.drop("digest").join(starts.select(*keys, "start"), list(keys))
     return _opened(begun).where(F.col("pos") < n)
 
 
-def flat_pairs(sequence: DataFrame, keys: Sequence[str]) -> DataFrame:
+def flat_pairs(sequence: DataFrame, keys: Sequence[str], in_order: bool = False) -> DataFrame:
     """(w1, w2) for all neighbours of the sequence, crossing unit borders.
 
     Neighbours inside a unit never leave their row; only the two outer words
     of each unit are shuffled to stitch the borders.
     """
     inside = sequence.select(F.inline(tx.adjacent(F.col("items"))))
-    across = placed(outlines(sequence, keys), keys, "n", "first").where(F.col("following").isNotNull())
+    stitched = placed(outlines(sequence, keys), keys, "n", "first", in_order)
+    across = stitched.where(F.col("following").isNotNull())
     return inside.unionByName(
         across.select(F.col("last").alias("w1"), F.col("following").alias("w2"))
     )
@@ -164,10 +222,12 @@ def parted_pairs(sequence: DataFrame, keys: Sequence[str], part: str) -> DataFra
     )
 
 
-def indexed_pairs(sequence: DataFrame, keys: Sequence[str], outline: DataFrame | None = None) -> DataFrame:
+def indexed_pairs(
+    sequence: DataFrame, keys: Sequence[str], outline: DataFrame | None = None, in_order: bool = False
+) -> DataFrame:
     """(pos, w1, w2): every word with its position and the word after it;
     ``w2`` is NULL for the last word of the sequence."""
-    stitched = _located(sequence, keys, outline or outlines(sequence, keys))
+    stitched = _located(sequence, keys, outline, in_order)
     ahead = F.concat(F.slice("items", F.lit(2), F.size("items")), F.array("following"))
     return stitched.select(
         "start",

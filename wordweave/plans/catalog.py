@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from wordweave.functions import seeded
 from wordweave.functions import text as tx
 from wordweave.functions.lexicon import DEFAULT_LEXICON
+from wordweave.functions.scoring import Modifiers
 from wordweave.operators import evaluate as ev
 from wordweave.operators import lmdata as lm
 from wordweave.operators import sampling as sa
@@ -172,19 +173,55 @@ def _lexicon_table(spark: SparkSession) -> DataFrame:
 
 @query
 def line_sentiment_by_table(spark, d):
-    return st.valence(tables.document_lines(spark, d), _lexicon_table(spark), LINE).drop("text")
+    return st.valence(tables.document_lines(spark, d), _lexicon_table(spark)).drop("text")
 
 
 @query
 def line_polarity_by_table(spark, d):
-    scored = st.polarity(tables.document_lines(spark, d), _lexicon_table(spark), LINE)
+    scored = st.polarity(tables.document_lines(spark, d), _lexicon_table(spark))
     return _round(scored.drop("text"), "polarity")
 
 
 @query
 def sentiment_interval_by_table(spark, d):
     lines = tables.document_lines(spark, d)
-    return st.score_between(lines, -1.0, -0.2, lexicon=_lexicon_table(spark), keys=LINE)
+    return st.score_between(lines, -1.0, -0.2, lexicon=_lexicon_table(spark))
+
+
+@query
+def conversation_sentiment_by_table(spark, d):
+    """Texts without any key, some of them repeated."""
+    return st.valence(tables.conversations(spark, d).select("text"), _lexicon_table(spark))
+
+
+RULES = Modifiers(negation=True, boosters=True, exclamation=True, but=True)
+
+
+@query
+def line_sentiment_rules(spark, d):
+    return _rules(spark, d, DEFAULT_LEXICON)
+
+
+@query
+def line_sentiment_rules_by_table(spark, d):
+    return _rules(spark, d, _lexicon_table(spark))
+
+
+def _rules(spark, d, lexicon):
+    scored = st.valence(tables.document_lines(spark, d), lexicon, modifiers=RULES)
+    return scored.drop("text")
+
+
+@query
+def line_polarity_chunks(spark, d):
+    scored = st.polarity(tables.document_lines(spark, d), chunks=True)
+    return _round(scored.drop("text"), "polarity")
+
+
+@query
+def line_polarity_chunks_by_table(spark, d):
+    scored = st.polarity(tables.document_lines(spark, d), _lexicon_table(spark), chunks=True)
+    return _round(scored.drop("text"), "polarity")
 
 
 @query
@@ -266,6 +303,30 @@ def first_words(spark, d):
     return sq.first_words(sq.units(tables.documents(spark, d), ["doc_id"]), ["doc_id"], 10_000)
 
 
+@query
+def word_index_in_order(spark, d):
+    items = sq.units(tables.documents(spark, d), ["doc_id"])
+    return sq.word_index(items, ["doc_id"], in_order=True)
+
+
+@query
+def first_words_in_order(spark, d):
+    items = sq.units(tables.documents(spark, d), ["doc_id"])
+    return sq.first_words(items, ["doc_id"], 10_000, in_order=True)
+
+
+@query
+def first_negative_words(spark, d):
+    """The first words of the negative lines, as the corpus has them."""
+    return sq.first_words(sq.units(_negative(spark, d), LINE), LINE, 1_000, in_order=True)
+
+
+@query
+def flat_bigrams_in_order(spark, d):
+    items = sq.units(tables.documents(spark, d), ["doc_id"])
+    return tr.pair_counts(sq.flat_pairs(items, ["doc_id"], in_order=True))
+
+
 @query
 def shuffled_words(spark, d):
     words = sq.units(tables.documents(spark, d), ["doc_id"])
@@ -370,6 +431,12 @@ def negative_generator_scores(spark, d):
     return _round(ev.rescore(negative_generator(spark, d), NEGATIVE), "mean_neg", "error_rate")
 
 
+@query
+def negative_generator_scores_by_table(spark, d):
+    made = negative_generator(spark, d).select("text")
+    return _round(ev.rescore(made, NEGATIVE, _lexicon_table(spark)), "mean_neg", "error_rate")
+
+
 @query
 def generated_sentiment(spark, d):
     """The whole loop: score, filter, generate, score again."""

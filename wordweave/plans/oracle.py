@@ -6,6 +6,7 @@ sums, buckets and in-row tricks of the Spark plans.
 
 from __future__ import annotations
 
+from wordweave.functions import scoring
 from wordweave.functions.lexicon import DEFAULT_LEXICON
 from wordweave.functions.text import WHITESPACE
 from wordweave.plans.catalog import CHOSEN, HALF, NEGATIVE, SEED
@@ -126,15 +127,18 @@ def intervals(name: str, source: str, weight: str = "cnt") -> str:
 )"""
 
 
-def flat_units(name: str, source: str, keys: str, items: str, where: str = "true") -> str:
+def flat_units(
+    name: str, source: str, keys: str, items: str, where: str = "true", in_order: bool = False
+) -> str:
     """CTE: (pos, word) of the flat sequence of a source."""
+    first = "" if in_order else "digest, "
     return f"""
 {name}_units AS (
   SELECT {keys}, {items} AS items, md5(concat_ws('|', {keys})) AS digest
   FROM {source} WHERE {where}
 ),
 {name}_starts AS (
-  SELECT {keys}, items, coalesce(sum(len(items)) OVER (ORDER BY digest, {keys}
+  SELECT {keys}, items, coalesce(sum(len(items)) OVER (ORDER BY {first}{keys}
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM {name}_units
 ),
 {name}_units_words AS (
@@ -145,9 +149,11 @@ def flat_units(name: str, source: str, keys: str, items: str, where: str = "true
 )"""
 
 
-def flat_occurrences(name: str, source: str, keys: str, items: str, where: str = "true") -> str:
+def flat_occurrences(
+    name: str, source: str, keys: str, items: str, where: str = "true", in_order: bool = False
+) -> str:
     """CTEs: the flat sequence and its neighbours (pos, w1, w2)."""
-    return flat_units(f"{name}_seq", source, keys, items, where) + f""",
+    return flat_units(f"{name}_seq", source, keys, items, where, in_order) + f""",
 {name}_next AS MATERIALIZED (
   SELECT pos, word AS w1, lead(word) OVER (ORDER BY pos) AS w2 FROM {name}_seq
 ),
@@ -242,6 +248,92 @@ ORACLE["polarity_interval"] = f"""
 ORACLE["negative_lines"] = f"{_SCORED} SELECT doc_id, line_no, neg FROM scored WHERE neg > {NEGATIVE}"
 ORACLE["negative_lines_half"] = f"{_SCORED} SELECT doc_id, line_no, neg FROM scored WHERE neg > {HALF}"
 
+ORACLE["conversation_sentiment_by_table"] = f"""
+WITH {LEXICON}, turns AS (SELECT row_number() OVER () AS i, text FROM conversations), {valence('turns', 'i')}
+SELECT text, neg, neu, pos, compound FROM scored"""
+
+
+def listed(group) -> str:
+    return ", ".join(f"'{w}'" for w in sorted(group))
+
+
+def any_before(group) -> str:
+    return " OR ".join(f"coalesce(b{k} IN ({listed(group)}), FALSE)" for k in (1, 2, 3))
+
+
+def boosts() -> str:
+    steps = [
+        f"CASE WHEN b{k} IN ({listed(scoring.BOOSTERS)}) THEN 1 WHEN b{k} IN ({listed(scoring.DAMPENERS)}) THEN -1 "
+        f"ELSE 0 END * {scoring.BOOSTED * fading}::DOUBLE"
+        for k, fading in enumerate(scoring.FADING, 1)
+    ]
+    return " + ".join(steps)
+
+
+# Lines with their terms one by one, each with the three terms before it.
+_PLACED = f"""
+placed AS MATERIALIZED (
+  SELECT doc_id, line_no, i, term, lag(term, 1) OVER w AS b1, lag(term, 2) OVER w AS b2, lag(term, 3) OVER w AS b3
+  FROM (
+    SELECT doc_id, line_no, unnest(range(len(ts))) AS i, unnest(ts) AS term
+    FROM (SELECT doc_id, line_no, {terms('text')} AS ts FROM lines))
+  WINDOW w AS (PARTITION BY doc_id, line_no ORDER BY i)
+)"""
+_MARKS = f"least(length(text) - length(replace(text, '!', '')), {scoring.MOST_EXCLAIMED})"
+ORACLE["line_sentiment_rules"] = f"""
+WITH {LINES}, {LEXICON}, {_PLACED},
+buts AS (SELECT doc_id, line_no, max(i) AS last_but FROM placed WHERE term = 'but' GROUP BY ALL),
+rated AS (
+  SELECT doc_id, line_no, (valence + sign(valence) * ({boosts()}))
+    * CASE WHEN {any_before(scoring.NEGATIONS)} THEN {scoring.NEGATED}::DOUBLE ELSE 1 END
+    * CASE WHEN i < last_but THEN {scoring.BEFORE_BUT}::DOUBLE WHEN i > last_but THEN {scoring.AFTER_BUT}::DOUBLE
+      ELSE 1 END AS v
+  FROM placed JOIN lexicon USING (term) LEFT JOIN buts USING (doc_id, line_no)
+),
+hits AS (
+  SELECT doc_id, line_no, sum(v) AS s, sum(CASE WHEN v > 0 THEN v + 1 ELSE 0 END) AS p,
+    sum(CASE WHEN v < 0 THEN 1 - v ELSE 0 END) AS n, count(*) FILTER (v <> 0) AS c
+  FROM rated GROUP BY ALL
+),
+sums AS (
+  SELECT doc_id, line_no, coalesce(p, 0) AS p, coalesce(n, 0) AS n, len({terms('text')}) - coalesce(c, 0) AS u,
+    coalesce(s, 0) + sign(coalesce(s, 0)) * {_MARKS} * {scoring.EXCLAIMED}::DOUBLE AS s
+  FROM lines LEFT JOIN hits USING (doc_id, line_no)
+)
+SELECT doc_id, line_no, CASE WHEN p + n + u > 0 THEN round(n / (p + n + u), 3) ELSE 0 END AS neg,
+  CASE WHEN p + n + u > 0 THEN round(u / (p + n + u), 3) ELSE 0 END AS neu,
+  CASE WHEN p + n + u > 0 THEN round(p / (p + n + u), 3) ELSE 0 END AS pos, round(s / sqrt(s * s + 15), 4) AS compound
+FROM sums"""
+ORACLE["line_sentiment_rules_by_table"] = ORACLE["line_sentiment_rules"]
+# A chunk ends with a rated term or with a word that breaks it.
+ORACLE["line_polarity_chunks"] = f"""
+WITH {LINES}, {LEXICON}, {_PLACED},
+kinds AS (
+  SELECT doc_id, line_no, i, polarity,
+    polarity IS NULL AND term IN ({listed(scoring.NEGATIONS)}) AS negation,
+    CASE WHEN polarity IS NOT NULL THEN NULL WHEN term IN ({listed(scoring.BOOSTERS)}) THEN {scoring.STRONGER}::DOUBLE
+      WHEN term IN ({listed(scoring.DAMPENERS)}) THEN {scoring.WEAKER}::DOUBLE END AS factor, length(term) = 1 AS single
+  FROM placed LEFT JOIN lexicon USING (term)
+),
+chunks AS (
+  SELECT *, coalesce(sum(CASE WHEN polarity IS NOT NULL OR NOT (negation OR factor IS NOT NULL OR single) THEN 1 ELSE 0 END)
+    OVER (PARTITION BY doc_id, line_no ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chunk
+  FROM kinds
+),
+turns AS (
+  SELECT *, max(CASE WHEN negation THEN i END) OVER (PARTITION BY doc_id, line_no, chunk) AS turned FROM chunks
+),
+values_ AS (
+  SELECT doc_id, line_no, chunk, max(polarity) AS p, max(turned) IS NOT NULL AS turned,
+    coalesce(product(factor) FILTER (turned IS NULL OR i > turned), 1) AS factor
+  FROM turns GROUP BY ALL HAVING max(polarity) IS NOT NULL
+),
+means AS (
+  SELECT doc_id, line_no, avg(greatest(-1, least(1, p * CASE WHEN turned THEN {scoring.TURNED}::DOUBLE / factor ELSE factor END))) AS polarity
+  FROM values_ GROUP BY ALL
+)
+SELECT doc_id, line_no, round(coalesce(polarity, 0), 6) AS polarity FROM lines LEFT JOIN means USING (doc_id, line_no)"""
+ORACLE["line_polarity_chunks_by_table"] = ORACLE["line_polarity_chunks"]
 ORACLE["line_polarity_by_table"] = ORACLE["line_polarity"]
 ORACLE["sentiment_interval_by_table"] = ORACLE["sentiment_interval"]
 
@@ -262,6 +354,11 @@ ORACLE["flat_bigrams"] = f"WITH {_FLAT}, {_FLAT_PAIRS} SELECT w1, w2, cnt FROM f
 ORACLE["flat_char_bigrams"] = f"WITH {_FLAT_CHARS}, {_FLAT_PAIRS} SELECT w1, w2, cnt FROM flat_pairs"
 _SEQ = flat_units("seq", "documents", "doc_id", words("text"))
 ORACLE["word_index"] = f"WITH {_SEQ} SELECT pos, word FROM seq"
+_IN_ORDER = flat_units("seq", "documents", "doc_id", words("text"), in_order=True)
+ORACLE["word_index_in_order"] = f"WITH {_IN_ORDER} SELECT pos, word FROM seq"
+ORACLE["first_words_in_order"] = f"WITH {_IN_ORDER} SELECT pos, word FROM seq WHERE pos < 10000"
+_FLAT_IN_ORDER = flat_occurrences("flat", "documents", "doc_id", words("text"), in_order=True)
+ORACLE["flat_bigrams_in_order"] = f"WITH {_FLAT_IN_ORDER}, {_FLAT_PAIRS} SELECT w1, w2, cnt FROM flat_pairs"
 ORACLE["first_words"] = f"WITH {_SEQ} SELECT pos, word FROM seq WHERE pos < 10000"
 
 
@@ -442,6 +539,9 @@ _NEGATIVE_CTES = f"""
 bad AS MATERIALIZED (SELECT doc_id, line_no, text FROM scored WHERE neg > {NEGATIVE})"""
 _NEGATIVE_FLAT = flat_occurrences("flat", "bad", "doc_id, line_no", words("text"))
 _NEGATIVE_CHAINS = f"WITH RECURSIVE {_NEGATIVE_CTES}, {chains(_NEGATIVE_FLAT, 100, 10)}"
+ORACLE["first_negative_words"] = f"""
+WITH {_NEGATIVE_CTES}, {flat_units("seq", "bad", "doc_id, line_no", words("text"), in_order=True)}
+SELECT pos, word FROM seq WHERE pos < 1000"""
 ORACLE["negative_generator"] = f"{_NEGATIVE_CHAINS} {_CHAIN_TEXT}"
 _RESCORE = f"""
 SELECT count(*) AS n, round(avg(neg), 6) AS mean_neg,
@@ -449,6 +549,7 @@ SELECT count(*) AS n, round(avg(neg), 6) AS mean_neg,
 FROM again"""
 ORACLE["negative_generator_scores"] = f"""
 {_NEGATIVE_CHAINS}, texts AS ({_CHAIN_TEXT}), {valence('texts', 'path_id', 'again')} {_RESCORE}"""
+ORACLE["negative_generator_scores_by_table"] = ORACLE["negative_generator_scores"]
 ORACLE["generated_sentiment"] = f"""
 WITH {LINES}, {LEXICON}, {valence('lines', 'doc_id, line_no')},
 kept AS MATERIALIZED (SELECT doc_id, line_no, text FROM scored WHERE compound BETWEEN -1.0 AND -0.2),
