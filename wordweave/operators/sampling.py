@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from wordweave.functions import seeded
 from wordweave.operators.transitions import bucketed, part_width, running_weights
+from wordweave.session import cut
 
 
 def keep_about(size: Column, target: int, *parts) -> Column:
@@ -22,6 +23,59 @@ def sample_to_size(frame: DataFrame, target: int, seed, *ids: str) -> DataFrame:
     return frame.where(keep_about(size, target, seed, *[F.col(i) for i in ids]))
 
 
+# Bits of a draw that one histogram tells apart.
+HISTOGRAM_BITS = 15
+
+
+def _threshold(draws: DataFrame, target: int) -> tuple[int, int]:
+    """(bound, rows below it) of the ``target`` smallest of the stored
+    ``_draw``: the smallest draw that does not belong to them whole.
+
+    Each round counts rows by the next bits of the draw and goes on in the bin
+    that the target falls into, so nothing is sorted or collected but a histogram
+    of bounded size.
+    """
+    low, below, bits = 0, 0, (seeded.DRAW_RANGE - 1).bit_length()
+    while bits:
+        bits -= HISTOGRAM_BITS
+        inside = draws.where((F.col("_draw") >= low) & (F.col("_draw") <= low + (1 << (bits + HISTOGRAM_BITS)) - 1))
+        bins = inside.groupBy(F.shiftright("_draw", bits).alias("bin")).count().orderBy("bin").collect()
+        for bin_, rows in bins:
+            if below + rows > target:
+                low = bin_ << bits
+                break
+            below += rows
+        else:
+            return seeded.DRAW_RANGE, below
+    return low, below
+
+
+def exact_sample(frame: DataFrame, size: int, seed, *ids: str) -> DataFrame:
+    """Exactly ``size`` rows, or all if there are fewer, the same for any
+    layout: those with the smallest draws by ``ids``.
+
+    Rows with equal ids have equal draws. Where they straddle the border, a draw
+    by all their columns decides, and between rows equal in everything it does not
+    matter which are taken. The threshold comes from histograms; the frame is
+    filtered by it and neither sorted nor sent anywhere.
+    """
+    if size <= 0:
+        return frame.limit(0)
+    drawn = frame.withColumn("_draw", seeded.draw(seed, *[F.col(i) for i in ids]))
+    stored = cut(drawn.select("_draw"))
+    bound, below = _threshold(stored, size)
+    sure = drawn.where(F.col("_draw") < bound)
+    if bound == seeded.DRAW_RANGE or below == size:
+        return sure.drop("_draw")
+    whole = F.to_json(F.struct(*frame.columns))
+    tied = cut(drawn.where(F.col("_draw") == bound).withColumn("_draw", seeded.draw(seed, "tie", whole)))
+    second, more = _threshold(tied.select("_draw"), size - below)
+    kept = sure.unionByName(tied.where(F.col("_draw") < second))
+    if below + more < size and second < seeded.DRAW_RANGE:
+        kept = kept.unionByName(tied.where(F.col("_draw") == second).limit(size - below - more))
+    return kept.drop("_draw")
+
+
 def hash_split(key: Column, seed, shares: Sequence[tuple[str, int]]) -> Column:
     """Name of the part a key belongs to; shares are in percent and add up
     to 100."""

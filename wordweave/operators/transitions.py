@@ -277,6 +277,51 @@ def enumerate_paths(counts: DataFrame, ends: DataFrame, steps: int) -> DataFrame
     return paths.select("words", "multiplicity")
 
 
+def heaviest_paths(counts: DataFrame, ends: DataFrame, steps: int, k: int) -> DataFrame:
+    """(words, rank, multiplicity): of each first word the ``k`` paths with the
+    largest multiplicity that reach the given pairs in ``steps`` more steps back;
+    equal ones in the order of their words.
+
+    The best paths from a word go on with best paths of the next, so a word keeps
+    ``k`` back-pointers per step (next word and its rank) and no path is listed
+    before the last step; the words are then read off the pointers. ``ends`` is a
+    frame like ``counts``. A word's candidates are cut to ``k`` before the shuffle
+    as well. Multiplicities are DECIMAL(38,0); larger ones raise an error.
+    """
+    exact = "decimal(38,0)"
+    going = counts.select(F.col("w1").alias("head"), F.col("w2").alias("nxt"), "cnt")
+
+    def best(candidates: DataFrame) -> DataFrame:
+        order = [F.col("multiplicity").desc(), F.col("nxt"), F.col("nxt_rank")]
+        place = F.row_number().over(Window.partitionBy("head").orderBy(*order))
+        return cut(candidates.withColumn("rank", place).where(F.col("rank") <= k))
+
+    zero = F.lit(0)
+    last = ends.select(
+        F.col("w1").alias("head"), F.col("w2").alias("nxt"), zero.alias("nxt_rank"), F.col("cnt").cast(exact).alias("multiplicity")
+    )
+    levels = [best(last)]
+    for _ in range(steps):
+        ahead = levels[-1].select(
+            F.col("head").alias("nxt"), F.col("rank").alias("nxt_rank"), F.col("multiplicity").alias("_ahead")
+        )
+        longer = going.join(ahead, "nxt").withColumn("multiplicity", (F.col("cnt") * F.col("_ahead")).cast(exact))
+        levels.append(best(longer.select("head", "nxt", "nxt_rank", "multiplicity")))
+    paths = levels[-1].select(
+        F.array("head", "nxt").alias("words"), "rank", "multiplicity", F.col("nxt").alias("_at"), F.col("nxt_rank").alias("_rank")
+    )
+    for level in reversed(levels[:-1]):
+        back = level.select(F.col("head").alias("_at"), F.col("rank").alias("_rank"), F.col("nxt").alias("_to"), F.col("nxt_rank").alias("_to_rank"))
+        paths = paths.join(back, ["_at", "_rank"]).select(
+            F.array_append("words", F.col("_to")).alias("words"),
+            "rank",
+            "multiplicity",
+            F.col("_to").alias("_at"),
+            F.col("_to_rank").alias("_rank"),
+        )
+    return paths.select("words", "rank", "multiplicity")
+
+
 def path_counts(counts: DataFrame, steps: int) -> DataFrame:
     """(w1, paths): how many paths of ``steps`` transitions start at a word,
     with multiplicity.

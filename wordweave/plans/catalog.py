@@ -11,16 +11,20 @@ from wordweave.functions import seeded
 from wordweave.functions import text as tx
 from wordweave.functions.lexicon import DEFAULT_LEXICON
 from wordweave.functions.scoring import Modifiers
+from wordweave.operators import backoff as bo
+from wordweave.operators import dfstore as df
 from wordweave.operators import evaluate as ev
 from wordweave.operators import lmdata as lm
 from wordweave.operators import sampling as sa
 from wordweave.operators import sentiment as st
 from wordweave.operators import sequence as sq
+from wordweave.operators import similar as si
+from wordweave.operators import sketches as sk
 from wordweave.operators import termstats as ts
 from wordweave.operators import transitions as tr
 from wordweave.operators import walk as wk
 from wordweave.plans import tables
-from wordweave.session import cut
+from wordweave.session import Scratch, cut
 from wordweave.sources import corpus, sinks
 
 SEED = 17
@@ -30,6 +34,7 @@ NEGATIVE = 0.1
 HALF = 0.5
 CHOSEN = ("idiot", "worthless")
 LINE = ["doc_id", "line_no"]
+COUNT_MIN = sk.CountMin(0.001, 0.02)
 SPLIT = (("train", 80), ("valid", 10), ("test", 10))
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -152,6 +157,39 @@ def cosine_disjoint(spark, d):
     return _round(ts.cosine(tf.where(even), tf.where(~even), "tf"), "similarity")
 
 
+@query
+def similar_conversations(spark, d):
+    """Conversations whose term counts have a cosine of 0.8 or more."""
+    tf = ts.term_frequency(tables.conversations(spark, d), by=["conv_id"])
+    return _round(si.similar(tf, "conv_id", 0.8, "tf"), "best_similarity")
+
+
+@query
+def idf_after_changes(spark, d):
+    """Weights from stored counts: a corpus in two parts, some documents
+    withdrawn, a few of them added again."""
+    docs = tables.documents(spark, d)
+    with Scratch(spark) as scratch:
+        store = f"{scratch.folder}/df"
+        gone = docs.where(F.col("doc_id") % 7 == 3)
+        df.add(docs.where(F.col("doc_id") % 2 == 0), store, "even")
+        df.add(docs.where(F.col("doc_id") % 2 == 1), store, "odd")
+        df.withdraw(gone, store, "withdrawn")
+        df.add(gone.where(F.col("doc_id") % 3 == 0), store, "again")
+        return cut(_round(df.inverse_document_frequency(spark, store), "idf"))
+
+
+@query
+def document_frequency_estimates(spark, d):
+    """Count-min estimates of all terms, from the merged sketches of two halves
+    of the corpus."""
+    docs = tables.documents(spark, d)
+    halves = [COUNT_MIN.document_sketch(docs.where(F.col("doc_id") % 2 == k)) for k in (0, 1)]
+    sketch = COUNT_MIN.merged(halves[0].unionByName(halves[1]))
+    terms = ts.document_frequency(docs).select("term")
+    return COUNT_MIN.frequencies(cut(sketch), terms)
+
+
 @query
 def stored_vector(spark, d):
     tf = ts.term_frequency(tables.documents(spark, d))
@@ -343,10 +381,25 @@ def path_enumeration(spark, d):
 
 @query
 def path_enumeration_words(spark, d):
-    """Four-token paths that end in one of the words idiot and worthless."""
+    """The five heaviest four-token paths of each first word that end in one
+    of the words idiot and worthless."""
     counts = cut(sentence_bigrams(spark, d))
-    paths = tr.enumerate_paths(counts, counts.where(F.col("w2").isin(*CHOSEN)), 2)
-    return paths.select(F.array_join("words", " ").alias("words"), "multiplicity")
+    ends = counts.where(F.col("w2").isin(*CHOSEN))
+    return _joined(tr.heaviest_paths(counts, ends, 2, 5))
+
+
+@query
+def heaviest_endings(spark, d):
+    """The three heaviest ways of each word to the end of a sentence, four
+    steps ahead."""
+    counts = cut(sentence_bigrams(spark, d))
+    return _joined(tr.heaviest_paths(counts, counts.where(F.col("w2") == tx.END), 3, 3))
+
+
+def _joined(paths: DataFrame) -> DataFrame:
+    return paths.select(
+        F.array_join("words", " ").alias("words"), "rank", F.col("multiplicity").cast("string").alias("multiplicity")
+    )
 
 
 @query
@@ -364,6 +417,19 @@ def bernoulli_sample(spark, d):
     return sa.sample_to_size(tables.documents(spark, d), 100, SEED, "doc_id").select("doc_id")
 
 
+@query
+def exact_sample(spark, d):
+    """One hundred documents, whatever the layout."""
+    return sa.exact_sample(tables.documents(spark, d), 100, SEED, "doc_id").select("doc_id")
+
+
+@query
+def exact_line_sample(spark, d):
+    """A thousand lines by a digest of their text alone; repeated lines tie."""
+    lines = tables.document_lines(spark, d).select("text")
+    return sa.exact_sample(lines, 1000, SEED, "text")
+
+
 @query
 def corpus_split(spark, d):
     docs = tables.documents(spark, d)
@@ -513,6 +579,35 @@ def bigram_perplexity(spark, d):
     return _round(ev.tagged_perplexity(_tagged_parts(spark, d)), "loss", "perplexity")
 
 
+def _parts_of(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Words of the training and of the test documents."""
+    docs = tables.documents(spark, d).withColumn("name", sa.hash_split(F.col("doc_id"), SEED, SPLIT))
+    return tuple(sq.units(docs.where(F.col("name") == n), ["doc_id"]) for n in ("train", "test"))
+
+
+@query
+def kneser_ney_perplexity(spark, d):
+    train, test = _parts_of(spark, d)
+    with Scratch(spark) as scratch:
+        scored = bo.perplexity(bo.train(train, 5, scratch.keep), test)
+        return cut(_round(scored, "loss", "perplexity"))
+
+
+@query
+def backoff_weights(spark, d):
+    with Scratch(spark) as scratch:
+        model = bo.train(_parts_of(spark, d)[0], 3, scratch.keep)
+        return cut(_round(model.contexts, "gamma"))
+
+
+@query
+def kneser_ney_walk(spark, d):
+    with Scratch(spark) as scratch:
+        model = bo.train(_parts_of(spark, d)[0], 3, scratch.keep)
+        made = bo.walk(model, 50, 6, SEED)
+        return made.select("path_id", F.array_join("words", " ").alias("text"))
+
+
 # Language-model data
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from wordweave.functions import scoring
 from wordweave.functions.lexicon import DEFAULT_LEXICON
 from wordweave.functions.text import WHITESPACE
-from wordweave.plans.catalog import CHOSEN, HALF, NEGATIVE, SEED
+from wordweave.plans.catalog import CHOSEN, COUNT_MIN, HALF, NEGATIVE, SEED
 
 ORACLE: dict[str, str] = {}
 
@@ -229,6 +229,42 @@ ORACLE["cosine_benchmark"] = f"""
 ORACLE["cosine_disjoint"] = f"""
 {_TF}, e AS (SELECT * FROM tf WHERE length(term) % 2 = 0), o AS (SELECT * FROM tf WHERE length(term) % 2 <> 0)
 {cosine('e', 'o', 'tf')}"""
+ORACLE["similar_conversations"] = f"""
+WITH tf AS MATERIALIZED (
+  SELECT conv_id, term, count(*)::DOUBLE AS v FROM (SELECT conv_id, unnest({terms('text')}) AS term FROM conversations)
+  GROUP BY ALL
+),
+norm AS (SELECT conv_id, sqrt(sum(v * v)) AS norm, list((term, v) ORDER BY term) AS whole FROM tf GROUP BY conv_id),
+cls AS MATERIALIZED (
+  SELECT conv_id, norm, min(conv_id) OVER (PARTITION BY whole) AS class_id, count(*) OVER (PARTITION BY whole) AS size FROM norm
+),
+heads AS MATERIALIZED (SELECT conv_id, norm, size FROM cls WHERE conv_id = class_id),
+units AS MATERIALIZED (SELECT conv_id, size, term, v / norm AS u FROM tf JOIN heads USING (conv_id)),
+sims AS MATERIALIZED (
+  SELECT a.conv_id AS a, b.conv_id AS b, any_value(b.size) AS size, sum(a.u * b.u) AS s
+  FROM units a JOIN units b ON a.term = b.term AND a.conv_id <> b.conv_id GROUP BY ALL HAVING sum(a.u * b.u) >= 0.8
+),
+found AS (
+  SELECT a AS class_id, sum(size)::BIGINT AS n_similar, arg_min(b, (-round(s, 9), b)) AS best, max(s) AS best_similarity
+  FROM sims GROUP BY a
+)
+SELECT conv_id, class_id, size - 1 AS n_copies, coalesce(n_similar, 0) AS n_similar,
+  coalesce(best, class_id) AS best, round(coalesce(best_similarity, 0), 6) AS best_similarity
+FROM cls LEFT JOIN found USING (class_id)"""
+_KEPT = "doc_id % 7 <> 3 OR doc_id % 3 = 0"
+ORACLE["idf_after_changes"] = f"""
+WITH kept AS (SELECT doc_id, text FROM documents WHERE {_KEPT}),
+df AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({terms('text')}) AS term FROM kept) GROUP BY term)
+SELECT term, round(ln((SELECT count(*) FROM kept) / (df + 1.0)), 6) AS idf FROM df"""
+ORACLE["document_frequency_estimates"] = f"""
+WITH occ AS MATERIALIZED (SELECT doc_id, unnest(list_distinct({terms('text')})) AS term FROM documents),
+cells AS MATERIALIZED (
+  SELECT term, r, ((cast('0x' || substr(md5(term), 4 * r + 1, 4) AS BIGINT) * {COUNT_MIN.width}) >> 16) AS cell
+  FROM (SELECT DISTINCT term FROM occ), (SELECT unnest(range({COUNT_MIN.rows})) AS r)
+),
+sketch AS (SELECT r, cell, count(*) AS n FROM occ JOIN cells USING (term) GROUP BY ALL)
+SELECT term, min(n) AS estimate, CAST(ceil((SELECT count(*) FROM occ) * {COUNT_MIN.error}::DOUBLE) AS BIGINT) AS error
+FROM cells JOIN sketch USING (r, cell) GROUP BY term"""
 ORACLE["stored_vector"] = f"{_TF} SELECT term, CAST(tf AS DOUBLE) AS value FROM tf"
 
 # Sentiment
@@ -380,12 +416,31 @@ leads AS MATERIALIZED (SELECT w1, w2, cnt FROM pairs WHERE w2 IN (SELECT w1 FROM
 SELECT a.w1 || ' ' || a.w2 || ' ' AS words, a.cnt * b.cnt AS multiplicity
 FROM leads a JOIN ends b ON a.w2 = b.w1"""
 _CHOSEN = ", ".join(f"'{w}'" for w in CHOSEN)
-ORACLE["path_enumeration_words"] = f"""
-{_PAIRS},
-k1 AS MATERIALIZED (SELECT w1, w1 || ' ' || w2 AS words, cnt FROM pairs WHERE w2 IN ({_CHOSEN})),
-k2 AS MATERIALIZED (
-  SELECT p.w1, p.w1 || ' ' || k1.words AS words, p.cnt * k1.cnt AS cnt FROM k1 JOIN pairs p ON p.w2 = k1.w1)
-SELECT p.w1 || ' ' || k2.words AS words, p.cnt * k2.cnt AS multiplicity FROM k2 JOIN pairs p ON p.w2 = k2.w1"""
+
+
+def heaviest(ends: str, steps: int, k: int) -> str:
+    """The best paths level by level, listed whole."""
+    ctes = [f"""
+h0 AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT w1, [w1, w2] AS words, CAST(cnt AS HUGEINT) AS m,
+      row_number() OVER (PARTITION BY w1 ORDER BY cnt DESC, w2) AS rank FROM pairs WHERE {ends}) WHERE rank <= {k}
+)"""]
+    for i in range(steps):
+        ctes.append(f"""
+h{i + 1} AS MATERIALIZED (
+  SELECT * FROM (
+    SELECT p.w1, [p.w1] || h.words AS words, p.cnt * h.m AS m,
+      row_number() OVER (PARTITION BY p.w1 ORDER BY p.cnt * h.m DESC, h.words) AS rank
+    FROM pairs p JOIN h{i} h ON p.w2 = h.w1) WHERE rank <= {k}
+)""")
+    return f"""
+{_PAIRS}, {', '.join(ctes)}
+SELECT array_to_string(words, ' ') AS words, CAST(rank AS INTEGER) AS rank, CAST(m AS VARCHAR) AS multiplicity FROM h{steps}"""
+
+
+ORACLE["path_enumeration_words"] = heaviest(f"w2 IN ({_CHOSEN})", 2, 5)
+ORACLE["heaviest_endings"] = heaviest("w2 = ''", 3, 3)
 _COUNTS = "p1 AS MATERIALIZED (SELECT w1, CAST(sum(cnt) AS DECIMAL(38, 0)) AS paths FROM pairs GROUP BY w1)"
 for _k in range(2, 6):
     _COUNTS += f""",
@@ -398,6 +453,8 @@ ORACLE["path_counts"] = f"{_PAIRS}, {_COUNTS} SELECT w1, CAST(paths AS VARCHAR)
 
 ORACLE["bernoulli_sample"] = f"""
 SELECT doc_id FROM documents WHERE {draw(SEED, 'doc_id')} % (SELECT count(*) FROM documents) < 100"""
+ORACLE["exact_sample"] = f"SELECT doc_id FROM documents ORDER BY {draw(SEED, 'doc_id')}, doc_id LIMIT 100"
+ORACLE["exact_line_sample"] = f"WITH {LINES} SELECT text FROM lines ORDER BY {draw(SEED, 'text')}, text LIMIT 1000"
 _PART = f"""CASE WHEN {draw(SEED, 'doc_id')} % 100 < 80 THEN 'train'
   WHEN {draw(SEED, 'doc_id')} % 100 < 90 THEN 'valid' ELSE 'test' END"""
 ORACLE["corpus_split"] = f"SELECT doc_id, {_PART} AS split FROM documents"
@@ -603,6 +660,140 @@ s AS (
 )
 SELECT CAST(n AS BIGINT) AS n, round(loss, 6) AS loss, round(exp(loss), 6) AS perplexity FROM s"""
 
+
+
+def grams_of(name: str, part: str, order: int) -> str:
+    """CTE: every word of the documents of a part with its longest context."""
+    return f"""
+{name} AS MATERIALIZED (
+  SELECT least(i, {order - 1}) + 1 AS n, array_to_string(p[greatest(1, i - {order - 2}):i], ' ') AS ctx, p[i + 1] AS w
+  FROM (
+    SELECT p, unnest(range(1, len(p))) AS i
+    FROM (SELECT [chr(9)] || {words('text')} AS p FROM documents WHERE ({_PART}) = '{part}'))
+)"""
+
+
+def discounted(n: int, count: str = "c") -> str:
+    return f"(SELECT CASE {count} WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END FROM d{n})"
+
+
+def shorter(context: str) -> str:
+    return f"CASE WHEN strpos({context}, ' ') > 0 THEN substr({context}, strpos({context}, ' ') + 1) ELSE '' END"
+
+
+def kneser_ney(order: int) -> str:
+    """CTEs l (counts), d (discounts), k (contexts) and p (probabilities) of
+    each order."""
+    ctes = [
+        grams_of("tokens", "train", order),
+        "full_grams AS MATERIALIZED (SELECT n, ctx, w, count(*) AS c FROM tokens GROUP BY ALL)",
+        f"l{order} AS MATERIALIZED (SELECT ctx, w, c FROM full_grams WHERE n = {order})",
+    ]
+    for n in range(order - 1, 0, -1):
+        ctes.append(f"""
+l{n} AS MATERIALIZED (
+  SELECT {shorter('ctx')} AS ctx, w, count(*) AS c FROM l{n + 1} GROUP BY 1, 2
+  UNION ALL SELECT ctx, w, c FROM full_grams WHERE n = {n}
+)""")
+    for n in range(1, order + 1):
+        ctes.append(f"""
+n{n} AS (
+  SELECT count(*) FILTER (c = 1)::DOUBLE AS a, count(*) FILTER (c = 2)::DOUBLE AS b,
+    count(*) FILTER (c = 3)::DOUBLE AS x, count(*) FILTER (c = 4)::DOUBLE AS y FROM l{n}
+),
+y{n} AS (
+  SELECT CASE WHEN a > 0 AND b > 0 THEN a / (a + 2 * b) ELSE 0.5::DOUBLE END AS s,
+    CASE WHEN a > 0 AND b > 0 AND x > 0 THEN 1 - 2 * (a / (a + 2 * b)) * b / a END AS t1,
+    CASE WHEN a > 0 AND b > 0 AND x > 0 THEN 2 - 3 * (a / (a + 2 * b)) * x / b END AS t2,
+    CASE WHEN a > 0 AND b > 0 AND x > 0 THEN 3 - 4 * (a / (a + 2 * b)) * y / x END AS t3 FROM n{n}
+),
+d{n} AS MATERIALIZED (
+  SELECT CASE WHEN good THEN t1 ELSE s END AS d1, CASE WHEN good THEN t2 ELSE s END AS d2,
+    CASE WHEN good THEN t3 ELSE s END AS d3
+  FROM (SELECT *, coalesce(t1 > 0 AND t1 < 1 AND t2 > 0 AND t2 < 2 AND t3 > 0 AND t3 < 3, FALSE) AS good FROM y{n})
+),
+k{n} AS MATERIALIZED (
+  SELECT ctx, sum(c)::BIGINT AS tot, sum({discounted(n)}) / sum(c) AS gamma FROM l{n} GROUP BY ctx
+)""")
+        below = f"1.0::DOUBLE / ((SELECT count(*) FROM l1) + 1)" if n == 1 else "b.p"
+        join = "" if n == 1 else f"JOIN p{n - 1} b ON b.ctx = {shorter('l.ctx')} AND b.w = l.w"
+        ctes.append(f"""
+p{n} AS MATERIALIZED (
+  SELECT l.ctx, l.w, l.c, (l.c - {discounted(n, 'l.c')}) / k.tot + k.gamma * ({below}) AS p
+  FROM l{n} l JOIN k{n} k ON k.ctx = l.ctx {join}
+)""")
+    return ",".join(ctes)
+
+
+def backed_off(order: int) -> str:
+    """CTEs: the probability of each test gram, from the shortest context up."""
+    ctes = [grams_of("tests", "test", order), "t AS MATERIALIZED (SELECT ctx, w, count(*) AS b FROM tests GROUP BY ALL)"]
+    ctes.append("""
+q0 AS (
+  SELECT ctx, w, b, CASE WHEN ctx = '' THEN [] ELSE string_split(ctx, ' ') END AS s,
+    1.0::DOUBLE / ((SELECT count(*) FROM l1) + 1) AS q FROM t
+)""")
+    for n in range(1, order + 1):
+        ctes.append(f"""
+q{n} AS MATERIALIZED (
+  SELECT x.ctx, x.w, x.b, x.s, CASE WHEN len(x.s) < {n - 1} THEN x.q ELSE coalesce(p.p, x.q * coalesce(k.gamma, 1)) END AS q
+  FROM (SELECT *, array_to_string(s[len(s) - {n - 2}:], ' ') AS part FROM q{n - 1}) x
+    LEFT JOIN p{n} p ON p.ctx = x.part AND p.w = x.w AND len(x.s) >= {n - 1}
+    LEFT JOIN k{n} k ON k.ctx = x.part AND len(x.s) >= {n - 1}
+)""")
+    return ",".join(ctes)
+
+
+ORACLE["kneser_ney_perplexity"] = f"""
+WITH {kneser_ney(5)}, {backed_off(5)},
+e AS (SELECT sum(b)::BIGINT AS n, -sum(b * ln(q)) / sum(b) AS loss FROM q5)
+SELECT n, round(loss, 6) AS loss, round(exp(loss), 6) AS perplexity FROM e"""
+ORACLE["backoff_weights"] = f"""
+WITH {kneser_ney(3)}
+{' UNION ALL '.join(f'SELECT {n} AS n, ctx, tot, round(gamma, 6) AS gamma FROM k{n}' for n in (1, 2, 3))}"""
+
+
+def backoff_walk(order: int, entries: int, length: int) -> str:
+    """CTEs of a walk, one group per step; ends in ``w`` and its last number."""
+    weights = " UNION ALL ".join(
+        f"SELECT {n} AS n, ctx, w, CAST(round((c - {discounted(n)}) * 1048576) AS BIGINT) AS cnt FROM l{n}"
+        for n in range(1, order + 1)
+    )
+    gammas = " UNION ALL ".join(f"SELECT {n} AS n, ctx, gamma FROM k{n}" for n in range(1, order + 1))
+    ctes = [f"""
+choices AS MATERIALIZED (
+  SELECT n, ctx, w, hi - cnt AS lo, hi, tot FROM (
+    SELECT *, sum(cnt) OVER (PARTITION BY n, ctx ORDER BY md5(w), w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi,
+      sum(cnt) OVER (PARTITION BY n, ctx) AS tot
+    FROM ({weights} UNION ALL SELECT 0, chr(10), w, 1 FROM l1) WHERE cnt > 0)
+),
+gammas AS MATERIALIZED ({gammas}),
+w0 AS (SELECT unnest(range({entries})) AS path_id, [chr(9)] AS h)"""]
+    for i in range(length):
+        order_draw = draw(SEED, "path_id", i, "t.n")
+        ctes.append(f"""
+t{i} AS MATERIALIZED (
+  SELECT path_id, h, n, CASE WHEN n = 1 THEN '' ELSE array_to_string(h[len(h) - n + 2:], ' ') END AS ctx
+  FROM (SELECT path_id, h, unnest(range(1, least(len(h), {order - 1}) + 2)) AS n FROM w{i})
+),
+o{i} AS MATERIALIZED (
+  SELECT path_id, max(t.n) AS n FROM t{i} t JOIN gammas g ON g.n = t.n AND g.ctx = t.ctx
+  WHERE {order_draw} / 1152921504606846976.0::DOUBLE >= g.gamma GROUP BY path_id
+),
+w{i + 1} AS MATERIALIZED (
+  SELECT x.path_id, list_append(x.h, c.w) AS h
+  FROM (
+    SELECT w.path_id, w.h, coalesce(o.n, 0) AS n, coalesce(t.ctx, chr(10)) AS ctx, {draw(SEED, 'w.path_id', i)} AS d
+    FROM w{i} w LEFT JOIN o{i} o ON o.path_id = w.path_id LEFT JOIN t{i} t ON t.path_id = w.path_id AND t.n = o.n) x
+    JOIN choices c ON c.n = x.n AND c.ctx = x.ctx AND x.d % c.tot >= c.lo AND x.d % c.tot < c.hi
+)""")
+    return ",".join(ctes)
+
+
+ORACLE["kneser_ney_walk"] = f"""
+WITH {kneser_ney(3)}, {backoff_walk(3, 50, 6)}
+SELECT path_id, array_to_string(h[2:], ' ') AS text FROM w6"""
+
 # Language-model data
 
 _VOCAB = """
