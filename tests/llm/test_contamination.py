@@ -154,3 +154,55 @@ def test_dense_stretch_of_a_longer_item(spark):
 def test_plain_windows_ask_no_more_of_others(spark):
     item = "tell me now please whether 5 7 9 11 8 13"
     assert found(spark, [(1, item.replace("9", "6").replace("13", "14"))], [(1, item)])
+
+
+SHORT = "Maria has 12 apples. Maria eats 5 apples. How many apples does she have left at the end of the day?"
+CITIES = "The night train runs from Berlin to Madrid and then goes on to Paris before it turns round and comes back"
+WORDS = "A baker sells three loaves in the morning and five loaves in the evening, so how many loaves are sold in all"
+WEIGHT = "A sack that weighs 7 kg is put on a cart that holds 5 kg already, so how much does the cart hold now"
+
+
+@pytest.mark.parametrize(
+    ("item", "text"),
+    [
+        (SHORT, SHORT.replace("Maria", "Anna").replace("12", "9").replace(" 5", " 4")),
+        (SHORT, "Some other words come first. " + SHORT.replace("Maria", "Anna")),
+        (CITIES, CITIES.replace("Berlin", "New York").replace("Madrid", "Los Angeles").replace("Paris", "San Jose")),
+        (CITIES, CITIES.replace("Berlin", "O'Neil").replace("Madrid", "McDonald").replace("Paris", "X")),
+        (WORDS, WORDS.replace("three", "12").replace("five", "twenty one")),
+        (WORDS, WORDS.replace("three", "2 hundred")),
+        (WEIGHT, WEIGHT.replace("7 kg", "9kg").replace("5 kg", "4kg")),
+        (WEIGHT, WEIGHT.replace("7 kg", "5kg").replace("holds 5 kg", "holds 7 kg")),
+    ],
+)
+def test_names_number_words_and_units(spark, item, text):
+    windows, of, exact = found(spark, [(1, text)], [(1, item)])[1, 1]
+    assert windows >= of - 1 and not exact
+
+
+def test_roles_mixed_up_are_another_text(spark):
+    cities = CITIES + " to Berlin and Madrid"
+    mixed = cities.replace("from Berlin", "from New York").replace("to Madrid", "to Los Angeles").replace("Paris", "Rome")
+    assert not found(spark, [(1, mixed.replace("to Berlin and Madrid", "to Los Angeles and New York"))], [(1, cities)])
+    # Maria is Anna first and Clara then.
+    other = SHORT.replace("Maria has", "Anna has").replace("Maria eats", "Clara eats")
+    assert not found(spark, [(1, other.replace("12", "9"))], [(1, SHORT)])
+
+
+def test_two_readings():
+    forms = contamination._Forms()
+
+    def words(text):
+        return [r.window(0, len(r.codes))[0] for r in contamination.readings(text, forms)]
+
+    assert words("Maria runs. Maria sees Peter Pan Smith, Anna") == [
+        "maria runs maria sees <name> <name>", "<name> runs <name> sees <name> <name>"
+    ]
+    assert words("The cat saw Tom. Tom ran. Cat ran") == ["the cat saw <name> <name> ran cat ran"]
+    assert words("in 7kg and 7 kg, or twenty one dollars; 3 4 b2b kg") == [
+        "in <number> <unit> and <number> <unit> or <number> <unit> <number> <number> <number> <unit>"
+    ]
+    assert words("2 million people and NASA said I") == ["<number> people and nasa said i"]
+    assert words("") == [""] and words(" - !\n") == [""]
+    forms.KEPT = 0
+    assert words("so Anna ran") == ["so <name> ran"]

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from wordweave.llm import exact, simhash
+from wordweave.llm import common, exact, simhash
 
 
 def groups_by_hand(rows):
@@ -43,15 +43,16 @@ def test_exact_many_runs(spark):
     assert sorted(map(tuple, exact.duplicate_groups(frame).collect()), key=str) == groups_by_hand(rows)
 
 
-def test_exact_stage_keeps_other_text_of_a_repeated_id(odd):
+def test_exact_stage_leaves_one_row_of_a_text(odd):
+    """Rows are dropped as such: an id that repeats with another text is safe,
+    a row stored twice and rows without an id are not kept beside an equal text."""
     left = exact.deduplicated(odd)
     assert left.columns == odd.columns
-    by_hand = [(r[0], r[4]) for r in groups_by_hand(pairs_of(odd)) if r[3] or r[0] is None]
-    ours = [
-        (i, hashlib.sha256(re.sub(r"[\x20\x09-\x0D]+", " ", t or "").encode()).hexdigest())
-        for i, t in pairs_of(left)
-    ]
-    assert sorted(ours, key=str) == sorted(by_hand, key=str)
+    first = {}
+    for doc_id, text in sorted(pairs_of(odd), key=lambda r: (r[0] is None, r[0] or 0)):
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", text or ""), doc_id)
+    ours = [(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i) for i, t in pairs_of(left)]
+    assert sorted(ours, key=str) == sorted(first.items(), key=str)
     assert (8, "another text under the same id") in pairs_of(left)
 
 
@@ -157,3 +158,39 @@ def test_empty_tables(no_rows):
     assert simhash.near_duplicates(no_rows).count() == 0
     assert simhash.deduplicated(no_rows).columns == no_rows.columns
     assert no_rows.select(F.lit(1)).count() == 0
+
+
+def test_near_stage_leaves_one_row_of_a_group(odd, spark, tmp_path):
+    """The same from any frame and from files."""
+    odd.write.parquet(str(tmp_path / "odd"))
+    files = spark.read.parquet(str(tmp_path / "odd"))
+    for docs in (odd, files, files.where("doc_id is null or doc_id >= 0")):
+        left = simhash.deduplicated(docs)
+        assert left.columns == odd.columns
+        rows = sorted(pairs_of(odd), key=lambda r: (r[0] is None, r[0] or 0))
+        fps = [simhash.fingerprint(t or "") for _, t in rows]
+        roots = components_by_hand(fps, list(range(len(rows))))
+        want = [rows[i] for i in sorted(set(roots))]
+        assert sorted(pairs_of(left), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+def test_rows_are_dropped_by_their_place(spark, tmp_path, monkeypatch, few):
+    """With the drops as they are and as a bitmap; texts are not shuffled."""
+    monkeypatch.setattr(common, "FEW_DROPS", few)
+    rows = [(i % 50, f"text {i}", "x") for i in range(2000)]
+    spark.createDataFrame(rows, "doc_id long, text string, _at string").repartition(7).write.parquet(str(tmp_path / "d"))
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    assert common.is_scan(docs) and not common.is_scan(docs.where("doc_id > 3"))
+
+    def drops(frame, key):
+        assert frame.columns == [key, "text"]
+        return frame.where(F.crc32("text") % 3 == 0).select(key)
+
+    left = common.by_row(docs, "doc_id", "text", drops)
+    want = docs.where(F.crc32("text") % 3 != 0)
+    assert sorted(map(tuple, left.collect())) == sorted(map(tuple, want.collect()))
+    assert left.columns == docs.columns
+    plan = left._jdf.queryExecution().optimizedPlan().toString()
+    if few:
+        assert "hint=(strategy=broadcast)" in plan or "broadcast" in plan.lower()

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wordweave.llm import langid, quality, toxicity
+from wordweave.llm import common, langid, quality, toxicity
 from wordweave.llm.common import fold
 
 
@@ -138,16 +138,20 @@ def bits_by_hand(counts, word):
     return total
 
 
-def test_code_lengths_by_hand(spark):
+@pytest.mark.parametrize("nodes", [4_000_000, 60, 1])
+def test_code_lengths_by_hand(spark, monkeypatch, nodes):
+    monkeypatch.setattr(langid, "NODES", nodes)
     texts = {"aa": ["the cat sat on the mat the end", "cats and mats"], "bb": ["le chat été là", "le fin é"]}
     frame = spark.createDataFrame(
         [(t, lang) for lang, ts in texts.items() for t in ts] + [("x", None), (None, "aa")],
         "text string, lang string",
     )
-    trees = langid.trained(frame)
-    assert trees.langs == ["aa", "bb"]
+    parts = list(langid.trained(langid.counts(frame)))
+    trees = parts[0]
+    assert trees.langs == ["aa", "bb"] and trees.parts == len(parts)
+    assert (len(parts) > 1) == (nodes < 100) and sum(p.here.sum() for p in parts) == 256
     words = [w.encode() for w in ("the", "cat", "été", "zzz", "chatte", "m")]
-    ours = trees.lengths(words)
+    ours = sum(p.lengths(words) for p in parts)
     for i, word in enumerate(words):
         for k, lang in enumerate(trees.langs):
             assert ours[i, k] == pytest.approx(bits_by_hand(tree_by_hand(texts[lang]), word))
@@ -175,3 +179,71 @@ def test_language_odd_rows(odd, no_rows):
     assert langid.language(no_rows).count() == 0
     nothing = langid.language(odd.withColumn("lang", F.lit(None).cast("string"))).collect()
     assert {r.lang_pred for r in nothing} == {"und"}
+
+
+def test_trees_of_any_size(spark, small, monkeypatch):
+    """Nothing is cut off: more than 400,000 grams count like few, and trees in
+    several passes predict the same."""
+    docs = small["documents"].limit(80)
+    once = sorted(map(tuple, langid.language(docs).collect()))
+    monkeypatch.setattr(langid, "NODES", 3_000)
+    again = sorted(map(tuple, langid.language(docs).collect()))
+    assert [r[:3] for r in again] == [r[:3] for r in once]
+    assert [r[3] for r in again] == pytest.approx([r[3] for r in once])
+    text = " ".join("".join(chr(0x4E00 + (i * 7 + k * 13) % 20_000) for k in range(3)) for i in range(60_000))
+    frame = spark.createDataFrame([(1, text, "zz")], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid, "NODES", 4_000_000)
+    counted = {}
+    for word in langid.words_of(text):
+        word = b" " + word + b" "
+        for at in range(1, len(word)):
+            for order in range(min(at, langid.ORDER) + 1):
+                gram = word[at - order : at + 1]
+                counted[order, int.from_bytes(gram, "big")] = counted.get((order, int.from_bytes(gram, "big")), 0) + 1
+    assert len(counted) > 400_000 / 4
+    (trees,) = langid.trained(langid.counts(frame))
+    assert sum(len(level[0]) for level in trees.levels) == len(counted)
+
+
+def spoken(kind, n, seed):
+    """Made-up texts: label 1 is one of insult and group mention (xor), or an
+    insult beside one of 400 rare group words."""
+    draw = random.Random(seed)
+    rows, y = [], []
+    for _ in range(n):
+        words = [f"word{draw.randrange(300)}" for _ in range(12)]
+        insult, group = draw.random() < 0.5, draw.random() < 0.5
+        words += ["insultx"] * insult
+        if group:
+            words.append("groupx" if kind == "xor" else f"grp{draw.randrange(400)}")
+        rows.append(toxicity.terms(" ".join(words)))
+        y.append(int(insult != group) if kind == "xor" else int(insult and group))
+    return rows, np.array(y)
+
+
+@pytest.mark.parametrize("kind", ["xor", "rare"])
+def test_pairs_that_tell_nothing_singly(kind):
+    machine = toxicity.fit(*spoken(kind, 4000, 1))
+    rows, y = spoken(kind, 2000, 2)
+    found = machine.scores([machine.known(r) for r in rows]) >= 0.5
+    assert (found == y).mean() > 0.95
+    assert found[y == 1].mean() > 0.9
+
+
+def test_chance_admits_few_pairs():
+    """Labels that depend on no term leave the second screen empty."""
+    rows, _ = spoken("xor", 1500, 3)
+    y = np.random.default_rng(1).integers(0, 2, 1500)
+    p = np.full(1500, y.mean())
+    assert len(toxicity.in_pairs(rows, y, p)) < 20
+
+
+def test_samples_are_bounded(spark):
+    """One labelled id on very many rows."""
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    marked = common.labelled_rows(docs, labels, "toxic", "doc_id", 5, 10)
+    chosen = common.bounded(marked, 10)
+    assert chosen.count() == 10
+    again = common.bounded(marked.repartition(7), 10)
+    assert sorted(r.text for r in again.collect()) == sorted(r.text for r in chosen.collect())

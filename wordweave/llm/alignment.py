@@ -13,22 +13,26 @@ company; it is remembered within a task, in a table of bounded size, and new uni
 are encoded many at a time.
 
 Two tokens that end together end with the same bytes, so one is a suffix of the
-other. All pairs of ids that can be linked are known from the vocabularies, about
-half a million: they are numbered, and what the corpus counts of them is small.
+other. All pairs of ids that can be linked are known from the vocabularies, a
+third of a million: they are numbered, and what the corpus counts of them is small.
 """
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2
@@ -42,9 +46,9 @@ SPACE, BYTE = "▁", 6
 # A single space between two characters that are none.
 UNIT = re.compile(r"(?<=\S) (?=\S)")
 
-# Characters of texts and of new units taken at a time; units remembered, twice
+# Bytes of texts and characters of new units taken at a time; units remembered, twice
 # at most, and the length of such a unit.
-TEXTS, NEW, UNITS, UNIT_LENGTH = 1 << 20, 1 << 16, 200_000, 48
+TEXTS, NEW, UNITS, UNIT_LENGTH = 1 << 20, 1 << 16, 160_000, 48
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -56,54 +60,66 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class Vocabularies:
-    """Token bytes of both models and the numbered pairs that can be linked."""
+    """Both models, the bytes of their tokens and the numbered pairs that can
+    be linked. It travels to the tasks, which need no model file."""
 
     def __init__(self, byte_model: str, piece_model: str):
         alphabet = _byte_alphabet()
-        self.bytes_path, self.pieces_path = byte_model, piece_model
-        model = json.loads(Path(byte_model).read_text())
+        self.byte_model = Path(byte_model).read_text()
+        self.piece_model = Path(piece_model).read_bytes()
+        self.digest = hashlib.sha256(self.byte_model.encode() + self.piece_model).hexdigest()
+        model = json.loads(self.byte_model)
         splits = model["pre_tokenizer"] or {}
         if splits.get("type") != "ByteLevel" or not splits.get("use_regex", True) or model["normalizer"]:
             raise ValueError("the first model has to split words at spaces, byte by byte")
-        self.a: dict[int, bytes] = {}
-        for token, i in model["model"]["vocab"].items():
+        vocabulary = model["model"]["vocab"]
+        self.a = [b""] * (max(vocabulary.values()) + 1)
+        for token, i in vocabulary.items():
             # A special token is plain text here and made of other tokens.
             self.a[i] = bytes(alphabet[c] for c in token) if set(token) <= alphabet.keys() else b""
-        pieces = sentencepiece_model_pb2.ModelProto.FromString(Path(piece_model).read_bytes()).pieces
+        pieces = sentencepiece_model_pb2.ModelProto.FromString(self.piece_model).pieces
         if any(SPACE in p.piece.lstrip(SPACE) for p in pieces):
             raise ValueError("a piece of the second model goes on after a space")
-        self.b = {
-            i: bytes([int(p.piece[3:-1], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode()
-            for i, p in enumerate(pieces)
-        }
+        self.b = [
+            bytes([int(p.piece[3:-1], 16)]) if p.type == BYTE else p.piece.replace(SPACE, " ").encode()
+            for p in pieces
+        ]
+        # In ascending order, the first id in the upper half.
+        self.pairs = np.array(sorted((i << 32) | j for i, j in self._linkable()), np.int64)
 
-    @property
-    def pairs(self) -> list[tuple[int, int]]:
+    def _linkable(self) -> set[tuple[int, int]]:
         """Ids of tokens of which one is a suffix of the other."""
         by_bytes: tuple[dict, dict] = defaultdict(list), defaultdict(list)
         for ids, tokens in zip(by_bytes, (self.a, self.b)):
-            for i, token in tokens.items():
+            for i, token in enumerate(tokens):
                 ids[token].append(i)
         found = set()
-        for i, token in self.a.items():
+        for i, token in enumerate(self.a):
             for at in range(len(token)):
                 found.update((i, j) for j in by_bytes[1].get(token[at:], ()))
-        for j, token in self.b.items():
+        for j, token in enumerate(self.b):
             for at in range(len(token)):
                 found.update((i, j) for i in by_bytes[0].get(token[at:], ()))
-        return sorted(found)
+        return found
 
 
 class Aligner:
-    """Aligns texts; one per task."""
+    """Aligns texts; one per worker, which keeps the units it has met, with the
+    ends of their groups if ``spans`` are wanted."""
 
-    def __init__(self, words: Vocabularies):
-        self.first = Tokenizer.from_file(words.bytes_path)
+    def __init__(self, words: Vocabularies, spans: bool = True):
+        self.spans = spans
+        self.first = Tokenizer.from_str(words.byte_model)
         self.first.encode_special_tokens = True
-        self.second = sentencepiece.SentencePieceProcessor(model_file=words.pieces_path)
-        self.a, self.b = ([v[i] for i in range(max(v) + 1)] for v in (words.a, words.b))
+        self.second = sentencepiece.SentencePieceProcessor(model_proto=words.piece_model)
+        self.a, self.b, self.pairs = words.a, words.b, words.pairs
         self.sizes = [np.array(list(map(len, v))) for v in (self.a, self.b)]
-        self.number = {pair: n for n, pair in enumerate(words.pairs)}
+        # Ids as text, with what follows them inside a group and at its border.
+        self.texts = [
+            (np.array([f"{i}," for i in range(len(v))], object), np.array([f"{i}{mark}" for i in range(len(v))], object))
+            for v, mark in ((self.a, "|"), (self.b, ";"))
+        ]
+        self.digits = [np.array(list(map(len, t[0]))) for t in self.texts]
         self.now: dict[str, tuple | None] = {}
         self.before: dict[str, tuple | None] = {}
 
@@ -111,7 +127,7 @@ class Aligner:
         """Ids and byte ends in a text by the first tokenizer."""
         coded = self.first.encode(text, add_special_tokens=False)
         ids = coded.ids
-        spans = np.array(coded.offsets, np.int64).reshape(-1, 2)
+        spans = np.fromiter(chain.from_iterable(coded.offsets), np.int64, 2 * len(ids)).reshape(-1, 2)
         byte_at = np.zeros(len(text) + 1, np.int64)
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
         byte_at[1:] = np.cumsum(1 + (points > 0x7F) + (points > 0x7FF) + (points > 0xFFFF))
@@ -123,14 +139,14 @@ class Aligner:
         """Ids and byte ends, in the text with a space before it, by the
         second tokenizer."""
         coded = self.second.encode(text, return_type="proto").pieces
-        ids = [p.id for p in coded]
-        ends = np.array([p.end for p in coded], np.int64) + 1
+        spans = [(p.id, p.end) for p in coded]
+        both = np.fromiter(chain.from_iterable(spans), np.int64, 2 * len(spans)).reshape(-1, 2)
+        ends = both[:, 1] + 1
         # The space added has no span, nor have bytes of a character but one.
-        sure = np.r_[ends[:-1] < ends[1:], True] if len(ids) else np.empty(0, bool)
-        sizes = self.sizes[1][ids]
-        whole = sizes > 1
-        sure &= whole | (ends == np.cumsum(sizes))
-        return ids, self._refined(ends, sure, sizes)
+        sizes = self.sizes[1][both[:, 0]]
+        sure = np.r_[ends[:-1] < ends[1:], True] if len(ends) else np.empty(0, bool)
+        sure &= (sizes > 1) | (ends == np.cumsum(sizes))
+        return both[:, 0].tolist(), self._refined(ends, sure, sizes)
 
     @staticmethod
     def _refined(ends: np.ndarray, sure: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -141,9 +157,6 @@ class Aligner:
         base = np.where(at >= 0, ends[at] - total[at], 0)
         return total + base
 
-    def exact(self, ids: list[int], tokens: list[bytes], data: bytes) -> bool:
-        return b"".join(map(tokens.__getitem__, ids)) == data
-
     def encode(self, units: list[str]) -> list[tuple | None]:
         """Of each unit its groups, links, numbers of tokens and group ends;
         None where the bytes of its tokens are not its own. Only the last may
@@ -152,35 +165,37 @@ class Aligner:
         a, ends_a = self.first_ends(" " + text)
         b, ends_b = self.second_ends(text)
         data = (" " + text).encode()
-        if not (self.exact(a, self.a, data) and self.exact(b, self.b, data)):
+        if b"".join([self.a[i] for i in a]) != data or b"".join([self.b[i] for i in b]) != data:
             if len(units) == 1:
                 return [None]
             half = len(units) // 2
             return self.encode(units[:half]) + self.encode(units[half:])
-        common, at_a, at_b = np.intersect1d(ends_a, ends_b, return_indices=True)
+        common, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
+        a, b = np.array(a), np.array(b)
+        links = np.searchsorted(self.pairs, (a[at_a] << 32) | b[at_b]).astype(np.int32)
+        # Tokens as text, those of the second behind those of the first, group by group.
+        from_a, from_b = np.r_[0, at_a + 1], np.r_[0, at_b + 1]
+        row = np.empty(len(a) + len(b), object)
+        digits = np.empty(len(row), np.int64)
+        for ids, last, starts, other, kind in ((a, at_a, from_a, from_b[:-1], 0), (b, at_b, from_b, from_a[1:], 1)):
+            place = np.arange(len(ids)) + np.repeat(other, np.diff(starts))
+            written = self.texts[kind][0][ids]
+            written[last] = self.texts[kind][1][ids[last]]
+            row[place], digits[place] = written, self.digits[kind][ids]
+        groups = "".join(row.tolist())
+        upto = np.r_[0, np.cumsum(digits)]
+        # Units end where groups do.
         stops = np.cumsum([len(u.encode()) + 1 for u in units])
-        last = np.searchsorted(common, stops, side="right")
-        from_a, from_b = np.r_[0, at_a + 1].tolist(), np.r_[0, at_b + 1].tolist()
-        texts_a, texts_b = list(map(str, a)), list(map(str, b))
-        links = [self.number[a[i], b[j]] for i, j in zip(at_a.tolist(), at_b.tolist())]
-        groups = [
-            ",".join(texts_a[i:k]) + "|" + ",".join(texts_b[j:m])
-            for i, k, j, m in zip(from_a, from_a[1:], from_b, from_b[1:])
+        cut_at = np.r_[0, np.searchsorted(common, stops, side="right")]
+        chars = upto[from_a[cut_at] + from_b[cut_at]].tolist()
+        raw, at = links.tobytes(), (4 * cut_at).tolist()
+        n_a, n_b = np.diff(from_a[cut_at]).tolist(), np.diff(from_b[cut_at]).tolist()
+        made = [
+            (groups[c : d - 1], raw[i:j], x, y) for c, d, i, j, x, y in zip(chars, chars[1:], at, at[1:], n_a, n_b)
         ]
-        links = np.array(links, np.int32)
-        made, g = [], 0
-        for n, stop in enumerate(last.tolist()):
-            start = stops[n - 1] if n else 0
-            made.append(
-                (
-                    ";".join(groups[g:stop]),
-                    links[g:stop].tobytes(),
-                    from_a[stop] - from_a[g],
-                    from_b[stop] - from_b[g],
-                    (common[g:stop] - start).astype(np.int32).tobytes(),
-                )
-            )
-            g = stop
+        if self.spans:
+            inside = (common - np.repeat(np.r_[0, stops[:-1]], np.diff(cut_at))).astype(np.int32).tobytes()
+            made = [(*m, inside[i:j]) for m, i, j in zip(made, at, at[1:])]
         return made
 
     def _learn(self, new: list[str]) -> dict[str, tuple | None]:
@@ -224,14 +239,28 @@ def _vocabularies(byte_model: str, piece_model: str) -> Vocabularies:
     return Vocabularies(byte_model, piece_model)
 
 
-def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of consecutive texts with a bounded sum of characters."""
+# The aligner of this process, by the digest of its models.
+_ALIGNER: dict[tuple[str, bool], Aligner] = {}
+
+
+def _aligner(words: Broadcast, spans: bool) -> Aligner:
+    """The aligner of a worker process; the units it knows serve all its
+    tasks."""
+    key = words.value.digest, spans
+    if key not in _ALIGNER:
+        _ALIGNER.clear()
+        _ALIGNER[key] = Aligner(words.value, spans)
+    return _ALIGNER[key]
+
+
+def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts with a bounded sum of bytes."""
     first = size = 0
-    for at, text in enumerate(texts):
-        if size and size + len(text) > TEXTS:
+    for at, length in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if size and size + length > TEXTS:
             yield first, at
             first, size = at, 0
-        size += len(text)
+        size += length
     if first < len(texts):
         yield first, len(texts)
 
@@ -267,14 +296,15 @@ def alignments(
     aligned whole. One row per row.
     """
     kept = ["doc_id"] if kept is None else kept
-    words = _vocabularies(byte_model, piece_model)
+    words = docs.sparkSession.sparkContext.broadcast(_vocabularies(byte_model, piece_model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(words)
+        aligner = _aligner(words, spans)
         for batch in batches:
-            texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
-            for lo, hi in _portions(texts):
-                rows = [_rows(found, spans) for found in aligner.align(texts[lo:hi])]
+            column = batch.column(len(kept))
+            for lo, hi in _portions(column):
+                texts = [x or "" for x in column.slice(lo, hi - lo).to_pylist()]
+                rows = [_rows(found, spans) for found in aligner.align(texts)]
                 a, b, links, groups, ends = zip(*rows)
                 made = [
                     pa.array(a, pa.int64()),
@@ -297,14 +327,13 @@ def alignments(
 def pair_counts(aligned_docs: DataFrame, words: Vocabularies) -> tuple[np.ndarray, np.ndarray]:
     """Of each numbered pair how many links hold it, and whether that is the
     most of its second id. The size is that of the vocabularies."""
-    pairs = words.pairs
+    pairs = words.pairs & 0xFFFFFFFF
     rows = aligned_docs.select(F.explode("links").alias("pair")).groupBy("pair").count().toArrow()
     counts = np.zeros(len(pairs), np.int64)
     counts[rows["pair"].to_numpy()] = rows["count"].to_numpy()
-    second = np.array([b for _, b in pairs])
-    most = np.zeros(second.max() + 1, np.int64)
-    np.maximum.at(most, second, counts)
-    return counts, counts == most[second]
+    most = np.zeros(len(words.b), np.int64)
+    np.maximum.at(most, pairs, counts)
+    return counts, counts == most[pairs]
 
 
 def aligned(

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wordweave.session import Scratch, cut
+
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -65,19 +68,112 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -35, 35)))
 
 
-def labelled_sample(
-    docs: DataFrame, labels: DataFrame, target: str, doc_id: str, folds: int, rows: int
+def labelled_rows(
+    docs: DataFrame, labels: DataFrame, target: str, doc_id: str, folds: int, ids: int
 ) -> DataFrame:
-    """The rows of ``docs`` outside fold 0 that have a label, as column ``_y``;
-    at most ``rows`` of them, chosen by a hash of the id. Several labels of one
-    id count as their maximum."""
+    """The rows of ``docs`` outside fold 0 whose id has a label, as column
+    ``_y``; of at most ``ids`` ids, chosen by a hash. Several labels of one id
+    count as their maximum. An id may have any number of rows: what is made of
+    them has to be ``bounded``."""
     marks = (
         labels.where(F.col(target).isNotNull() & F.col(doc_id).isNotNull())
         .groupBy(F.col(doc_id).alias("_labelled"))
         .agg(F.max(target).cast("int").alias("_y"))
         .where(fold("_labelled", folds) != 0)
         .orderBy(F.xxhash64("_labelled"), "_labelled")
-        .limit(rows)
+        .limit(ids)
     )
-    # The bound on the sample bounds the broadcast side: 12 bytes a row.
+    # The bound on the ids bounds the broadcast side: 12 bytes a row.
     return docs.join(F.broadcast(marks), F.col(doc_id) == F.col("_labelled")).drop("_labelled")
+
+
+def bounded(sample: DataFrame, rows: int) -> DataFrame:
+    """At most ``rows`` rows of a sample, chosen by a hash of all their
+    columns, so the choice is the same in each run."""
+    return sample.orderBy(F.xxhash64(*sample.columns), *sample.columns).limit(rows)
+
+
+# Rows to drop that are broadcast as they are, of 40 bytes or so; and bits of the
+# map that stands for more, per row and at most (16 MB).
+FEW_DROPS, DROP_BITS, MOST_BITS = 500_000, 16, 1 << 27
+
+
+def unused(frame: DataFrame, base: str) -> str:
+    """A column name that the frame does not have."""
+    own = {c.lower() for c in frame.columns}
+    return next(n for n in (f"{base}{i or ''}" for i in count()) if n not in own)
+
+
+def addressed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs``, read from Parquet files as they are, with a column that names
+    each row by file and place. Files are told by a hash of 64 bits."""
+    place = docs.metadataColumn("_metadata")
+    return docs.withColumn(
+        name, F.struct(F.xxhash64(place["file_path"]).alias("file"), place["row_index"].alias("row"))
+    )
+
+
+def without(docs: DataFrame, name: str, dropped: DataFrame) -> DataFrame:
+    """The rows of the ``addressed`` docs that ``dropped`` (name) does not hold.
+
+    The texts are not shuffled. Few dropped rows are broadcast; more of them are a
+    bitmap of bounded size, and only what it may hold, the dropped rows and some
+    hundredths of the others, is joined with them.
+    """
+    dropped = cut(dropped.select(F.col(name).alias("_dropped")))
+    rows = dropped.count()
+    here = F.col(name) == F.col("_dropped")
+    if rows <= FEW_DROPS:
+        return docs.join(F.broadcast(dropped), here, "left_anti").drop(name)
+    bits = 1 << 20
+    while bits < min(rows * DROP_BITS, MOST_BITS):
+        bits *= 2
+
+    def place(column: str) -> Column:
+        return F.xxhash64(column).bitwiseAND(F.lit(bits - 1).cast("long"))
+
+    mark = F.expr("shiftleft(1L, int(_bit & 63))")
+    marks = (
+        dropped.select(place("_dropped").alias("_bit"))
+        .groupBy(F.shiftright("_bit", 6).alias("_word"))
+        .agg(F.bit_or(mark).alias("_marks"))
+    )
+    tested = docs.withColumn("_bit", place(name)).join(
+        F.broadcast(cut(marks)), F.shiftright("_bit", 6) == F.col("_word"), "left"
+    )
+    held = F.coalesce(F.col("_marks").bitwiseAND(mark) != 0, F.lit(False))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    open_rows = tested.where(held).select(*kept).join(dropped, here, "left_anti")
+    return tested.where(~held).select(*kept).unionByName(open_rows).drop(name)
+
+
+def is_scan(docs: DataFrame) -> bool:
+    """Whether ``docs`` are Parquet files as they are, whose rows have places."""
+    plan = docs._jdf.queryExecution().analyzed().getClass().getSimpleName()
+    if plan != "LogicalRelation" or not docs.inputFiles():
+        return False
+    return "row_index" in docs.select(docs.metadataColumn("_metadata")).schema[0].dataType.names
+
+
+def by_row(
+    docs: DataFrame, doc_id: str, text: str, drops: Callable[[DataFrame, str], DataFrame]
+) -> DataFrame:
+    """``docs`` without the rows that ``drops`` returns.
+
+    ``drops`` gets (key, text) and the name of the key, which is (no_id, id, at): it
+    is unique to a row, and its order is that of the ids, NULL last, then that of
+    the rows. Parquet files are read where they are; other frames are written out
+    first, so that rows have a place, and the result is then a checkpoint.
+    """
+    name = unused(docs, "_at")
+
+    def kept(rows: DataFrame) -> DataFrame:
+        placed = addressed(rows, name)
+        key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(name).alias("at"))
+        gone = drops(placed.select(key.alias("key"), F.col(text).alias("text")), "key")
+        return without(placed, name, gone.select(F.col("key.at").alias(name)))
+
+    if is_scan(docs):
+        return kept(docs)
+    with Scratch(docs.sparkSession) as scratch:
+        return cut(kept(scratch.keep(docs)))

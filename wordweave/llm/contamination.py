@@ -1,24 +1,31 @@
 """Benchmark passages in documents, also with other numbers, names and units.
 
 Both sides are turned into templates: a word is lower-cased and stripped of
-punctuation; one with a digit becomes <number>, a unit of measure after a
-number <unit>, and a capitalised word inside a sentence <name>. Windows of
-``WINDOW`` template words are hashed; a document's windows that a fixed-size
-bitmap of the benchmark's windows may hold are joined with the benchmark's on
-the hash and on the template itself. Windows that lie on one diagonal of a
-document and an item form an alignment. A name of the item has to stand for one
-name of the document in all of it, a number or unit for one value in every
-window that counts; two values of the item may become one. So a question with
-exchanged parameters is found, and a text that merely has the same shape is not.
-Where names do not agree, the windows count whose slots all have the item's own
-values or that have none. Windows of an item with too few literal words are
-looked for as plain words.
+punctuation; one with a digit or a number word becomes <number>, a unit of measure
+after a number (or glued to it) <unit>, and a capitalised word inside a sentence
+<name>. Names that follow each other are one placeholder, and so are number words.
+At the start of a sentence a capital says little: a word that is a name elsewhere in
+the text is one there too, a word that the text has in lower case or that usually
+begins sentences is none, and for the rest the text has two readings, both of which
+are looked for.
+
+Windows of ``WINDOW`` template words are hashed; a document's windows that a
+fixed-size bitmap of the benchmark's windows may hold are joined with the
+benchmark's on the hash and on the template itself. Windows that lie on one diagonal
+of a reading of a document and one of an item form an alignment. A name of the item
+has to stand for one name of the document in all of it, a number or unit for one
+value in every window that counts; two values of the item may become one. So a
+question with exchanged parameters is found, and a text that merely has the same
+shape is not. Where names do not agree, the windows count whose slots all have the
+item's own values or that have none. Windows of an item with too few literal words
+are looked for as plain words.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +33,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.session import cut
+from wordweave.llm.common import by_row
+from wordweave.session import Scratch, cut
 
 WINDOW = 8
 
@@ -53,69 +61,164 @@ UNITS = frozenset(
     "dollar dollars euro euros cent cents percent degree degrees".split()
 )
 
+# Number words, and words that often begin a sentence and are no
+# names (English, German, French, Spanish).
+NUMBER_WORDS = frozenset(
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen "
+    "seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
+    "million billion dozen".split()
+)
+OPENERS = frozenset(
+    "a an the this that these those it its he she they we you i his her their our your my if when while after "
+    "before how what which who whom whose why where in on at for from with by of to and but or so as then there "
+    "here each every all some any many much more most is are was were do does did can could will would should "
+    "may might must no not yes please find calculate compute determine given let suppose consider solve show "
+    "prove explain write assume during because although since until "
+    "der die das ein eine er sie es wir ihr wenn wie was im auf von zu und oder "
+    "le la les un une des il elle ils elles ce cette dans sur pour par si quand et ou "
+    "el los las una unos unas él ella ellos ellas cuando como qué en por para con de y o".split()
+)
+
 EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“”‘’«»…–—¿¡"
 DIGIT = re.compile(r"\d")
+GLUED = re.compile(r"(\d[\d.,]*)([A-Za-z]+)$")
+
+LITERAL, NUMBERED, SPELLED, NAMED, MEASURED = range(5)
 
-Word = tuple[int, str, str | None, int]
+
+def _code(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode())
+
+
+# Of each kind but literals the placeholder and its code.
+PLACEHOLDERS = {NUMBERED: NUMBER, SPELLED: NUMBER, NAMED: NAME, MEASURED: UNIT}
+CODES = np.array([0] + [_code(PLACEHOLDERS[k]) for k in range(1, 5)], np.uint64)
 
 
 class _Forms(dict):
-    """Raw word -> (code, template, slot value, plain code) by its look alone,
-    for a word inside a sentence; bounded. Values of names begin with @."""
+    """Raw word -> number of its form, by its look alone; bounded. A form is
+    up to two words; all columns are indexed by its number, ``words`` by number
+    and word. Kinds are those inside a sentence."""
 
     KEPT = 300_000
 
-    def __missing__(self, raw: str) -> tuple[Word, Word, bool]:
-        """(form inside a sentence, form at its start, ends a sentence)."""
+    def __init__(self):
+        super().__init__()
+        self.begin(1024)
+
+    def begin(self, room: int) -> None:
+        self.clear()
+        self.words: list[tuple[str, ...]] = []
+        self.size = np.zeros(room, np.int8)
+        self.kind = np.zeros((room, 2), np.int8)
+        self.code = np.zeros((room, 2), np.uint64)
+        # Ends a sentence; ends without a mark; capitalised; in lower case; unit; opener.
+        self.marks = np.zeros((room, 6), bool)
+
+    def __missing__(self, raw: str) -> int:
         word = raw.strip(EDGES)
         low = word.lower()
-        if DIGIT.search(word):
-            inside = start = _form(NUMBER, low, low)
+        glued = GLUED.match(low)
+        if glued and glued[2] in UNITS:
+            words, kinds = (glued[1].rstrip(".,"), glued[2]), (NUMBERED, MEASURED)
+        elif DIGIT.search(word):
+            words, kinds = (low,), (NUMBERED,)
+        elif low in NUMBER_WORDS:
+            words, kinds = (low,), (SPELLED,)
         else:
-            start = _form(low, None, low)
-            # At the start of a sentence a capital says nothing.
-            named = word[:1].isupper() and word[1:].islower()
-            inside = _form(NAME, AT + low, low) if named else start
-        made = (inside, start, raw.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":"))
-        if len(self) > self.KEPT:
-            self.clear()
-        self[raw] = made
-        return made
-
-
-def _form(template: str, value: str | None, word: str) -> Word:
-    code = xxhash.xxh64_intdigest(template.encode())
-    return code, template, value, xxhash.xxh64_intdigest(word.encode())
-
-
-UNIT_CODE = _form(UNIT, "", "")[0]
-
-
-def template(text: str, forms: _Forms) -> tuple[list[int], list[str], list[str | None], list[int]]:
-    """Codes, template words, slot values (None for a literal) and codes of the
-    plain words."""
-    codes, words, values, plain = [], [], [], []
-    begins = after_number = False
-    for line in text.splitlines():
-        begins = True
-        for raw in line.split():
-            inside, start, ends = forms[raw]
-            code, word, value, own = start if begins else inside
-            begins = ends
-            if not word:
-                continue  # punctuation alone
-            if after_number and word in UNITS:
-                code, word, value = UNIT_CODE, UNIT, word
-            after_number = word == NUMBER
-            codes.append(code)
-            words.append(word)
-            values.append(value)
-            plain.append(own)
-    return codes, words, values, plain
-
-
-def plain_words(words: list[str], values: list[str | None]) -> str:
-    return PLAIN + " ".join(w if v is None else v.removeprefix(AT) for w, v in zip(words, values))
+            words, kinds = (low,) if low else (), (LITERAL,)
+        n = len(self.words)
+        if n == len(self.size):
+            for name in ("size", "kind", "code", "marks"):
+                column = getattr(self, name)
+                setattr(self, name, np.concatenate([column, np.zeros_like(column)]))
+        self.words.append(words)
+        self.size[n] = len(words)
+        for i, (w, k) in enumerate(zip(words, kinds)):
+            self.kind[n, i], self.code[n, i] = k, _code(w)
+        capital = word[:1].isupper() and (word not in ("I", "A") if len(word) == 1 else not word.isupper())
+        self.marks[n] = (
+            raw.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":"),
+            raw[-1:].isalnum(),
+            capital and kinds == (LITERAL,),
+            low == word,
+            low in UNITS,
+            low in OPENERS,
+        )
+        self[raw] = n
+        return n
+
+
+class Template:
+    """One reading of a text: its template words, and the plain words that each
+    of them begins with and consists of."""
+
+    def __init__(self, kind, code, low, opened, begins):
+        """Of each plain word the kind, the code of the word, the word, whether
+        the next one may belong to it, and whether it begins a sentence."""
+        n = len(kind)
+        number = (kind == NUMBERED) | (kind == SPELLED)
+        joined = np.zeros(n, bool)
+        if n:
+            spelled = (kind == SPELLED)[1:] | (kind == SPELLED)[:-1]
+            named = (kind[1:] == NAMED) & (kind[:-1] == NAMED) & ~begins[1:]
+            joined[1:] = opened[:-1] & (named | (number[1:] & number[:-1] & spelled))
+        self.starts = np.flatnonzero(~joined)
+        self.low, self.words, self.plain = low, n, code
+        self.kind = kind[self.starts]
+        self.codes = np.where(self.kind == LITERAL, code[self.starts], CODES[self.kind])
+        self.literals = np.r_[0, np.cumsum(self.kind == LITERAL)]
+        self.ends = np.r_[self.starts[1:], n]
+
+    def window(self, at: int, size: int) -> tuple[str, list[str | None]]:
+        """Template words and slot values; values of names begin with @."""
+        words, values = [], []
+        for place in range(at, at + size):
+            own = " ".join(self.low[self.starts[place] : self.ends[place]])
+            kind = int(self.kind[place])
+            words.append(own if kind == LITERAL else PLACEHOLDERS[kind])
+            values.append(None if kind == LITERAL else AT + own if kind == NAMED else own)
+        return " ".join(words), values
+
+    def plain_window(self, at: int, size: int) -> tuple[str, list[str | None]]:
+        return PLAIN + " ".join(self.low[at : at + size]), [None] * size
+
+
+def readings(text: str, forms: _Forms) -> list[Template]:
+    """One reading of a text, or two: open words at the starts of sentences as
+    literals and as names."""
+    if len(forms) > forms.KEPT:
+        forms.begin(len(forms.size))
+    lines = [line.split() for line in text.splitlines()]
+    raw = np.fromiter(map(forms.__getitem__, chain.from_iterable(lines)), np.int64)
+    marks = forms.marks[raw]
+    begins = np.r_[False, marks[:-1, 0]] if len(raw) else np.empty(0, bool)
+    firsts = np.cumsum([0, *map(len, lines)])[:-1]
+    begins[firsts[firsts < len(raw)]] = True
+    size = forms.size[raw]
+    of = np.repeat(np.arange(len(raw)), size)
+    second = np.r_[False, of[1:] == of[:-1]] if len(of) else np.empty(0, bool)
+    form, sub = raw[of], second.astype(np.int8)
+    kind, code = forms.kind[form, sub], forms.code[form, sub]
+    _, opened, capital, lower, unit, opener = forms.marks[form].T
+    begins = begins[of] & ~second
+    number = (kind == NUMBERED) | (kind == SPELLED)
+    literal = kind == LITERAL
+    after = np.r_[False, number[:-1]] if len(kind) else literal
+    name = literal & capital & ~begins
+    kind = np.where(name, NAMED, np.where(literal & lower & unit & after, MEASURED, kind))
+    first = np.flatnonzero(literal & capital & begins & ~opener)
+    again = np.isin(code[first], code[name])
+    kind[first[again]] = NAMED
+    first = first[~again]
+    first = first[~np.isin(code[first], code[literal & lower])]
+    low = [w for n in raw.tolist() for w in forms.words[n]]
+    made = [Template(kind, code, low, opened, begins)]
+    if len(first):
+        kind = kind.copy()
+        kind[first] = NAMED
+        made.append(Template(kind, code, low, opened, begins))
+    return made
 
 
 # Odd multipliers of the window hash, one per place.
@@ -138,16 +241,17 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)
 
 
-WINDOWS = "pos int, hash bigint, words string, values array<string>"
+WINDOWS = "pos int, hash bigint, words string, values array<string>, size int, reading int, plain boolean"
 
 
 class _Windows:
-    """Rows (id, text) -> windows (id, pos, hash, words, values, of).
+    """Rows (id, text) -> windows (id, pos, hash, words, values, size, reading,
+    plain); ``pos`` counts the template words of the reading.
 
     Documents: windows whose slot in the bitmap is set, of every size the
-    benchmark has, and of ``plain`` sizes all windows as plain words too.
-    Items: all windows of the item's size, as plain words if they have too few
-    literal ones.
+    benchmark has, and of ``plain`` sizes windows of plain words too, from where a
+    template word begins. Items: all windows of the item's size, as plain words if
+    they have too few literal ones.
     """
 
     def __init__(
@@ -160,48 +264,54 @@ class _Windows:
         for batch in batches:
             at, rows = [], []
             for i, text in enumerate(batch.column(1).to_pylist()):
-                found = list(self.windows(text or "", forms))
-                at += [i] * len(found)
-                rows += found
+                if not text:
+                    continue
+                for number, reading in enumerate(readings(text, forms)):
+                    for row in self.windows(reading):
+                        at.append(i)
+                        rows.append((*row[:5], number, row[5]))
                 if len(rows) > 20_000:
                     yield self.frame(batch, at, rows)
                     at, rows = [], []
             yield self.frame(batch, at, rows)
 
-    def windows(self, text: str, forms: _Forms):
-        codes, words, values, own = template(text, forms)
-        hashed, plain = np.array(codes, dtype=np.uint64), np.array(own, dtype=np.uint64)
+    def windows(self, reading: Template):
+        """(pos, hash, words, values, size, plain)"""
         if self.bitmap is None:
-            size = min(WINDOW, len(codes))
-            free = window_hashes(hashed, size) if size else ()
-            bound = ~window_hashes(plain, size) if size else ()
+            size, plain_size = min(WINDOW, len(reading.codes)), min(WINDOW, reading.words)
+            if not size:
+                return
+            free = window_hashes(reading.codes, size)
+            bound = ~window_hashes(reading.plain, plain_size)
             for place in range(len(free)):
-                slots, these = values[place : place + size], words[place : place + size]
-                if slots.count(None) >= min(LITERALS, size):
-                    yield place, int(free[place]), " ".join(these), slots, size
+                if reading.literals[place + size] - reading.literals[place] >= min(LITERALS, size):
+                    yield place, int(free[place]), *reading.window(place, size), size, False
                 else:
-                    yield place, int(bound[place]), plain_words(these, slots), slots, size
+                    first = int(reading.starts[place])
+                    yield place, int(bound[first]), *reading.plain_window(first, plain_size), plain_size, True
             return
         for size in self.sizes:
-            hashes = window_hashes(hashed, size)
-            for place in self.known(hashes):
-                slots = values[place : place + size]
-                if slots.count(None) >= min(LITERALS, size):
-                    yield int(place), int(hashes[place]), " ".join(words[place : place + size]), slots, size
+            hashes = window_hashes(reading.codes, size)
+            if len(hashes):
+                literal = reading.literals[size:] - reading.literals[:-size] >= min(LITERALS, size)
+                for place in np.flatnonzero(literal & self.known(hashes)).tolist():
+                    yield place, int(hashes[place]), *reading.window(place, size), size, False
         for size in self.plain:
-            hashes = ~window_hashes(plain, size)
-            for place in self.known(hashes):
-                these = plain_words(words[place : place + size], values[place : place + size])
-                yield int(place), int(hashes[place]), these, [None] * size, size
+            places = np.flatnonzero(reading.starts + size <= reading.words)
+            hashes = ~window_hashes(reading.plain, size)[reading.starts[places]]
+            for n in np.flatnonzero(self.known(hashes)).tolist():
+                place = int(places[n])
+                words = reading.plain_window(int(reading.starts[place]), size)
+                yield place, int(hashes[n]), *words, size, True
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of the hashes that the bitmap may hold."""
+        """Whether the bitmap may hold the hashes."""
         slot = _slot(hashes)
-        return np.flatnonzero(self.bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1)
+        return (self.bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) != 0
 
     @staticmethod
     def frame(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
-        pos, hashes, words, values, size = zip(*rows) if rows else ((), (), (), (), ())
+        pos, hashes, words, values, size, reading, plain = zip(*rows) if rows else ((),) * 7
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(at, pa.int64())),
@@ -210,15 +320,17 @@ class _Windows:
                 pa.array(words, pa.string()),
                 pa.array(values, pa.list_(pa.string())),
                 pa.array(size, pa.int32()),
+                pa.array(reading, pa.int32()),
+                pa.array(plain, pa.bool_()),
             ],
-            ["id", "pos", "hash", "words", "values", "size"],
+            ["id", "pos", "hash", "words", "values", "size", "reading", "plain"],
         )
 
 
 def _windows(rows: DataFrame, row_id: str, text: str, windows: _Windows) -> DataFrame:
     kind = dict(rows.dtypes)[row_id]
     plain = rows.select(F.col(row_id).alias("id"), F.col(text).alias("text"))
-    return plain.mapInArrow(windows, f"id {kind}, {WINDOWS}, size int")
+    return plain.mapInArrow(windows, f"id {kind}, {WINDOWS}")
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
@@ -248,44 +360,55 @@ def contaminated(
     ``windows`` of the item's ``of`` windows lie on the best alignment and are
     filled consistently; ``exact`` says that all slot values of the alignment
     are the item's own. NULL and empty texts hold nothing, items without
-    a word are in nothing. Windows with too few literal words match as they are. Repeated rows give one row; rows without an id give none
+    a word are in nothing; long texts are read whole. Windows with too few literal
+    words match as they are. Repeated rows give one row; rows without an id give none
     of their own but one with a NULL id. Of equally good alignments an exact
     one counts. Empty tables give no rows; other columns are not read.
     """
-    items = cut(_windows(benchmark, item_id, text, _Windows()))
-    plain = F.col("words").startswith(PLAIN)
-    kinds = sorted(tuple(r) for r in items.select("size", plain).distinct().collect())  # 2 * WINDOW at most
-    sizes, plain_sizes = ([size for size, is_plain in kinds if is_plain == wanted] for wanted in (False, True))
+    with Scratch(docs.sparkSession) as scratch:
+        items = scratch.keep(_windows(benchmark, item_id, text, _Windows()))
+        kinds = sorted(tuple(r) for r in items.select("size", "plain").distinct().collect())  # 2 * WINDOW at most
+        sizes, plain_sizes = ([size for size, is_plain in kinds if is_plain == wanted] for wanted in (False, True))
+        seen = _windows(docs, doc_id, text, _Windows(_bitmap(items), sizes, plain_sizes))
+        return cut(_aligned(seen, items))
+
+
+def _aligned(seen: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id, windows, of, exact) from the windows of both sides."""
     mine = items.select(
-        F.col("id").alias("item_id"), F.col("pos").alias("_pos"), "hash", "words", F.col("values").alias("theirs")
+        F.col("id").alias("item_id"),
+        F.col("pos").alias("_pos"),
+        "hash",
+        "words",
+        F.col("values").alias("theirs"),
+        F.col("reading").alias("_reading"),
     ).distinct()
-    seen = _windows(docs, doc_id, text, _Windows(_bitmap(items), sizes, plain_sizes))
+    plain = F.col("plain")
+    own = F.when(plain, F.col("theirs")).otherwise(F.col("ours"))
     pairs = seen.withColumnRenamed("values", "ours").join(mine, ["hash", "words"]).select(
         F.col("id").alias("doc_id"),
         "item_id",
+        "reading",
+        "_reading",
         (F.col("pos") - F.col("_pos")).alias("diagonal"),
         "_pos",
-        F.filter(
-            F.arrays_zip("theirs", F.when(plain, F.col("theirs")).otherwise(F.col("ours")).alias("ours")),
-            lambda s: s["theirs"].isNotNull(),
-        ).alias("slots"),
-        plain.alias("_plain"),
+        F.filter(F.arrays_zip("theirs", own.alias("ours")), lambda s: s["theirs"].isNotNull()).alias("slots"),
+        "plain",
     )
     theirs, ours = (lambda s: s["theirs"]), (lambda s: s["ours"])
     # Slots of one window: an item's value stands for one value.
     one = F.size(F.array_distinct(F.transform("slots", theirs))) == F.size(F.array_distinct("slots"))
+    place = ["doc_id", "item_id", "reading", "_reading", "diagonal"]
     windows = pairs.select(
-        "doc_id",
-        "item_id",
-        "diagonal",
+        *place,
         F.when(one, F.col("_pos")).alias("_one"),
         F.when(F.forall("slots", lambda s: theirs(s) == ours(s)), F.col("_pos")).alias("_same"),
         F.forall("slots", lambda s: theirs(s) == ours(s)).alias("_exact"),
-        F.when(~F.col("_plain"), F.col("_pos")).alias("_free"),
+        F.when(~plain, F.col("_pos")).alias("_free"),
         F.array_distinct(F.filter("slots", lambda s: theirs(s).startswith(AT))).alias("_names"),
     )
     # The windows of an alignment are at most those of its item.
-    aligned = windows.groupBy("doc_id", "item_id", "diagonal").agg(
+    aligned = windows.groupBy(*place).agg(
         F.collect_set("_one").alias("_one"),
         F.collect_set("_same").alias("_same"),
         F.collect_set("_free").alias("_free"),
@@ -296,11 +419,12 @@ def contaminated(
     counted = aligned.withColumn("_counted", F.when(named, F.col("_one")).otherwise(F.col("_same"))).select(
         "doc_id",
         "item_id",
+        "_reading",
         "exact",
         F.size("_counted").alias("windows"),
         F.size(F.array_intersect("_counted", "_free")).alias("_free"),
     )
-    lengths = items.groupBy(F.col("id").alias("item_id")).agg(
+    lengths = items.groupBy(F.col("id").alias("item_id"), F.col("reading").alias("_reading")).agg(
         F.count_distinct("pos").alias("of"), F.count_distinct(F.when(~plain, F.col("pos"))).alias("_of_free")
     )
     # Enough of all windows, or of those that match with other values.
@@ -309,11 +433,11 @@ def contaminated(
     )
     return (
         counted.where(F.col("windows") > 0)
-        .join(lengths, "item_id")
+        .join(lengths, ["item_id", "_reading"])
         .where(enough)
         .groupBy("doc_id", "item_id")
-        .agg(F.max(F.struct("windows", "exact")).alias("_best"), F.max("of").alias("of"))
-        .select("doc_id", "item_id", "_best.windows", "of", "_best.exact")
+        .agg(F.max(F.struct("windows", "exact", "of")).alias("_best"))
+        .select("doc_id", "item_id", "_best.windows", "_best.of", "_best.exact")
     )
 
 
@@ -324,6 +448,12 @@ def decontaminated(
     item_id: str = "item_id",
     text: str = "text",
 ) -> DataFrame:
-    """The rows of ``docs`` that hold no item. Rows without an id stay."""
-    hit = contaminated(docs, benchmark, doc_id, item_id, text)
-    return docs.join(hit.select(F.col("doc_id").alias(doc_id)).distinct(), doc_id, "left_anti")
+    """The rows of ``docs`` that hold no item, all columns; every row is judged
+    by its own text, also one without an id."""
+    items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
+
+    def drops(rows: DataFrame, key: str) -> DataFrame:
+        hit = contaminated(rows, items, key)
+        return hit.select(F.col("doc_id").alias(key)).distinct()
+
+    return by_row(docs, doc_id, text, drops)

@@ -17,7 +17,6 @@ every level; entries that do not agree in all three stay apart.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +24,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.session import cut
+from wordweave.llm.common import by_row
+from wordweave.session import Scratch, cut
 
 # Runs that meet in one round, as a number of bits.
 FAN_BITS = 4
@@ -118,37 +118,37 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     empty text. Rows that repeat an id together with its text count in
     ``group_size`` and are all kept if that id is the smallest: they are one
     document stored twice. NULL ids are larger than any other; a group of only
-    NULL ids has a NULL ``keep_id`` and is kept. An empty table gives no rows.
-    Other columns of ``docs`` are not read.
+    NULL ids has a NULL ``keep_id`` and is kept. Long texts are digested whole. An
+    empty table gives no rows. Other columns of ``docs`` are not read.
     """
-    rows = cut(digests(docs, doc_id, text))
-    groups = cut(merged_runs(rows)).withColumnsRenamed(
-        {"sha": "_sha", "length": "_length", "check": "_check"}
-    )
-    same = (
-        (F.col("sha") == F.col("_sha"))
-        & (F.col("length") == F.col("_length"))
-        & (F.col("check") == F.col("_check"))
-    )
-    return rows.join(groups, same, "left").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        rows = scratch.keep(digests(docs, doc_id, text))
+        groups = scratch.keep(merged_runs(rows)).withColumnsRenamed(
+            {"sha": "_sha", "length": "_length", "check": "_check"}
+        )
+        same = (
+            (F.col("sha") == F.col("_sha"))
+            & (F.col("length") == F.col("_length"))
+            & (F.col("check") == F.col("_check"))
+        )
+        return cut(
+            rows.join(groups, same, "left").select(
+                "doc_id",
+                "keep_id",
+                "group_size",
+                F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+                F.col("sha").alias("text_sha256"),
+            )
+        )
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, all columns. A row is dropped by its id
-    and digest together, so an id that repeats with another text is safe; a
-    row without an id cannot be named and stays."""
-    own = {c.lower() for c in docs.columns}
-    key, sha = (next(n for n in (f"_{k}{i}" for i in count()) if n not in own) for k in ("id", "sha"))
-    dropped = (
-        duplicate_groups(docs, doc_id, text)
-        .where(~F.col("kept"))
-        .select(F.col("doc_id").alias(key), F.col("text_sha256").alias(sha))
-    )
-    same = (F.col(doc_id) == F.col(key)) & (F.sha2(normalised(F.col(text)), 256) == F.col(sha))
-    return docs.join(dropped, same, "left_anti")
+    """The rows of ``docs`` that stay, all columns: of equal texts one row, the
+    first by id, then by its place in the files. Rows are dropped as such: an id
+    that repeats with another text is safe, a row stored twice stays once, and rows
+    without an id come last."""
+
+    def drops(rows: DataFrame, key: str) -> DataFrame:
+        return duplicate_groups(rows, key).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+
+    return by_row(docs, doc_id, text, drops)

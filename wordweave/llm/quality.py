@@ -8,6 +8,7 @@ table entries, looked up for a whole batch at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -15,8 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.llm.common import fold, labelled_sample, sigmoid, text_map
-from wordweave.session import cut
+from wordweave.llm.common import bounded, fold, labelled_rows, sigmoid, text_map
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -218,17 +218,21 @@ class _Scores:
     def __init__(self, model: Model):
         self.model = model
 
-    def __call__(self, batches):
-        for batch in batches:
-            rows = batch.column(1)
-            x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1).astype(float)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(self.model.scores(x))], ["doc_id", "score"])
+    def __call__(self, texts: list[str]) -> dict[str, object]:
+        return {"score": pa.array(self.model.scores(features(texts).astype(np.float32).astype(float)))}
 
 
-def document_features(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, x) of every row, from its whole text."""
+def trained(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Model:
+    """The model of ``labels.quality``, from at most ``TRAINING_ROWS`` rows
+    outside fold 0; a row that is stored many times counts once."""
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return text_map(plain, ["doc_id"], "text", _Features(), "x array<float>")
+    marked = labelled_rows(
+        plain, labels.withColumnRenamed(doc_id, "doc_id"), "quality", "doc_id", FOLDS, TRAINING_ROWS
+    )
+    sample = text_map(marked, ["_y"], "text", _Features(), "x array<float>").distinct()
+    rows = bounded(sample, TRAINING_ROWS).toArrow()
+    matrix = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
+    return fit(matrix, np.array(rows.column("_y").to_pylist(), dtype=int))
 
 
 def quality(
@@ -237,20 +241,14 @@ def quality(
     """(doc_id, held_out, score, predicted), one row per row.
 
     Learns ``labels.quality`` from rows outside fold 0, from features of the
-    text alone. NULL texts count as empty; empty texts are scored like others.
-    Without labels of both kinds every score is the smoothed share of label 1.
-    Repeated rows are scored each; a NULL id is held out. An empty table gives
-    no rows; other columns are not read.
+    text alone. NULL texts count as empty; empty texts are scored like others, long
+    ones by the features of all their words. Without labels of both kinds every score
+    is the smoothed share of label 1. Repeated rows are scored each; a NULL id is
+    held out. An empty table gives no rows; other columns are not read.
     """
-    x = cut(document_features(docs, doc_id, text))
-    sample = labelled_sample(
-        x, labels.withColumnRenamed(doc_id, "doc_id"), "quality", "doc_id", FOLDS, TRAINING_ROWS
-    )
-    rows = sample.select("x", "_y").toArrow()
-    matrix = np.array(rows.column("x").to_pylist(), dtype=float).reshape(-1, len(FEATURES))
-    model = fit(matrix, np.array(rows.column("_y").to_pylist(), dtype=int))
-    kind = dict(x.dtypes)["doc_id"]
-    scored = x.mapInArrow(_Scores(model), f"doc_id {kind}, score double")
+    plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    model = trained(docs, labels, doc_id, text)
+    scored = text_map(plain, ["doc_id"], "text", _Scores(model), "score double")
     return scored.select(
         "doc_id",
         (fold("doc_id", FOLDS) == 0).alias("held_out"),
@@ -262,11 +260,16 @@ def quality(
 def accepted(
     docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text"
 ) -> DataFrame:
-    """The rows of ``docs`` that the model accepts. Rows without an id stay."""
-    refused = (
-        quality(docs, labels, doc_id, text)
-        .where(F.col("predicted") == 0)
-        .select(F.col("doc_id").alias(doc_id))
-        .distinct()
-    )
-    return docs.join(refused, doc_id, "left_anti")
+    """The rows of ``docs`` that the model accepts, all columns. Each row is
+    judged by its own text as it passes, so nothing is joined or shuffled, and
+    an id that repeats or is NULL does not matter."""
+    model = trained(docs, labels, doc_id, text)
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            score = _Scores(model)(texts)["score"].to_numpy()
+            yield batch.filter(pa.array(score >= THRESHOLD))
+
+    return docs.mapInArrow(run, docs.schema)

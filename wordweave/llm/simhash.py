@@ -25,8 +25,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.llm.common import LOWER, text_map
-from wordweave.session import cut
+from wordweave.llm.common import LOWER, by_row, text_map
+from wordweave.session import Scratch, cut
 
 SHINGLE = 4
 SEED = 42
@@ -112,7 +112,9 @@ def listed(nodes: DataFrame) -> DataFrame:
     )
 
 
-def in_blocks(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+def in_blocks(
+    entries: DataFrame, nodes: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut
+) -> DataFrame:
     """(bucket, block, own, fp): entries of a bucket with many owners go to all
     of its blocks, and are at home in one."""
     counts = nodes.select(
@@ -125,7 +127,7 @@ def in_blocks(entries: DataFrame, nodes: DataFrame) -> DataFrame:
             )
         ).alias("bucket")
     )
-    large = cut(
+    large = keep(
         counts.groupBy("bucket")
         .count()
         .where(F.col("count") > BLOCK)
@@ -269,10 +271,10 @@ def _closed(starts, ends, own, fp, frame) -> Iterator[pa.RecordBatch]:
             yield frame(*group.visit(visitors))
 
 
-def links(nodes: DataFrame) -> DataFrame:
+def links(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all that lie
     within ``LINKED`` bits of each other; not every such pair is listed."""
-    placed = in_blocks(listed(nodes), nodes)
+    placed = in_blocks(listed(nodes), nodes, keep)
     rows = placed.repartition("bucket", "block").sortWithinPartitions(
         "bucket", "block", F.col("own").desc()
     )
@@ -329,28 +331,33 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     Fingerprints that differ in at most four bits are linked;
     ``component_id`` is the smallest id that links reach, itself included.
     NULL texts and texts without words have fingerprint 0 and are linked like
-    others. Repeated rows share their component. A NULL id is no candidate for
-    ``component_id``. An empty table gives no rows; other columns are not read.
+    others; long texts are read whole. Repeated rows share their component. A NULL
+    id is no candidate for ``component_id``. An empty table gives no rows; other columns are not read.
     """
-    rows = cut(fingerprints(docs, doc_id, text).withColumnRenamed(doc_id, "doc_id"))
-    nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    roots = components(links(nodes)).withColumnRenamed("node", "fp")
-    placed = cut(
-        nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    )
-    smallest = cut(placed.groupBy("root").agg(F.min("first").alias("component_id")))
-    classes = cut(placed.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
-    return rows.join(classes, F.col("fp") == F.col("_fp"), "left").select(
-        "doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id"
-    )
+    with Scratch(docs.sparkSession) as scratch:
+        keep = scratch.keep
+        rows = keep(fingerprints(docs, doc_id, text).withColumnRenamed(doc_id, "doc_id"))
+        nodes = keep(rows.groupBy("fp").agg(F.min("doc_id").alias("first")))
+        roots = components(links(nodes, keep), keep).withColumnRenamed("node", "fp")
+        placed = keep(
+            nodes.join(roots, "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+        )
+        smallest = keep(placed.groupBy("root").agg(F.min("first").alias("component_id")))
+        classes = keep(placed.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
+        return cut(
+            rows.join(classes, F.col("fp") == F.col("_fp"), "left").select(
+                "doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id"
+            )
+        )
 
 
 def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay: of each component those with its id."""
-    dropped = (
-        near_duplicates(docs, doc_id, text)
-        .where(F.col("doc_id") != F.col("component_id"))
-        .select(F.col("doc_id").alias(doc_id))
-        .distinct()
-    )
-    return docs.join(dropped, doc_id, "left_anti")
+    """The rows of ``docs`` that stay, all columns: of each component one row,
+    the first by id, then by its place in the files; rows without an id come last.
+   """
+
+    def drops(rows: DataFrame, key: str) -> DataFrame:
+        found = near_duplicates(rows, key)
+        return found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key))
+
+    return by_row(docs, doc_id, text, drops)

@@ -17,12 +17,12 @@ are a table with one row per distinct window.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.session import cut
+from wordweave.session import Scratch, cut
 
 ALLOW, BLOCK = "allow", "block"
 
@@ -36,6 +36,9 @@ CHARACTERS = 256
 CALIBRATING = ("0", "1", "2")
 STEP, REACH = 0.02, 500
 
+# A gram that owns more than one in so many of all windows is broadcast.
+SHARES = 1_000
+
 Rule = tuple[str, str, str]  # verdict, host, path
 
 
@@ -80,15 +83,16 @@ def _windows(addresses: DataFrame) -> DataFrame:
     )
 
 
-def ratios(addresses: DataFrame) -> DataFrame:
-    """(gram, ratio): log of the accepted over the rejected probability of the
-    last character of every window of ``addresses`` (address, decided, n);
-    counted are those with ``learned``."""
+def ratios(addresses: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+    """(gram, ratio, seen): log of the accepted over the rejected probability
+    of the last character of every window of ``addresses`` (address, decided, n),
+    and the number of windows; counted are those with ``learned``."""
     weight = {
         kind: F.sum(F.when(F.col("learned") & (F.col("decided") == verdict), F.col("n")).otherwise(0)).alias(kind)
         for kind, verdict in (("a", ALLOW), ("r", BLOCK))
     }
-    grams = cut(_windows(addresses).groupBy("gram").agg(*weight.values()))
+    counted = _windows(addresses).groupBy("gram").agg(*weight.values(), F.count("*").alias("seen"))
+    grams = keep(counted)
     below = None
     for order in range(ORDER + 1):
         level = grams.groupBy(F.right("gram", F.lit(order + 1)).alias("g")).agg(
@@ -111,10 +115,30 @@ def ratios(addresses: DataFrame) -> DataFrame:
             ).otherwise(F.col(f"q{k}"))
             for k in "ar"
         }
-        below = cut(
+        below = keep(
             level.select(F.col("g").alias("_s"), *[p.alias(f"q{k[1]}") for k, p in smoothed.items()])
         )
-    return below.select(F.col("_s").alias("gram"), (F.log("qa") - F.log("qr")).alias("ratio"))
+    seen = grams.select(F.col("gram").alias("_s"), "seen")
+    return below.join(seen, "_s").select(
+        F.col("_s").alias("gram"), (F.log("qa") - F.log("qr")).alias("ratio"), "seen"
+    )
+
+
+def rated_windows(windows: DataFrame, table: DataFrame) -> DataFrame:
+    """``windows`` (address, gram) with their ratio from a stored table (gram,
+    ratio, seen).
+
+    A gram that every address has may own a large part of the windows. Those that
+    own more than 1/``SHARES``, at most ``SHARES`` of them, are broadcast, so that no
+    key of the shuffle join holds more.
+    """
+    most = (table.agg(F.sum("seen")).first()[0] or 0) / SHARES
+    hot = table.where(F.col("seen") > most).select("gram", F.col("ratio").alias("_hot"))
+    probed = windows.join(F.broadcast(hot), "gram", "left")
+    rest = table.where(F.col("seen") <= most).select("gram", "ratio")
+    frequent = probed.where(F.col("_hot").isNotNull()).select("address", F.col("_hot").alias("ratio"))
+    others = probed.where(F.col("_hot").isNull()).join(rest, "gram")
+    return frequent.unionByName(others.select("address", "ratio"))
 
 
 def threshold(scores: DataFrame) -> float:
@@ -150,27 +174,30 @@ def filtered(
     empty host and path and are decided by the score of the empty address. A
     score equal to the threshold allows. Repeated rows are judged each and
     counted each. Without rules or decided addresses every score is 0 and
-    allows. An empty table gives no rows; other columns are not read.
+    allows. Long addresses are scored whole. An empty table gives no rows; other
+    columns are not read.
     """
     plain = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
     rows = ruled(plain, rules).drop("url").withColumn("address", F.concat("host", "path"))
     kept_out = F.substring(F.md5(F.col("address").cast("binary")), 1, 1).isin(*CALIBRATING)
-    addresses = cut(
-        rows.groupBy("address")
-        .agg(F.max("decided").alias("decided"), F.count("*").alias("n"))
-        .withColumn("learned", F.col("decided").isNotNull() & ~kept_out)
-    )
-    table = ratios(addresses)
-    scores = cut(
-        _windows(addresses.select("address"))
-        .join(table, "gram")
-        .groupBy("address")
-        .agg(F.round(F.avg("ratio"), 6).alias("score"))
-    )
-    calibrating = addresses.where(F.col("decided").isNotNull() & ~F.col("learned")).join(scores, "address")
-    least = threshold(calibrating)
-    judged = F.when(F.col("score") >= F.lit(round(least, 6)), ALLOW).otherwise(BLOCK)
-    known = scores.withColumnRenamed("address", "_address")
-    return rows.join(known, F.col("address") == F.col("_address"), "left").select(
-        "page_id", "host", "path", "rule", F.coalesce("decided", judged).alias("verdict"), "score"
-    )
+    with Scratch(pages.sparkSession) as scratch:
+        addresses = scratch.keep(
+            rows.groupBy("address")
+            .agg(F.max("decided").alias("decided"), F.count("*").alias("n"))
+            .withColumn("learned", F.col("decided").isNotNull() & ~kept_out)
+        )
+        table = scratch.keep(ratios(addresses, scratch.keep))
+        scores = scratch.keep(
+            rated_windows(_windows(addresses.select("address")), table)
+            .groupBy("address")
+            .agg(F.round(F.avg("ratio"), 6).alias("score"))
+        )
+        calibrating = addresses.where(F.col("decided").isNotNull() & ~F.col("learned")).join(scores, "address")
+        least = threshold(calibrating)
+        judged = F.when(F.col("score") >= F.lit(round(least, 6)), ALLOW).otherwise(BLOCK)
+        known = scores.withColumnRenamed("address", "_address")
+        return cut(
+            rows.join(known, F.col("address") == F.col("_address"), "left").select(
+                "page_id", "host", "path", "rule", F.coalesce("decided", judged).alias("verdict"), "score"
+            )
+        )
