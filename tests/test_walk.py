@@ -246,3 +246,47 @@ def test_no_start_gives_no_path(spark):
     lines = spark.createDataFrame([(1, 0, "1 2 3")], "doc_id long, line_no int, text string")
     assert wk.sequential(lines, 5, 3).count() == 0
     assert wk.population(lines, KEYS, 1, 1, 3).count() == 0
+
+
+def test_packed_rows_hold_every_interval(spark, monkeypatch):
+    """One row per word and part, in which each draw finds its successor."""
+    monkeypatch.setattr(tr, "BUCKET_ROWS", 3)
+    pairs = {("a", f"w{i}"): 1 + i % 4 for i in range(40)} | {("a", ""): 7, ("b", "a"): 2, ("c", ""): 1}
+    counts = spark.createDataFrame([(*p, c) for p, c in pairs.items()], "w1 string, w2 string, cnt long")
+    everything = F.lit(sum(pairs.values()))
+    totals = tr.word_totals(counts, everything)
+    table = tr.packed(tr.step_table(tr.with_intervals(counts), totals, everything)).collect()
+    assert len({(r.w1, r.bucket) for r in table}) == len(table)
+    assert all(list(r.upto) == sorted(r.upto) and len(r.upto) == len(r.ahead) for r in table)
+    width = {r.cur: r.width for r in totals.collect()}
+    order = sorted((p for p in pairs if p[0] == "a"), key=lambda p: (p[1] == "", digest(p[1])))
+    want = [p[1] for p in order for _ in range(pairs[p])]
+    draws = spark.createDataFrame([(d, d // width["a"]) for d in range(len(want))], "d long, at long")
+    rows = spark.createDataFrame(table).where("w1 = 'a'")
+    met = draws.join(rows, draws["at"] == rows["bucket"])
+    assert met.count() == len(want)
+    got = met.select("d", F.get("ahead", tr.drawn_place(F.col("upto"), F.col("d")))["nxt"].alias("nxt"))
+    assert [r.nxt for r in got.orderBy("d").collect()] == want
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 63, 64, 65, 1000])
+def test_place_of_a_draw(spark, size):
+    upto = [3 * i + 2 for i in range(size)]
+    asked = [0, 1, 2, 3, upto[-1] - 1, upto[size // 2], upto[size // 2] - 1]
+    frame = spark.createDataFrame([(upto, d) for d in asked if d < upto[-1]], "upto array<long>, d long")
+    for r in frame.select("d", tr.drawn_place(F.col("upto"), F.col("d")).alias("at")).collect():
+        assert upto[r["at"]] > r.d and (r["at"] == 0 or upto[r["at"] - 1] <= r.d)
+
+
+def test_a_step_joins_one_row_per_path(spark):
+    """However many successors a word has."""
+    pairs = [("hub", f"s{i}", 1) for i in range(500)] + [(f"s{i}", "hub", 1) for i in range(500)]
+    counts = spark.createDataFrame(pairs, "w1 string, w2 string, cnt long")
+    with Scratch(spark) as scratch:
+        chain = wk.Chain(scratch.keep(counts), scratch)
+        paths = spark.range(64).select(F.col("id").alias("path_id"), F.array(F.lit("hub")).alias("words"), F.lit("hub").alias("cur"))
+        paths = scratch.keep(chain.enter(paths))
+        moved = chain.step(paths, 64, 1, 0)
+        assert moved.count() == 64
+        assert chain.table.where("w1 = 'hub'").count() <= 500 / tr.BUCKET_ROWS + 1 + tr.SPREAD
+        assert chain.table.groupBy("w1", "bucket").count().where("count > 1").isEmpty()

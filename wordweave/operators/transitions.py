@@ -237,6 +237,42 @@ def step_table(intervals: DataFrame, totals: DataFrame, everything: Column) -> D
     )
 
 
+AHEAD = ("nxt", "nxt_tot", "nxt_open", "nxt_width")
+
+
+def packed(rows: DataFrame) -> DataFrame:
+    """(w1, bucket, upto, ahead): the rows of a ``step_table`` that share a
+    word and part as one row.
+
+    ``upto`` holds the upper ends of their intervals in order, which are the
+    running sums of the weights, ``ahead`` where they lead. A part has about
+    ``BUCKET_ROWS`` rows, and never more than it is wide.
+    """
+    entry = F.struct("hi", *AHEAD)
+    gathered = rows.groupBy("w1", "bucket").agg(F.sort_array(F.collect_list(entry)).alias("_rows"))
+    return gathered.select(
+        "w1",
+        "bucket",
+        F.transform("_rows", lambda r: r["hi"]).alias("upto"),
+        F.transform("_rows", lambda r: F.struct(*[r[c].alias(c) for c in AHEAD])).alias("ahead"),
+    )
+
+
+# The most rows of a part that a draw can tell apart, as a number of bits.
+SEARCHED_BITS = 26
+
+
+def drawn_place(upto: Column, draw: Column) -> Column:
+    """The place of the first of the ascending ``upto`` that is above the
+    draw, by binary search inside the row."""
+    steps = F.array(*[F.lit(1 << bit) for bit in reversed(range(SEARCHED_BITS))])
+    return F.aggregate(
+        steps,
+        F.lit(0),
+        lambda at, step: F.when(F.get(upto, at + step - 1) <= draw, at + step).otherwise(at),
+    )
+
+
 def with_temperature(counts: DataFrame, temperature: float) -> DataFrame:
     """Adds ``weight``: the count relative to the word's most frequent
     successor, to the power 1/T, on an integer scale. T below 1 sharpens,

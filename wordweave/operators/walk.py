@@ -28,7 +28,11 @@ SENT = 50_000
 
 class Chain:
     """Weighted transitions (w1, w2, weight), stored so that steps join them
-    in place, for as long as ``scratch`` lives. ``counts`` should be stored."""
+    in place, for as long as ``scratch`` lives. ``counts`` should be stored.
+
+    The table has one row per word and part, with an array of running sums. A
+    draw meets one row and finds its successor in it by binary search, so a step
+    joins as many rows as there are paths."""
 
     def __init__(self, counts: DataFrame, scratch: Scratch, weight: str = "cnt"):
         rows, total = counts.agg(F.count("*"), F.sum(weight)).first()
@@ -37,7 +41,7 @@ class Chain:
         self.totals = totals.drop("n")
         intervals = tr.with_intervals(counts, weight, totals.select(F.col("cur").alias("w1"), "n"))
         self.table = scratch.colocated(
-            tr.step_table(intervals, self.totals, everything), rows, "w1", "bucket"
+            tr.step_table(intervals, self.totals, everything), rows, "w1", "bucket", gathered=tr.packed
         )
 
     def enter(self, paths: DataFrame) -> DataFrame:
@@ -49,27 +53,25 @@ class Chain:
         drawn in proportion to its count; NULL where the path cannot go on.
         ``early`` draws do not meet the end. ``size`` is a bound on the number
         of paths, which should be stored."""
+        moved = self.moves(paths, size, seed, step, early)
+        types = dict(moved.dtypes)
+        nothing = [F.lit(None).cast(types[c]).alias(c) for c in tr.AHEAD]
+        stays = F.coalesce(F.col("open" if early else "tot"), F.lit(0)) <= 0
+        return moved.unionByName(paths.where(stays).select("*", *nothing))
+
+    def moves(self, paths: DataFrame, size: int, seed, step: Column | int, early: bool = False) -> DataFrame:
+        """The paths that can go on, with their successors."""
         total = F.col("open" if early else "tot")
-        goes = F.coalesce(total, F.lit(0)) > 0
         drawn = (
-            paths.where(goes)
+            paths.where(F.coalesce(total, F.lit(0)) > 0)
             .withColumn("_d", seeded.draw(seed, F.col("path_id"), step) % total)
             .withColumn("_at", F.expr("_d div width"))
         )
-        meets = (
-            (F.col("cur") == F.col("w1"))
-            & (F.col("_at") == F.col("bucket"))
-            & (F.col("_d") >= F.col("lo"))
-            & (F.col("_d") < F.col("hi"))
-        )
+        meets = (F.col("cur") == F.col("w1")) & (F.col("_at") == F.col("bucket"))
         drawn = F.broadcast(drawn) if size <= SENT else drawn
-        moved = self.table.join(drawn, meets).select(*paths.columns, *_AHEAD)
-        types = dict(moved.dtypes)
-        nothing = [F.lit(None).cast(types[c]).alias(c) for c in _AHEAD]
-        return moved.unionByName(paths.where(~goes).select("*", *nothing))
-
-
-_AHEAD = ("nxt", "nxt_tot", "nxt_open", "nxt_width")
+        met = self.table.join(drawn, meets)
+        found = met.withColumn("_to", F.get("ahead", tr.drawn_place(F.col("upto"), F.col("_d"))))
+        return found.select(*paths.columns, *[F.col("_to")[c].alias(c) for c in tr.AHEAD])
 
 
 def _advance(
@@ -234,13 +236,14 @@ def collapsing(
         size = paths.count()
         for step in range(max_length):
             rank = F.struct(seeded.digest(seed, F.col("path_id"), step, "keep"), F.col("path_id"))
-            survivors = scratch.keep(
+            survivors = (
                 paths.where(F.col("tot").isNotNull())
                 .groupBy("cur")
                 .agg(F.min_by(F.struct(*paths.columns), rank).alias("_p"))
                 .select("_p.*")
             )
-            moved = chain.step(survivors, size, seed, step).where(F.col("nxt").isNotNull())
+            # All survivors can go on, so a step is one read and one write.
+            moved = chain.moves(survivors, size, seed, step)
             paths = scratch.keep(_append_next(moved), instead_of=paths)
         return cut(
             paths.select(

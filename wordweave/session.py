@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -94,9 +95,12 @@ class Scratch:
             delete(self.spark, old)
         return kept
 
-    def colocated(self, df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    def colocated(
+        self, df: DataFrame, rows: int, *keys: str, gathered: Callable[[DataFrame], DataFrame] | None = None
+    ) -> DataFrame:
         """Write ``df``, of about ``rows`` rows, as a table bucketed by
-        ``keys``.
+        ``keys``. ``gathered`` may group the rows of equal keys, which are then
+        in one task, before they are written.
 
         A later join on the keys reads the buckets in place: the stored side
         is neither shuffled nor recomputed, however many steps join it, and it
@@ -106,8 +110,9 @@ class Scratch:
         buckets = max(least, ceil(rows / BUCKET_ROWS))
         name = f"wordweave_{uuid.uuid4().hex}"
         self.tables.append(name)
+        laid = df.repartition(buckets, *keys)
         (
-            df.repartition(buckets, *keys)
+            (gathered(laid) if gathered else laid)
             .write.format("parquet")
             .bucketBy(buckets, *keys)
             .option("path", f"{self.folder}/{name}")
