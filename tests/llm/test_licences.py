@@ -136,3 +136,42 @@ SEVERAL = {
 def test_several_families_in_one_line(model, text):
     found = [f for f in model.scan(text) if f[3] >= licences.CONFIRMED]
     assert sorted((f[0], f[1]) for f in found) == sorted((0, f) for f in SEVERAL[text])
+
+
+@pytest.mark.parametrize(
+    ("line", "family"),
+    [
+        ("Licensed under CC BY-NC-SA 4.0", "cc-by-nc-sa"),
+        ("Licensed under CC BY-NC-ND 4.0.", "cc-by-nc-nd"),
+        ("Licensed under CC BY-ND 4.0.", "cc-by-nd"),
+        ("Licensed under CC BY-NC 4.0.", "cc-by-nc"),
+        ("# SPDX-License-Identifier: GPL-2.0-only", "gpl"),
+        ("// SPDX-License-Identifier: EPL-2.0", "epl"),
+        ("// SPDX-License-Identifier: Zlib", "zlib"),
+        ("Licensed under the Eclipse Public License, Version 2.0.", "epl"),
+        ("Distributed under the Boost Software License, Version 1.0.", "bsl"),
+        (
+            'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
+            "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+            "mit",
+        ),
+        (
+            "This software is provided 'as-is', without any express or implied warranty. In no event will the authors "
+            "be held liable for any damages arising from the use of this software.",
+            "zlib",
+        ),
+    ],
+)
+def test_more_families(model, line, family):
+    found = model.scan(f"some words before\n\n{line}\n\nand after")
+    assert [(f[1], f[3] >= licences.CONFIRMED) for f in found if f[3] >= licences.CONFIRMED] == [(family, True)]
+
+
+def test_background_is_the_same_from_any_layout(small, spark):
+    docs = small["documents"].select("doc_id", "text")
+    once = licences.background(docs, "doc_id", "text")
+    assert once == licences.background(docs.repartition(9), "doc_id", "text")
+    repeated = docs.unionByName(docs.where("doc_id < 30")).unionByName(docs.where("doc_id < 30"))
+    assert once == licences.background(repeated, "doc_id", "text")
+    firsts = {t for r in docs.collect() for t in r.text.split("\n")[:4]}
+    assert any(line not in firsts for line in once)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.llm.common import WORDS, text_map
+from wordweave.llm.common import WORDS, bounded, text_map
 
 # Opening notices of public licences, by family.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -31,6 +31,7 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "Licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
     ),
     "apache": (
         "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
@@ -43,28 +44,60 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "Licensed under the BSD 3-Clause License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ),
+    "bsl": (
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+        "Distributed under the Boost Software License, Version 1.0.",
+        "SPDX-License-Identifier: BSL-1.0",
     ),
     "cc-by": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
         "Licensed under CC BY 4.0.",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "cc-by-nc": (
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
         "Licensed under CC BY-NC 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ),
+    "cc-by-nc-nd": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-NC-ND 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+    ),
+    "cc-by-nc-sa": (
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+        "Licensed under CC BY-NC-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    ),
+    "cc-by-nd": (
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+        "Licensed under CC BY-ND 4.0.",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
     ),
     "cc-by-sa": (
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
         "Licensed under CC BY-SA 4.0.",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
     ),
     "cc0": (
         "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work under CC0 1.0 Universal.",
         "Dedicated to the public domain under CC0 1.0.",
         "SPDX-License-Identifier: CC0-1.0",
     ),
+    "epl": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0.",
+        "Licensed under the Eclipse Public License, Version 2.0 (EPL-2.0).",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
     "gpl": (
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
         "This work is licensed under the GNU General Public License, version 3.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-2.0-only",
     ),
     "isc": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
@@ -75,12 +108,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
         "Licensed under the GNU Lesser General Public License, version 3.",
         "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-only",
     ),
     "mit": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction",
         "Released under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "SPDX-License-Identifier: MIT",
+        "The software is provided as is, without warranty of any kind, express or implied, including but not limited to the warranties of merchantability, fitness for a particular purpose and noninfringement.",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
@@ -94,6 +129,12 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "unlicense": (
         "This is free and unencumbered software released into the public domain.",
         "Released under the Unlicense.",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "zlib": (
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Licensed under the zlib License.",
+        "SPDX-License-Identifier: Zlib",
     ),
 }
 UNKNOWN = "unknown"
@@ -116,9 +157,9 @@ GRAMS, SPAN, STEP = 3, 96, 48
 # Comment marks that are words, where lines next to each other begin with one.
 MARKS = frozenset(("rem", "dnl"))
 
-# Background paragraphs: at most so many rows of the corpus, chosen by a hash
-# of the id, and so many lines of each.
-BACKGROUND_ROWS, LINES_OF_EACH = 400, 4
+# Background paragraphs: of at most so many documents, chosen by a hash of the id,
+# so many lines each, chosen by a hash among all that are not longer than this.
+BACKGROUND_ROWS, LINES_OF_EACH, LINE_LENGTH = 400, 4, 2_000
 
 VARIANTS, ROUNDS, RATE, DECAY = 40, 250, 4.0, 1e-4
 CONFIRMED, PROBABLE = 0.6, 0.5
@@ -167,13 +208,18 @@ class Classifier:
         self.temperature = 1.0
         self._train(background)
 
+    def features(self, words: list[str]) -> tuple[list[int], float, float]:
+        """Sparse features of one paragraph: its n-grams, the value of each,
+        and the share of words outside all of them."""
+        at = sorted({self.index[g] for g in ngrams(words) if g in self.index})
+        others = sum(w not in self.telling and w not in PLAIN for w in words)
+        return at, 1 / max(1.0, np.sqrt(len(at))), others / max(1, len(words))
+
     def row(self, words: list[str]) -> np.ndarray:
-        """Dense features of one paragraph."""
+        """The same as a row of the training matrix."""
         out = np.zeros(len(self.weights))
-        at = [self.index[g] for g in ngrams(words) if g in self.index]
-        out[at] = 1 / max(1.0, np.sqrt(len(at)))
-        out[-2] = sum(w not in self.telling and w not in PLAIN for w in words) / max(1, len(words))
-        out[-1] = 1
+        at, value, others = self.features(words)
+        out[at], out[-2], out[-1] = value, others, 1
         return out
 
     def _samples(self, background: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -238,7 +284,9 @@ class Classifier:
         return e / e.sum(axis=-1, keepdims=True)
 
     def probabilities(self, words: list[str]) -> np.ndarray:
-        return self._softmax(self.row(words) @ self.weights / self.temperature)
+        at, value, others = self.features(words)
+        raw = self.weights[at].sum(axis=0) * value + self.weights[-2] * others + self.weights[-1]
+        return self._softmax(raw / self.temperature)
 
     def judge(self, words: list[str]) -> tuple[str, float, float] | None:
         """(family, probability, share of its best template) or None."""
@@ -386,13 +434,15 @@ def background(docs: DataFrame, doc_id: str, text: str, reserved: bool = False)
         .orderBy(F.xxhash64("_chosen"), "_chosen")
         .limit(BACKGROUND_ROWS)
     )
-    lines = F.slice(F.split(F.col(text), r"\n", -1), 1, LINES_OF_EACH)
-    rows = (
+    short = F.filter(F.split(F.col(text), r"\n", -1), lambda x: (x != "") & (F.length(x) <= LINE_LENGTH))
+    hashed = F.transform(F.array_distinct(short), lambda x: F.struct(F.xxhash64(x).alias("at"), x.alias("line")))
+    some = F.transform(F.slice(F.array_sort(hashed), 1, LINES_OF_EACH), lambda x: x["line"])
+    sample = (
         docs.join(F.broadcast(chosen), F.col(doc_id) == F.col("_chosen"))
-        .select(F.transform(lines, lambda x: F.substring(x, 1, 2000)).alias("lines"))
-        .limit(2 * BACKGROUND_ROWS)
-        .collect()
+        .select(F.explode(some).alias("line"))
+        .distinct()
     )
+    rows = bounded(sample, BACKGROUND_ROWS * LINES_OF_EACH).collect()
     texts = [t for ts in (*TEMPLATES.values(), *(RESERVED.values() if reserved else ())) for t in ts]
     known = [{g for g in ngrams(words_of(t), 2) if " " in g and tells(g)} for t in texts]
 
@@ -400,7 +450,7 @@ def background(docs: DataFrame, doc_id: str, text: str, reserved: bool = False)
         pairs = ngrams(words_of(line), 2)
         return any(len(k & pairs) > len(k) / 3 for k in known if k)
 
-    return sorted({line for r in rows for line in r.lines or [] if line and not like_a_template(line)})
+    return sorted(r.line for r in rows if not like_a_template(r.line))
 
 
 def licences(
@@ -415,8 +465,8 @@ def licences(
     by itself counts instead.
     ``likeness`` is the share of a template's word pairs that the paragraph
     holds, for the family's best template; from 0.6 on the prediction is
-    confirmed. NULL and empty texts have no rows. Repeated rows give their rows
-    each. An empty table gives no rows; other columns are not read.
+    confirmed. NULL and empty texts have no rows; long texts and lines are read
+    whole. Repeated rows give their rows each. An empty table gives no rows; other columns are not read.
     With ``reserved`` a bare "All rights reserved." is a proprietary notice.
     """
     plain = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
