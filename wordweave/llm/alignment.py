@@ -23,7 +23,7 @@ import hashlib
 import json
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 from itertools import chain
 from pathlib import Path
@@ -33,8 +33,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from sentencepiece import sentencepiece_model_pb2
 from tokenizers import Tokenizer
 
@@ -48,7 +50,7 @@ UNIT = re.compile(r"(?<=\S) (?=\S)")
 
 # Bytes of texts and characters of new units taken at a time; units remembered, twice
 # at most, and the length of such a unit.
-TEXTS, NEW, UNITS, UNIT_LENGTH = 1 << 20, 1 << 16, 160_000, 48
+TEXTS, NEW, UNITS, UNIT_LENGTH = 1 << 19, 1 << 16, 120_000, 48
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -266,6 +268,7 @@ def _portions(texts: pa.Array) -> Iterator[tuple[int, int]]:
 
 
 def _rows(found: list[tuple | None], spans: bool) -> tuple:
+    """(n_a, n_b, links, groups, ends) of a text from those of its units."""
     if not found or None in found:
         return 0, 0, [], "", []
     groups = ";".join([f[0] for f in found])
@@ -278,25 +281,43 @@ def _rows(found: list[tuple | None], spans: bool) -> tuple:
     return sum([f[2] for f in found]), sum([f[3] for f in found]), links, groups, ends
 
 
+# A column made of the groups and ends of a text: its values and its type.
+Result = tuple[Callable[[str, list[int]], object], str]
+
+# The real outputs, as they are.
+OUTPUTS: dict[str, Result] = {
+    "groups": (lambda groups, ends: groups, "string"),
+    "ends": (lambda groups, ends: ends, "array<bigint>"),
+}
+
+
 def alignments(
     docs: DataFrame,
     byte_model: str,
     piece_model: str,
     kept: list[str] | None = None,
     text: str = "text",
+    results: dict[str, Result] | None = None,
     spans: bool = True,
 ) -> DataFrame:
-    """Adds to the columns ``kept``: n_a, n_b, links, groups, ends.
-
-    ``groups`` holds the ids of both tokenizers, ``a1,a2|b1;a3|b2,b3``; ``ends``
-    the byte in the text, with a space before it, where each group ends (not with
-    ``spans`` False); ``links`` the number of each linked pair of ids in
+    """Adds to the columns ``kept`` n_a, n_b, links and ``results``.
+
+    Results are made of ``groups``, the ids of both tokenizers as text,
+    ``a1,a2|b1;a3|b2,b3``, and ``ends``, the byte in the text, with a space before
+    it, where each group ends (none with ``spans`` False); by default they are these
+    two. They are made where the text is aligned, so that a digest of the
+    groups, which are several times as long as the text, costs no more than itself.
+    ``links`` holds the number of each linked pair of ids in
     ``Vocabularies.pairs``. A text that is NULL or empty, or one whose bytes either
     tokenizer does not keep, has no tokens, '' and empty arrays. Long texts are
     aligned whole. One row per row.
     """
     kept = ["doc_id"] if kept is None else kept
+    results = OUTPUTS if results is None else results
     words = docs.sparkSession.sparkContext.broadcast(_vocabularies(byte_model, piece_model))
+    made_of = [make for make, _ in results.values()]
+    arrow = [to_arrow_type(T.DataType.fromDDL(kind)) for _, kind in results.values()]
+    names = [*kept, "n_a", "n_b", "links", *results]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(words, spans)
@@ -304,24 +325,24 @@ def alignments(
             column = batch.column(len(kept))
             for lo, hi in _portions(column):
                 texts = [x or "" for x in column.slice(lo, hi - lo).to_pylist()]
-                rows = [_rows(found, spans) for found in aligner.align(texts)]
-                a, b, links, groups, ends = zip(*rows)
-                made = [
-                    pa.array(a, pa.int64()),
-                    pa.array(b, pa.int64()),
-                    pa.array(links, pa.list_(pa.int32())),
-                    pa.array(groups, pa.string()),
-                    pa.array(ends, pa.list_(pa.int64())),
-                ]
-                own = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
-                yield pa.RecordBatch.from_arrays(own + made, [*kept, "n_a", "n_b", "links", "groups", "ends"])
+                a, b, links, *made = [], [], [], *[[] for _ in made_of]
+                for found in aligner.align(texts):
+                    n_a, n_b, own, groups, ends = _rows(found, spans)
+                    a.append(n_a)
+                    b.append(n_b)
+                    links.append(own)
+                    for values, make in zip(made, made_of):
+                        values.append(make(groups, ends))
+                arrays = [batch.column(i).slice(lo, hi - lo) for i in range(len(kept))]
+                arrays += [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(links, pa.list_(pa.int32()))]
+                arrays += [pa.array(values, kind) for values, kind in zip(made, arrow)]
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     types = dict(docs.dtypes)
     head = "".join(f"`{c}` {types[c]}, " for c in kept)
+    tail = "".join(f", `{name}` {kind}" for name, (_, kind) in results.items())
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("_text"))
-    return source.mapInArrow(
-        run, f"{head}n_a bigint, n_b bigint, links array<int>, groups string, ends array<bigint>"
-    )
+    return source.mapInArrow(run, f"{head}n_a bigint, n_b bigint, links array<int>{tail}")
 
 
 def pair_counts(aligned_docs: DataFrame, words: Vocabularies) -> tuple[np.ndarray, np.ndarray]:
@@ -342,11 +363,11 @@ def aligned(
     piece_model: str,
     kept: list[str] | None = None,
     text: str = "text",
-    results: dict[str, Column] | None = None,
+    results: dict[str, Result] | None = None,
+    spans: bool = True,
 ) -> DataFrame:
     """The columns ``kept`` (doc_id) with n_a, n_b, n_groups, n_links, n_best,
-    count_sum and ``results``, expressions over the columns of ``alignments``; by
-    default ``groups`` and ``ends`` as they are.
+    count_sum and ``results`` as in ``alignments``, by default groups and ends.
 
     A link is a token of each tokenizer that end together; ``n_best`` counts those
     whose pair of ids is linked most often of all with that second id in the whole
@@ -356,16 +377,11 @@ def aligned(
     are not read.
     """
     kept = ["doc_id"] if kept is None else kept
-    if results is None:
-        results = {"groups": F.col("groups"), "ends": F.col("ends")}
+    results = OUTPUTS if results is None else results
     words = _vocabularies(byte_model, piece_model)
     spark = docs.sparkSession
     with Scratch(spark) as scratch:
-        spans = "ends" in results
-        made = alignments(docs, byte_model, piece_model, kept, text, spans)
-        rows = scratch.keep(
-            made.select(*[F.col(f"`{c}`") for c in kept], "n_a", "n_b", "links", *[c.alias(n) for n, c in results.items()])
-        )
+        rows = scratch.keep(alignments(docs, byte_model, piece_model, kept, text, results, spans))
         tables = spark.sparkContext.broadcast(pair_counts(rows, words))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import public_tokenizers
@@ -92,8 +93,11 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 def op11_alignment(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     both = public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(PIECE_MODEL)
-    groups = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
-    return alignment.aligned(docs, *both, results={"groups_sha256": groups})
+
+    def digest(groups: str, ends: list[int]) -> str:
+        return hashlib.sha256(groups.encode()).hexdigest() if groups else ""
+
+    return alignment.aligned(docs, *both, results={"groups_sha256": (digest, "string")}, spans=False)
 
 
 def op12_embeddings(spark: SparkSession, folder: str) -> DataFrame:
