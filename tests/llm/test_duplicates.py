@@ -43,6 +43,18 @@ def test_exact_many_runs(spark):
     assert sorted(map(tuple, exact.duplicate_groups(frame).collect()), key=str) == groups_by_hand(rows)
 
 
+def test_exact_in_small_batches(spark, odd):
+    """Runs that come in many batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        for docs in (odd, odd.unionByName(odd).repartition(2)):
+            ours = sorted(map(tuple, exact.duplicate_groups(docs).collect()), key=str)
+            assert ours == groups_by_hand(pairs_of(docs))
+            assert exact.deduplicated(docs).count() == len({r[4] for r in ours})
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_exact_stage_leaves_one_row_of_a_text(odd):
     """Rows are dropped as such: an id that repeats with another text is safe,
     a row stored twice and rows without an id are not kept beside an equal text."""
@@ -183,7 +195,7 @@ def test_rows_are_dropped_by_their_place(spark, tmp_path, monkeypatch, few):
     docs = spark.read.parquet(str(tmp_path / "d"))
     assert common.is_scan(docs) and not common.is_scan(docs.where("doc_id > 3"))
 
-    def drops(frame, key):
+    def drops(frame, key, keep):
         assert frame.columns == [key, "text"]
         return frame.where(F.crc32("text") % 3 == 0).select(key)
 

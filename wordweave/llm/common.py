@@ -7,6 +7,7 @@ from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,26 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
+# Bytes of texts that a task turns into Python strings at a time, about.
+PORTION = 1 << 22
+
+
+def portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of a batch with their texts, NULL as ''; a slice has one row or a
+    bounded number of bytes."""
+    if not batch.num_rows:
+        return
+    first = size = 0
+    for at, length in enumerate(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()):
+        if size and size + length > PORTION:
+            part = batch.slice(first, at - first)
+            yield part, [x or "" for x in part.column(column).to_pylist()]
+            first, size = at, 0
+        size += length
+    part = batch.slice(first)
+    yield part, [x or "" for x in part.column(column).to_pylist()]
+
+
 def text_map(
     docs: DataFrame,
     kept: list[str],
@@ -49,14 +70,14 @@ def text_map(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(len(kept)).to_pylist()]
-            made = rows(texts)
-            arrays = [batch.column(i) for i in range(len(kept))]
-            names = list(kept)
-            for name, values in made.items():
-                arrays.append(values if isinstance(values, pa.Array) else pa.array(values))
-                names.append(name)
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            for part, texts in portions(batch, len(kept)):
+                made = rows(texts)
+                arrays = [part.column(i) for i in range(len(kept))]
+                names = list(kept)
+                for name, values in made.items():
+                    arrays.append(values if isinstance(values, pa.Array) else pa.array(values))
+                    names.append(name)
+                yield pa.RecordBatch.from_arrays(arrays, names)
 
     types = dict(docs.dtypes)
     head = ", ".join(f"`{c}` {types[c]}" for c in kept)
@@ -155,13 +176,16 @@ def is_scan(docs: DataFrame) -> bool:
     return "row_index" in docs.select(docs.metadataColumn("_metadata")).schema[0].dataType.names
 
 
+Keep = Callable[[DataFrame], DataFrame]
+
+
 def by_row(
-    docs: DataFrame, doc_id: str, text: str, drops: Callable[[DataFrame, str], DataFrame]
+    docs: DataFrame, doc_id: str, text: str, drops: Callable[[DataFrame, str, Keep], DataFrame]
 ) -> DataFrame:
     """``docs`` without the rows that ``drops`` returns.
 
-    ``drops`` gets (key, text) and the name of the key, which is (no_id, id, at): it
-    is unique to a row, and its order is that of the ids, NULL last, then that of
+    ``drops`` gets (key, text), the name of the key and what keeps its result for as
+    long as it is needed here. The key is (no_id, id, at): it is unique to a row, and its order is that of the ids, NULL last, then that of
     the rows. Parquet files are read where they are; other frames are written out
     first, so that rows have a place, and the result is then a checkpoint.
     """
@@ -170,8 +194,9 @@ def by_row(
     def kept(rows: DataFrame) -> DataFrame:
         placed = addressed(rows, name)
         key = F.struct(F.col(doc_id).isNull().alias("no_id"), F.col(doc_id).alias("id"), F.col(name).alias("at"))
-        gone = drops(placed.select(key.alias("key"), F.col(text).alias("text")), "key")
-        return without(placed, name, gone.select(F.col("key.at").alias(name)))
+        with Scratch(rows.sparkSession) as scratch:
+            gone = drops(placed.select(key.alias("key"), F.col(text).alias("text")), "key", scratch.keep)
+            return without(placed, name, gone.select(F.col("key.at").alias(name)))
 
     if is_scan(docs):
         return kept(docs)

@@ -12,7 +12,7 @@ are looked for.
 Windows of ``WINDOW`` template words are hashed; a document's windows that a
 fixed-size bitmap of the benchmark's windows may hold are joined with the
 benchmark's on the hash and on the template itself. Windows that lie on one diagonal
-of a reading of a document and one of an item form an alignment. A name of the item
+of a document and an item form an alignment. A name of the item
 has to stand for one name of the document in all of it, a number or unit for one
 value in every window that counts; two values of the item may become one. So a
 question with exchanged parameters is found, and a text that merely has the same
@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.llm.common import by_row
+from wordweave.llm.common import Keep, by_row, portions
 from wordweave.session import Scratch, cut
 
 WINDOW = 8
@@ -83,6 +83,8 @@ EDGES = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "“
 DIGIT = re.compile(r"\d")
 GLUED = re.compile(r"(\d[\d.,]*)([A-Za-z]+)$")
 
+SENTENCE_ENDS = (".", "!", "?", ":")
+
 LITERAL, NUMBERED, SPELLED, NAMED, MEASURED = range(5)
 
 
@@ -95,80 +97,96 @@ PLACEHOLDERS = {NUMBERED: NUMBER, SPELLED: NUMBER, NAMED: NAME, MEASURED: UNIT}
 CODES = np.array([0] + [_code(PLACEHOLDERS[k]) for k in range(1, 5)], np.uint64)
 
 
+# Marks of a form, as bits: ends a sentence; ends without a mark; capitalised; in
+# lower case; a unit; often begins a sentence; has a second word. Below them the kind.
+ENDS, OPENED, CAPITAL, LOWER, MEASURE, OPENER, DOUBLE, EMPTY = (1 << b for b in range(4, 12))
+KIND = 15
+
+
 class _Forms(dict):
-    """Raw word -> number of its form, by its look alone; bounded. A form is
-    up to two words; all columns are indexed by its number, ``words`` by number
-    and word. Kinds are those inside a sentence."""
+    """Raw word -> number of its form, by its look alone; bounded. ``low`` has
+    the plain word of a form, ``second`` the unit that was glued to it. Kinds are those
+    inside a sentence."""
 
-    KEPT = 300_000
+    KEPT = 400_000
 
     def __init__(self):
         super().__init__()
-        self.begin(1024)
+        self.begin()
 
-    def begin(self, room: int) -> None:
+    def begin(self) -> None:
         self.clear()
-        self.words: list[tuple[str, ...]] = []
-        self.size = np.zeros(room, np.int8)
-        self.kind = np.zeros((room, 2), np.int8)
-        self.code = np.zeros((room, 2), np.uint64)
-        # Ends a sentence; ends without a mark; capitalised; in lower case; unit; opener.
-        self.marks = np.zeros((room, 6), bool)
+        self.low: list[str] = []
+        self.second: dict[int, str] = {}
+        self.new_marks: list[int] = []
+        self.new_codes: list[int] = []
+        self.marks, self.codes = np.empty(0, np.int32), np.empty(0, np.uint64)
 
     def __missing__(self, raw: str) -> int:
-        word = raw.strip(EDGES)
+        n = len(self.low)
+        letters = raw.isalpha()
+        if letters:
+            word, marks = raw, OPENED
+        else:
+            word = raw.strip(EDGES)
+            marks = OPENED if raw[-1].isalnum() else 0
+            if raw.rstrip("\"')]}”’»")[-1:] in SENTENCE_ENDS:
+                marks |= ENDS
         low = word.lower()
-        glued = GLUED.match(low)
-        if glued and glued[2] in UNITS:
-            words, kinds = (glued[1].rstrip(".,"), glued[2]), (NUMBERED, MEASURED)
-        elif DIGIT.search(word):
-            words, kinds = (low,), (NUMBERED,)
+        if low == raw:
+            low = raw  # one string for both
+        if not letters and DIGIT.search(word):
+            marks |= NUMBERED
+            if (glued := GLUED.match(low)) and glued[2] in UNITS:
+                low, self.second[n] = glued[1].rstrip(".,"), glued[2]
+                marks |= DOUBLE
         elif low in NUMBER_WORDS:
-            words, kinds = (low,), (SPELLED,)
-        else:
-            words, kinds = (low,) if low else (), (LITERAL,)
-        n = len(self.words)
-        if n == len(self.size):
-            for name in ("size", "kind", "code", "marks"):
-                column = getattr(self, name)
-                setattr(self, name, np.concatenate([column, np.zeros_like(column)]))
-        self.words.append(words)
-        self.size[n] = len(words)
-        for i, (w, k) in enumerate(zip(words, kinds)):
-            self.kind[n, i], self.code[n, i] = k, _code(w)
-        capital = word[:1].isupper() and (word not in ("I", "A") if len(word) == 1 else not word.isupper())
-        self.marks[n] = (
-            raw.rstrip("\"')]}”’»")[-1:] in (".", "!", "?", ":"),
-            raw[-1:].isalnum(),
-            capital and kinds == (LITERAL,),
-            low == word,
-            low in UNITS,
-            low in OPENERS,
-        )
+            marks |= SPELLED
+        elif low == word:
+            marks |= LOWER if word else EMPTY
+            if low in UNITS:
+                marks |= MEASURE
+        elif word[0].isupper() and (word not in ("I", "A") if len(word) == 1 else not word.isupper()):
+            marks |= CAPITAL
+        if low in OPENERS:
+            marks |= OPENER
+        self.low.append(low)
+        self.new_marks.append(marks)
+        self.new_codes.append(_code(low))
         self[raw] = n
         return n
 
+    def columns(self) -> tuple[np.ndarray, np.ndarray]:
+        """Marks and codes by the number of a form."""
+        if self.new_marks:
+            self.marks = np.concatenate([self.marks, np.array(self.new_marks, np.int32)])
+            self.codes = np.concatenate([self.codes, np.array(self.new_codes, np.uint64)])
+            self.new_marks, self.new_codes = [], []
+        return self.marks, self.codes
+
 
 class Template:
-    """One reading of a text: its template words, and the plain words that each
-    of them begins with and consists of."""
+    """One reading of some texts: its template words, and the plain words that
+    each of them begins with and consists of, text after text."""
 
-    def __init__(self, kind, code, low, opened, begins):
+    def __init__(self, kind, code, low, opened, begins, text):
         """Of each plain word the kind, the code of the word, the word, whether
-        the next one may belong to it, and whether it begins a sentence."""
+        the next one may belong to it, whether it begins a sentence, and its text."""
         n = len(kind)
         number = (kind == NUMBERED) | (kind == SPELLED)
         joined = np.zeros(n, bool)
         if n:
             spelled = (kind == SPELLED)[1:] | (kind == SPELLED)[:-1]
             named = (kind[1:] == NAMED) & (kind[:-1] == NAMED) & ~begins[1:]
-            joined[1:] = opened[:-1] & (named | (number[1:] & number[:-1] & spelled))
+            together = named | (number[1:] & number[:-1] & spelled)
+            joined[1:] = opened[:-1] & together & (text[1:] == text[:-1])
         self.starts = np.flatnonzero(~joined)
-        self.low, self.words, self.plain = low, n, code
+        self.low, self.plain, self.text_of_word = low, code, text
         self.kind = kind[self.starts]
         self.codes = np.where(self.kind == LITERAL, code[self.starts], CODES[self.kind])
         self.literals = np.r_[0, np.cumsum(self.kind == LITERAL)]
         self.ends = np.r_[self.starts[1:], n]
+        self.text = text[self.starts]
 
     def window(self, at: int, size: int) -> tuple[str, list[str | None]]:
         """Template words and slot values; values of names begin with @."""
@@ -183,42 +201,62 @@ class Template:
     def plain_window(self, at: int, size: int) -> tuple[str, list[str | None]]:
         return PLAIN + " ".join(self.low[at : at + size]), [None] * size
 
+    def inside(self, places: np.ndarray, size: int) -> np.ndarray:
+        """Which windows of template words lie in one text."""
+        last = places + size - 1
+        fits = last < len(self.text)
+        return fits & (self.text[np.minimum(last, len(self.text) - 1)] == self.text[places])
+
+    def plain_inside(self, starts: np.ndarray, size: int) -> np.ndarray:
+        last = starts + size - 1
+        fits = last < len(self.plain)
+        return fits & (self.text_of_word[np.minimum(last, len(self.plain) - 1)] == self.text_of_word[starts])
 
-def readings(text: str, forms: _Forms) -> list[Template]:
-    """One reading of a text, or two: open words at the starts of sentences as
-    literals and as names."""
+
+def readings(texts: list[str], forms: _Forms) -> tuple[Template, Template | None, np.ndarray]:
+    """The reading of texts in which open words at the starts of sentences are
+    literals, that in which they are names (None without any), and the plain words
+    that are open."""
     if len(forms) > forms.KEPT:
-        forms.begin(len(forms.size))
-    lines = [line.split() for line in text.splitlines()]
-    raw = np.fromiter(map(forms.__getitem__, chain.from_iterable(lines)), np.int64)
-    marks = forms.marks[raw]
-    begins = np.r_[False, marks[:-1, 0]] if len(raw) else np.empty(0, bool)
-    firsts = np.cumsum([0, *map(len, lines)])[:-1]
+        forms.begin()
+    lines = [[line.split() for line in text.splitlines()] for text in texts]
+    raw = np.fromiter(map(forms.__getitem__, chain.from_iterable(chain.from_iterable(lines))), np.int64)
+    of_form, codes = forms.columns()
+    marks = of_form[raw] if len(raw) else np.empty(0, np.int32)
+    begins = np.r_[False, (marks[:-1] & ENDS) != 0] if len(raw) else np.empty(0, bool)
+    firsts = np.cumsum([0, *map(len, chain.from_iterable(lines))])[:-1]
     begins[firsts[firsts < len(raw)]] = True
-    size = forms.size[raw]
-    of = np.repeat(np.arange(len(raw)), size)
+    owner = np.repeat(np.arange(len(texts)), [sum(map(len, t)) for t in lines])
+    of = np.repeat(np.arange(len(raw)), np.where(marks & EMPTY, 0, np.where(marks & DOUBLE, 2, 1)))
     second = np.r_[False, of[1:] == of[:-1]] if len(of) else np.empty(0, bool)
-    form, sub = raw[of], second.astype(np.int8)
-    kind, code = forms.kind[form, sub], forms.code[form, sub]
-    _, opened, capital, lower, unit, opener = forms.marks[form].T
+    form, text, marks = raw[of], owner[of], marks[of]
+    code = codes[form] if len(form) else np.empty(0, np.uint64)
+    low = list(map(forms.low.__getitem__, form.tolist()))
+    kind = marks & KIND
+    for at in np.flatnonzero(second).tolist():
+        low[at] = forms.second[int(form[at])]
+        code[at], kind[at] = _code(low[at]), MEASURED
+    opened, capital = (marks & OPENED) != 0, (marks & CAPITAL) != 0
+    lower, unit, opener = (marks & LOWER) != 0, (marks & MEASURE) != 0, (marks & OPENER) != 0
     begins = begins[of] & ~second
     number = (kind == NUMBERED) | (kind == SPELLED)
     literal = kind == LITERAL
-    after = np.r_[False, number[:-1]] if len(kind) else literal
+    after = np.r_[False, number[:-1] & (text[1:] == text[:-1])] if len(kind) else literal
     name = literal & capital & ~begins
     kind = np.where(name, NAMED, np.where(literal & lower & unit & after, MEASURED, kind))
+    # A word and its text as one number.
+    word = code ^ (text.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     first = np.flatnonzero(literal & capital & begins & ~opener)
-    again = np.isin(code[first], code[name])
+    again = np.isin(word[first], word[name])
     kind[first[again]] = NAMED
     first = first[~again]
-    first = first[~np.isin(code[first], code[literal & lower])]
-    low = [w for n in raw.tolist() for w in forms.words[n]]
-    made = [Template(kind, code, low, opened, begins)]
-    if len(first):
-        kind = kind.copy()
-        kind[first] = NAMED
-        made.append(Template(kind, code, low, opened, begins))
-    return made
+    first = first[~np.isin(word[first], word[literal & lower])]
+    made = Template(kind, code, low, opened, begins, text)
+    if not len(first):
+        return made, None, first
+    kind = kind.copy()
+    kind[first] = NAMED
+    return made, Template(kind, code, low, opened, begins, text), first
 
 
 # Odd multipliers of the window hash, one per place.
@@ -241,17 +279,18 @@ def _slot(hashes: np.ndarray) -> np.ndarray:
     return hashes.view(np.uint64) >> np.uint64(64 - MAP_BITS)
 
 
-WINDOWS = "pos int, hash bigint, words string, values array<string>, size int, reading int, plain boolean"
+WINDOWS = "pos int, hash bigint, words string, values array<string>, size int, plain boolean"
 
 
 class _Windows:
-    """Rows (id, text) -> windows (id, pos, hash, words, values, size, reading,
-    plain); ``pos`` counts the template words of the reading.
-
-    Documents: windows whose slot in the bitmap is set, of every size the
-    benchmark has, and of ``plain`` sizes windows of plain words too, from where a
-    template word begins. Items: all windows of the item's size, as plain words if
-    they have too few literal ones.
+    """Rows (id, text) -> windows (id, pos, hash, words, values, size, plain).
+
+    ``pos`` counts the template words of the first reading up to the window's first
+    word. Of the second reading there are only windows that hold an open word, as the
+    others are the same. Documents: windows whose slot in the bitmap is set, of every
+    size the benchmark has, and of ``plain`` sizes windows of plain words too, from
+    where a template word begins. Items: all windows of the item's size, as plain
+    words if they have too few literal ones.
     """
 
     def __init__(
@@ -262,47 +301,78 @@ class _Windows:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forms = _Forms()
         for batch in batches:
-            at, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if not text:
-                    continue
-                for number, reading in enumerate(readings(text, forms)):
-                    for row in self.windows(reading):
-                        at.append(i)
-                        rows.append((*row[:5], number, row[5]))
-                if len(rows) > 20_000:
-                    yield self.frame(batch, at, rows)
-                    at, rows = [], []
-            yield self.frame(batch, at, rows)
-
-    def windows(self, reading: Template):
-        """(pos, hash, words, values, size, plain)"""
+            for part, texts in portions(batch, 1):
+                # Items differ in the size of their windows, so one at a time.
+                groups = [texts] if self.bitmap is not None else [[t] for t in texts]
+                begun = 0
+                for some in groups:
+                    rows = []
+                    for row in self.windows(some, forms):
+                        rows.append((begun + row[0], *row[1:]))
+                        if len(rows) > 20_000:
+                            yield self.frame(part, rows)
+                            rows = []
+                    yield self.frame(part, rows)
+                    begun += len(some)
+
+    def windows(self, texts: list[str], forms: _Forms):
+        """(text, pos, hash, words, values, size, plain)"""
+        first, second, open_words = readings(texts, forms)
+        n = len(first.starts)
+        # Of each text the place of its first template word.
+        base = np.searchsorted(first.text, np.arange(len(texts)))
+        yield from self.of(first, np.arange(n) - base[first.text], None)
+        if second is not None:
+            at = np.searchsorted(first.starts, second.starts)
+            held = np.zeros(len(second.plain) + 1, np.int64)
+            held[open_words + 1] = 1
+            yield from self.of(second, at - base[second.text], np.cumsum(held))
+
+    def of(self, reading: Template, pos: np.ndarray, held: np.ndarray | None):
+        """Windows of a reading; with ``held``, the number of open words before
+        each plain word, those with an open word."""
+
+        def changed(places: np.ndarray, size: int) -> np.ndarray:
+            if held is None or not len(places):
+                return np.ones(len(places), bool)
+            return held[reading.ends[places + size - 1]] > held[reading.starts[places]]
+
+        def free(places: np.ndarray, size: int) -> np.ndarray:
+            return reading.literals[places + size] - reading.literals[places] >= min(LITERALS, size)
+
+        def row(place: int, value: int, words: tuple, size: int, plain: bool) -> tuple:
+            return int(reading.text[place]), int(pos[place]), int(value), *words, size, plain
+
+        n = len(reading.starts)
         if self.bitmap is None:
-            size, plain_size = min(WINDOW, len(reading.codes)), min(WINDOW, reading.words)
+            size, plain_size = min(WINDOW, n), min(WINDOW, len(reading.plain))
             if not size:
                 return
-            free = window_hashes(reading.codes, size)
-            bound = ~window_hashes(reading.plain, plain_size)
-            for place in range(len(free)):
-                if reading.literals[place + size] - reading.literals[place] >= min(LITERALS, size):
-                    yield place, int(free[place]), *reading.window(place, size), size, False
-                else:
-                    first = int(reading.starts[place])
-                    yield place, int(bound[first]), *reading.plain_window(first, plain_size), plain_size, True
+            hashes, bound = window_hashes(reading.codes, size), ~window_hashes(reading.plain, plain_size)
+            places = np.arange(len(hashes))
+            places = places[changed(places, size)]
+            for place, is_free in zip(places.tolist(), free(places, size).tolist()):
+                if is_free:
+                    yield row(place, hashes[place], reading.window(place, size), size, False)
+                elif held is None:
+                    start = int(reading.starts[place])
+                    yield row(place, bound[start], reading.plain_window(start, plain_size), plain_size, True)
             return
         for size in self.sizes:
             hashes = window_hashes(reading.codes, size)
-            if len(hashes):
-                literal = reading.literals[size:] - reading.literals[:-size] >= min(LITERALS, size)
-                for place in np.flatnonzero(literal & self.known(hashes)).tolist():
-                    yield place, int(hashes[place]), *reading.window(place, size), size, False
-        for size in self.plain:
-            places = np.flatnonzero(reading.starts + size <= reading.words)
+            places = np.flatnonzero(self.known(hashes))
+            places = places[reading.inside(places, size)]
+            places = places[free(places, size) & changed(places, size)]
+            for place in places.tolist():
+                yield row(place, hashes[place], reading.window(place, size), size, False)
+        for size in self.plain if held is None else ():
+            places = np.flatnonzero(reading.starts + size <= len(reading.plain))
+            places = places[reading.plain_inside(reading.starts[places], size)]
             hashes = ~window_hashes(reading.plain, size)[reading.starts[places]]
-            for n in np.flatnonzero(self.known(hashes)).tolist():
-                place = int(places[n])
+            for k in np.flatnonzero(self.known(hashes)).tolist():
+                place = int(places[k])
                 words = reading.plain_window(int(reading.starts[place]), size)
-                yield place, int(hashes[n]), *words, size, True
+                yield row(place, hashes[k], words, size, True)
 
     def known(self, hashes: np.ndarray) -> np.ndarray:
         """Whether the bitmap may hold the hashes."""
@@ -310,8 +380,8 @@ class _Windows:
         return (self.bitmap[slot >> np.uint64(3)] >> (slot & np.uint64(7)).astype(np.uint8) & 1) != 0
 
     @staticmethod
-    def frame(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
-        pos, hashes, words, values, size, reading, plain = zip(*rows) if rows else ((),) * 7
+    def frame(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+        at, pos, hashes, words, values, size, plain = zip(*rows) if rows else ((),) * 7
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(at, pa.int64())),
@@ -320,10 +390,9 @@ class _Windows:
                 pa.array(words, pa.string()),
                 pa.array(values, pa.list_(pa.string())),
                 pa.array(size, pa.int32()),
-                pa.array(reading, pa.int32()),
                 pa.array(plain, pa.bool_()),
             ],
-            ["id", "pos", "hash", "words", "values", "size", "reading", "plain"],
+            ["id", "pos", "hash", "words", "values", "size", "plain"],
         )
 
 
@@ -354,6 +423,7 @@ def contaminated(
     doc_id: str = "doc_id",
     item_id: str = "item_id",
     text: str = "text",
+    keep: Keep = cut,
 ) -> DataFrame:
     """(doc_id, item_id, windows, of, exact): which documents hold which items.
 
@@ -370,7 +440,7 @@ def contaminated(
         kinds = sorted(tuple(r) for r in items.select("size", "plain").distinct().collect())  # 2 * WINDOW at most
         sizes, plain_sizes = ([size for size, is_plain in kinds if is_plain == wanted] for wanted in (False, True))
         seen = _windows(docs, doc_id, text, _Windows(_bitmap(items), sizes, plain_sizes))
-        return cut(_aligned(seen, items))
+        return keep(_aligned(seen, items))
 
 
 def _aligned(seen: DataFrame, items: DataFrame) -> DataFrame:
@@ -381,15 +451,12 @@ def _aligned(seen: DataFrame, items: DataFrame) -> DataFrame:
         "hash",
         "words",
         F.col("values").alias("theirs"),
-        F.col("reading").alias("_reading"),
     ).distinct()
     plain = F.col("plain")
     own = F.when(plain, F.col("theirs")).otherwise(F.col("ours"))
     pairs = seen.withColumnRenamed("values", "ours").join(mine, ["hash", "words"]).select(
         F.col("id").alias("doc_id"),
         "item_id",
-        "reading",
-        "_reading",
         (F.col("pos") - F.col("_pos")).alias("diagonal"),
         "_pos",
         F.filter(F.arrays_zip("theirs", own.alias("ours")), lambda s: s["theirs"].isNotNull()).alias("slots"),
@@ -398,7 +465,7 @@ def _aligned(seen: DataFrame, items: DataFrame) -> DataFrame:
     theirs, ours = (lambda s: s["theirs"]), (lambda s: s["ours"])
     # Slots of one window: an item's value stands for one value.
     one = F.size(F.array_distinct(F.transform("slots", theirs))) == F.size(F.array_distinct("slots"))
-    place = ["doc_id", "item_id", "reading", "_reading", "diagonal"]
+    place = ["doc_id", "item_id", "diagonal"]
     windows = pairs.select(
         *place,
         F.when(one, F.col("_pos")).alias("_one"),
@@ -419,12 +486,11 @@ def _aligned(seen: DataFrame, items: DataFrame) -> DataFrame:
     counted = aligned.withColumn("_counted", F.when(named, F.col("_one")).otherwise(F.col("_same"))).select(
         "doc_id",
         "item_id",
-        "_reading",
         "exact",
         F.size("_counted").alias("windows"),
         F.size(F.array_intersect("_counted", "_free")).alias("_free"),
     )
-    lengths = items.groupBy(F.col("id").alias("item_id"), F.col("reading").alias("_reading")).agg(
+    lengths = items.groupBy(F.col("id").alias("item_id")).agg(
         F.count_distinct("pos").alias("of"), F.count_distinct(F.when(~plain, F.col("pos"))).alias("_of_free")
     )
     # Enough of all windows, or of those that match with other values.
@@ -433,7 +499,7 @@ def _aligned(seen: DataFrame, items: DataFrame) -> DataFrame:
     )
     return (
         counted.where(F.col("windows") > 0)
-        .join(lengths, ["item_id", "_reading"])
+        .join(lengths, "item_id")
         .where(enough)
         .groupBy("doc_id", "item_id")
         .agg(F.max(F.struct("windows", "exact", "of")).alias("_best"))
@@ -452,8 +518,8 @@ def decontaminated(
     by its own text, also one without an id."""
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(text).alias("text"))
 
-    def drops(rows: DataFrame, key: str) -> DataFrame:
-        hit = contaminated(rows, items, key)
+    def drops(rows: DataFrame, key: str, keep: Keep) -> DataFrame:
+        hit = contaminated(rows, items, key, keep=keep)
         return hit.select(F.col("doc_id").alias(key)).distinct()
 
     return by_row(docs, doc_id, text, drops)

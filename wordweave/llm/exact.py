@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.llm.common import by_row
+from wordweave.llm.common import Keep, by_row
 from wordweave.session import Scratch, cut
 
 # Runs that meet in one round, as a number of bits.
@@ -59,6 +59,8 @@ def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     next one."""
     held = []
     for batch in batches:
+        # What waits may be NULL by its type where the next batch may not.
+        held = [pa.RecordBatch.from_arrays(h.columns, schema=batch.schema) for h in held]
         table = pa.Table.from_batches([*held, batch]).combine_chunks()
         if not table.num_rows:
             continue
@@ -111,7 +113,9 @@ def merged_runs(rows: DataFrame) -> DataFrame:
     return level.select(*SAME, "keep_id", "group_size")
 
 
-def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def duplicate_groups(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: Keep = cut
+) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row.
 
     Of equal texts the row with the smallest id stays. NULL texts equal the
@@ -120,6 +124,7 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     document stored twice. NULL ids are larger than any other; a group of only
     NULL ids has a NULL ``keep_id`` and is kept. Long texts are digested whole. An
     empty table gives no rows. Other columns of ``docs`` are not read.
+    ``keep`` stores the result.
     """
     with Scratch(docs.sparkSession) as scratch:
         rows = scratch.keep(digests(docs, doc_id, text))
@@ -131,7 +136,7 @@ def duplicate_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
             & (F.col("length") == F.col("_length"))
             & (F.col("check") == F.col("_check"))
         )
-        return cut(
+        return keep(
             rows.join(groups, same, "left").select(
                 "doc_id",
                 "keep_id",
@@ -148,7 +153,7 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     that repeats with another text is safe, a row stored twice stays once, and rows
     without an id come last."""
 
-    def drops(rows: DataFrame, key: str) -> DataFrame:
-        return duplicate_groups(rows, key).where(~F.col("kept")).select(F.col("doc_id").alias(key))
+    def drops(rows: DataFrame, key: str, keep: Keep) -> DataFrame:
+        return duplicate_groups(rows, key, keep=keep).where(~F.col("kept")).select(F.col("doc_id").alias(key))
 
     return by_row(docs, doc_id, text, drops)

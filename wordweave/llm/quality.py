@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.llm.common import bounded, fold, labelled_rows, sigmoid, text_map
+from wordweave.llm.common import bounded, fold, labelled_rows, portions, sigmoid, text_map
 
 FOLDS = 5
 THRESHOLD = 0.3
@@ -268,8 +268,8 @@ def accepted(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [x or "" for x in batch.column(at).to_pylist()]
-            score = _Scores(model)(texts)["score"].to_numpy()
-            yield batch.filter(pa.array(score >= THRESHOLD))
+            for part, texts in portions(batch, at):
+                score = _Scores(model)(texts)["score"].to_numpy()
+                yield part.filter(pa.array(score >= THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)

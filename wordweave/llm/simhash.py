@@ -17,7 +17,7 @@ Components come from randomised contraction of the links, in Spark.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wordweave.llm.common import LOWER, by_row, text_map
+from wordweave.llm.common import LOWER, Keep, by_row, text_map
 from wordweave.session import Scratch, cut
 
 SHINGLE = 4
@@ -113,7 +113,7 @@ def listed(nodes: DataFrame) -> DataFrame:
 
 
 def in_blocks(
-    entries: DataFrame, nodes: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut
+    entries: DataFrame, nodes: DataFrame, keep: Keep = cut
 ) -> DataFrame:
     """(bucket, block, own, fp): entries of a bucket with many owners go to all
     of its blocks, and are at home in one."""
@@ -271,7 +271,7 @@ def _closed(starts, ends, own, fp, frame) -> Iterator[pa.RecordBatch]:
             yield frame(*group.visit(visitors))
 
 
-def links(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def links(nodes: DataFrame, keep: Keep = cut) -> DataFrame:
     """(a, b): links between distinct fingerprints that connect all that lie
     within ``LINKED`` bits of each other; not every such pair is listed."""
     placed = in_blocks(listed(nodes), nodes, keep)
@@ -281,7 +281,7 @@ def links(nodes: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> Dat
     return rows.mapInArrow(_links, "a bigint, b bigint")
 
 
-def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -> DataFrame:
+def components(edges: DataFrame, keep: Keep = cut) -> DataFrame:
     """(node, root) for every node of the edges (a, b). ``keep`` stores what
     the rounds leave.
 
@@ -325,7 +325,9 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = cut) -
     return roots
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", result: Keep = cut
+) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row per row.
 
     Fingerprints that differ in at most four bits are linked;
@@ -344,7 +346,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         )
         smallest = keep(placed.groupBy("root").agg(F.min("first").alias("component_id")))
         classes = keep(placed.join(smallest, "root").select(F.col("fp").alias("_fp"), "component_id"))
-        return cut(
+        return result(
             rows.join(classes, F.col("fp") == F.col("_fp"), "left").select(
                 "doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id"
             )
@@ -356,8 +358,8 @@ def deduplicated(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     the first by id, then by its place in the files; rows without an id come last.
    """
 
-    def drops(rows: DataFrame, key: str) -> DataFrame:
-        found = near_duplicates(rows, key)
+    def drops(rows: DataFrame, key: str, keep: Keep) -> DataFrame:
+        found = near_duplicates(rows, key, result=keep)
         return found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias(key))
 
     return by_row(docs, doc_id, text, drops)
