@@ -32,7 +32,7 @@ SHARE = 50
 
 # Bounds of a task's counters: distinct words, entries, words taken at a time;
 # and entries in one row of a stripe.
-WORDS, ENTRIES, SLICE, ROW = 1 << 20, 1 << 21, 1 << 19, 512
+WORDS, ENTRIES, SLICE, ROW = 1 << 20, 1 << 21, 1 << 18, 128
 
 # Entries of a prefix in one shard, about; prefixes split so, at most; rows a
 # task ranks.
