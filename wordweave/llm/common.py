@@ -38,7 +38,7 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 # Bytes of texts that a task turns into Python strings at a time, about.
-PORTION = 1 << 22
+PORTION = 1 << 20
 
 
 def portions(batch: pa.RecordBatch, column: int) -> Iterator[tuple[pa.RecordBatch, list[str]]]:

@@ -108,7 +108,7 @@ class _Forms(dict):
     the plain word of a form, ``second`` the unit that was glued to it. Kinds are those
     inside a sentence."""
 
-    KEPT = 400_000
+    KEPT = 250_000
 
     def __init__(self):
         super().__init__()
