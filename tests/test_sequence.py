@@ -191,3 +191,23 @@ def test_sums_over_shards_have_two_levels(spark, items, monkeypatch, rows):
 def test_no_rows_in_order(items):
     assert sq.word_index(items.limit(0), ["doc_id"], in_order=True).collect() == []
     assert sq.first_words(items.limit(0), ["doc_id"], 5).collect() == []
+
+
+def test_shuffled_words_are_not_stored(spark, monkeypatch):
+    """What is written before the shuffle is one row per shard, and only a word and its digest travel."""
+    texts = [(i, " ".join(f"w{i}x{j}" for j in range(300))) for i in range(40)]
+    items = sq.units(spark.createDataFrame(texts, "doc_id long, text string"), ["doc_id"])
+    stored = []
+    monkeypatch.setattr(sq, "cut", lambda frame, cut=sq.cut: stored.append(cut(frame)) or stored[-1])
+    made, total = sq.shuffled_and_counted(items, ["doc_id"], 5)
+    want = sorted((digest(f"5|{i}|{j}"), w) for i, text in texts for j, w in enumerate(text.split()))
+    assert [tuple(r) for r in made.orderBy("pos").select("pos", "word").collect()] == [(k, w) for k, (_, w) in enumerate(want)]
+    assert total == 12_000 and all(frame.count() <= 16**sq.SHUFFLE_DIGITS for frame in stored)
+
+
+def test_more_shards_of_shuffled_words_change_nothing(items, table, monkeypatch):
+    want = table(sq.shuffled_words(items, ["doc_id"], 5))
+    for digits, rows in ((1, 10), (2, 1), (1, 1)):
+        monkeypatch.setattr(sq, "SHUFFLE_DIGITS", digits)
+        monkeypatch.setattr(sq, "SHUFFLED_ROWS", rows)
+        assert table(sq.shuffled_words(items, ["doc_id"], 5)) == want

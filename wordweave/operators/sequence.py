@@ -235,20 +235,62 @@ def indexed_pairs(
     ).select((F.col("start") + F.col("_i")).alias("pos"), "_pair.w1", "_pair.w2")
 
 
+# Leading digits of a digest that tell the shards of shuffled words, and the words
+# of a shard from which on there are more.
+SHUFFLE_DIGITS, SHUFFLED_ROWS = 3, 1_000_000
+
+
+def _digest_shards(hashed: DataFrame, digits: int) -> DataFrame:
+    """(_shard, _total, _first), stored: the number of words of each shard and its
+    first word.
+
+    The first word is sought among the digests that go on with two zeros after the
+    shard, so that a pass over the words gathers counts and few words. Shards
+    without such a digest are read again.
+    """
+    digest = F.hex("digest")
+    shard = F.substring(digest, 1, digits).alias("_shard")
+    low = F.when(F.substring(digest, digits + 1, 2) == "00", F.struct("digest", "word"))
+    counted = hashed.groupBy(shard, low.alias("_low")).agg(F.count("*").alias("_words"))
+    shards = cut(counted.groupBy("_shard").agg(F.sum("_words").alias("_total"), F.min("_low").alias("_low")))
+    if not shards.where(F.col("_low").isNull()).isEmpty():
+        missed = shards.where(F.col("_low").isNull()).select("_shard")
+        every = hashed.select(shard, F.struct("digest", "word").alias("_every"))
+        found = every.join(F.broadcast(missed), "_shard").groupBy("_shard").agg(F.min("_every").alias("_every"))
+        shards = shards.join(found, "_shard", "left").withColumn("_low", F.coalesce("_low", "_every"))
+    return cut(shards.select("_shard", "_total", F.col("_low.word").alias("_first")))
+
+
+def shuffled_and_counted(sequence: DataFrame, keys: Sequence[str], seed: int) -> tuple[DataFrame, int]:
+    """``shuffled_words`` and their number."""
+    address = seeded.digest(seed, *[F.col(k) for k in keys], F.col("i"))
+    hashed = exploded(sequence, *keys).select(F.unhex(address).alias("digest"), "word")
+    digits = SHUFFLE_DIGITS
+    shards = _digest_shards(hashed, digits)
+    total = shards.agg(F.sum("_total")).first()[0] or 0
+    if (more := seeded.digits_for(total, SHUFFLED_ROWS)) > digits:
+        digits, shards = more, _digest_shards(hashed, more)
+    shard = F.substring(F.hex("digest"), 1, digits)
+    # Words travel without their shard, which is read off the digest again.
+    dealt = hashed.repartition(shard).withColumn("_shard", shard)
+    inside = Window.partitionBy("_shard").orderBy("digest", "word")
+    across = _across(shards, F.substring("_shard", 1, digits // 2))
+    shuffled = (
+        dealt.withColumns({"_place": F.row_number().over(inside), "_following": F.lead("word").over(inside)})
+        .join(F.broadcast(across) if digits == SHUFFLE_DIGITS else across, "_shard")
+        .select(
+            (F.col("_before") + F.col("_place") - 1).alias("pos"), "word", F.coalesce("_following", "_next").alias("w2")
+        )
+    )
+    return shuffled, total
+
+
 def shuffled_words(sequence: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
     """(pos, word, w2): the words in a seeded random order, with the word
     that follows in that order.
 
     The order is that of a digest of the word's own address, so the shuffle is
-    even and needs no sampling. The words are stored once with their digests.
+    even and needs no sampling. Texts are read once for the sizes of the shards and
+    once more for the words, which go through one shuffle and are not stored.
     """
-    hashed = cut(
-        exploded(sequence, *keys).select(
-            seeded.digest(seed, *[F.col(k) for k in keys], F.col("i")).alias("digest"),
-            F.lit(1).cast("long").alias("n"),
-            "word",
-        )
-    )
-    return placed(hashed, [], "n", "word").select(
-        F.col("start").alias("pos"), "word", F.col("following").alias("w2")
-    )
+    return shuffled_and_counted(sequence, keys, seed)[0]
