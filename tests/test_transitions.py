@@ -170,3 +170,13 @@ def test_places_number_the_pairs(lines):
     assert placed.where("line_no = 0").orderBy("pos").select(F.collect_list("w1")).first()[0] == [
         "The", "cat", "sat",
     ]
+
+
+def test_every_path_to_the_chosen_words_is_listed(spark, tmp_path):
+    """More than a few of a first word, with their multiplicities."""
+    from wordweave.plans import catalog
+
+    text = "\n".join(f"Go a{i} b{i} idiot" for i in range(9)) + "\nGo a0 b0 idiot"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.words: r.multiplicity for r in catalog.path_enumeration_words(spark, str(tmp_path)).collect()}
+    assert got == {f"Go a{i} b{i} idiot": 8 if i == 0 else 1 for i in range(9)}
