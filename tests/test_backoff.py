@@ -150,3 +150,10 @@ def test_discounts():
     assert bo._discounts([10, 4, 0, 0]) == (share, share, share)
     one, two, three = bo._discounts([10, 4, 2, 1])
     assert (one, two, three) == (1 - 2 * share * 0.4, 2 - 3 * share * 0.5, 3 - 4 * share * 0.5)
+
+
+def test_training_stores_counts_and_weights_only(units):
+    """Each level once: no second copy of the highest order and no table of all probabilities."""
+    stored = []
+    bo.train(units, 3, lambda frame: stored.append(frame.columns) or frame.localCheckpoint())
+    assert len(stored) == 6 and not any("p" in columns for columns in stored)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wordweave.functions import seeded
-from wordweave.operators.walk import Chain
+from wordweave.operators.walk import FEW, chain_for
 from wordweave.session import Scratch, cut
 
 # A tab is no part of a word.
@@ -60,14 +60,26 @@ def full_grams(units: DataFrame, order: int, *others: str) -> DataFrame:
     return padded.select(*others, F.inline(F.transform(words, gram)))
 
 
+def _every(by_order: dict[int, DataFrame]) -> DataFrame:
+    """The frames of all orders as one, with their order ``n``."""
+    frames = [f.select(F.lit(n).alias("n"), *[c for c in f.columns if c != "n"]) for n, f in sorted(by_order.items())]
+    joined = frames[0]
+    for frame in frames[1:]:
+        joined = joined.unionByName(frame)
+    return joined
+
+
 @dataclass
 class Model:
-    """``grams`` (n, ctx, w, c, p) and ``contexts`` (n, ctx, tot, gamma) of
-    each order n, the number of words and the discounts by order."""
+    """``levels`` (ctx, w, c) and ``weights`` (ctx, tot, gamma) by order n, the
+    number of words and the discounts by order.
+
+    Probabilities follow from the counts. They are made where they are asked for:
+    ``probabilities`` of chosen grams, ``grams`` of all."""
 
     order: int
-    grams: DataFrame
-    contexts: DataFrame
+    levels: dict[int, DataFrame]
+    weights: dict[int, DataFrame]
     words: int
     discounts: dict[int, tuple[float, float, float]]
 
@@ -76,6 +88,40 @@ class Model:
         """The probability below order one: words not seen count as one."""
         return 1.0 / (self.words + 1)
 
+    @property
+    def counts(self) -> DataFrame:
+        """(n, ctx, w, c) of each gram."""
+        return _every(self.levels)
+
+    @property
+    def contexts(self) -> DataFrame:
+        """(n, ctx, tot, gamma) of each context."""
+        return _every(self.weights)
+
+    @property
+    def grams(self) -> DataFrame:
+        """(n, ctx, w, c, p) of each gram."""
+        below, grams = None, {}
+        for n in range(1, self.order + 1):
+            kept = (F.col("c") - _discount(F.col("c"), self.discounts[n])) / F.col("tot")
+            if below is None:
+                # One context: its two numbers are literals.
+                tot, gamma = self.weights[1].select("tot", "gamma").first() or (1, 0.0)
+                made = self.levels[1].withColumn("tot", F.lit(tot)).select(
+                    "ctx", "w", "c", (kept + F.lit(gamma * self.unseen)).alias("p")
+                )
+            else:
+                back = below.select(F.col("ctx").alias("_short"), "w", F.col("p").alias("_below"))
+                made = (
+                    self.levels[n]
+                    .join(self.weights[n], "ctx")
+                    .withColumn("_short", shorter(F.col("ctx")))
+                    .join(back, ["_short", "w"])
+                    .select("ctx", "w", "c", (kept + F.col("gamma") * F.col("_below")).alias("p"))
+                )
+            grams[n] = below = made
+        return _every(grams)
+
 
 def _discounts(counts: Sequence[int]) -> tuple[float, float, float]:
     """From the numbers of grams counted once to four times. One discount
@@ -101,7 +147,7 @@ def train(units: DataFrame, order: int, keep: Keep = cut) -> Model:
     if order < 2:
         raise ValueError("the order has to be at least 2")
     full = keep(full_grams(units, order).groupBy("n", "ctx", "w").agg(F.count("*").alias("c")))
-    levels = {order: keep(full.where(F.col("n") == order).drop("n"))}
+    levels = {order: full.where(F.col("n") == order).drop("n")}
     for n in range(order - 1, 0, -1):
         ends = levels[n + 1].groupBy(shorter(F.col("ctx")).alias("ctx"), "w").agg(F.count("*").alias("c"))
         levels[n] = keep(ends.unionByName(full.where(F.col("n") == n).drop("n")))
@@ -117,36 +163,7 @@ def train(units: DataFrame, order: int, keep: Keep = cut) -> Model:
             .agg(F.sum("c").alias("tot"), lost.alias("_lost"))
             .select("ctx", "tot", (F.col("_lost") / F.col("tot")).alias("gamma"))
         )
-    words = levels[1].count()
-    below = None
-    grams = {}
-    for n in range(1, order + 1):
-        kept = (F.col("c") - _discount(F.col("c"), discounts[n])) / F.col("tot")
-        if below is None:
-            # One context: its two numbers are literals.
-            tot, gamma = (contexts[1].select("tot", "gamma").first() or (1, 0.0))
-            made = levels[1].withColumn("tot", F.lit(tot)).select(
-                "ctx", "w", "c", (kept + F.lit(gamma / (words + 1))).alias("p")
-            )
-        else:
-            back = below.select(F.col("ctx").alias("_short"), "w", F.col("p").alias("_below"))
-            made = (
-                levels[n]
-                .join(contexts[n], "ctx")
-                .withColumn("_short", shorter(F.col("ctx")))
-                .join(back, ["_short", "w"])
-                .select("ctx", "w", "c", (kept + F.col("gamma") * F.col("_below")).alias("p"))
-            )
-        grams[n] = below = keep(made)
-
-    def every(by_order: dict[int, DataFrame]) -> DataFrame:
-        frames = [f.select(F.lit(n).alias("n"), *f.columns) for n, f in sorted(by_order.items())]
-        joined = frames[0]
-        for frame in frames[1:]:
-            joined = joined.unionByName(frame)
-        return joined
-
-    return Model(order, every(grams), every(contexts), words, discounts)
+    return Model(order, levels, contexts, levels[1].count(), discounts)
 
 
 def _suffixes(frame: DataFrame, order: int) -> DataFrame:
@@ -165,19 +182,20 @@ def _suffixes(frame: DataFrame, order: int) -> DataFrame:
 def probabilities(model: Model, grams: DataFrame) -> DataFrame:
     """(ctx, w, p) of each distinct row of ``grams`` (ctx, w).
 
-    The longest known gram has its probability in the model; each longer
-    context that is known passes it on with its weight, an unknown one whole.
+    From order one up, a known context adds what it keeps for the word, if the gram
+    is known, to its weight times the probability after the shorter context; an
+    unknown one passes that on whole. All known grams end with known ones.
     """
     wanted = _suffixes(grams.select("ctx", "w").distinct(), model.order)
-    known = model.grams.select("n", F.col("ctx").alias("_ctx"), "w", "p")
-    weights = model.contexts.select("n", F.col("ctx").alias("_ctx"), "gamma")
-    found = wanted.join(known, ["n", "_ctx", "w"], "left").join(weights, ["n", "_ctx"], "left")
-    steps = F.sort_array(F.collect_list(F.struct("n", "p", F.coalesce("gamma", F.lit(1.0)).alias("gamma"))))
-    p = F.aggregate(
-        "_steps",
-        F.lit(model.unseen),
-        lambda below, step: F.coalesce(step["p"], below * step["gamma"]),
-    )
+    counts = model.counts.select("n", F.col("ctx").alias("_ctx"), "w", "c")
+    weights = model.contexts.select("n", F.col("ctx").alias("_ctx"), "tot", "gamma")
+    found = wanted.join(counts, ["n", "_ctx", "w"], "left").join(weights, ["n", "_ctx"], "left")
+    lost = F.lit(0.0)
+    for n, discounts in model.discounts.items():
+        lost = F.when(F.col("n") == n, _discount(F.col("c"), discounts)).otherwise(lost)
+    kept = F.coalesce((F.col("c") - lost) / F.col("tot"), F.lit(0.0))
+    steps = F.sort_array(F.collect_list(F.struct("n", kept.alias("kept"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))))
+    p = F.aggregate("_steps", F.lit(model.unseen), lambda below, step: step["kept"] + below * step["gamma"])
     return found.groupBy("ctx", "w").agg(steps.alias("_steps")).select("ctx", "w", p.alias("p"))
 
 
@@ -210,7 +228,7 @@ def walk(model: Model, entries: int, length: int, seed: int = 0) -> DataFrame:
     with Scratch(spark) as scratch:
         start = F.array(F.lit(START)).alias("history")
         paths = scratch.keep(spark.range(entries if model.words else 0).select(F.col("id").alias("path_id"), start))
-        every = scratch.keep(model.grams.where(F.col("n") == 1).select("w"))
+        every = model.levels[1].select("w")
         for step in range(length):
             longest = F.least(F.size(history), F.lit(model.order - 1))
             tried = _suffixes(paths.select("path_id", _last(history, longest).alias("ctx")), model.order)
@@ -227,12 +245,12 @@ def walk(model: Model, entries: int, length: int, seed: int = 0) -> DataFrame:
             weight = F.lit(0.0)
             for n, discounts in model.discounts.items():
                 weight = F.when(F.col("n") == n, F.col("c") - _discount(F.col("c"), discounts)).otherwise(weight)
-            counts = model.grams.join(met, ["n", "ctx"], "left_semi").select(
+            counts = model.counts.join(F.broadcast(met) if entries <= FEW else met, ["n", "ctx"], "left_semi").select(
                 F.col("ctx").alias("w1"), F.col("w").alias("w2"), F.round(weight * SCALE).cast("long").alias("cnt")
             )
             if not ready.where(F.col("n").isNull()).isEmpty():
                 counts = counts.unionByName(every.select(F.lit(ANY).alias("w1"), F.col("w").alias("w2"), F.lit(1).cast("long").alias("cnt")))
-            chain = Chain(scratch.keep(counts.where(F.col("cnt") > 0)), scratch)
+            chain = chain_for(entries, scratch.keep(counts.where(F.col("cnt") > 0)), scratch)
             at = scratch.keep(chain.enter(ready))
             moved = chain.step(at, entries, seed, step)
             paths = scratch.keep(
