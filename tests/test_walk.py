@@ -290,3 +290,19 @@ def test_a_step_joins_one_row_per_path(spark):
         assert moved.count() == 64
         assert chain.table.where("w1 = 'hub'").count() <= 500 / tr.BUCKET_ROWS + 1 + tr.SPREAD
         assert chain.table.groupBy("w1", "bucket").count().where("count > 1").isEmpty()
+
+
+def test_few_paths_walk_alike_without_a_table(spark, lines, table, monkeypatch):
+    """Few paths lay out no table of all transitions and draw the same words."""
+    laid = []
+    monkeypatch.setattr(wk.Scratch, "colocated", lambda *a, f=wk.Scratch.colocated, **b: laid.append(1) or f(*a, **b))
+    runs = (
+        lambda: table(wk.sequential(lines, 20, 5, 2, seed=1)),
+        lambda: table(wk.population(lines, KEYS, 5, 1, 4, 10, seed=1)),
+        lambda: table(wk.collapsing(lines, KEYS, 30, 3, seed=1)),
+        lambda: table(wk.flat(*flat_frames(lines), 30, 5, seed=2)),
+    )
+    few = [run() for run in runs]
+    assert not laid
+    monkeypatch.setattr(wk, "FEW", 0)
+    assert [run() for run in runs] == few and len(laid) == len(runs)

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wordweave.functions import seeded
@@ -25,6 +25,12 @@ from wordweave.session import Scratch, cut
 # Up to so many paths are sent to the stored table; more are shuffled to it.
 SENT = 50_000
 
+# Up to so many paths meet few rows, and no table is laid out for them.
+FEW = 5_000
+
+# Leading digits of the digest that tell the shards of a word's successors.
+SHARD_DIGITS = 3
+
 
 class Chain:
     """Weighted transitions (w1, w2, weight), stored so that steps join them
@@ -74,6 +80,79 @@ class Chain:
         return found.select(*paths.columns, *[F.col("_to")[c].alias(c) for c in tr.AHEAD])
 
 
+class FewDraws(Chain):
+    """The same draws for few paths, without a table of all transitions.
+
+    Successors of a word lie in the order of ``with_intervals``, told apart in
+    shards by the first digits. The sums of the shards are made for words that
+    paths reach; a draw finds its shard among them, and only the rows of that shard
+    are laid out. Each step reads ``counts`` twice, and nothing but the sums and
+    those rows is sent anywhere."""
+
+    def __init__(self, counts: DataFrame, scratch: Scratch, weight: str = "cnt"):
+        self.scratch, self.weight = scratch, weight
+        self.counts = counts.select("w1", "w2", F.col(weight).alias("_weight"))
+        self.shards: DataFrame | None = None
+
+    def _of(self, words: DataFrame) -> DataFrame:
+        """The transitions of ``words`` (w1), with their order and shard."""
+        order = F.when(F.col("w2") == tx.END, "~").otherwise(seeded.digest(F.col("w2")))
+        rows = self.counts.join(F.broadcast(words), "w1", "left_semi").withColumn("_order", order)
+        return rows.withColumn("_shard", F.substring("_order", 1, SHARD_DIGITS))
+
+    def _reach(self, words: DataFrame) -> DataFrame:
+        """(cur, tot, open, width) of ``words`` (w1), whose shards are known from
+        now on."""
+        words = words.distinct()
+        new = words if self.shards is None else words.join(self.shards.select("w1").distinct(), "w1", "left_anti")
+        made = self.scratch.keep(self._of(new).groupBy("w1", "_shard").agg(F.sum("_weight").alias("_sum")))
+        self.shards = made if self.shards is None else self.shards.unionByName(made)
+        ends = F.when(F.col("_shard") == "~", F.col("_sum")).otherwise(0)
+        return (
+            self.shards.join(words, "w1", "left_semi")
+            .groupBy(F.col("w1").alias("cur"))
+            .agg(F.sum("_sum").alias("tot"), F.sum(F.col("_sum") - ends).alias("open"))
+            .withColumn("width", F.lit(1).cast("long"))
+        )
+
+    def enter(self, paths: DataFrame) -> DataFrame:
+        paths = self.scratch.keep(paths)
+        return paths.join(self._reach(paths.select(F.col("cur").alias("w1"))), "cur", "left")
+
+    def moves(self, paths: DataFrame, size: int, seed, step: Column | int, early: bool = False) -> DataFrame:
+        total = F.col("open" if early else "tot")
+        upto = (Window.unboundedPreceding, Window.currentRow)
+        drawn = paths.where(F.coalesce(total, F.lit(0)) > 0).withColumn(
+            "_d", seeded.draw(seed, F.col("path_id"), step) % total
+        )
+        before = F.sum("_sum").over(Window.partitionBy("w1").orderBy("_shard").rowsBetween(*upto)) - F.col("_sum")
+        shards = self.shards.join(drawn.select(F.col("cur").alias("w1")).distinct(), "w1", "left_semi")
+        inside = (F.col("_d") >= F.col("_before")) & (F.col("_d") < F.col("_before") + F.col("_sum"))
+        met = self.scratch.keep(
+            drawn.join(shards.withColumn("_before", before), (F.col("cur") == F.col("w1")) & inside).select(
+                *paths.columns, "_shard", (F.col("_d") - F.col("_before")).alias("_d")
+            )
+        )
+        wanted = met.select(F.col("cur").alias("w1"), "_shard").distinct()
+        group = Window.partitionBy("w1", "_shard").orderBy("_order", "w2").rowsBetween(*upto)
+        rows = self._of(wanted.select("w1").distinct()).join(F.broadcast(wanted), ["w1", "_shard"], "left_semi")
+        laid = rows.withColumn("_hi", F.sum("_weight").over(group)).select(
+            F.col("w1").alias("cur"), "_shard", F.col("w2").alias("nxt"), "_hi", (F.col("_hi") - F.col("_weight")).alias("_lo")
+        )
+        found = self.scratch.keep(
+            met.join(laid, ["cur", "_shard"])
+            .where((F.col("_d") >= F.col("_lo")) & (F.col("_d") < F.col("_hi")))
+            .select(*paths.columns, "nxt")
+        )
+        ahead = self._reach(found.select(F.col("nxt").alias("w1"))).toDF(*tr.AHEAD)
+        return found.join(ahead, "nxt", "left").select(*paths.columns, *tr.AHEAD)
+
+
+def chain_for(size: int, counts: DataFrame, scratch: Scratch, weight: str = "cnt") -> Chain:
+    """The transitions for ``size`` paths at most; the draws are the same."""
+    return (FewDraws if size <= min(FEW, SENT) else Chain)(counts, scratch, weight)
+
+
 def _advance(
     paths: DataFrame, size: int, chain: Chain, scratch: Scratch, steps: range, seed, move, early: bool = False
 ) -> DataFrame:
@@ -141,7 +220,7 @@ def sequential(
     with Scratch(lines.sparkSession) as scratch:
         counts = scratch.keep(tr.pair_counts(tr.sentence_pairs(lines)))
         picked = weighted_picks(tr.sequential_starts(counts), ["w1", "w2"], entries, seed)
-        chain = Chain(counts, scratch)
+        chain = chain_for(entries, counts, scratch)
         paths = chain.enter(
             picked.select("path_id", F.array("w1").alias("words"), F.col("w2").alias("cur"), F.col("w1").alias("start_word"))
         ).select("*", *[F.col(c).alias(f"start_{c}") for c in ("cur", "tot", "open", "width")])
@@ -189,10 +268,11 @@ def population(
     finished = F.col("cur") == tx.END
     with Scratch(lines.sparkSession) as scratch:
         counts = scratch.keep(tr.pair_counts(tr.sentence_pairs(lines)))
-        chain = Chain(counts, scratch)
+        starts = scratch.keep(_population(lines, keys, counts, start_entries, seed))
+        size = starts.count()
+        chain = chain_for(size, counts, scratch)
         wanted, emitted = min_entries, []
-        last = live = scratch.keep(chain.enter(_population(lines, keys, counts, start_entries, seed)))
-        size = live.count()
+        last = live = scratch.keep(chain.enter(starts))
         for step in range(max_length):
             moved = chain.step(live, size, seed, step).where(F.col("nxt").isNotNull())
             last = scratch.keep(_append_next(moved))
@@ -231,9 +311,10 @@ def collapsing(
     """
     with Scratch(lines.sparkSession) as scratch:
         counts = scratch.keep(tr.pair_counts(tr.sentence_pairs(lines)))
-        chain = Chain(counts, scratch)
-        paths = scratch.keep(chain.enter(_population(lines, keys, counts, entries, seed)))
-        size = paths.count()
+        starts = scratch.keep(_population(lines, keys, counts, entries, seed))
+        size = starts.count()
+        chain = chain_for(size, counts, scratch)
+        paths = scratch.keep(chain.enter(starts))
         for step in range(max_length):
             rank = F.struct(seeded.digest(seed, F.col("path_id"), step, "keep"), F.col("path_id"))
             survivors = (
@@ -269,7 +350,7 @@ def flat(
     """
     with Scratch(pair_counts.sparkSession) as scratch:
         starts = weighted_picks(scratch.keep(unit_counts), ["word"], entries, seed)
-        chain = Chain(scratch.keep(pair_counts), scratch, weight)
+        chain = chain_for(entries, scratch.keep(pair_counts), scratch, weight)
         paths = chain.enter(
             starts.select("path_id", F.array("word").alias("words"), F.col("word").alias("cur"))
         )
