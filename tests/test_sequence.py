@@ -211,3 +211,12 @@ def test_more_shards_of_shuffled_words_change_nothing(items, table, monkeypatch)
         monkeypatch.setattr(sq, "SHUFFLE_DIGITS", digits)
         monkeypatch.setattr(sq, "SHUFFLED_ROWS", rows)
         assert table(sq.shuffled_words(items, ["doc_id"], 5)) == want
+
+
+def test_words_travel_with_their_position_only(spark, monkeypatch):
+    """Batch, window and place in it follow from the position once the ids are known."""
+    seen = []
+    monkeypatch.setattr(lm, "with_ids", lambda frame, *a, f=lm.with_ids: seen.append(frame.columns) or f(frame, *a))
+    items, vocab = alphabet(spark)
+    assert lm.windows(items, ["doc_id"], vocab, 4, 2).columns == ["batch_col", "window", "pos", "token_id", "target_id"]
+    assert seen == [["_pos", "w1", "w2"], ["_pos", "w2", "token_id"]]

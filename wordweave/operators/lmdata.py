@@ -59,10 +59,16 @@ def with_ids(frame: DataFrame, vocab: DataFrame, word: str, name: str) -> DataFr
     frequent = F.broadcast(ids.where(F.col("_id") < FREQUENT).withColumnRenamed("_id", "_known"))
     probed = frame.join(frequent, word, "left")
     # Known rows take no part in the second join: their salt matches nothing
-    # and spreads them, so the frame is read once and no word is hot.
+    # and spreads them, so the frame is read once and no word is hot. They leave
+    # their word behind, so the shuffle carries it for rare words only.
     place = F.pmod(F.xxhash64(*frame.columns), F.lit(1 << 20)) + 1
-    salted = probed.withColumn("_salt", F.when(F.col("_known").isNull(), F.lit(0)).otherwise(place).cast("long"))
-    rare = ids.where(F.col("_id") >= FREQUENT).withColumn("_salt", F.lit(0).cast("long"))
+    salted = probed.select(
+        *[c for c in frame.columns if c != word],
+        F.when(F.col("_known").isNull(), F.col(word)).alias(word),
+        F.col("_known"),
+        F.when(F.col("_known").isNull(), F.lit(0)).otherwise(place).cast("int").alias("_salt"),
+    )
+    rare = ids.where(F.col("_id") >= FREQUENT).withColumn("_salt", F.lit(0))
     found = salted.join(rare, [word, "_salt"], "left").withColumn(name, F.coalesce("_known", "_id"))
     return found.where(F.col(name).isNotNull()).drop(word, "_known", "_id", "_salt")
 
@@ -94,23 +100,24 @@ def windows(
     row, so no column of the batch is ever gathered and sorted.
     """
     outline = sq.outlines(sequence, keys)
+    height = F.lit(sq.length(outline) // columns).cast("long")
     pairs = sq.indexed_pairs(sequence, keys, outline).withColumnRenamed("pos", "_pos")
     placed = (
-        pairs.withColumn("_n", F.lit(sq.length(outline)).cast("long"))
-        .withColumn("_columns", F.lit(columns).cast("long"))
-        .withColumn("_height", F.expr("_n div _columns"))
-        .where(F.col("_pos") < F.col("_height") * F.col("_columns"))
+        pairs.withColumn("_height", height)
+        .where(F.col("_pos") < F.col("_height") * F.lit(columns).cast("long"))
+        .where(F.col("_pos") % F.col("_height") < F.col("_height") - 1)
+    )
+    # A word needs nothing but its position until the ids are known.
+    inputs = with_ids(placed.select("_pos", "w1", "w2"), vocab, "w1", "token_id")
+    found = with_ids(inputs, vocab, "w2", "target_id")
+    return (
+        found.withColumn("_height", height)
         .withColumn("batch_col", F.expr("_pos div _height"))
         .withColumn("_row", F.col("_pos") % F.col("_height"))
-        .where(F.col("_row") < F.col("_height") - 1)
-        .withColumn("_length", F.lit(length).cast("long"))
-        .withColumn("window", F.expr("_row div _length"))
-        .withColumn("pos", F.col("_row") % F.col("_length"))
-    )
-    inputs = with_ids(
-        placed.select("batch_col", "window", "pos", "w1", "w2"), vocab, "w1", "token_id"
+        .withColumn("window", F.expr(f"_row div {length}L"))
+        .withColumn("pos", F.col("_row") % F.lit(length).cast("long"))
+        .select("batch_col", "window", "pos", "token_id", "target_id")
     )
-    return with_ids(inputs, vocab, "w2", "target_id")
 
 
 def in_rows_of(paths: DataFrame, per_line: int = 20) -> DataFrame:
