@@ -12,6 +12,7 @@ from wordweave.operators import dfstore, sampling, similar, sketches
 from wordweave.operators import sequence as sq
 from wordweave.operators import termstats as ts
 from wordweave.operators import transitions as tr
+from wordweave.session import cut
 
 
 @pytest.fixture(scope="module")
@@ -157,6 +158,33 @@ def test_few_candidates_are_compared(spark, corpus):
         similar.similar_classes(units, 0.0)
 
 
+@pytest.mark.parametrize("threshold", [0.3, 0.8])
+def test_pairs_are_compared_in_blocks_and_not_stored(spark, monkeypatch, threshold):
+    """Vectors that all share a term: what is stored follows the entries, not the pairs."""
+    rng = random.Random(4)
+    vectors = {f"k{k:03}": {"every": 1.0 + k % 3, f"t{rng.randrange(12)}": 1.5, f"s{k // 2}": 0.5} for k in range(160)}
+    frame = spark.createDataFrame([(k, t, v) for k, x in vectors.items() for t, v in x.items()], "k string, term string, value double")
+    stored = []
+
+    def counting(made):
+        kept = cut(made)
+        stored.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(similar, "cut", counting)
+    monkeypatch.setattr(similar, "BLOCK_ROWS", 30, raising=False)
+    monkeypatch.setattr(similar, "COLUMNS", 2, raising=False)
+    monkeypatch.setattr(similar, "PAIRS", 5, raising=False)
+    got, want = rows(similar.similar(frame, "k", threshold)), brute_similar(vectors, threshold)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert [r[5] for r in got] == pytest.approx([r[5] for r in want])
+    # Six blocks: every class comes from at most seven comparisons.
+    assert max(stored) <= 7 * len(vectors)
+    units = similar.classes(frame, "k")[1]
+    pairs = rows(similar.similar_classes(units, threshold))
+    assert all(a < b for a, b, _ in pairs) and 2 * len(pairs) == sum(r[3] for r in want if r[0] == r[1])
+
+
 def test_similarity_of_sums(spark):
     """A repeated term of a vector counts as its sum."""
     data = [(1, "a", 1.0), (1, "a", 1.0), (2, "a", 5.0), (3, "a", 2.0), (4, "b", 1.0)]
