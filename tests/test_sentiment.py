@@ -4,6 +4,7 @@ from wordweave.functions.lexicon import Lexicon
 from wordweave.functions.scoring import Modifiers
 from wordweave.operators import evaluate as ev
 from wordweave.operators import sentiment as st
+from wordweave.sources.corpus import LEXICON
 
 LEX = Lexicon.from_rows(
     [("worthless", -2, -0.5), ("idiot", -2, -1.0), ("best", 3, 1.0), ("nice", 2, 0.6)]
@@ -225,3 +226,32 @@ def test_a_table_is_joined_in_bounded_groups(spark, texts):
     digest of their text, which AQE may split."""
     plan = st.valence(texts, as_table(spark, LEX))._jdf.queryExecution().optimizedPlan().toString()
     assert "_salt" in plan and "_text" in plan
+
+
+def test_a_small_table_is_looked_up_in_the_row(spark, monkeypatch):
+    """The same scores in the row and by the join, and only one of them has lines."""
+    texts = [*TEXTS, None, "the bomb not :)", "not very NICE! but bad", "best day", None, "<3 the bomb the bomb"] * 2
+    lines = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    entries = [*RULED.entries, ("best", 1, 0.5), (None, 9, 9.0), ("day", None, None)]
+    lexicon = spark.createDataFrame([(t, v and float(v), p) for t, v, p in entries], LEXICON)
+    every = Modifiers(*[True] * 7)
+
+    def scores(table):
+        frames = (
+            st.valence(lines, table),
+            st.valence(lines, table, modifiers=every),
+            st.polarity(lines, table),
+            st.polarity(lines, table, chunks=True),
+        )
+        return [sorted(map(repr, f.collect())) for f in frames]
+
+    met = []
+    joined = st._joined
+    monkeypatch.setattr(st, "_joined", lambda lines, *rest: met.append(lines) or joined(lines, *rest))
+    inside = scores(lexicon)
+    assert len(met) == 4 and all(m.isEmpty() for m in met)
+    monkeypatch.setattr(st, "IN_ROW", 3)
+    assert scores(lexicon) == inside
+    assert all(m.count() == len(texts) for m in met[4:])
+    monkeypatch.setattr(st, "IN_ROW", 4_096)
+    assert scores(lexicon.limit(0)) == scores(Lexicon(()))

@@ -99,6 +99,10 @@ def grams(terms: Column, longest: int) -> Column:
     )
 
     def of(size: int) -> Column:
+        if size == 1:
+            return F.transform(
+                terms, lambda term, at: F.struct(at.alias("at"), F.lit(-1).alias("size"), term.alias("term"))
+            )
         inside = F.filter(places, lambda at: at + size <= F.size(terms))
         return F.transform(
             inside,

@@ -1,11 +1,12 @@
 """Lexicon sentiment of lines, and filters on the scores.
 
 Every scorer takes a ``Lexicon``, which makes a map-only plan, or a lexicon
-table (term, valence, polarity) of any size, which is joined. A score depends on
-nothing but the text, so with a table rated terms are gathered by the digest of
-the text, with their places; lines need no key, and repeated ones cost little. A
-term that the table rates more than once counts with its mean. ``keys`` are not
-needed any more and change nothing.
+table (term, valence, polarity) of any size. Up to ``IN_ROW`` terms of a table are
+laid out as one value, in which a line looks up its own terms; a larger table is
+joined, which is decided when the plan runs. A score depends on nothing but the text,
+so in the join rated terms are gathered by the digest of the text, with their places;
+lines need no key, and repeated ones cost little. A term that the table rates more
+than once counts with its mean. ``keys`` are not needed any more and change nothing.
 """
 
 from __future__ import annotations
@@ -21,6 +22,9 @@ from wordweave.functions.scoring import Modifiers
 # A term is spread over so many groups when lines meet a lexicon table.
 SALTS = 16
 
+# Lines look up a table of up to so many terms without a join.
+IN_ROW = 4_096
+
 NO_MODIFIERS = Modifiers()
 VALENCE = "valence"
 POLARITY = "polarity"
@@ -36,6 +40,52 @@ def _places(lines: DataFrame, lexicon: DataFrame, terms: Column, which: str, lon
     """Adds ``_ratings``, the rated runs of ``terms`` (at, size, rating) in
     order of place.
 
+    One of two branches has rows, by the size of the table. The other is left before a
+    text is split.
+    """
+    rated = (
+        lexicon.where(F.col("term").isNotNull())
+        .groupBy("term")
+        .agg(F.avg(which).alias("rating"))
+        .where(F.col("rating").isNotNull())
+    )
+    slots = _slots(rated).scalar()
+    inside = lines.where(slots.isNotNull()).withColumn("_slots", slots)
+    return inside.select(*lines.columns, _looked_up(terms, F.col("_slots"), longest).alias("_ratings")).unionByName(
+        _joined(lines.where(slots.isNull()), rated, terms, longest)
+    )
+
+
+def _slot(term: Column, slots: Column) -> Column:
+    return F.pmod(F.xxhash64(term), slots).cast("int")
+
+
+def _slots(rated: DataFrame) -> DataFrame:
+    """One row with the table as an array of as many maps as there are terms, told by
+    the hash of the term; none if there are too many."""
+    entries = rated.limit(IN_ROW + 1).agg(F.collect_list(F.struct("term", "rating")).alias("_entries"))
+    n = F.greatest(F.size("_entries"), F.lit(1))
+
+    def those(slot: Column) -> Column:
+        return F.map_from_entries(F.filter("_entries", lambda e: _slot(e["term"], n) == slot))
+
+    return entries.where(F.size("_entries") <= IN_ROW).select(F.transform(F.sequence(F.lit(0), n - 1), those))
+
+
+def _looked_up(terms: Column, slots: Column, longest: int) -> Column:
+    """The ratings of runs of terms, from the slots of the table."""
+
+    def rated(g: Column) -> Column:
+        found = F.get(slots, _slot(g["term"], F.size(slots)))[g["term"]]
+        return F.struct(g["at"].alias("at"), g["size"].alias("size"), found.alias("rating"))
+
+    found = F.filter(F.transform(scoring.grams(terms, longest), rated), lambda r: r["rating"].isNotNull())
+    return scoring.apart(found, longest)
+
+
+def _joined(lines: DataFrame, rated: DataFrame, terms: Column, longest: int) -> DataFrame:
+    """``_places`` by a join with ``rated`` (term, rating).
+
     A frequent term may own a large part of all rows, so terms meet the lexicon
     in ``SALTS`` groups, chosen by the text. Spark broadcasts the table if it
     is small by its own size check. A text that very many lines share is
@@ -44,14 +94,9 @@ def _places(lines: DataFrame, lexicon: DataFrame, terms: Column, which: str, lon
     named = lines.withColumn("_text", F.unhex(F.md5("text")))
     salt = F.pmod(F.xxhash64("_text"), F.lit(SALTS)).cast("int")
     tokens = named.select("_text", salt.alias("_salt"), F.inline(scoring.grams(terms, longest)))
-    rated = (
-        lexicon.groupBy(F.col("term"))
-        .agg(F.avg(which).alias("rating"))
-        .where(F.col("rating").isNotNull())
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
+    salted = rated.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     gathered = (
-        tokens.join(rated, ["term", "_salt"])
+        tokens.join(salted, ["term", "_salt"])
         .groupBy("_text")
         .agg(F.collect_set(F.struct("at", "size", "rating")).alias("_found"))
     )
