@@ -157,3 +157,17 @@ def test_training_stores_counts_and_weights_only(units):
     stored = []
     bo.train(units, 3, lambda frame: stored.append(frame.columns) or frame.localCheckpoint())
     assert len(stored) == 6 and not any("p" in columns for columns in stored)
+
+
+@pytest.mark.parametrize("order", [2, 3, 5])
+def test_full_grams_are_slices_side_by_side(units, order):
+    """One gram per word with its longest context, and no function run word by word."""
+    grams = bo.full_grams(units, order)
+    want = Counter()
+    for text in TEXTS:
+        words = [bo.START, *text.split()]
+        for i in range(1, len(words)):
+            gram = words[max(0, i - order + 1) : i + 1]
+            want[len(gram), " ".join(gram[:-1]), gram[-1]] += 1
+    assert Counter((r.n, r.ctx, r.w) for r in grams.collect()) == want
+    assert "transform(" not in grams._jdf.queryExecution().optimizedPlan().toString()

@@ -59,3 +59,14 @@ def test_sentence_capitalises_the_first_word_only(spark):
 def test_characters_keep_newlines(spark):
     frame = spark.createDataFrame([("a\r\n👍b\rc",)], "text string")
     assert frame.select(tx.characters(F.col("text"))).first()[0] == list("a\n👍b\nc")
+
+
+def test_every_character_parts_words_as_the_plain_class_does(spark):
+    codes = [*range(1, 0xD800), *range(0xE000, 0x11000)]
+    rows = [(i, f"a{chr(i)}b{chr(i) * 3}c{chr(i)}") for i in codes]
+    frame = spark.createDataFrame(rows, "i int, text string")
+    plain = F.filter(F.split("text", f"[{tx.WHITESPACE}]+"), lambda w: w != "")
+    fast = F.filter(F.split("text", f"[{tx._FAST_WHITESPACE}]+"), lambda w: w != "")
+    parted = frame.select(plain.alias("plain"), fast.alias("fast"), tx.words(F.col("text")).alias("words"))
+    assert parted.where((F.col("plain") != F.col("fast")) | (F.col("plain") != F.col("words"))).isEmpty()
+    assert parted.where(F.size("words") == 3).count() == 29

@@ -18,6 +18,13 @@ WHITESPACE = (
 )
 LINE_BREAK = "\r\n|\r|\n"
 
+# The same characters as one class that costs a character below U+0100 a single look
+# in a bit set; ranges of the plain class are tried one after the other.
+_FAST_WHITESPACE = (
+    r"\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x20\x{85}\x{a0}[\x{1680}-\x{3000}&&"
+    r"[\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]]"
+)
+
 # The state reached after the last word of a sentence. A word is never empty,
 # so the marker cannot clash with text.
 END = ""
@@ -25,7 +32,7 @@ END = ""
 
 def words(text: Column) -> Column:
     """Whitespace tokens in text order."""
-    return F.filter(F.split(text, f"[{WHITESPACE}]+"), lambda w: w != "")
+    return F.filter(F.split(text, f"[{_FAST_WHITESPACE}]+"), lambda w: w != "")
 
 
 def has_word(text: Column) -> Column:

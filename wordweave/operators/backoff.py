@@ -45,20 +45,20 @@ def shorter(context: Column) -> Column:
 def full_grams(units: DataFrame, order: int, *others: str) -> DataFrame:
     """(others..., n, ctx, w): each word of the units (column ``items``) with
     the longest context the order allows; ``n`` is the length of the gram."""
-    padded = units.select(
-        *others, F.inline(F.array(F.struct(F.concat(F.array(F.lit(START)), "items").alias("_p"))))
+    # Nothing stands before START, so every word ends one window of ``order`` places
+    # and the windows are slices side by side. Joining leaves empty places out.
+    before = F.array(*[F.lit(None).cast("string")] * (order - 2), F.lit(START))
+    padded = units.select(*others, F.inline(F.array(F.struct(F.concat(before, "items").alias("_p")))))
+    count = F.greatest(F.size("_p") - (order - 1), F.lit(0))
+    places = [f"_w{k}" for k in range(1, order)]
+    window = F.arrays_zip(
+        *[F.slice("_p", F.lit(k + 1), count).alias(name) for k, name in enumerate([*places, "w"])]
     )
-    words = F.when(F.size("_p") > 1, F.sequence(F.lit(1), F.size("_p") - 1)).otherwise(
-        F.array().cast("array<int>")
+    length = sum((F.col(name).isNotNull().cast("int") for name in places), F.lit(1))
+    return padded.select(*others, F.inline(window)).select(
+        *others, length.alias("n"), F.concat_ws(" ", *places).alias("ctx"), "w"
     )
 
-    def gram(at: Column) -> Column:
-        length = F.least(at, F.lit(order - 1))
-        context = F.array_join(F.slice("_p", at - length + 1, length), " ")
-        return F.struct((length + 1).alias("n"), context.alias("ctx"), F.get("_p", at).alias("w"))
-
-    return padded.select(*others, F.inline(F.transform(words, gram)))
-
 
 def _every(by_order: dict[int, DataFrame]) -> DataFrame:
     """The frames of all orders as one, with their order ``n``."""
