@@ -180,3 +180,9 @@ def test_every_path_to_the_chosen_words_is_listed(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.words: r.multiplicity for r in catalog.path_enumeration_words(spark, str(tmp_path)).collect()}
     assert got == {f"Go a{i} b{i} idiot": 8 if i == 0 else 1 for i in range(9)}
+
+
+def test_temperature_sorts_no_pairs(spark):
+    counts = spark.createDataFrame([("a", "x", 6), ("a", "y", 4)], "w1 string, w2 string, cnt long")
+    plan = tr.with_temperature(counts, 0.5)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort " not in plan

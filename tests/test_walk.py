@@ -306,3 +306,15 @@ def test_few_paths_walk_alike_without_a_table(spark, lines, table, monkeypatch):
     assert not laid
     monkeypatch.setattr(wk, "FEW", 0)
     assert [run() for run in runs] == few and len(laid) == len(runs)
+
+
+def test_few_draws_keep_one_table_of_shards(spark):
+    """However many steps were made, the sums of the words reached are one scan."""
+    counts = spark.createDataFrame([(a, b, c) for (a, b), c in PAIRS.items()], "w1 string, w2 string, cnt long")
+    with Scratch(spark) as scratch:
+        chain = wk.FewDraws(scratch.keep(counts), scratch)
+        for word in ("The", "cat", "A"):
+            reached = chain._reach(spark.createDataFrame([(word,)], "w1 string")).collect()
+            assert [r.tot for r in reached] == [sum(c for (a, _), c in PAIRS.items() if a == word)]
+        assert "Union" not in chain.shards._jdf.queryExecution().optimizedPlan().toString()
+        assert {r.w1 for r in chain.shards.collect()} == {"The", "cat", "A"}

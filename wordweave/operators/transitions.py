@@ -280,14 +280,15 @@ def with_temperature(counts: DataFrame, temperature: float) -> DataFrame:
 
     The best successor always has the full weight of one billion, so a cold
     walk follows it; one whose weight is below half a billionth is never drawn
-    and leaves. ``counts`` is read twice and should be stored.
+    and leaves. ``counts`` is read twice and should be stored. The best counts, one
+    row per word, are looked up in a table of each task, so no pairs are sorted.
     """
     if temperature < 1e-3:
         raise ValueError("the temperature has to be at least 1e-3")
     best = cut(counts.groupBy("w1").agg(F.max("cnt").alias("_best")))
     relative = F.col("cnt") / F.col("_best")
     scaled = F.round(F.pow(relative, F.lit(1.0 / temperature)) * F.lit(1e9)).cast("long")
-    weighted = counts.join(best, "w1").select(*counts.columns, scaled.alias("weight"))
+    weighted = counts.join(best.hint("shuffle_hash"), "w1").select(*counts.columns, scaled.alias("weight"))
     return weighted.where(F.col("weight") > 0)
 
 

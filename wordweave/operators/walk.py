@@ -106,7 +106,8 @@ class FewDraws(Chain):
         words = words.distinct()
         new = words if self.shards is None else words.join(self.shards.select("w1").distinct(), "w1", "left_anti")
         made = self.scratch.keep(self._of(new).groupBy("w1", "_shard").agg(F.sum("_weight").alias("_sum")))
-        self.shards = made if self.shards is None else self.shards.unionByName(made)
+        # One table, so that the plan of a step does not grow with the steps before.
+        self.shards = made if self.shards is None else self.scratch.keep(self.shards.unionByName(made))
         ends = F.when(F.col("_shard") == "~", F.col("_sum")).otherwise(0)
         return (
             self.shards.join(words, "w1", "left_semi")
