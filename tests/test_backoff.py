@@ -171,3 +171,27 @@ def test_full_grams_are_slices_side_by_side(units, order):
             want[len(gram), " ".join(gram[:-1]), gram[-1]] += 1
     assert Counter((r.n, r.ctx, r.w) for r in grams.collect()) == want
     assert "transform(" not in grams._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_contexts_need_not_be_stored(units):
+    """The perplexity asks for some contexts only, which are summed up from the grams."""
+    stored = []
+    model = bo.train(units, 3, lambda frame: stored.append(frame.columns) or frame.localCheckpoint(), lambda frame: frame)
+    assert len(stored) == 3
+    plain = bo.perplexity(bo.train(units, 3), units).first()
+    assert tuple(bo.perplexity(model, units).first()) == pytest.approx(tuple(plain))
+
+
+def test_grams_nobody_asks_for_are_left_out_by_a_bitmap(spark):
+    grams = spark.range(20_000).select(F.col("id").cast("string").alias("ctx"), F.lit("w").alias("w"), F.lit(1).alias("c"))
+    asked = grams.where(F.col("ctx").cast("int") % 50 == 7).select("ctx", "w").localCheckpoint()
+    met = bo.possible(grams, asked, "ctx", "w").localCheckpoint()
+    assert met.join(asked, ["ctx", "w"]).count() == 400 and met.count() < 4_000 and met.columns == grams.columns
+    assert bo.possible(grams, asked.limit(0), "ctx").count() == 0
+
+
+def test_probabilities_of_longer_contexts_than_the_order(units, spark):
+    model = bo.train(units, 2)
+    rows = [("the cat", "sat"), ("cat", "sat"), ("a b cat", "sat"), ("the", "dog"), ("cat", "sat")]
+    found = {r.ctx: r.p for r in bo.probabilities(model, spark.createDataFrame(rows, "ctx string, w string")).collect()}
+    assert len(found) == 4 and found["the cat"] == found["cat"] == found["a b cat"]

@@ -141,9 +141,10 @@ def _discount(count: Column, discounts: tuple[float, float, float]) -> Column:
     return F.when(count == 1, discounts[0]).when(count == 2, discounts[1]).otherwise(discounts[2])
 
 
-def train(units: DataFrame, order: int, keep: Keep = cut) -> Model:
+def train(units: DataFrame, order: int, keep: Keep = cut, keep_contexts: Keep | None = None) -> Model:
     """The model of units (column ``items``); units without words count for
-    nothing. ``keep`` stores what is used more than once."""
+    nothing. ``keep`` stores what is used more than once. The contexts are stored
+    likewise, or by ``keep_contexts``; ``probabilities`` does not read them whole."""
     if order < 2:
         raise ValueError("the order has to be at least 2")
     full = keep(full_grams(units, order).groupBy("n", "ctx", "w").agg(F.count("*").alias("c")))
@@ -155,17 +156,40 @@ def train(units: DataFrame, order: int, keep: Keep = cut) -> Model:
     for n, level in levels.items():
         row = level.agg(*[F.count_if(F.col("c") == k) for k in (1, 2, 3, 4)]).first()
         discounts[n] = _discounts([x or 0 for x in row])
-    contexts = {}
-    for n, level in levels.items():
-        lost = F.sum(_discount(F.col("c"), discounts[n]))
-        contexts[n] = keep(
-            level.groupBy("ctx")
-            .agg(F.sum("c").alias("tot"), lost.alias("_lost"))
-            .select("ctx", "tot", (F.col("_lost") / F.col("tot")).alias("gamma"))
-        )
+    store = keep_contexts or keep
+    contexts = {n: store(_weights(level, discounts[n])) for n, level in levels.items()}
     return Model(order, levels, contexts, levels[1].count(), discounts)
 
 
+def _weights(level: DataFrame, discounts: tuple[float, float, float]) -> DataFrame:
+    """(ctx, tot, gamma) of the contexts of grams (ctx, w, c) of one order."""
+    lost = F.sum(_discount(F.col("c"), discounts))
+    summed = level.groupBy("ctx").agg(F.sum("c").alias("tot"), lost.alias("_lost"))
+    return summed.select("ctx", "tot", (F.col("_lost") / F.col("tot")).alias("gamma"))
+
+
+# Bits of a bitmap for each key, and the most bits of all (a broadcast table of 2^20 rows).
+KEY_BITS, MOST_BITS = 8, 1 << 26
+
+
+def possible(frame: DataFrame, asked: DataFrame, *keys: str) -> DataFrame:
+    """The rows of ``frame`` with keys that ``asked`` holds, and some others: a bitmap
+    of bounded size leaves most others out before they are shuffled. A full one leaves
+    out nothing. ``asked`` should be stored."""
+    rows, bits = asked.count(), 1 << 12
+    while bits < min(rows * KEY_BITS, MOST_BITS):
+        bits *= 2
+    place = F.xxhash64(*keys).bitwiseAND(F.lit(bits - 1).cast("long"))
+    mark = F.expr("shiftleft(1L, int(_bit & 63))")
+    marks = (
+        asked.select(place.alias("_bit"))
+        .groupBy(F.shiftright("_bit", 6).alias("_word"))
+        .agg(F.bit_or(mark).alias("_marks"))
+    )
+    tested = frame.withColumn("_bit", place).join(F.broadcast(marks), F.shiftright("_bit", 6) == F.col("_word"))
+    return tested.where(F.col("_marks").bitwiseAND(mark) != 0).select(*frame.columns)
+
+
 def _suffixes(frame: DataFrame, order: int) -> DataFrame:
     """Adds (n, _ctx): every shorter context of ``ctx`` and itself."""
     tokens = F.split("ctx", " ")
@@ -185,27 +209,58 @@ def probabilities(model: Model, grams: DataFrame) -> DataFrame:
     From order one up, a known context adds what it keeps for the word, if the gram
     is known, to its weight times the probability after the shorter context; an
     unknown one passes that on whole. All known grams end with known ones.
+
+    Orders are made one after the other from what is asked of them, so grams and
+    contexts that nobody asks for are hardly shuffled, and no order waits on disk for
+    the next but for its asked grams.
     """
-    wanted = _suffixes(grams.select("ctx", "w").distinct(), model.order)
-    counts = model.counts.select("n", F.col("ctx").alias("_ctx"), "w", "c")
-    weights = model.contexts.select("n", F.col("ctx").alias("_ctx"), "tot", "gamma")
-    found = wanted.join(counts, ["n", "_ctx", "w"], "left").join(weights, ["n", "_ctx"], "left")
-    lost = F.lit(0.0)
-    for n, discounts in model.discounts.items():
-        lost = F.when(F.col("n") == n, _discount(F.col("c"), discounts)).otherwise(lost)
-    kept = F.coalesce((F.col("c") - lost) / F.col("tot"), F.lit(0.0))
-    steps = F.sort_array(F.collect_list(F.struct("n", kept.alias("kept"), F.coalesce("gamma", F.lit(1.0)).alias("gamma"))))
-    p = F.aggregate("_steps", F.lit(model.unseen), lambda below, step: step["kept"] + below * step["gamma"])
-    return found.groupBy("ctx", "w").agg(steps.alias("_steps")).select("ctx", "w", p.alias("p"))
+    spark = grams.sparkSession
+    with Scratch(spark) as scratch:
+        size = F.when(F.col("ctx") == "", 0).otherwise(F.size(F.split("ctx", " ")))
+        given = scratch.keep(grams.select("ctx", "w").distinct().withColumn("_n", size + 1))
+        deepest = given.agg(F.max("_n")).first()[0] or 1
+        asked: dict[int, DataFrame] = {}
+        for n in range(deepest, 0, -1):
+            here = given.where(F.col("_n") == n).select("ctx", "w", F.lit(True).alias("_given"))
+            if n < deepest:
+                longer = asked[n + 1].select(shorter(F.col("ctx")).alias("ctx"), "w", F.lit(False).alias("_given"))
+                here = here.unionByName(longer).groupBy("ctx", "w").agg(F.max("_given").alias("_given"))
+            asked[n] = scratch.keep(here)
+        made = {}
+        for n in range(1, deepest + 1):
+            found, level = asked[n], model.levels.get(n)
+            if n == 1:
+                # One context: its two numbers are literals.
+                tot, gamma = model.weights[1].select("tot", "gamma").first() or (1, 1.0)
+                counts = possible(level, found, "ctx", "w")
+                found = found.join(counts, ["ctx", "w"], "left").withColumns(
+                    {"tot": F.lit(tot), "gamma": F.lit(gamma), "_below": F.lit(model.unseen)}
+                )
+            else:
+                if level is not None:
+                    counts = possible(level, found, "ctx", "w")
+                    weights = _weights(possible(level, found, "ctx"), model.discounts[n])
+                    found = found.join(counts, ["ctx", "w"], "left").join(weights, "ctx", "left")
+                below = made[n - 1].select(F.col("ctx").alias("_short"), "w", F.col("p").alias("_below"))
+                found = found.withColumn("_short", shorter(F.col("ctx"))).join(below, ["_short", "w"])
+            p = F.col("_below")
+            if level is not None:
+                kept = (F.col("c") - _discount(F.col("c"), model.discounts[n])) / F.col("tot")
+                p = F.coalesce(kept, F.lit(0.0)) + p * F.coalesce("gamma", F.lit(1.0))
+            made[n] = scratch.keep(found.select("ctx", "w", "_given", p.alias("p")), instead_of=asked[n])
+        return cut(_every(made).where("_given").select("ctx", "w", "p"))
 
 
 def perplexity(model: Model, units: DataFrame) -> DataFrame:
     """(n, loss, perplexity) of the model on the words of other units."""
-    test = full_grams(units, model.order).groupBy("ctx", "w").agg(F.count("*").alias("b"))
-    scored = test.join(probabilities(model, test), ["ctx", "w"])
-    return scored.agg(
-        F.sum("b").alias("n"), (-F.sum(F.col("b") * F.log("p")) / F.sum("b")).alias("loss")
-    ).select("n", "loss", F.exp("loss").alias("perplexity"))
+    with Scratch(units.sparkSession) as scratch:
+        test = scratch.keep(full_grams(units, model.order).groupBy("ctx", "w").agg(F.count("*").alias("b")))
+        scored = test.join(probabilities(model, test), ["ctx", "w"])
+        return cut(
+            scored.agg(
+                F.sum("b").alias("n"), (-F.sum(F.col("b") * F.log("p")) / F.sum("b")).alias("loss")
+            ).select("n", "loss", F.exp("loss").alias("perplexity"))
+        )
 
 
 def _last(history: Column, words: Column) -> Column:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from math import ceil
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,10 +48,32 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+# The setting by which Spark deletes the shuffle files of a query at its end. Left alone,
+# they stay until the driver happens to collect what refers to them.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freeing(spark: SparkSession) -> Iterator[None]:
+    """Queries begun inside leave no shuffle files. For those whose result is stored:
+    what is run again later has to be another frame."""
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and go on from there."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    # Selected, it is a frame of its own: the caller's can be run again.
+    with freeing(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)
 
 
 # Rows a bucket of a stored table holds, about.
@@ -88,7 +111,8 @@ class Scratch:
         """Write ``df`` and go on from there; then forget ``instead_of``."""
         self.written += 1
         path = f"{self.folder}/{self.written}"
-        df.write.parquet(path)
+        with freeing(self.spark):
+            df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         if instead_of is not None and (old := self.paths.pop(id(instead_of), None)):
@@ -111,11 +135,12 @@ class Scratch:
         name = f"wordweave_{uuid.uuid4().hex}"
         self.tables.append(name)
         laid = df.repartition(buckets, *keys)
-        (
-            (gathered(laid) if gathered else laid)
-            .write.format("parquet")
-            .bucketBy(buckets, *keys)
-            .option("path", f"{self.folder}/{name}")
-            .saveAsTable(name)
-        )
+        with freeing(self.spark):
+            (
+                (gathered(laid) if gathered else laid)
+                .write.format("parquet")
+                .bucketBy(buckets, *keys)
+                .option("path", f"{self.folder}/{name}")
+                .saveAsTable(name)
+            )
         return self.spark.table(name)
