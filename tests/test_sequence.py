@@ -220,3 +220,20 @@ def test_words_travel_with_their_position_only(spark, monkeypatch):
     items, vocab = alphabet(spark)
     assert lm.windows(items, ["doc_id"], vocab, 4, 2).columns == ["batch_col", "window", "pos", "token_id", "target_id"]
     assert seen == [["_pos", "w1", "w2"], ["_pos", "w2", "token_id"]]
+
+
+def test_rows_of_frequent_words_are_not_shuffled_for_their_ids(spark, monkeypatch):
+    """Only rows with a rare word reach the shuffle joins; the targets of the others are known as well."""
+    monkeypatch.setattr(lm, "FREQUENT", 20)
+    seen = []
+    monkeypatch.setattr(lm, "with_ids", lambda frame, *a, f=lm.with_ids: seen.append(frame.count()) or f(frame, *a))
+    items, vocab = alphabet(spark)
+    assert lm.windows(items, ["doc_id"], vocab, 1, 2).count() == 25
+    assert seen == [6, 6]
+
+
+def test_stored_units_keep_their_items(spark):
+    """Also items that are empty, NULL or hold what parts the others."""
+    rows = [["a", "b"], [""], ["", ""], ["a\nb", "c"], ["a", None], ["\n"], ["é", "b", ""]]
+    units = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "start long, items array<string>")
+    assert [r["items"] for r in sq._stored(units).orderBy("start").collect()] == rows

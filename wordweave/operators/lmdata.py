@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from wordweave.operators import sequence as sq
 from wordweave.session import cut
 
-# Number of most frequent words whose ids are broadcast.
-FREQUENT = 10_000
+# Number of most frequent words whose ids are broadcast: some megabytes.
+FREQUENT = 100_000
 
 
 def word_counts(sequence: DataFrame) -> DataFrame:
@@ -47,6 +47,15 @@ def vocabulary(counts: DataFrame) -> DataFrame:
     )
 
 
+def _ids(vocab: DataFrame, word: str, name: str) -> DataFrame:
+    return vocab.select(F.col("word").alias(word), F.col("token_id").alias(name))
+
+
+def _frequent(vocab: DataFrame, word: str, name: str) -> DataFrame:
+    """(word, name) of the words whose ids are broadcast."""
+    return F.broadcast(_ids(vocab, word, name).where(F.col(name) < FREQUENT))
+
+
 def with_ids(frame: DataFrame, vocab: DataFrame, word: str, name: str) -> DataFrame:
     """Replace a word column by its token ids.
 
@@ -55,9 +64,7 @@ def with_ids(frame: DataFrame, vocab: DataFrame, word: str, name: str) -> DataFr
     hot: a word of a later rank holds at most 1/``FREQUENT`` of all rows and
     is safe to join by shuffle.
     """
-    ids = vocab.select(F.col("word").alias(word), F.col("token_id").alias("_id"))
-    frequent = F.broadcast(ids.where(F.col("_id") < FREQUENT).withColumnRenamed("_id", "_known"))
-    probed = frame.join(frequent, word, "left")
+    probed = frame.join(_frequent(vocab, word, "_known"), word, "left")
     # Known rows take no part in the second join: their salt matches nothing
     # and spreads them, so the frame is read once and no word is hot. They leave
     # their word behind, so the shuffle carries it for rare words only.
@@ -68,7 +75,7 @@ def with_ids(frame: DataFrame, vocab: DataFrame, word: str, name: str) -> DataFr
         F.col("_known"),
         F.when(F.col("_known").isNull(), F.lit(0)).otherwise(place).cast("int").alias("_salt"),
     )
-    rare = ids.where(F.col("_id") >= FREQUENT).withColumn("_salt", F.lit(0))
+    rare = _ids(vocab, word, "_id").where(F.col("_id") >= FREQUENT).withColumn("_salt", F.lit(0))
     found = salted.join(rare, [word, "_salt"], "left").withColumn(name, F.coalesce("_known", "_id"))
     return found.where(F.col(name).isNotNull()).drop(word, "_known", "_id", "_salt")
 
@@ -97,7 +104,8 @@ def windows(
     step ahead, in windows of ``length`` rows; the last may be shorter.
 
     The target is the next word of the sequence, known inside the unit's own
-    row, so no column of the batch is ever gathered and sorted.
+    row, so no column of the batch is ever gathered and sorted. Rows of two frequent
+    words, which are most, are not shuffled for their ids.
     """
     outline = sq.outlines(sequence, keys)
     height = F.lit(sq.length(outline) // columns).cast("long")
@@ -108,8 +116,16 @@ def windows(
         .where(F.col("_pos") % F.col("_height") < F.col("_height") - 1)
     )
     # A word needs nothing but its position until the ids are known.
-    inputs = with_ids(placed.select("_pos", "w1", "w2"), vocab, "w1", "token_id")
-    found = with_ids(inputs, vocab, "w2", "target_id")
+    probed = (
+        placed.select("_pos", "w1", "w2")
+        .join(_frequent(vocab, "w1", "token_id"), "w1", "left")
+        .join(_frequent(vocab, "w2", "target_id"), "w2", "left")
+    )
+    both = F.col("token_id").isNotNull() & F.col("target_id").isNotNull()
+    rare = with_ids(probed.where(~both).select("_pos", "w1", "w2"), vocab, "w1", "token_id")
+    found = probed.where(both).select("_pos", "token_id", "target_id").unionByName(
+        with_ids(rare, vocab, "w2", "target_id")
+    )
     return (
         found.withColumn("_height", height)
         .withColumn("batch_col", F.expr("_pos div _height"))

@@ -222,12 +222,27 @@ def parted_pairs(sequence: DataFrame, keys: Sequence[str], part: str) -> DataFra
     )
 
 
+# What parts the items of a stored unit; items that hold it are stored as they are.
+BETWEEN = "\n"
+
+
+def _stored(units: DataFrame) -> DataFrame:
+    """Units written with their items as one text, which is a quarter of their size."""
+    others = [c for c in units.columns if c != "items"]
+    joined = F.array_join("items", BETWEEN)
+    parted = F.size(F.split(joined, BETWEEN)) == F.size("items")
+    written = cut(units.select(*others, joined.alias("_text"), F.when(~parted, F.col("items")).alias("_items")))
+    return written.select(*others, F.coalesce("_items", F.split("_text", BETWEEN)).alias("items"))
+
+
 def indexed_pairs(
     sequence: DataFrame, keys: Sequence[str], outline: DataFrame | None = None, in_order: bool = False
 ) -> DataFrame:
     """(pos, w1, w2): every word with its position and the word after it;
-    ``w2`` is NULL for the last word of the sequence."""
-    stitched = _located(sequence, keys, outline, in_order)
+    ``w2`` is NULL for the last word of the sequence.
+
+    Units are stored with their start, so that pairs can be read more than once."""
+    stitched = _stored(_located(sequence, keys, outline, in_order).select("start", "following", "items"))
     ahead = F.concat(F.slice("items", F.lit(2), F.size("items")), F.array("following"))
     return stitched.select(
         "start",
