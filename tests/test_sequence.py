@@ -237,3 +237,16 @@ def test_stored_units_keep_their_items(spark):
     rows = [["a", "b"], [""], ["", ""], ["a\nb", "c"], ["a", None], ["\n"], ["é", "b", ""]]
     units = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "start long, items array<string>")
     assert [r["items"] for r in sq._stored(units).orderBy("start").collect()] == rows
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_numbers_travel_instead_of_the_digest_of_a_word(spark, kind):
+    """A digest takes the most room of a shuffled word. The order is the same by either."""
+    texts = [(i % 5 + 7, i // 5, " ".join(f"w{i}x{j}" for j in range(i % 4))) for i in range(20)]
+    items = sq.units(spark.createDataFrame(texts, f"doc_id {kind}, line_no int, text string"), ["doc_id", "line_no"])
+    made, total = sq.shuffled_and_counted(items, ["doc_id", "line_no"], 3)
+    want = sorted((digest(f"3|{d}|{n}|{j}"), w) for d, n, text in texts for j, w in enumerate(text.split()))
+    assert [r.word for r in made.orderBy("pos").collect()] == [w for _, w in want] and total == len(want)
+    plan = made._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = next(plan[i + 1] for i, line in enumerate(plan) if "RepartitionByExpression" in line)
+    assert ("digest" in below) == (kind == "string")

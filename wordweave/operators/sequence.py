@@ -19,6 +19,7 @@ from math import ceil, sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from wordweave.functions import seeded
 from wordweave.functions import text as tx
@@ -278,16 +279,23 @@ def _digest_shards(hashed: DataFrame, digits: int) -> DataFrame:
 
 def shuffled_and_counted(sequence: DataFrame, keys: Sequence[str], seed: int) -> tuple[DataFrame, int]:
     """``shuffled_words`` and their number."""
-    address = seeded.digest(seed, *[F.col(k) for k in keys], F.col("i"))
-    hashed = exploded(sequence, *keys).select(F.unhex(address).alias("digest"), "word")
+    digest = F.unhex(seeded.digest(seed, *[F.col(k) for k in keys], F.col("i"))).alias("digest")
+    addressed = exploded(sequence, *keys)
+    hashed = addressed.select(digest, "word")
     digits = SHUFFLE_DIGITS
     shards = _digest_shards(hashed, digits)
     total = shards.agg(F.sum("_total")).first()[0] or 0
     if (more := seeded.digits_for(total, SHUFFLED_ROWS)) > digits:
         digits, shards = more, _digest_shards(hashed, more)
-    shard = F.substring(F.hex("digest"), 1, digits)
+    # A digest cannot be packed. Numbers can, so where they are the address of a word, they
+    # travel instead, and the digest is made again where they arrive.
+    narrow = all(isinstance(addressed.schema[k].dataType, T.IntegralType) for k in keys)
+    if narrow:
+        dealt = addressed.repartition(F.substring(F.hex(digest), 1, digits)).select(digest, "word")
+    else:
+        dealt = hashed.repartition(F.substring(F.hex("digest"), 1, digits))
     # Words travel without their shard, which is read off the digest again.
-    dealt = hashed.repartition(shard).withColumn("_shard", shard)
+    dealt = dealt.withColumn("_shard", F.substring(F.hex("digest"), 1, digits))
     inside = Window.partitionBy("_shard").orderBy("digest", "word")
     across = _across(shards, F.substring("_shard", 1, digits // 2))
     shuffled = (

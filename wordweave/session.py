@@ -112,7 +112,7 @@ class Scratch:
         self.written += 1
         path = f"{self.folder}/{self.written}"
         with freeing(self.spark):
-            df.write.parquet(path)
+            df.write.parquet(path, compression="zstd")
         kept = self.spark.read.schema(df.schema).parquet(path)
         self.paths[id(kept)] = path
         if instead_of is not None and (old := self.paths.pop(id(instead_of), None)):
