@@ -186,3 +186,18 @@ def test_temperature_sorts_no_pairs(spark):
     counts = spark.createDataFrame([("a", "x", 6), ("a", "y", 4)], "w1 string, w2 string, cnt long")
     plan = tr.with_temperature(counts, 0.5)._jdf.queryExecution().executedPlan().toString()
     assert "ShuffledHashJoin" in plan and "Sort " not in plan
+
+
+def test_heaviest_paths_leave_their_result_only(spark, monkeypatch):
+    """Levels lie in a scratch folder; many equal paths stay in the order of their words."""
+    stored = []
+    monkeypatch.setattr(tr, "cut", lambda frame, cut=tr.cut: stored.append(cut(frame)) or stored[-1])
+    pairs = {(a, b): 1 + (ord(a) * ord(b or "z")) % 2 for a in "abcde" for b in ["a", "b", "c", "d", "e", ""] if a != b}
+    counts = spark.createDataFrame([(*p, c) for p, c in pairs.items()], "w1 string, w2 string, cnt long")
+    got = tr.heaviest_paths(counts, counts.where("w2 = ''"), 2, 3).collect()
+    want = []
+    for first in "abcde":
+        paths = [(-c, p) for p, c in brute_paths(pairs, 3).items() if p[0] == first and p[-1] == ""]
+        want += [(p, rank, -c) for rank, (c, p) in enumerate(sorted(paths)[:3], 1)]
+    assert sorted((tuple(r.words), r["rank"], int(r.multiplicity)) for r in got) == sorted(want)
+    assert len(stored) == 1

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wordweave.functions import seeded
 from wordweave.functions import text as tx
-from wordweave.session import cut
+from wordweave.session import Scratch, cut
 
 # Average number of candidates a walking path compares per step.
 BUCKET_ROWS = 64
@@ -322,41 +322,51 @@ def heaviest_paths(counts: DataFrame, ends: DataFrame, steps: int, k: int) -> Da
     The best paths from a word go on with best paths of the next, so a word keeps
     ``k`` back-pointers per step (next word and its rank) and no path is listed
     before the last step; the words are then read off the pointers. ``ends`` is a
-    frame like ``counts``. A word's candidates are cut to ``k`` before the shuffle
-    as well. Multiplicities are DECIMAL(38,0); larger ones raise an error.
+    frame like ``counts``. Multiplicities are DECIMAL(38,0); larger ones raise an error.
+
+    A path that is not the best of its next word comes after the best one. So the ``k``
+    best next words are found first, by their best paths, and only they are tried with
+    the others. ``counts`` is read more than once and should be stored.
     """
     exact = "decimal(38,0)"
-    going = counts.select(F.col("w1").alias("head"), F.col("w2").alias("nxt"), "cnt")
+    spark = counts.sparkSession
 
-    def best(candidates: DataFrame) -> DataFrame:
-        order = [F.col("multiplicity").desc(), F.col("nxt"), F.col("nxt_rank")]
-        place = F.row_number().over(Window.partitionBy("head").orderBy(*order))
-        return cut(candidates.withColumn("rank", place).where(F.col("rank") <= k))
+    def best(candidates: DataFrame, *order: Column) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy("head").orderBy(F.col("multiplicity").desc(), *order))
+        return candidates.withColumn("rank", place).where(F.col("rank") <= k)
 
-    zero = F.lit(0)
-    last = ends.select(
-        F.col("w1").alias("head"), F.col("w2").alias("nxt"), zero.alias("nxt_rank"), F.col("cnt").cast(exact).alias("multiplicity")
-    )
-    levels = [best(last)]
-    for _ in range(steps):
-        ahead = levels[-1].select(
-            F.col("head").alias("nxt"), F.col("rank").alias("nxt_rank"), F.col("multiplicity").alias("_ahead")
+    with Scratch(spark) as scratch:
+        going = scratch.colocated(
+            counts.select(F.col("w1").alias("head"), F.col("w2").alias("nxt"), "cnt"), counts.count(), "nxt"
         )
-        longer = going.join(ahead, "nxt").withColumn("multiplicity", (F.col("cnt") * F.col("_ahead")).cast(exact))
-        levels.append(best(longer.select("head", "nxt", "nxt_rank", "multiplicity")))
-    paths = levels[-1].select(
-        F.array("head", "nxt").alias("words"), "rank", "multiplicity", F.col("nxt").alias("_at"), F.col("nxt_rank").alias("_rank")
-    )
-    for level in reversed(levels[:-1]):
-        back = level.select(F.col("head").alias("_at"), F.col("rank").alias("_rank"), F.col("nxt").alias("_to"), F.col("nxt_rank").alias("_to_rank"))
-        paths = paths.join(back, ["_at", "_rank"]).select(
-            F.array_append("words", F.col("_to")).alias("words"),
-            "rank",
-            "multiplicity",
-            F.col("_to").alias("_at"),
-            F.col("_to_rank").alias("_rank"),
+        last = ends.select(
+            F.col("w1").alias("head"), F.col("w2").alias("nxt"), F.lit(0).alias("nxt_rank"), F.col("cnt").cast(exact).alias("multiplicity")
+        )
+        levels = [scratch.keep(best(last, F.col("nxt"), F.col("nxt_rank")))]
+        reached = (F.col("cnt") * F.col("_ahead")).cast(exact)
+        for _ in range(steps):
+            ahead = levels[-1].select(
+                F.col("head").alias("nxt"), F.col("rank").alias("nxt_rank"), F.col("multiplicity").alias("_ahead")
+            )
+            first = ahead.where(F.col("nxt_rank") == 1).drop("nxt_rank")
+            tried = going.join(first, "nxt").select("head", "nxt", "cnt", reached.alias("multiplicity"))
+            chosen = scratch.keep(best(tried, F.col("nxt")).select("head", "nxt", "cnt"))
+            longer = chosen.join(ahead, "nxt").select("head", "nxt", "nxt_rank", reached.alias("multiplicity"))
+            levels.append(scratch.keep(best(longer, F.col("nxt"), F.col("nxt_rank")), instead_of=chosen))
+        paths = levels[-1].select(
+            F.array("head", "nxt").alias("words"), "rank", "multiplicity", F.col("nxt").alias("_at"), F.col("nxt_rank").alias("_rank")
         )
-    return paths.select("words", "rank", "multiplicity")
+        for level in reversed(levels[:-1]):
+            back = level.select(F.col("head").alias("_at"), F.col("rank").alias("_rank"), F.col("nxt").alias("_to"), F.col("nxt_rank").alias("_to_rank"))
+            longer = paths.join(back, ["_at", "_rank"]).select(
+                F.array_append("words", F.col("_to")).alias("words"),
+                "rank",
+                "multiplicity",
+                F.col("_to").alias("_at"),
+                F.col("_to_rank").alias("_rank"),
+            )
+            paths = scratch.keep(longer, instead_of=paths)
+        return cut(paths.select("words", "rank", "multiplicity"))
 
 
 def path_counts(counts: DataFrame, steps: int) -> DataFrame:
