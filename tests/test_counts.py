@@ -210,3 +210,25 @@ def test_heaviest_paths_equal_brute_force(spark, steps, k):
     want = sorted((list(p), r, -m) for x in by_head.values() for r, (m, p) in enumerate(sorted(x)[:k], 1))
     got = tr.heaviest_paths(counts, ends, steps, k)
     assert sorted((r.words, r["rank"], int(r.multiplicity)) for r in got.collect()) == want
+
+
+def test_strips_of_a_block_change_nothing(spark, monkeypatch):
+    """A block is as large as memory allows, its matrix only a strip of it; few vectors still keep all cores busy."""
+    from wordweave.operators import similar
+
+    rng = random.Random(5)
+    rows = [(k, f"t{rng.randrange(12)}", 1 + rng.randrange(3)) for k in range(60) for _ in range(4)]
+    vectors = spark.createDataFrame(rows, "k int, term string, value int")
+    want = sorted(tuple(r) for r in similar.similar(vectors, "k", 0.7).collect())
+    assert sum(r[3] for r in want) > 60
+    monkeypatch.setattr(similar, "LEAST_ROWS", 30)
+    monkeypatch.setattr(similar, "STRIP", 7)
+    members, units = similar.classes(vectors, "k")
+    sizes = members.groupBy("class_id").agg(F.count("*").alias("size"))
+    assert similar.blocks(units, sizes)[1] == 2
+    got = sorted(tuple(r) for r in similar.similar(vectors, "k", 0.7).collect())
+    assert [r[:-1] for r in got] == [r[:-1] for r in want]
+    assert [r[-1] for r in got] == pytest.approx([r[-1] for r in want])
+    pairs = {(r.a, r.b) for r in similar.similar_classes(units, 0.7).collect()}
+    monkeypatch.setattr(similar, "STRIP", 1_000)
+    assert pairs == {(r.a, r.b) for r in similar.similar_classes(units, 0.7).collect()}

@@ -32,12 +32,16 @@ from wordweave.session import Scratch, cut
 # The norm of the rest is rounded up by so much.
 MARGIN = 1e-9
 
-# Classes and entries of a block, about.
-BLOCK_ROWS, BLOCK_ENTRIES = 2_000, 600_000
+# Classes and entries of a block, about; few classes make smaller blocks, of so many classes
+# at least, for all cores to have some.
+BLOCK_ROWS, BLOCK_ENTRIES, LEAST_ROWS = 4_000, 1_200_000, 1_000
+
+# Classes of a block that are compared with another block at a time.
+STRIP = 1_000
 
 # A term is compared by a matrix product if it is in one of so many pairs of a block,
 # so many terms at a time; other terms pair by pair, so many pairs at a time.
-DENSE, COLUMNS, PAIRS = 200, 512, 1 << 21
+DENSE, COLUMNS, PAIRS = 500, 512, 1 << 20
 
 
 def classes(vectors: DataFrame, key: str, value: str = "value") -> tuple[DataFrame, DataFrame]:
@@ -90,7 +94,9 @@ def blocks(units: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int]:
     (class_id, size, terms, values). Terms are numbers; those of a single class, which
     no pair shares, have none. ``units`` should be stored."""
     n, entries = units.agg(F.count_distinct("class_id"), F.count("*")).first()
-    number = max(1, ceil(n / BLOCK_ROWS), ceil(entries / BLOCK_ENTRIES))
+    # Each two blocks are a task, so 2 c ** 0.5 blocks are about 2 c tasks.
+    busy = ceil(2 * units.sparkSession.sparkContext.defaultParallelism ** 0.5)
+    number = max(1, ceil(n / BLOCK_ROWS), ceil(entries / BLOCK_ENTRIES), min(ceil(n / LEAST_ROWS), busy))
     shared = units.groupBy("term").agg(F.count("*").alias("_df")).where(F.col("_df") > 1)
     numbered = cut(shared.select("term", F.monotonically_increasing_id().alias("_id")))
     vectors = (
@@ -107,15 +113,25 @@ def blocks(units: DataFrame, sizes: DataFrame) -> tuple[DataFrame, int]:
 class _Block:
     """Classes with their entries (row, term, value) in order of the term."""
 
-    def __init__(self, vectors: pa.Array):
+    def __init__(self, ids: pa.Array, sizes: np.ndarray, row: np.ndarray, term: np.ndarray, value: np.ndarray):
+        self.ids, self.sizes, self.rows = ids, sizes, len(ids)
+        self.row, self.term, self.value = row, term, value
+
+    @classmethod
+    def read(cls, vectors: pa.Array) -> _Block:
         ids, sizes, terms, values = vectors.flatten()
-        self.ids, self.sizes, self.rows = ids, sizes.to_numpy(zero_copy_only=False), len(ids)
         lengths = np.diff(terms.offsets.to_numpy())
         term = terms.flatten().to_numpy()
         order = np.argsort(term, kind="stable")
-        self.term = term[order]
-        self.value = values.flatten().to_numpy()[order]
-        self.row = np.repeat(np.arange(self.rows), lengths)[order]
+        row = np.repeat(np.arange(len(ids)), lengths)[order]
+        return cls(ids, sizes.to_numpy(zero_copy_only=False), row, term[order], values.flatten().to_numpy()[order])
+
+    def strips(self) -> Iterator[tuple[int, _Block]]:
+        """Blocks of the next ``STRIP`` classes, with the place of the first."""
+        for low in range(0, self.rows, STRIP):
+            here = (self.row >= low) & (self.row < low + STRIP)
+            ids, sizes = self.ids.slice(low, STRIP), self.sizes[low : low + STRIP]
+            yield low, _Block(ids, sizes, self.row[here] - low, self.term[here], self.value[here])
 
     def of(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Row, place in ``terms`` and value of the entries with one of ``terms``."""
@@ -124,10 +140,14 @@ class _Block:
         return self.row[found], at[found], self.value[found]
 
 
+def _different(ordered: np.ndarray) -> np.ndarray:
+    return ordered[np.flatnonzero(np.diff(ordered, prepend=ordered[0] - 1))] if len(ordered) else ordered
+
+
 def _cosines(a: _Block, b: _Block) -> np.ndarray:
     """The cosines of all classes of two blocks."""
     found = np.zeros((a.rows, b.rows))
-    common = np.intersect1d(a.term, b.term)
+    common = np.intersect1d(_different(a.term), _different(b.term), assume_unique=True)
     if not len(common):
         return found
     (row_a, at_a, value_a), (row_b, at_b, value_b) = a.of(common), b.of(common)
@@ -145,16 +165,16 @@ def _cosines(a: _Block, b: _Block) -> np.ndarray:
     # An entry of a rare term meets the entries of the other side, which lie together.
     starts = np.cumsum(often_b) - often_b
     rare = np.flatnonzero(~dense[at_a])
-    upto = np.cumsum(often_b[at_a[rare]])
+    often, first, base, weight = often_b[at_a[rare]], starts[at_a[rare]], row_a[rare] * b.rows, value_a[rare]
+    upto = np.cumsum(often)
     flat, low = found.reshape(-1), 0
     while low < len(rare):
         done = upto[low - 1] if low else 0
         high = max(low + 1, int(np.searchsorted(upto, done + PAIRS, side="right")))
-        one = rare[low:high]
-        times = often_b[at_a[one]]
-        inside = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        left, right = np.repeat(one, times), np.repeat(starts[at_a[one]], times) + inside
-        np.add.at(flat, row_a[left] * b.rows + row_b[right], value_a[left] * value_b[right])
+        times = often[low:high]
+        right = np.arange(times.sum()) + np.repeat(first[low:high] - (np.cumsum(times) - times), times)
+        cell = np.repeat(base[low:high], times) + row_b[right]
+        np.add.at(flat, cell, np.repeat(weight[low:high], times) * value_b[right])
         low = high
     return found
 
@@ -163,8 +183,8 @@ def _compared(
     units: DataFrame, sizes: DataFrame, threshold: float, schema: T.StructType, found: Callable
 ) -> DataFrame:
     """What ``found`` makes of the cosines of each two blocks, and of each with itself,
-    stored; pairs below the threshold are NaN, and of a block with itself pairs are
-    there once, the smaller class first."""
+    stored; pairs below the threshold are -1, and of a block with itself pairs are
+    there once, the smaller class first. The first block comes in strips of classes."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold lies above 0 and is at most 1")
 
@@ -172,12 +192,13 @@ def _compared(
         for batch in batches:
             for i in range(batch.num_rows):
                 at_a, at_b = batch.column(0)[i].as_py(), batch.column(2)[i].as_py()
-                a, b = _Block(batch.column(1)[i].values), _Block(batch.column(3)[i].values)
-                cosines = _cosines(a, b)
-                cosines[cosines < threshold] = np.nan
-                if at_a == at_b:
-                    cosines[np.tril_indices(a.rows)] = np.nan
-                yield from found(a, b, cosines)
+                whole, b = _Block.read(batch.column(1)[i].values), _Block.read(batch.column(3)[i].values)
+                for low, a in whole.strips():
+                    cosines = _cosines(a, b)
+                    cosines[cosines < threshold] = -1.0
+                    if at_a == at_b:
+                        cosines[np.tri(a.rows, b.rows, low, dtype=bool)] = -1.0
+                    yield from found(a, b, cosines)
 
     with Scratch(units.sparkSession) as scratch:
         made, number = blocks(units, sizes)
@@ -199,7 +220,7 @@ def similar_classes(units: DataFrame, threshold: float) -> DataFrame:
     schema = T.StructType().add("a", kind).add("b", kind).add("similarity", "double")
 
     def found(a: _Block, b: _Block, cosines: np.ndarray) -> Iterator[pa.RecordBatch]:
-        left, right = np.nonzero(~np.isnan(cosines))
+        left, right = np.nonzero(cosines >= 0)
         columns = [a.ids.take(pa.array(left)), b.ids.take(pa.array(right)), pa.array(cosines[left, right])]
         yield pa.RecordBatch.from_arrays(columns, schema.names)
 
@@ -213,24 +234,23 @@ def neighbours(units: DataFrame, sizes: DataFrame, threshold: float) -> DataFram
     similar, the smallest of those equal to nine digits, and the highest similarity.
 
     Pairs are counted where they meet: each comparison of two blocks returns at most
-    one row for each of their classes."""
+    one row for each class of the first, and one for each of the second and strip."""
     kind = units.schema["class_id"].dataType
     schema = T.StructType().add("class_id", kind).add("_n", "long").add("_best", kind)
     schema = schema.add("_top", "double").add("_most", "double")
 
     def side(a: _Block, b: _Block, cosines: np.ndarray) -> pa.RecordBatch:
-        near = ~np.isnan(cosines)
-        some = np.flatnonzero(near.any(axis=1))
-        cosines, near = cosines[some], near[some]
-        rounded = np.where(near, np.round(cosines, 9), -1.0)
+        some = np.flatnonzero((cosines >= 0).any(axis=1))
+        cosines = cosines[some]
+        rounded = np.round(cosines, 9)
         # Classes are in order, so the first of equals is the smallest.
         best = rounded.argmax(axis=1) if len(some) else np.zeros(0, int)
         columns = [
             a.ids.take(pa.array(some)),
-            pa.array(near @ b.sizes),
+            pa.array((cosines >= 0) @ b.sizes),
             b.ids.take(pa.array(best)),
             pa.array(rounded[np.arange(len(some)), best]),
-            pa.array(np.where(near, cosines, -1.0).max(axis=1, initial=-1.0)),
+            pa.array(cosines.max(axis=1, initial=-1.0)),
         ]
         return pa.RecordBatch.from_arrays(columns, schema.names)
 
